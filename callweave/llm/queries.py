@@ -7,11 +7,51 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import token_counts
+from callweave.llm import matroska, mixing, quality_rules, sharding, token_counts
 from callweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+#: Target weights of the sources: the first holds a third of the rows and shall make up a tenth.
+WEIGHTS = {"src0": 10.0} | {f"src{i}": 5.0 for i in range(1, 19)}
+
+
+def op1_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard_no", "shard")
+
+
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), WEIGHTS)
+
+
+OP4_SQL = f"""
+WITH RECURSIVE weights(source, weight) AS (VALUES {", ".join(f"('{s}', {w}::DOUBLE)" for s, w in WEIGHTS.items())}),
+sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+named AS (SELECT source, weight, n FROM sizes JOIN weights USING (source)),
+means AS (SELECT source, (SELECT sum(n) FROM named) * weight / (SELECT sum(weight) FROM named) / n AS mean FROM named),
+steps(source, mean, k, term, total) AS (
+  SELECT source, mean, 0, exp(-mean), exp(-mean) FROM means
+  UNION ALL
+  SELECT source, mean, k + 1, term * (mean / (k + 1)), total + term * (mean / (k + 1)) FROM steps WHERE k < 60),
+listed AS (SELECT source, list(total) AS totals FROM steps GROUP BY source),
+drawn AS (
+  SELECT d.*, ('0x' || substr(md5(concat_ws('/', 'mix-1', coalesce(d.source, ''), coalesce(d.doc_id::VARCHAR, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents d),
+counted AS (SELECT drawn.*, len(list_filter(totals, lambda x: x <= u)) AS times FROM drawn JOIN listed USING (source))
+SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
+  md5(concat_ws('/', 'mix-1/order', coalesce(doc_id::VARCHAR, ''), copy_no::VARCHAR)) AS mix_key
+FROM (SELECT *, unnest(range(1, times + 1)) AS copy_no FROM counted WHERE times > 0)
+"""
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(read(spark, sf_dir, "documents"))
+
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -19,9 +59,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_table_sharding": op1_table_sharding,
+        "op4_poisson_mixing": op4_poisson_mixing,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_matroska": op9_matroska,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_poisson_mixing": OP4_SQL}
