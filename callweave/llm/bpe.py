@@ -238,14 +238,15 @@ def decode_ids(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``n_tokens`` and the digests of the ids and of the bytes that they decode to.
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: the id, ``n_tokens`` and the digests of the ids and of the bytes that they decode to; ``with_ids`` adds ``ids``.
 
     Null texts count as empty; null ids and repeated rows give a row each; an empty table gives
     none; other columns are ignored. Texts are taken whole; those that don't decode to themselves
     raise an error.
     """
     source = only(df, id=id_col, text=text_col)
+    columns = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
@@ -256,16 +257,19 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
                 decoded = own.decode(coded)
                 if any(d != t.encode() for d, t in zip(decoded, texts, strict=True)):
                     raise ValueError("a text does not decode to itself")
+                ends = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(start, len(texts)),
                         pa.array([len(x) // 4 for x in coded], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                        *lists,
                     ],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=columns,
                 )
                 start += len(texts)
 
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
+    kinds = f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return source.mapInArrow(run, kinds).withColumnRenamed("id", id_col)

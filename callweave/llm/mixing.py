@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The name under which ``weights`` may hold all sources that it doesn't name (null too).
+OTHERS = "*"
 #: Largest mean repetition; beyond it a mixture would be mere copies.
 MOST_MEAN = 64.0
 
@@ -36,14 +38,20 @@ def poisson_steps(mean: float) -> list[float]:
     return out
 
 
+def _group(weights: dict[str, float], source_col: str) -> Column:
+    """The name in ``weights`` that a row counts under; null: none."""
+    named = [s for s in weights if s != OTHERS]
+    return F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHERS if OTHERS in weights else None).cast("string"))
+
+
 def source_means(df: DataFrame, weights: dict[str, float], source_col: str = "source", total: int | None = None) -> dict[str, float]:
     """Mean repetition of each weighted source, from counts of all rows.
 
     ``total``: rows wanted (default: the rows that the weighted sources hold). Sources that the
     table lacks get no mean, and the weights of the others are scaled up.
     """
-    named = df.where(F.col(source_col).isin(list(weights))).groupBy(source_col).count().collect()  # a row for each named source at most
-    sizes = {r[0]: r[1] for r in named}
+    counted = df.groupBy(_group(weights, source_col).alias("source")).count().where("source is not null").collect()  # a row for each name at most
+    sizes = {r["source"]: r["count"] for r in counted}
     whole = sum(weights[s] for s in sizes)
     if any(w < 0 for w in weights.values()) or sizes and whole <= 0:
         raise ValueError("weights must be 0 or more, with some above 0")
@@ -54,17 +62,18 @@ def source_means(df: DataFrame, weights: dict[str, float], source_col: str = "so
 def replicate(df: DataFrame, means: dict[str, float], id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
     """``df`` repeated by Poisson counts and globally shuffled, with ``copy_no`` (from 1) and ``mix_key``.
 
-    Rows of sources without a mean (null ones too) are left out, as their target weight is 0.
-    Repeated ids of a source get the same count; null texts and ids are rows like others; columns
-    named ``copy_no`` or ``mix_key`` are replaced. The steps of all named sources are one literal.
+    Rows of sources without a mean are left out, as their target weight is 0; with a mean for
+    OTHERS there are none. Repeated ids of a source get the same count; null texts, ids and sources
+    are values like others; columns named ``copy_no`` or ``mix_key`` are replaced; an empty table
+    stays empty.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("copy_no", "mix_key")]
     u = unit(seed, F.col(source_col), F.col(id_col))
-    count = F.lit(0)
+    group, count = _group(means, source_col), F.lit(0)
     for source, mean in means.items():
         steps = F.array(*[F.lit(x) for x in poisson_steps(mean)])
-        count = F.when(F.col(source_col) == source, F.size(F.filter(steps, lambda x: x <= u))).otherwise(count)
-    counted = df.where(F.col(source_col).isin(list(means))).select(*kept, count.alias("_n")).where("_n > 0")
+        count = F.when(F.col("_group") == source, F.size(F.filter(steps, lambda x: x <= F.col("_u")))).otherwise(count)
+    counted = df.select(*kept, group.alias("_group"), u.alias("_u")).select(*kept, count.alias("_n")).where("_n > 0")
     copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("/", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
     return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")

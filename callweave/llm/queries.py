@@ -7,27 +7,49 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import matroska, mixing, quality_rules, sharding, token_counts
+from callweave.llm import bpe, matroska, minhash, mixing, quality_mil, quality_rules, sharding, token_counts, url_filter, warc
 from callweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
-#: Target weights of the sources: the first holds a third of the rows and shall make up a tenth.
-WEIGHTS = {"src0": 10.0} | {f"src{i}": 5.0 for i in range(1, 19)}
+#: Target weights of the sources: the first may hold a third of the rows and shall make up a tenth.
+WEIGHTS = {"src0": 10.0} | {f"src{i}": 4.5 for i in range(1, 20)} | {mixing.OTHERS: 4.5}
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: Hosts that are blocked, with their subdomains, where no rule fits.
+BLOCKED_HOSTS = ["spam-farm.example.org", "casino-win.example.net"]
 
 
 def op1_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard_no", "shard")
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH coded AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM coded)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM ranked
+"""
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), WEIGHTS)
 
 
 OP4_SQL = f"""
 WITH RECURSIVE weights(source, weight) AS (VALUES {", ".join(f"('{s}', {w}::DOUBLE)" for s, w in WEIGHTS.items())}),
-sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sizes AS (SELECT CASE WHEN source IN (SELECT source FROM weights WHERE source <> '{mixing.OTHERS}') THEN source ELSE '{mixing.OTHERS}' END AS source, count(*) AS n FROM documents GROUP BY 1),
 named AS (SELECT source, weight, n FROM sizes JOIN weights USING (source)),
 means AS (SELECT source, (SELECT sum(n) FROM named) * weight / (SELECT sum(weight) FROM named) / n AS mean FROM named),
 steps(source, mean, k, term, total) AS (
@@ -38,17 +60,43 @@ listed AS (SELECT source, list(total) AS totals FROM steps GROUP BY source),
 drawn AS (
   SELECT d.*, ('0x' || substr(md5(concat_ws('/', 'mix-1', coalesce(d.source, ''), coalesce(d.doc_id::VARCHAR, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents d),
-counted AS (SELECT drawn.*, len(list_filter(totals, lambda x: x <= u)) AS times FROM drawn JOIN listed USING (source))
+counted AS (SELECT drawn.*, len(list_filter(totals, lambda x: x <= u)) AS times FROM drawn JOIN listed ON listed.source = CASE WHEN drawn.source IN (SELECT source FROM weights WHERE source <> '{mixing.OTHERS}') THEN drawn.source ELSE '{mixing.OTHERS}' END)
 SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
   md5(concat_ws('/', 'mix-1/order', coalesce(doc_id::VARCHAR, ''), copy_no::VARCHAR)) AS mix_key
 FROM (SELECT *, unnest(range(1, times + 1)) AS copy_no FROM counted WHERE times > 0)
 """
 
 
+def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = spark.createDataFrame([*RULES, *[(url_filter.HOSTS, h) for h in BLOCKED_HOSTS]], "list string, key string")
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), lists)
+
+
+OP8_SQL = f"""
+WITH rules(action, host_rule, path_rule) AS (VALUES {", ".join(f"('{a}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for a, r in RULES)}),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT page_id, max_by(host_rule || path_rule, length(host_rule) * 1000000 + length(path_rule)) AS rule, max_by(action, length(host_rule) * 1000000 + length(path_rule)) AS action
+  FROM parts JOIN rules ON (host = host_rule OR ends_with(host, '.' || host_rule)) AND starts_with(path, path_rule) GROUP BY page_id)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN action
+  WHEN {" OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)} THEN 'block' ELSE 'allow' END AS verdict
+FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(read(spark, sf_dir, "documents"))
 
@@ -60,12 +108,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_table_sharding": op1_table_sharding,
+        "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_warc_records": op3_warc_records,
         "op4_poisson_mixing": op4_poisson_mixing,
+        "op5_quality_attention": op5_quality_attention,
+        "op6_lsh_forest": op6_lsh_forest,
         "op7_quality_rules": op7_quality_rules,
+        "op8_url_cascade": op8_url_cascade,
         "op9_matroska": op9_matroska,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": OP4_SQL}
+    return {"op3_warc_records": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op8_url_cascade": OP8_SQL}
