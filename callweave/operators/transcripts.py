@@ -1,0 +1,75 @@
+"""Conversations from turns: clean every turn, join what is left, judge the whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from callweave.functions import text as T
+from callweave.functions.lexicon import DEFAULT, Lexicon
+
+
+def clean_turns(df: DataFrame, lexicon: Lexicon = DEFAULT, text_col: str = "text") -> DataFrame:
+    """``df`` with ``cleaned_text`` ('' if the turn says nothing), ``removed_parts``, ``empty_reason`` and ``turn_words``."""
+    stripped, reasons = T.strip_patterns(F.col("_norm"), lexicon.patterns)
+    masked, personal = T.mask_pii(F.col("_stripped"), lexicon.number_words)
+    out = df.withColumn("_norm", T.normalize_text(F.col(text_col)))
+    out = out.withColumns({"_stripped": stripped, "_reasons": reasons})
+    out = out.withColumns({"_masked": T.normalize_text(masked), "_personal": personal})
+    named = F.contains("_masked", F.lit("[name]")) & ~T.has_keyword(F.col("_masked"), lexicon.keywords)
+    out = out.withColumn("_text", F.when(named, "").otherwise(F.col("_masked"))).withColumn("empty_reason", T.empty_reason(F.col("_text"), lexicon))
+    parts = F.concat("_reasons", "_personal", F.when(named, F.array(F.lit("drop_pii_only_segment"))).otherwise(F.array().cast("array<string>")))
+    kept = F.when(F.col("empty_reason") == "useful", F.col("_text")).otherwise("")
+    return out.withColumns({"removed_parts": F.array_sort(F.array_distinct(parts)), "cleaned_text": kept, "turn_words": T.count_words(F.col(text_col))}).drop("_norm", "_stripped", "_reasons", "_masked", "_personal", "_text")
+
+
+def conversations(df: DataFrame, lexicon: Lexicon = DEFAULT, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """One row for each conversation: cleaned transcript, keywords, flags, review priority and readiness."""
+    turns = clean_turns(df, lexicon, text_col)
+    joined = turns.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.col("cleaned_text") != "", F.struct(order_col, "cleaned_text")))).alias("_kept"),
+        F.flatten(F.collect_list("removed_parts")).alias("_removed"),
+        F.sum("turn_words").alias("raw_words"),
+        F.count("*").alias("n_turns"),
+    )
+    whole = joined.withColumn("cleaned_transcript", T.normalize_text(F.array_join(F.transform("_kept", lambda x: x["cleaned_text"]), " ")))
+    whole = whole.withColumn("empty_reason", T.empty_reason(F.col("cleaned_transcript"), lexicon)).withColumn("is_empty", F.col("empty_reason") != "useful")
+    missing = F.lit(None)
+    flags = T.quality_flags(missing.cast("double"), missing.cast("string"), missing.cast("boolean"), F.col("_removed"), F.col("cleaned_transcript"), F.col("is_empty"), F.col("raw_words"))
+    out = whole.withColumns({"clean_words": T.count_words(F.col("cleaned_transcript")), "problem_keywords": T.keywords_in(F.col("cleaned_transcript"), lexicon.keywords), "quality_flags": flags})
+    out = out.withColumn("review_priority", T.review_priority(F.col("is_empty"), F.col("cleaned_transcript"), F.col("quality_flags")))
+    return out.withColumns({"cleaning_ratio": T.cleaning_ratio(F.col("raw_words"), F.col("clean_words")), "ready": ~F.col("is_empty") & (F.col("cleaned_transcript") != "") & (F.col("review_priority") != "high")}).drop("_kept", "_removed")
+
+
+def summary(processed: DataFrame) -> DataFrame:
+    """One row of counts over conversations."""
+    return processed.agg(
+        F.count("*").alias("total"),
+        F.count_if("is_empty").alias("empty"),
+        F.count_if(~F.col("is_empty")).alias("useful"),
+        F.count_if(F.size("quality_flags") > 0).alias("review_needed"),
+        F.count_if("ready").alias("ready"),
+        *[F.count_if(F.col("review_priority") == p).alias(f"priority_{p}") for p in ("low", "medium", "high")],
+    )
+
+
+def flag_counts(processed: DataFrame) -> DataFrame:
+    return processed.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+def keyword_windows(tokens: str, keywords: str, before: int = 7, after: int = 18, most: int = 4):
+    """Stretches of ``tokens`` around ``keywords`` (column names): longest keywords first, none overlapping an earlier one, ``most`` at most."""
+    t = F.col(tokens)
+    parts = F.transform(F.col(keywords), lambda k, i: F.struct((-F.size(F.split(k, " "))).alias("w"), i.alias("i"), F.split(k, " ").alias("p")))
+    hits = F.flatten(
+        F.transform(
+            F.array_sort(parts),
+            lambda k: F.transform(
+                F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - F.size(k["p"]), F.lit(0))), lambda i: F.slice(t, i + 1, F.size(k["p"])) == k["p"]),
+                lambda i: F.struct(F.greatest(i - before, F.lit(0)).alias("s"), F.least(i + F.size(k["p"]) + after, F.size(t)).alias("e")),
+            ),
+        )
+    )
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    taken = F.aggregate(hits, none, lambda got, h: F.when((F.size(got) < most) & ~F.exists(got, lambda g: (h["s"] < g["e"]) & (g["s"] < h["e"])), F.array_append(got, F.struct(h["s"].cast("int").alias("s"), h["e"].cast("int").alias("e")))).otherwise(got))
+    return F.transform(taken, lambda g: F.array_join(F.slice(t, g["s"] + 1, g["e"] - g["s"]), " "))

@@ -7,16 +7,274 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.functions import language, lexicon
+from callweave.functions import text as T
+from callweave.operators import clusters, transcripts
+from callweave.sources import tables
+from callweave.streaming import ingest
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A lexicon for the invented texts of the tables.
+LEXICON = lexicon.Lexicon(
+    patterns=[(r"\bof\s+the\b", "phrase_of"), (r"\bthe\s+the\b", "asr_double"), (r"\band\b", "filler_and"), (r"\bing\b", "asr_piece")],
+    keywords=["the ti", "is the", "ation", "nth", "ingth", "er the", "in"],
+    canonical={"in": "in the"},
+    strong=["is the"],
+    weak=["nth"],
+    empty_phrases=["", "the", "is", "ok", "yes"],
+    number_words=["one", "two", "three", "for"],
+    stopwords=["that", "this", "with", "from"],
+)
+DEFAULT_HINTS, SPECIAL_HINTS, LETTERS, SPECIAL = ["the", "and", "der", "les"], ["que", "los", "para"], "[a-zñáéíóúü]+", "ñáéíóú"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def joined(column) -> F.Column:
+    return F.array_join(column, "|")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    """Documents, words and problem signals by language."""
+    docs = documents(spark, sf_dir).withColumn("norm", T.normalize_text(F.col("text")))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(T.count_words(F.col("text"))).alias("n_words"), F.count_if(T.has_keyword(F.col("norm"), LEXICON.keywords)).alias("n_signals"))
+
+
+def normalize_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+
+
+def count_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.count_words(F.col("text")).cast("long").alias("n_words"))
+
+
+def pattern_strip(spark, sf_dir):
+    stripped, reasons = T.strip_patterns(T.normalize_text(F.col("text")), LEXICON.patterns)
+    return documents(spark, sf_dir).select("doc_id", stripped.alias("stripped"), joined(reasons).alias("reasons"))
+
+
+def pii_mask(spark, sf_dir):
+    masked, reasons = T.mask_pii(F.col("norm"), LEXICON.number_words)
+    return normalize_text(spark, sf_dir).select("doc_id", masked.alias("masked"), joined(F.filter(reasons, lambda r: r != "spoken_number_sequence")).alias("reasons")).where(~F.contains("masked", F.lit("[NUMBER_SEQ]")))
+
+
+def problem_keywords(spark, sf_dir):
+    return normalize_text(spark, sf_dir).select("doc_id", joined(T.keywords_in(F.col("norm"), LEXICON.keywords)).alias("keywords"))
+
+
+def keyword_counts(spark, sf_dir):
+    return normalize_text(spark, sf_dir).select(F.explode(T.keywords_in(F.col("norm"), LEXICON.keywords)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+def semantic_keywords(spark, sf_dir):
+    return normalize_text(spark, sf_dir).select("doc_id", joined(T.ranked_keywords(T.keywords_in(F.col("norm"), LEXICON.keywords), LEXICON)).alias("keywords"))
+
+
+def keyword_windows(spark, sf_dir):
+    docs = normalize_text(spark, sf_dir).select("doc_id", T.words_of(F.col("norm")).alias("tokens"), F.array(F.lit("is"), F.lit("of the")).alias("wanted"))
+    return docs.select("doc_id", joined(transcripts.keyword_windows("tokens", "wanted")).alias("windows"))
+
+
+def empty_classification(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.empty_reason(F.col("text"), LEXICON).alias("reason"))
+
+
+def text_for_clustering(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.first_text(F.lit(" "), F.nullif("source", F.lit("src0")), F.col("lang")).alias("chosen"), T.short_text(F.col("text"), 40).alias("short"))
+
+
+def conversations(spark, sf_dir):
+    out = transcripts.conversations(read(spark, sf_dir, "conversations"), LEXICON)
+    return out.withColumns({c: joined(F.col(c)) for c in ("problem_keywords", "quality_flags")})
+
+
+def conversation_summary(spark, sf_dir):
+    return transcripts.summary(transcripts.conversations(read(spark, sf_dir, "conversations"), LEXICON))
+
+
+def flag_counts(spark, sf_dir):
+    return transcripts.flag_counts(transcripts.conversations(read(spark, sf_dir, "conversations"), LEXICON))
+
+
+def language_scores(spark, sf_dir):
+    f = language.features(F.col("text"), DEFAULT_HINTS, SPECIAL_HINTS, LETTERS, SPECIAL)
+    scored = documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in f.items()])
+    f = {n: F.col(n) for n in f}
+    scored = scored.withColumns({"default_score": language.score(f, None, False), "special_score": language.score(f, None, True)})
+    chosen = language.choose(F.col("default_score"), F.col("special_score"), F.col("evidence"), ("en", "es"))
+    scored = scored.withColumns(chosen)
+    return scored.withColumn("confidence", language.confidence_of(F.col("default_score"), F.col("special_score"), F.col("code"), F.col("guardrail")))
+
+
+def detection_windows(spark, sf_dir):
+    each = read(spark, sf_dir, "events").select("event_id", F.posexplode(language.detection_windows(F.col("value"))).alias("part", "w"))
+    return each.select("event_id", F.col("part").cast("long").alias("part"), F.round("w.start", 6).alias("start"), F.round("w.length", 6).alias("length"))
+
+
+def csv_values(spark, sf_dir):
+    value = F.when(F.col("event_id") % 4 == 0, " TRUE ").when(F.col("event_id") % 4 == 1, "NaN").when(F.col("event_id") % 4 == 2, F.concat(F.col("value").cast("decimal(12,2)").cast("string"))).otherwise(F.col("event_type"))
+    return read(spark, sf_dir, "events").select("event_id", T.parse_csv_value(value).alias("parsed"), T.cluster_number(value).cast("long").alias("number"))
+
+
+def newest_events(spark, sf_dir):
+    return tables.newest(read(spark, sf_dir, "events"), "event_id", 50).select("event_id", "event_type", "value")
+
+
+def window_counts(spark, sf_dir):
+    return ingest.windowed_counts(read(spark, sf_dir, "events"))
+
+
+def embeddings(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("cluster_id"))
+
+
+def cluster_sizes(spark, sf_dir):
+    return clusters.with_sizes(embeddings(spark, sf_dir)).select("vec_id", "cluster_id", "cluster_size", "cluster_status")
+
+
+def cluster_counts(spark, sf_dir):
+    return embeddings(spark, sf_dir).agg(F.count("*").alias("total"), F.count_distinct(F.when(F.col("cluster_id") != -1, F.col("cluster_id"))).alias("clusters"), F.count_if(F.col("cluster_id") == -1).alias("noise"))
+
+
+def cluster_centroids(spark, sf_dir):
+    return clusters.centroids(embeddings(spark, sf_dir)).select("cluster_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 5).alias("mean"))
+
+
+def cluster_probability(spark, sf_dir):
+    return clusters.probabilities(embeddings(spark, sf_dir), "vec_id").select("vec_id", F.round("probability", 3).alias("probability"))
+
+
+def clustered_documents(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("cluster_id", F.substring("source", 4, 9).try_cast("int")).withColumn("probability", F.col("doc_id") % 7 / 10)
+
+
+def top_terms(spark, sf_dir):
+    return clusters.top_terms(clustered_documents(spark, sf_dir), "cluster_id", "text", "doc_id", LEXICON.stopwords)
+
+
+def cluster_report(spark, sf_dir):
+    out = clusters.report(clustered_documents(spark, sf_dir), "doc_id", "text", "lang", LEXICON.stopwords, examples=2)
+    return out.select("cluster_id", "cluster_size", "avg_probability", "languages", "example_1", "example_2")
+
+
+def pca_projection(spark, sf_dir):
+    reduced, _ = clusters.reduce_pca(embeddings(spark, sf_dir), 10)
+    return reduced.select("vec_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
+
+
+def kmeans(spark, sf_dir):
+    return clusters.kmeans(embeddings(spark, sf_dir).drop("cluster_id")).select("vec_id", "cluster_id")
+
+
+def ward(spark, sf_dir):
+    return clusters.ward(embeddings(spark, sf_dir).drop("cluster_id"), micro=60).select("vec_id", "cluster_id")
+
+
+QUERIES: list[Query] = [
+    flagship, normalize_text, count_words, pattern_strip, pii_mask, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
+    language_scores, detection_windows, csv_values, newest_events, window_counts, cluster_sizes, cluster_counts, cluster_centroids, cluster_probability, top_terms, cluster_report, pca_projection, kmeans, ward,
+]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {q.__name__: q for q in QUERIES}
+
+
+def _norm(column: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(replace(lower(coalesce({column}, '')), 'ё', 'е'), '[^a-zа-яәғқңөұүһі0-9\\s\\[\\]_@.+\\-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _words(column: str) -> str:
+    return f"len(regexp_extract_all(lower(coalesce({column}, '')), '{T.WORD}'))"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _signal(column: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{k}')" for k in LEXICON.keywords) + ")"
+
+
+def _found(column: str) -> str:
+    return f"list_sort(list_filter({_list(LEXICON.keywords)}, lambda k: contains({column}, k)))"
+
+
+def _strip() -> str:
+    text, steps = "n0", []
+    for i, (pattern, _) in enumerate(LEXICON.patterns):
+        steps.append(f"s{i + 1} AS (SELECT *, regexp_replace({text}, '{pattern}', ' ', 'g') AS n{i + 1}, regexp_matches({text}, '{pattern}') AS r{i + 1} FROM s{i})")
+        text = f"n{i + 1}"
+    reasons = ", ".join(f"CASE WHEN r{i + 1} THEN '{r}' END" for i, (_, r) in enumerate(LEXICON.patterns))
+    return f"WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)} SELECT doc_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS stripped, array_to_string(list_sort(list_filter([{reasons}], lambda x: x IS NOT NULL)), '|') AS reasons FROM s{len(steps)}"
+
+
+def _mask() -> str:
+    text, steps = "n0", []
+    for i, (pattern, mark, _) in enumerate(T.PII[:4]):
+        steps.append(f"s{i + 1} AS (SELECT *, regexp_replace({text}, '{pattern}', '{mark}', 'g') AS n{i + 1}, regexp_matches({text}, '{pattern}') AS r{i + 1} FROM s{i})")
+        text = f"n{i + 1}"
+    reasons = ", ".join(f"CASE WHEN r{i + 1} THEN '{r}' END" for i, (_, _, r) in enumerate(T.PII[:4]))
+    return f"WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)} SELECT doc_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS masked, array_to_string(list_filter([{reasons}], lambda x: x IS NOT NULL), '|') AS reasons FROM s4 WHERE NOT regexp_matches({text}, '(^|\\s)({'|'.join(LEXICON.number_words)})(\\s+({'|'.join(LEXICON.number_words)})){{3,}}(\\s|$)')"
+
+
+def _reason(norm: str) -> str:
+    idle = f"len(list_filter(string_split({norm}, ' '), lambda w: NOT (list_contains({_list(LEXICON.empty_phrases + LEXICON.number_words)}, w) OR regexp_full_match(w, '[0-9]+')))) = 0"
+    return f"CASE WHEN {norm} = '' THEN 'empty_text' WHEN list_contains({_list(LEXICON.empty_phrases)}, {norm}) THEN 'empty_phrase' WHEN {idle} AND NOT {_signal(norm)} THEN 'only_empty_or_number_words' WHEN {_words(norm)} <= 3 AND NOT {_signal(norm)} THEN 'too_short_without_problem_signal' WHEN {_words(norm)} <= 5 AND NOT {_signal(norm)} THEN 'short_noninformative' ELSE 'useful' END"
+
+
+_RANK = ", ".join(f"('{k}', '{LEXICON.canonical.get(k, k)}')" for k in LEXICON.keywords)
+_DOCS = "(SELECT *, try_cast(substr(source, 4, 9) AS INTEGER) AS cluster_id, (doc_id % 7) / 10 AS probability FROM documents)"
+_EMB = "(SELECT vec_id, embedding AS vec, CASE WHEN label = 9 THEN -1 ELSE label END AS cluster_id FROM embeddings)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "flagship": f"SELECT lang, count(*) AS n_docs, sum({_words('text')})::BIGINT AS n_words, count(*) FILTER ({_signal(_norm('text'))}) AS n_signals FROM documents GROUP BY lang",
+        "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
+        "count_words": f"SELECT doc_id, {_words('text')}::BIGINT AS n_words FROM documents",
+        "pattern_strip": _strip(),
+        "pii_mask": _mask(),
+        "problem_keywords": f"WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents) SELECT doc_id, array_to_string({_found('norm')}, '|') AS keywords FROM d",
+        "keyword_counts": f"WITH d AS (SELECT {_norm('text')} AS norm FROM documents) SELECT keyword, count(*) AS n FROM (SELECT unnest({_found('norm')}) AS keyword FROM d) GROUP BY keyword",
+        "semantic_keywords": f"""WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents), k(word, named) AS (VALUES {_RANK}),
+hits AS (SELECT DISTINCT doc_id, named, CASE WHEN named IN ({", ".join(f"'{s}'" for s in LEXICON.strong)}) THEN 100 ELSE 0 END + CASE WHEN len(string_split(named, ' ')) >= 3 THEN 40 WHEN len(string_split(named, ' ')) = 2 THEN 20 ELSE 0 END + least(length(named), 30) AS score
+  FROM d JOIN k ON contains(norm, word) WHERE length(named) >= 3 AND named NOT IN ({", ".join(f"'{s}'" for s in LEXICON.weak)})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, named) AS r FROM hits)
+SELECT doc_id, coalesce(string_agg(named, '|' ORDER BY r) FILTER (r <= 6), '') AS keywords FROM d LEFT JOIN ranked USING (doc_id) GROUP BY doc_id""",
+        "empty_classification": f"WITH c AS (SELECT conv_id, turn, {_norm('text')} AS norm FROM conversations) SELECT conv_id, turn, {_reason('norm')} AS reason FROM c",
+        "text_for_clustering": "SELECT doc_id, coalesce(nullif(trim(nullif(source, 'src0')), ''), nullif(trim(lang), ''), '') AS chosen, CASE WHEN length(trim(text, ' ')) > 40 THEN rtrim(substr(trim(text, ' '), 1, 40), ' ') || '...' ELSE coalesce(trim(text, ' '), '') END AS short FROM documents",
+        "language_scores": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{LETTERS}') AS tok, length(regexp_replace(lower(coalesce(text, '')), '[^{SPECIAL}]', '', 'g')) AS special_chars FROM documents),
+f AS (SELECT doc_id, len(tok) AS word_count, special_chars, len(list_intersect(list_distinct(tok), {_list(DEFAULT_HINTS)})) AS default_hits, len(list_intersect(list_distinct(tok), {_list(SPECIAL_HINTS)})) AS special_hits FROM t),
+e AS (SELECT *, (least(special_chars, 6) + 2 * special_hits)::DOUBLE AS evidence, least(ln(1 + word_count), ln(1 + 22)) * 0.72::DOUBLE AS base FROM f),
+s AS (SELECT *, CASE WHEN word_count = 0 THEN 0.0 ELSE round(greatest(0, base + 0.65::DOUBLE * default_hits + CASE WHEN special_chars = 0 THEN 0.45::DOUBLE ELSE 0 END - least(0.12::DOUBLE * special_chars, 0.8::DOUBLE)), 4) END AS default_score,
+  CASE WHEN word_count = 0 THEN 0.0 ELSE round(greatest(0, base + 0.38::DOUBLE * least(special_chars, 6) + 0.85::DOUBLE * special_hits - CASE WHEN evidence = 0 THEN 1.35::DOUBLE WHEN evidence < 2 THEN 0.55::DOUBLE ELSE 0 END), 4) END AS special_score FROM e),
+c AS (SELECT *, CASE WHEN default_score = 0 AND special_score = 0 THEN 'unknown' WHEN default_score >= special_score THEN 'en' ELSE 'es' END AS raw,
+  special_score > default_score AND evidence < 2 AND (special_score < 1.35::DOUBLE * default_score OR special_score - default_score < 0.55::DOUBLE) AS guardrail FROM s),
+m AS (SELECT *, CASE WHEN guardrail THEN 'en' ELSE raw END AS code, CASE WHEN greatest(default_score, special_score) > 0 THEN (greatest(default_score, special_score) - least(default_score, special_score)) / greatest(default_score, special_score) ELSE 0 END AS margin FROM c)
+SELECT doc_id, word_count, special_chars, default_hits, special_hits, evidence, default_score, special_score, raw, code, guardrail,
+  CASE WHEN code = 'unknown' THEN 'low' WHEN guardrail THEN CASE WHEN margin >= 0.08::DOUBLE THEN 'medium' ELSE 'low' END WHEN margin >= 0.22::DOUBLE THEN 'high' WHEN margin >= 0.10::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM m""",
+        "detection_windows": "WITH w AS (SELECT event_id, value, least(greatest(value * 0.08::DOUBLE, 2.5), 5.0, value) AS length FROM events) SELECT event_id, part::BIGINT AS part, round(greatest(0, least(value * [0.25::DOUBLE, 0.5, 0.75][part + 1], value - length)), 6) AS start, round(length, 6) AS length FROM w, range(0, 3) t(part)",
+        "csv_values": "WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'NaN' WHEN 2 THEN value::DECIMAL(12,2)::VARCHAR ELSE event_type END AS v FROM events) SELECT event_id, CASE WHEN lower(trim(v)) IN ('true', 'false') THEN lower(trim(v)) WHEN lower(trim(v)) IN ('nan', 'none', 'null') THEN '' ELSE trim(v) END AS parsed, CASE WHEN event_id % 4 = 2 THEN trunc(v::DOUBLE)::BIGINT WHEN event_id % 4 = 1 THEN -1 ELSE -1 END AS number FROM v",
+        "newest_events": "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 50",
+        "window_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "cluster_sizes": f"SELECT vec_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, CASE WHEN cluster_id = -1 THEN 'noise' ELSE 'clustered' END AS cluster_status FROM {_EMB}",
+        "cluster_counts": f"SELECT count(*) AS total, count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS clusters, count(*) FILTER (cluster_id = -1) AS noise FROM {_EMB}",
+        "cluster_centroids": f"SELECT cluster_id, dim, round(avg(x), 5) AS mean FROM (SELECT cluster_id, unnest(range(0, len(vec))) AS dim, unnest(vec)::DOUBLE AS x FROM {_EMB}) GROUP BY ALL",
+        "cluster_probability": f"""WITH e AS (SELECT vec_id, cluster_id, unnest(range(0, len(vec))) AS dim, unnest(vec)::DOUBLE AS x FROM {_EMB}), c AS (SELECT cluster_id, dim, avg(x) AS m FROM e GROUP BY ALL),
+p AS (SELECT vec_id, cluster_id, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS cos FROM e JOIN c USING (cluster_id, dim) GROUP BY ALL),
+b AS (SELECT *, min(cos) OVER w AS low, max(cos) OVER w AS high, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY cluster_id))
+SELECT vec_id, round(round_even(CASE WHEN cluster_id = -1 THEN 0 WHEN n = 1 THEN 1 ELSE 0.5 + 0.5 * CASE WHEN high > low THEN (cos - low) / (high - low) ELSE 1 END END, 4), 3) AS probability FROM b""",
+        "top_terms": f"""WITH t AS (SELECT cluster_id, doc_id, unnest(range(0, len(tok))) AS pos, unnest(tok) AS term FROM (SELECT cluster_id, doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN}'), lambda w: length(w) >= 4 AND NOT list_contains({_list(LEXICON.stopwords)}, w)) AS tok FROM {_DOCS})),
+c AS (SELECT cluster_id, term, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS rank FROM c)
+SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS top_terms FROM r WHERE rank <= 12 GROUP BY cluster_id""",
+        "cluster_report": f"""WITH d AS {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY probability DESC, doc_id) AS k, CASE WHEN length(trim(text, ' ')) > 320 THEN rtrim(substr(trim(text, ' '), 1, 320), ' ') || '...' ELSE coalesce(trim(text, ' '), '') END AS short FROM d)
+SELECT cluster_id, count(*) AS cluster_size, round(avg(probability), 4) AS avg_probability, array_to_string(list_sort(list_distinct(list(trim(lang)))), ', ') AS languages, coalesce(max(short) FILTER (k = 1), '') AS example_1, coalesce(max(short) FILTER (k = 2), '') AS example_2 FROM r GROUP BY cluster_id""",
+    }

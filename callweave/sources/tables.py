@@ -1,0 +1,36 @@
+"""Readers and writers with the schemas that the transcripts and results have."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+TRANSCRIPT = """file_name string, file_path string, error string, text string,
+language struct<code: string, confidence: string>, selected_language string,
+segments array<struct<start: double, end: double, text: string>>,
+words array<struct<word: string, start: double, end: double, conf: double>>,
+word_count int, avg_confidence double"""
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Transcripts of JSON documents ``{"results": [...]}``, one row each, all fields nullable."""
+    item = T.StructType.fromDDL(TRANSCRIPT)
+    whole = spark.read.schema(T.StructType([T.StructField("results", T.ArrayType(item))]))
+    return whole.option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+
+
+def segments(df: DataFrame, id_col: str = "file_name") -> DataFrame:
+    """One row for each segment: id, ``turn`` (its place) and ``text``."""
+    return df.select(id_col, F.posexplode("segments").alias("turn", "s")).select(id_col, "turn", F.col("s.text").alias("text"))
+
+
+def newest(df: DataFrame, order_col: str, n: int) -> DataFrame:
+    """The ``n`` rows of the largest ``order_col``, newest first."""
+    return df.orderBy(F.desc(order_col)).limit(n)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One folder of CSV files with headers; arrays are joined by ``, ``."""
+    flat = [F.array_join(F.col(c).cast("array<string>"), ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
+    df.select(*flat).write.option("header", True).csv(path)

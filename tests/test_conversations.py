@@ -1,0 +1,121 @@
+"""Functions and operators on small Russian, Kazakh and English examples."""
+
+import json
+import math
+from itertools import pairwise
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from callweave.functions import language
+from callweave.functions import text as T
+from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
+from callweave.operators import clusters, transcripts
+from callweave.sources import tables
+from callweave.streaming import ingest
+
+
+def one(spark, text, *columns):
+    return tuple(spark.createDataFrame([(text,)], "t string").select(*columns).first())
+
+
+def test_normalizing_and_counting(spark):
+    t = F.col("t")
+    assert one(spark, "  Счёт №5 (ОТКРЫТ)!\n e-mail a@b.kz ", T.normalize_text(t)) == ("счет 5 открыт e-mail a@b.kz",)
+    assert one(spark, None, T.normalize_text(t), T.count_words(t), T.clean_string(t)) == ("", 0, "")
+    assert one(spark, "счёт один-два", T.count_words(t)) == (4,)
+    assert one(spark, "сегодня карта есть Қайырлы", T.report_tokens(t, DEFAULT.stopwords)) == (["сегодня", "карта", "қайырлы"],)
+    assert [one(spark, v, T.cluster_number(F.col("t")))[0] for v in ("3.9", "-2.5", "x", None, "inf")] == [3, -2, -1, -1, -1]
+
+
+def test_patterns_apply_in_order(spark):
+    text, reasons = T.strip_patterns(T.normalize_text(F.col("t")), DEFAULT.patterns)
+    assert one(spark, "Здравствуйте, звонок записывается. Карта моя. Спасибо!", text, reasons) == (". карта моя.", ["closing_ru", "greeting_ru", "recording_notice_ru"])
+
+
+def test_personal_data_is_masked_in_order(spark):
+    text, reasons = T.mask_pii(F.col("t"), DEFAULT.number_words)
+    assert one(spark, "иин 123456789012 тел +7 701 123 45 67 почта a.b@c.kz", text, reasons) == ("иин [IIN] тел [PHONE] почта [EMAIL]", ["iin_digits", "phone_digits", "email"])
+    assert one(spark, "код один два три четыре пять всё", text, reasons) == ("код [NUMBER_SEQ] всё", ["spoken_number_sequence"])
+    assert one(spark, "это иванова", text, reasons) == ("это [NAME]", ["single_surname_ru"])
+    assert one(spark, "один два три", text, reasons) == ("один два три", [])
+
+
+def test_reasons_of_empty_turns(spark):
+    reason = T.empty_reason(F.col("t"), DEFAULT)
+    found = [one(spark, t, reason)[0] for t in (None, "Да", "да один 12", "просто так", "мы тут были вчера", "карта не работает", "мы были там вчера вечером дома")]
+    assert found == ["empty_text", "empty_phrase", "only_empty_or_number_words", "too_short_without_problem_signal", "short_noninformative", "useful", "useful"]
+
+
+def test_language_scores(spark):
+    f = language.features(F.col("t"), ["да", "карта"], ["сәлем", "қазір"])
+    ru, kk = language.score(f, None, False), language.score(f, None, True)
+    base = min(math.log1p(3), math.log1p(22)) * 0.72
+    assert one(spark, "да моя карта", ru, kk) == (round(base + 0.65 * 2 + 0.45, 4), 0.0)
+    score = one(spark, "сәлем қазір барамын", kk)[0]
+    assert score == pytest.approx(base + 0.38 * 3 + 0.85 * 2, abs=1e-4)
+    assert one(spark, "", ru, kk) == (0.0, 0.0)
+
+
+def test_conversation_is_cleaned_and_judged(spark):
+    turns = [(1, 2, "карта не работает, мой номер 123456789012 и я не могу войти"), (1, 1, "Здравствуйте"), (2, 1, "да"), (2, 2, None)]
+    got = {r["conv_id"]: r for r in transcripts.conversations(spark.createDataFrame(turns, "conv_id long, turn long, text string")).collect()}
+    assert got[1]["cleaned_transcript"] == "карта не работает мой номер [iin] и я не могу войти"
+    assert "pii_removed" in got[1]["quality_flags"] and got[1]["review_priority"] == "medium" and got[1]["ready"]
+    assert got[2]["is_empty"] and got[2]["review_priority"] == "high" and not got[2]["ready"]
+    totals = transcripts.summary(spark.createDataFrame(turns, "conv_id long, turn long, text string").transform(transcripts.conversations)).first()
+    assert (totals["total"], totals["empty"], totals["priority_high"]) == (2, 1, 1)
+
+
+def test_windows_do_not_overlap(spark):
+    tokens = [f"w{i}" if i % 9 else "hit" for i in range(100)]
+    df = spark.createDataFrame([(tokens, ["hit"])], "tokens array<string>, wanted array<string>")
+    found = df.select(transcripts.keyword_windows("tokens", "wanted").alias("w")).first()["w"]
+    spans = [(int(w.split()[1][1:]) - 1, len(w.split())) for w in found]
+    assert len(found) == 4 and all(a + n <= b for (a, n), (b, _) in pairwise(spans))
+
+
+def test_probabilities_and_reports(spark):
+    rows = [(i, [math.cos(i / 9), math.sin(i / 9)], i % 2 if i < 9 else -1, "text of row", " ru" if i % 2 else "kk") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>, cluster_id int, text string, lang string")
+    scored = clusters.probabilities(df, "id")
+    for c in (0, 1):
+        own = np.array([r[1] for r in rows if r[2] == c], np.float32).astype(float)
+        mean = own.mean(0)
+        cos = own @ mean / np.linalg.norm(own, axis=1) / np.linalg.norm(mean)
+        want = 0.5 + 0.5 * (cos - cos.min()) / (cos.max() - cos.min())
+        got = [r["probability"] for r in scored.where(F.col("cluster_id") == c).orderBy("id").collect()]
+        assert np.allclose(got, want, atol=1e-4)
+    assert scored.where("cluster_id = -1").first()["probability"] == 0
+    report = {r["cluster_id"]: r for r in clusters.report(scored, "id", "text", "lang", []).collect()}
+    assert report[1]["languages"] == "ru" and report[0]["cluster_size"] == 5 and report[-1]["cluster_status"] == "noise" and report[0]["top_terms"] == "text"
+
+
+def test_clustering_finds_blobs(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, (np.eye(3)[i % 3] * 9 + rng.normal(0, 0.3, 3)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    for out in (clusters.kmeans(df, 3), clusters.ward(df, 3, micro=20)):
+        assert sorted(r["n"] for r in out.groupBy("cluster_id").agg(F.count_distinct((F.col("id") % 3)).alias("n")).collect()) == [1, 1, 1]
+    reduced, explained = clusters.reduce_pca(df, 2)
+    x = np.array([r[1] for r in rows])
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert explained == pytest.approx(values[:2].sum() / values.sum(), abs=1e-6)
+    assert np.var(np.array([r["reduced"] for r in reduced.collect()]), axis=0, ddof=1) == pytest.approx(values[:2], rel=1e-6)
+
+
+def test_sources_and_streams(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"results": [{"file_name": "a", "segments": [{"start": 0, "end": 1, "text": "карта не работает"}, {"text": "да"}]}, {"file_name": "b", "error": "x"}]}))
+    read = tables.read_transcripts(spark, str(tmp_path / "t.json"))
+    turns = tables.segments(read)
+    assert read.count() == 2 and [tuple(r) for r in turns.orderBy("turn").collect()] == [("a", 0, "карта не работает"), ("a", 1, "да")]
+    turns.write.parquet(str(tmp_path / "turns"))
+    stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns"))
+    ingest.append_cleaned(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert {r["cleaned_text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"карта не работает", ""}
+    tables.write_csv(turns.withColumn("x", F.array(F.lit(1), F.lit(2))), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["x"] == "1, 2"
+    (tmp_path / "lex.json").write_text(json.dumps({"keywords": ["abc"], "patterns": [["x", "y"]]}))
+    assert read_lexicon(spark, str(tmp_path / "lex.json")) == Lexicon(keywords=["abc"], patterns=[("x", "y")])
+    assert tables.newest(turns, "turn", 1).first()["turn"] == 1
