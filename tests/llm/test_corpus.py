@@ -219,8 +219,10 @@ def test_near_duplicates_of_odd_rows(odd, empty, spark):
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(600)] + [(1000 + i, 1000) for i in range(1, 50)] + [(5, 5), (7, 8)]
     random.Random(3).shuffle(edges)
-    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
-    assert got == {i: 0 for i in range(601)} | {1000 + i: 1000 for i in range(50)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for one_task in (0, 10_000):
+        got = {r["node"]: r["label"] for r in components.components(df, one_task).collect()}
+        assert got == {i: 0 for i in range(601)} | {1000 + i: 1000 for i in range(50)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
