@@ -69,7 +69,7 @@ FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM step) WHERE rou
 """
 
 DECODE = """
-SELECT doc, unhex(string_agg(piece, '' ORDER BY pos)) AS bytes
+SELECT doc, unhex(array_to_string(list(piece ORDER BY pos), '')) AS bytes
 FROM (SELECT doc, pos, piece FROM tokens JOIN vocabulary USING (id)) GROUP BY doc
 """
 
@@ -166,12 +166,12 @@ class Codec:
         if len(known) > self.keep:
             known.clear()
         split = [t.split(" ") for t in texts]
-        unsafe = {p for pieces in split for p in pieces if p not in known and (not p or p[0].isspace() or p[-1].isspace())}
+        unsafe = {p for p in set().union(*split) - known.keys() if not p or p[0].isspace() or p[-1].isspace()}
         if unsafe:
             for i, pieces in enumerate(split):
                 if not unsafe.isdisjoint(pieces):
                     split[i] = BOUNDARY.split(texts[i])
-        cut = {p: self.words_of(" " + p) for p in {p for pieces in split for p in pieces[1:] if p not in known}}
+        cut = {p: self.words_of(" " + p) for p in set().union(*[pieces[1:] for pieces in split]) - known.keys()}
         first = [self.words_of(pieces[0]) for pieces in split]
         ids = self.word_ids({w for words in cut.values() for w in words} | {w for words in first for w in words}).__getitem__
         known.update((p, b"".join(map(ids, words))) for p, words in cut.items())
