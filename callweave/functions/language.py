@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callweave.functions.text import let
+
 # Fixed values.
 LETTERS, SPECIAL = r"[а-яёәғқңөұүһі]+", "әғқңөұүһі"
 DEFAULT_CONFIDENCE, FULL_WORDS = 0.72, 22
@@ -58,3 +60,34 @@ def detection_windows(seconds: Column) -> Column:
     """Starts and length of the stretches of audio to listen to: 8 % of it, 2.5 to 5 seconds, at 25, 50 and 75 %."""
     size = F.least(F.least(F.greatest(seconds * 0.08, F.lit(2.5)), F.lit(5.0)), seconds)
     return F.transform(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), lambda at: F.struct(F.greatest(F.lit(0.0), F.least(seconds * at, seconds - size)).alias("start"), size.alias("length")))
+
+
+def needs_recheck(code: Column, raw: Column, evidence: Column, confidence: Column, special: str = "kk") -> Column:
+    """Whether a call for the special language stands on too little to be taken from a first, short look."""
+    return ((code == special) | (raw == special)) & ((evidence < STRONG_EVIDENCE) | confidence.isin("low", "medium"))
+
+
+def detect(default: Column, special: Column, hints: tuple[list[str], list[str]], confidences: tuple[Column | None, Column | None] = (None, None), names: tuple[str, str] = ("ru", "kk")) -> Column:
+    """A struct of the language told by two recognisers' texts of one recording: scores, ``code``, ``raw``, ``guardrail``, ``confidence``, ``recheck``.
+
+    Each text is scored for its own language; the evidence is that of the special one. Where nothing
+    was recognised the code is ``unknown``; ``or_default`` makes that the default language.
+    """
+    f, g = features(default, *hints), features(special, *hints)
+    scores = F.struct(score(f, confidences[0], False).alias("default_score"), score(g, confidences[1], True).alias("special_score"), g["evidence"].alias("evidence"))
+
+    def chosen(s: Column) -> Column:
+        c = choose(s["default_score"], s["special_score"], s["evidence"], names)
+        fields = [s[n].alias(n) for n in ("default_score", "special_score", "evidence")]
+        return F.struct(*fields, *[c[n].alias(n) for n in ("code", "raw", "guardrail")])
+
+    def judged(s: Column) -> Column:
+        sure = confidence_of(s["default_score"], s["special_score"], s["code"], s["guardrail"])
+        fields = [s[n].alias(n) for n in ("default_score", "special_score", "evidence", "code", "raw", "guardrail")]
+        return F.struct(*fields, sure.alias("confidence"), needs_recheck(s["code"], s["raw"], s["evidence"], sure, names[1]).alias("recheck"))
+
+    return let(let(scores, chosen), judged)
+
+
+def or_default(code: Column, name: str = "ru") -> Column:
+    return F.when(code == "unknown", name).otherwise(code)

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callweave.functions.lexicon import plain
+
 # The letters that survive normalising, and those that make words.
 KEPT = r"[^a-zа-яәғқңөұүһі0-9\s\[\]_@.+\-]"
 WORD = r"[a-zа-яәғқңөұүһі0-9\[\]_]+"
 TOKEN = r"[a-zа-яёәғқңөұүһі0-9_]+"
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def texts(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -117,12 +128,13 @@ def mask_pii(text: Column, number_words: list[str]) -> tuple[Column, Column]:
 
 def has_keyword(normalized: Column, keywords: list[str]) -> Column:
     """Whether any keyword occurs in the text, within words too."""
-    return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(normalized, k))
+    return F.exists(texts([plain(k) for k in keywords]), lambda k: F.contains(normalized, k))
 
 
 def keywords_in(normalized: Column, keywords: list[str]) -> Column:
-    """The keywords that occur, sorted and distinct."""
-    return F.array_sort(F.array_distinct(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(normalized, k))))
+    """The keywords that occur, as they are listed, sorted and distinct."""
+    pairs = F.array(*[F.struct(F.lit(plain(k)).alias("plain"), F.lit(k).alias("listed")) for k in keywords])
+    return F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda k: F.contains(normalized, k["plain"])), lambda k: k["listed"])))
 
 
 def empty_reason(text: Column, lexicon) -> Column:
@@ -143,19 +155,34 @@ def empty_reason(text: Column, lexicon) -> Column:
 def ranked_keywords(found: Column, lexicon, most: int = 6) -> Column:
     """Up to ``most`` telling keywords, best first.
 
-    A strong keyword counts 100, three words 40 and two 20, and each character 1 up to 30; weak ones
-    and those of fewer than three characters are dropped.
+    A strong keyword counts 100, three words 40 and two 20, a marker of trouble 30, and each
+    character 1 up to 30; generic and weak ones and those of fewer than three characters are dropped.
     """
     canonical = F.create_map(*[F.lit(x) for kv in lexicon.canonical.items() for x in kv]) if lexicon.canonical else None
-    named = F.transform(found, lambda k: F.coalesce(F.try_element_at(canonical, k), k)) if canonical is not None else found
-    told = F.filter(named, lambda k: (F.length(k) >= 3) & ~k.isin(lexicon.weak))
+    named = F.transform(found, lambda k: normalize_text(k))
+    named = F.transform(named, lambda k: F.coalesce(F.try_element_at(canonical, k), k)) if canonical is not None else named
+    told = F.filter(named, lambda k: (F.length(k) >= 3) & ~k.isin([*lexicon.weak, *lexicon.generic]))
     score = lambda k: (
-        F.when(k.isin(lexicon.strong), 100).otherwise(0) + F.when(F.size(F.split(k, " ")) >= 3, 40).when(F.size(F.split(k, " ")) == 2, 20).otherwise(0) + F.least(F.length(k), F.lit(30))
+        F.when(k.isin(lexicon.strong), 100).otherwise(0)
+        + F.when(F.size(F.split(k, " ")) >= 3, 40).when(F.size(F.split(k, " ")) == 2, 20).otherwise(0)
+        + F.when(F.exists(texts(lexicon.markers), lambda m: F.contains(k, m)), 30).otherwise(0)
+        + F.least(F.length(k), F.lit(30))
     )
     ranked = F.array_sort(F.transform(told, lambda k: F.struct((-score(k)).alias("s"), k.alias("k"))))
     return F.slice(F.array_distinct(F.transform(ranked, lambda x: x["k"])), 1, most)
 
 
+def remove_noise(text: Column, lexicon) -> Column:
+    """The normalised text without noise patterns and generic phrases, the longest first."""
+    out = normalize_text(text)
+    for pattern in lexicon.noise:
+        out = F.regexp_replace(out, f"(?iuU){pattern}", " ")
+    phrases = sorted({plain(g) for g in lexicon.generic}, key=lambda g: (-len(g), g))
+    if phrases:
+        out = F.regexp_replace(out, rf"(?iuU)\b(?:{'|'.join(phrases)})\b", " ")
+    return collapse(out)
+
+
 def quality_flags(average_confidence: Column, language_confidence: Column, fallback: Column, reasons: Column, cleaned: Column, empty: Column, raw_words: Column) -> Column:
     """Sorted flags of a cleaned conversation; ``reasons`` are all that were stripped or masked."""
     words = count_words(cleaned)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions import records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon
 
@@ -57,10 +58,11 @@ def flag_counts(processed: DataFrame) -> DataFrame:
     return processed.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-def keyword_windows(tokens: str, keywords: str, before: int = 7, after: int = 18, most: int = 4):
-    """Stretches of ``tokens`` around ``keywords`` (column names): longest keywords first, none overlapping an earlier one, ``most`` at most."""
-    t = F.col(tokens)
-    parts = F.transform(F.col(keywords), lambda k, i: F.struct((-F.size(F.split(k, " "))).alias("w"), i.alias("i"), F.split(k, " ").alias("p")))
+def keyword_windows(tokens: Column | str, keywords: Column | str, before: int = 7, after: int = 18, most: int = 4) -> Column:
+    """Stretches of ``tokens`` around ``keywords``: longest keywords first, none overlapping an earlier one, ``most`` at most."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    wanted = F.col(keywords) if isinstance(keywords, str) else keywords
+    parts = F.transform(wanted, lambda k, i: F.struct((-F.size(F.split(k, " "))).alias("w"), i.alias("i"), F.split(k, " ").alias("p")))
     hits = F.flatten(
         F.transform(
             F.array_sort(parts),
@@ -73,3 +75,129 @@ def keyword_windows(tokens: str, keywords: str, before: int = 7, after: int = 18
     none = F.array().cast("array<struct<s:int,e:int>>")
     taken = F.aggregate(hits, none, lambda got, h: F.when((F.size(got) < most) & ~F.exists(got, lambda g: (h["s"] < g["e"]) & (g["s"] < h["e"])), F.array_append(got, F.struct(h["s"].cast("int").alias("s"), h["e"].cast("int").alias("e")))).otherwise(got))
     return F.transform(taken, lambda g: F.array_join(F.slice(t, g["s"] + 1, g["e"] - g["s"]), " "))
+
+
+def clean_text(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """A struct of one piece of speech: ``text`` ('' if it says nothing), ``removed`` (sorted), ``reason`` and ``words``."""
+
+    def judged(c: Column) -> Column:
+        named = F.contains(c["text"], F.lit("[name]")) & ~T.has_keyword(c["text"], lexicon.keywords)
+        left = F.struct(F.when(named, "").otherwise(c["text"]).alias("text"), F.when(named, F.array_append(c["removed"], F.lit("drop_pii_only_segment"))).otherwise(c["removed"]).alias("removed"))
+        with_reason = lambda x: F.struct(x["text"].alias("text"), x["removed"].alias("removed"), T.empty_reason(x["text"], lexicon).alias("reason"))
+        done = lambda x: F.struct(
+            F.when(x["reason"] == "useful", x["text"]).otherwise("").alias("text"),
+            F.array_sort(F.array_distinct(x["removed"])).alias("removed"),
+            x["reason"].alias("reason"),
+            F.when(x["reason"] == "useful", T.count_words(x["text"])).otherwise(0).alias("words"),
+        )
+        return T.let(T.let(left, with_reason), done)
+
+    def masked(s: Column) -> Column:
+        text, reasons = T.mask_pii(s["text"], lexicon.number_words)
+        return F.struct(T.normalize_text(text).alias("text"), F.concat(s["removed"], reasons).alias("removed"))
+
+    def stripped(n: Column) -> Column:
+        text, reasons = T.strip_patterns(n, lexicon.patterns)
+        return F.struct(text.alias("text"), reasons.alias("removed"))
+
+    return T.let(T.let(T.let(T.normalize_text(text), stripped), masked), judged)
+
+
+def semantic_text(cleaned: Column, keywords: Column, kept: Column, lexicon: Lexicon = DEFAULT, parts: int = 4, words: int = 55) -> Column:
+    """What a conversation is about, in ``words`` words: its best keywords, then what was said around them.
+
+    ``kept`` are the useful pieces in order: they are read until ``parts`` stretches are found. Without
+    pieces, or where none has a keyword, the whole ``cleaned`` text is used. '' gives ''.
+    """
+    around = lambda text, k: T.let(T.words_of(text), lambda t: keyword_windows(t, k))
+    none = F.array().cast("array<string>")
+
+    def more(got: Column, piece: Column, k: Column) -> Column:
+        def found(s: Column) -> Column:
+            hit = F.exists(k, lambda x: F.contains(s, x))
+            return F.when(hit, T.let(around(s, k), lambda w: F.when(F.size(w) > 0, F.concat(got, w)).otherwise(F.array_append(got, s)))).otherwise(got)
+
+        return F.when(F.size(got) >= parts, got).otherwise(T.let(T.remove_noise(piece, lexicon), found))
+
+    def told(x: Column) -> Column:
+        k, whole = x["k"], x["whole"]
+        of_pieces = F.when(F.size(k) > 0, F.aggregate(F.coalesce(kept, none), none, lambda got, piece: more(got, piece, k))).otherwise(none)
+        found = T.let(of_pieces, lambda p: F.when((F.size(p) == 0) & (F.size(k) > 0), around(whole, k)).otherwise(p))
+        found = T.let(found, lambda p: F.when(F.size(p) == 0, F.array(whole)).otherwise(p))
+        distinct = F.array_distinct(F.filter(F.transform(found, lambda p: T.normalize_text(p)), lambda p: p != ""))
+        body = T.trim_words(T.remove_noise(F.array_join(distinct, " "), lexicon), words)
+        text = F.array_join(F.filter(F.array_append(k, body), lambda p: p != ""), " ")
+        return F.when(whole == "", "").otherwise(T.trim_words(T.remove_noise(text, lexicon), words))
+
+    return T.let(F.struct(T.ranked_keywords(keywords, lexicon).alias("k"), T.remove_noise(cleaned, lexicon).alias("whole")), told)
+
+
+def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Transcripts as ``tables.read_transcripts`` gives them, cleaned and judged, one row each; nothing is shuffled.
+
+    Pieces are cleaned one by one and joined in order; a transcript without pieces is cleaned whole,
+    and what was removed of it isn't listed. Rows with ``error`` have status ``error``, empty texts,
+    the flag ``transcription_error`` and high priority. Null and empty texts are empty conversations.
+    """
+    failed = F.col("error").isNotNull()
+    pieces = F.transform("segments", lambda s, i: F.struct(i.alias("index"), s["text"].alias("raw_text"), clean_text(s["text"], lexicon).alias("c")))
+    flat = lambda p: F.struct(p["index"].alias("index"), p["raw_text"].alias("raw_text"), p["c"]["text"].alias("cleaned_text"), p["c"]["removed"].alias("removed_parts"), p["c"]["reason"].alias("empty_reason"))
+    some = F.coalesce(F.size("_pieces"), F.lit(0)) > 0
+    out = items.select("*", pieces.alias("_pieces"))
+    out = out.withColumns(
+        {
+            "segments_cleaned": F.coalesce(F.transform(F.filter("_pieces", lambda p: p["c"]["reason"] == "useful"), flat), F.array()),
+            "segments_removed": F.coalesce(F.transform(F.filter("_pieces", lambda p: p["c"]["reason"] != "useful"), flat), F.array()),
+            "_whole": F.when(~some, clean_text(F.col("text"), lexicon)["text"]),
+            "_removed": F.coalesce(F.flatten(F.transform("_pieces", lambda p: p["c"]["removed"])), F.array().cast("array<string>")),
+        }
+    )
+    out = out.withColumn("_cleaned", T.normalize_text(F.when(some, F.array_join(F.transform("segments_cleaned", lambda p: p["cleaned_text"]), " ")).otherwise(F.col("_whole"))))
+    out = out.withColumns({"_reason": T.empty_reason(F.col("_cleaned"), lexicon), "_keywords": T.keywords_in(F.col("_cleaned"), lexicon.keywords)})
+    language = records.language_code(F.col("language"), F.col("selected_language"))
+    sure = records.language_confidence(F.col("language"), F.col("language_detection.confidence"))
+    raw_words = records.raw_word_count(F.col("word_count"), F.col("words"), F.col("text"))
+    empty, clean_words = F.col("_reason") != "useful", T.count_words(F.col("_cleaned"))
+    flags = T.quality_flags(F.col("avg_confidence"), sure, F.col("fallback_language_used"), F.col("_removed"), F.col("_cleaned"), empty, F.col("word_count"))
+    unless_failed = lambda value, otherwise=None: F.when(failed, F.lit(otherwise)).otherwise(value)
+    out = out.select(
+        "file_name",
+        "file_path",
+        F.when(failed, "error").otherwise("processed").alias("status"),
+        "error",
+        language.alias("selected_language"),
+        sure.alias("language_confidence"),
+        unless_failed(F.coalesce("text", F.lit("")), "").alias("raw_transcript"),
+        unless_failed(F.col("_cleaned"), "").alias("cleaned_transcript"),
+        unless_failed(semantic_text(F.col("_cleaned"), F.col("_keywords"), F.transform("segments_cleaned", lambda p: p["cleaned_text"]), lexicon), "").alias("semantic_text"),
+        (failed | empty).alias("is_empty_call"),
+        unless_failed(F.col("_reason"), "transcription_error").alias("empty_reason"),
+        unless_failed(raw_words).alias("word_count_raw"),
+        unless_failed(clean_words).alias("word_count_cleaned"),
+        unless_failed(T.cleaning_ratio(raw_words, clean_words)).alias("cleaning_ratio"),
+        unless_failed(records.average_confidence(F.col("avg_confidence"), F.col("words"))).alias("avg_confidence"),
+        F.when(~failed, F.col("_keywords")).alias("problem_keywords_found"),
+        F.when(~failed, F.array_sort(F.array_distinct("_removed"))).alias("removed_parts"),
+        F.when(failed, F.array(F.lit("transcription_error"))).otherwise(flags).alias("quality_flags"),
+        "segments_cleaned",
+        "segments_removed",
+        "transcription_time_seconds",
+        "total_time_with_detection_seconds",
+    )
+    out = out.withColumn("review_priority", T.review_priority(F.col("is_empty_call"), F.col("cleaned_transcript"), F.col("quality_flags")))
+    return out.withColumn("ready_for_classification", ~F.col("is_empty_call") & (F.col("cleaned_transcript") != "") & (F.col("review_priority") != "high"))
+
+
+def process_summary(processed: DataFrame) -> DataFrame:
+    """One row of counts over ``process``; null priorities count as high."""
+    level = F.when(F.col("review_priority").isin("low", "medium"), F.col("review_priority")).otherwise("high")
+    return processed.agg(
+        F.count("*").alias("total"),
+        F.count_if(~F.col("is_empty_call")).alias("useful"),
+        F.count_if("is_empty_call").alias("empty"),
+        F.count_if(F.col("status") == "error").alias("errors"),
+        F.count_if(F.size("quality_flags") > 0).alias("review_needed"),
+        F.count_if("ready_for_classification").alias("ready"),
+        F.count_if(~F.col("ready_for_classification")).alias("not_ready"),
+        *[F.count_if(level == p).alias(f"priority_{p}") for p in ("low", "medium", "high")],
+    )

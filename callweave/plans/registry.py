@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.functions import language, lexicon
+from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.operators import clusters, transcripts
 from callweave.sources import tables
@@ -25,6 +25,8 @@ LEXICON = lexicon.Lexicon(
     empty_phrases=["", "the", "is", "ok", "yes"],
     number_words=["one", "two", "three", "for"],
     stopwords=["that", "this", "with", "from"],
+    generic=["of the", "the"],
+    noise=[r"\bin\s+the\b"],
 )
 DEFAULT_HINTS, SPECIAL_HINTS, LETTERS, SPECIAL = ["the", "and", "der", "les"], ["que", "los", "para"], "[a-zñáéíóúü]+", "ñáéíóú"
 
@@ -164,6 +166,62 @@ def cluster_report(spark, sf_dir):
     return out.select("cluster_id", "cluster_size", "avg_probability", "languages", "example_1", "example_2")
 
 
+def top_keywords(spark, sf_dir):
+    found = F.array_join(T.keywords_in(T.normalize_text(F.col("text")), LEXICON.keywords), ", ")
+    return clusters.top_terms(clustered_documents(spark, sf_dir).withColumn("found", found), "cluster_id", "found", "doc_id", [], keywords=True)
+
+
+def noise_removal(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.remove_noise(F.col("text"), LEXICON).alias("left_over"))
+
+
+def word_confidences(spark, sf_dir):
+    words = F.transform(T.words_of(T.normalize_text(F.col("text"))), lambda w: F.struct(w.alias("word"), (F.pmod(F.length(w) * 37, F.lit(100)) / 100.0).alias("conf")))
+    stats = documents(spark, sf_dir).select("doc_id", records.word_confidences(words, LEXICON).alias("s"))
+    return stats.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("total", "low", "very_low")], "s.low_ratio", records.format_confidences(F.col("s.very_low_words")).alias("very_low_words"))
+
+
+def transcript_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as transcripts: lines are pieces, labels of low quality doubt the language."""
+    docs = documents(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    pieces = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), x.alias("text")))
+    null = lambda kind: F.lit(None).cast(kind)
+    return docs.select(
+        F.col("doc_id").cast("string").alias("file_name"),
+        F.col("source").alias("file_path"),
+        F.when(F.col("text").isNull(), "no text").alias("error"),
+        "text",
+        F.col("lang").alias("language"),
+        null("string").alias("selected_language"),
+        F.struct(F.when(F.col("quality") == 0, "low").alias("confidence")).alias("language_detection"),
+        pieces.alias("segments"),
+        null("array<struct<word:string,start:double,end:double,conf:double>>").alias("words"),
+        null("int").alias("word_count"),
+        null("double").alias("avg_confidence"),
+        null("boolean").alias("fallback_language_used"),
+        null("double").alias("transcription_time_seconds"),
+        null("double").alias("total_time_with_detection_seconds"),
+    )
+
+
+def processed_transcripts(spark, sf_dir):
+    return tables.as_text(transcripts.process(transcript_items(spark, sf_dir), LEXICON), tables.RESULT_COLUMNS)
+
+
+def process_summary(spark, sf_dir):
+    return transcripts.process_summary(transcripts.process(transcript_items(spark, sf_dir), LEXICON))
+
+
+def text_clusters(spark, sf_dir):
+    """Conversations clustered by what their turns say."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return clusters.cluster_texts(turns, "conv_id", ["semantic_text", "text"], "kmeans").select("conv_id", "cluster_id", "cluster_probability", "cluster_size", "cluster_status")
+
+
+def hdbscan(spark, sf_dir):
+    return clusters.hdbscan(embeddings(spark, sf_dir).drop("cluster_id"), micro=200).select("vec_id", "cluster_id", "probability")
+
+
 def pca_projection(spark, sf_dir):
     reduced, _ = clusters.reduce_pca(embeddings(spark, sf_dir), 10)
     return reduced.select("vec_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
@@ -180,6 +238,7 @@ def ward(spark, sf_dir):
 QUERIES: list[Query] = [
     flagship, normalize_text, count_words, pattern_strip, pii_mask, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
     language_scores, detection_windows, csv_values, newest_events, window_counts, cluster_sizes, cluster_counts, cluster_centroids, cluster_probability, top_terms, cluster_report, pca_projection, kmeans, ward,
+    top_keywords, noise_removal, word_confidences, processed_transcripts, process_summary, text_clusters, hdbscan,
 ]
 
 
@@ -275,6 +334,14 @@ SELECT vec_id, round(round_even(CASE WHEN cluster_id = -1 THEN 0 WHEN n = 1 THEN
         "top_terms": f"""WITH t AS (SELECT cluster_id, doc_id, unnest(range(0, len(tok))) AS pos, unnest(tok) AS term FROM (SELECT cluster_id, doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN}'), lambda w: length(w) >= 4 AND NOT list_contains({_list(LEXICON.stopwords)}, w)) AS tok FROM {_DOCS})),
 c AS (SELECT cluster_id, term, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS rank FROM c)
 SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS top_terms FROM r WHERE rank <= 12 GROUP BY cluster_id""",
+        "top_keywords": f"""WITH t AS (SELECT cluster_id, doc_id, unnest(range(0, len(tok))) AS pos, unnest(tok) AS term FROM (SELECT cluster_id, doc_id, {_found(_norm('text'))} AS tok FROM {_DOCS})),
+c AS (SELECT cluster_id, term, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS rank FROM c)
+SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS top_terms FROM r WHERE rank <= 12 GROUP BY cluster_id""",
+        "noise_removal": f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({_norm('text')}, '\\bin\\s+the\\b', ' ', 'g'), '\\b(of the|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS left_over FROM documents",
+        "word_confidences": f"""WITH w AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS words FROM documents),
+c AS (SELECT doc_id, words, list_filter(words, lambda x: (length(x) * 37) % 100 < 40) AS low, list_filter(words, lambda x: (length(x) * 37) % 100 < 20) AS very FROM w)
+SELECT doc_id, len(words) AS total, len(low) AS low, len(very) AS very_low, CASE WHEN len(words) > 0 THEN round(len(low)::DOUBLE / len(words), 4) END AS low_ratio,
+  array_to_string(list_transform(very[1:30], lambda x: x || ':' || printf('%.4f', ((length(x) * 37) % 100) / 100.0::DOUBLE)), '; ') AS very_low_words FROM c""",
         "cluster_report": f"""WITH d AS {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY probability DESC, doc_id) AS k, CASE WHEN length(trim(text, ' ')) > 320 THEN rtrim(substr(trim(text, ' '), 1, 320), ' ') || '...' ELSE coalesce(trim(text, ' '), '') END AS short FROM d)
 SELECT cluster_id, count(*) AS cluster_size, round(avg(probability), 4) AS avg_probability, array_to_string(list_sort(list_distinct(list(trim(lang)))), ', ') AS languages, coalesce(max(short) FILTER (k = 1), '') AS example_1, coalesce(max(short) FILTER (k = 2), '') AS example_2 FROM r GROUP BY cluster_id""",
     }

@@ -6,18 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callweave.functions import text
+
+#: A language is text, or an object whose JSON is kept as text.
 TRANSCRIPT = """file_name string, file_path string, error string, text string,
-language struct<code: string, confidence: string>, selected_language string,
+language string, selected_language string, language_detection struct<confidence: string>,
 segments array<struct<start: double, end: double, text: string>>,
 words array<struct<word: string, start: double, end: double, conf: double>>,
-word_count int, avg_confidence double"""
+word_count int, avg_confidence double, fallback_language_used boolean,
+transcription_time_seconds double, total_time_with_detection_seconds double"""
+
+# The columns of the result table and of the list for reviewers, in order.
+RESULT_COLUMNS = "file_name status selected_language language_confidence word_count_raw word_count_cleaned is_empty_call empty_reason review_priority ready_for_classification quality_flags problem_keywords_found raw_transcript cleaned_transcript semantic_text".split()
+REVIEW_COLUMNS = "file_name selected_language language_confidence is_empty_call empty_reason review_priority ready_for_classification quality_flags word_count_raw word_count_cleaned cleaning_ratio avg_confidence problem_keywords_found semantic_text removed_parts raw_transcript cleaned_transcript".split()
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcripts of JSON documents ``{"results": [...]}``, one row each, all fields nullable."""
+def read_transcripts(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
+    """Transcripts of JSON documents, one row each, all fields nullable.
+
+    ``many``: objects ``{"results": [...]}``; ``single``: one transcript each; ``auto`` takes both.
+    A document of the other kind raises ValueError.
+    """
     item = T.StructType.fromDDL(TRANSCRIPT)
-    whole = spark.read.schema(T.StructType([T.StructField("results", T.ArrayType(item))]))
-    return whole.option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+    results = T.StructField("results", T.ArrayType(item))
+    if mode not in ("auto", "many", "single"):
+        raise ValueError(f"unknown mode {mode!r}")
+    whole = spark.read.schema(T.StructType([results, *item.fields])).option("multiLine", True).json(path)
+    other = {"many": F.col("results").isNull(), "single": F.col("results").isNotNull()}.get(mode)
+    if other is not None and whole.where(other).limit(1).count():
+        raise ValueError(f"{path} holds a document that is not {mode!r}")
+    single = F.array(F.struct(*[F.col(c) for c in item.fieldNames()]))
+    return whole.select(F.explode(F.coalesce("results", single)).alias("r")).select("r.*")
 
 
 def segments(df: DataFrame, id_col: str = "file_name") -> DataFrame:
@@ -34,3 +53,44 @@ def write_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV files with headers; arrays are joined by ``, ``."""
     flat = [F.array_join(F.col(c).cast("array<string>"), ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.option("header", True).csv(path)
+
+
+def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``df`` as text: arrays joined by ``, ``, nulls and absent columns ''."""
+    kinds = dict(df.dtypes)
+    value = lambda c: F.array_join(F.col(c).cast("array<string>"), ", ") if kinds[c].startswith("array") else F.col(c).cast("string")
+    return df.select(*[F.coalesce(value(c), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in columns])
+
+
+def append_results(processed: DataFrame, path: str) -> None:
+    """Append the result columns to the Parquet table at ``path``, with when they came and their order in the batch."""
+    rows = as_text(processed, RESULT_COLUMNS).withColumns({"ingested_at": F.current_timestamp(), "ingest_seq": F.monotonically_increasing_id()})
+    rows.write.mode("append").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """Result rows: the newest ``limit``, newest first; all, in order, if ``limit`` is 0 or less."""
+    rows = spark.read.parquet(path)
+    if limit <= 0:
+        return rows.orderBy("ingested_at", "ingest_seq").select(*RESULT_COLUMNS)
+    return rows.orderBy(F.desc("ingested_at"), F.desc("ingest_seq")).limit(limit).select(*RESULT_COLUMNS)
+
+
+def write_review(processed: DataFrame, path: str) -> None:
+    """A folder of CSV files with the columns that reviewers read."""
+    as_text(processed, REVIEW_COLUMNS).write.option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV with a header as text columns, each value as ``parse_csv_value`` reads it; other columns are dropped."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    missing = set(columns) - set(rows.columns)
+    if missing:
+        raise ValueError(f"{path} lacks the columns {sorted(missing)}")
+    return rows.select(*[text.parse_csv_value(F.col(f"`{c}`")).alias(c) for c in columns])
+
+
+def write_envelope(processed: DataFrame, summary: DataFrame, path: str, source: str) -> None:
+    """JSON lines: first folder ``results``, one object a row; then ``summary`` with the counts and the source's name."""
+    processed.write.json(f"{path}/results")
+    summary.withColumn("source_file", F.lit(source)).write.json(f"{path}/summary")

@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions import language
+from callweave.functions import language, records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
 from callweave.operators import clusters, transcripts
-from callweave.sources import tables
+from callweave.sources import audio, tables
 from callweave.streaming import ingest
 
 
@@ -119,3 +119,134 @@ def test_sources_and_streams(spark, tmp_path):
     (tmp_path / "lex.json").write_text(json.dumps({"keywords": ["abc"], "patterns": [["x", "y"]]}))
     assert read_lexicon(spark, str(tmp_path / "lex.json")) == Lexicon(keywords=["abc"], patterns=[("x", "y")])
     assert tables.newest(turns, "turn", 1).first()["turn"] == 1
+
+
+@pytest.mark.parametrize(
+    ("raw", "text", "reason", "removed"),
+    [
+        ("Здравствуйте, спасибо", "", "empty_text", ["closing_ru", "greeting_ru"]),
+        ("Здравствуйте, меня зовут Айгуль, карта заблокирована", "карта заблокирована", "useful", ["greeting_ru", "operator_intro_ru"]),
+        ("не приходит код дата рождения первое мая", "не приходит код", "useful", ["birth_date_ru"]),
+        ("иин 850101300123", "", "too_short_without_problem_signal", ["iin_digits"]),
+        ("один два три четыре", "", "too_short_without_problem_signal", ["spoken_number_sequence"]),
+        (None, "", "empty_text", []),
+    ],
+)
+def test_pieces_of_speech(spark, raw, text, reason, removed):
+    got = one(spark, raw, transcripts.clean_text(F.col("t")).alias("c"))[0]
+    assert (got["text"], got["reason"], got["removed"]) == (text, reason, removed)
+
+
+def test_keywords_and_semantic_texts(spark):
+    said = "карта заблокирована не могу войти"
+    found = T.keywords_in(F.col("t"), DEFAULT.keywords)
+    assert one(spark, said, found, T.ranked_keywords(found, DEFAULT)) == (["войти", "карта", "карта заблокирована", "не могу", "не могу войти"], ["не могу войти", "карта заблокирована", "не могу", "войти"])
+    none = F.array().cast("array<string>")
+    assert one(spark, said, transcripts.semantic_text(F.col("t"), found, none)) == ("не могу войти карта заблокирована не могу войти карта заблокирована не могу войти",)
+    wanted = F.array(F.lit("не приходит"), F.lit("смс"))
+    assert one(spark, "смс не приходит", transcripts.semantic_text(F.col("t"), wanted, none)) == ("не приходит смс код смс не приходит",)
+    assert one(spark, "", transcripts.semantic_text(F.col("t"), wanted, F.array(F.lit("")))) == ("",)
+    assert one(spark, "номер обращения в банк", T.remove_noise(F.col("t"), DEFAULT)) == ("обращения в",)
+
+
+def test_transcripts_are_processed(spark, tmp_path):
+    said = "карта заблокирована не могу войти"
+    items = [
+        {"file_name": "a", "language": {"code": "ru", "confidence": "high"}, "text": said, "word_count": 5, "segments": [{"text": said}, {"text": "да"}]},
+        {"file_name": "b", "error": "broken"},
+        {"file_name": "c", "language": "kk", "language_detection": {"confidence": "low"}, "text": f"Здравствуйте {said}", "words": [{"word": "x", "conf": 0.5}, {"word": "y", "conf": 0.25}]},
+        {"file_name": "d", "selected_language": "ru"},
+    ]
+    (tmp_path / "many.json").write_text(json.dumps({"results": items}))
+    (tmp_path / "one.json").write_text(json.dumps(items[0]))
+    read = tables.read_transcripts(spark, str(tmp_path / "many.json"))
+    processed = transcripts.process(read)
+    got = {r["file_name"]: r for r in processed.collect()}
+    a, b, c, d = (got[x] for x in "abcd")
+    assert (a["quality_flags"], a["review_priority"], a["ready_for_classification"], a["selected_language"]) == (["very_short_but_useful"], "medium", True, "ru")
+    assert a["cleaned_transcript"] == said and [p["index"] for p in a["segments_removed"]] == [1]
+    assert (b["status"], b["empty_reason"], b["quality_flags"], b["review_priority"], b["is_empty_call"], b["word_count_raw"]) == ("error", "transcription_error", ["transcription_error"], "high", True, None)
+    assert (c["selected_language"], c["language_confidence"], c["word_count_raw"], c["avg_confidence"], c["removed_parts"], c["cleaned_transcript"]) == ("kk", "low", 2, 0.375, [], said)
+    assert (d["selected_language"], d["is_empty_call"], d["empty_reason"], d["word_count_raw"]) == ("ru", True, "empty_text", None)
+    totals = transcripts.process_summary(processed).first()
+    assert (totals["total"], totals["useful"], totals["errors"], totals["ready"], totals["priority_high"]) == (4, 2, 1, 1, 3)
+    assert tables.read_transcripts(spark, str(tmp_path / "one.json"), "single").count() == 1
+    for name, mode in (("one", "many"), ("many", "single")):
+        with pytest.raises(ValueError):
+            tables.read_transcripts(spark, str(tmp_path / f"{name}.json"), mode)
+    tables.append_results(processed.where("file_name = 'a'"), str(tmp_path / "results"))
+    tables.append_results(processed.where("file_name = 'c'"), str(tmp_path / "results"))
+    assert [r["file_name"] for r in tables.read_results(spark, str(tmp_path / "results"), 1).collect()] == ["c"]
+    assert [r["file_name"] for r in tables.read_results(spark, str(tmp_path / "results")).collect()] == ["a", "c"]
+    tables.write_review(processed, str(tmp_path / "review"))
+    assert {r["quality_flags"] for r in tables.read_csv_records(spark, str(tmp_path / "review"), tables.REVIEW_COLUMNS).collect()} >= {"transcription_error", "very_short_but_useful"}
+    tables.write_envelope(processed, transcripts.process_summary(processed), str(tmp_path / "out"), "many.json")
+    assert spark.read.json(str(tmp_path / "out" / "summary")).first()["source_file"] == "many.json"
+
+
+def test_confidences_of_words(spark):
+    words = [("карта", 0.1), ("двадцать", 0.1), ("шелест", 0.15), ("да", 0.3), ("", 0.1), ("окно", None), ("окно", 0.9)]
+    df = spark.createDataFrame([(words,), (None,)], "words array<struct<word:string,conf:double>>")
+    full, none = (r["s"] for r in df.select(records.word_confidences(F.col("words"), DEFAULT).alias("s")).collect())
+    assert (full["total"], full["low"], full["very_low"], full["low_ratio"]) == (5, 4, 3, 0.8)
+    assert [w["word"] for w in full["low_important"]] == ["карта"] and [w["word"] for w in full["removable"]] == ["шелест"]
+    assert (none["total"], none["low_ratio"], none["very_low_words"]) == (0, None, [])
+    piece = json.dumps({"result": [{"word": "да", "start": 1.234, "end": 2.0, "conf": 1}, {"word": "нет", "start": 2, "end": 3.456, "conf": 0.5}], "text": " да нет "})
+    got = one(spark, piece, records.recognised_piece(F.col("t")))[0]
+    assert (got["start"], got["end"], got["text"]) == (1.23, 3.46, "да нет")
+    assert one(spark, '{"text": " "}', records.recognised_piece(F.col("t"))) == (None,)
+
+
+def test_audio(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    pcm = np.arange(16_000 * 60, dtype=np.int64).astype(np.int16).tobytes()
+    (tmp_path / "sub" / "A.WAV").write_bytes(pcm)
+    (tmp_path / "notes.txt").write_text("x")
+    files = audio.audio_files(spark, str(tmp_path)).withColumnRenamed("content", "pcm")
+    got = files.select(audio.seconds_of(F.col("pcm")).alias("s"), audio.detection_pcm(F.col("pcm")).alias("d"), audio.slice_pcm(F.col("pcm"), F.lit(59.5), F.lit(2.0)).alias("end"), audio.slice_pcm(F.col("pcm"), F.lit(61.0), F.lit(2.0)).alias("none")).collect()
+    assert len(got) == 1 and got[0]["s"] == 60
+    quiet = bytes(8000)
+    assert bytes(got[0]["d"]) == quiet.join(pcm[a : a + 153_600] for a in (480_000, 960_000, 1_440_000))
+    assert bytes(got[0]["end"]) == pcm[-16_000:] and bytes(got[0]["none"]) == b""
+
+    def load():
+        def words(samples: bytes) -> str:
+            if not samples:
+                raise ValueError("no samples")
+            return f"{len(samples)} bytes"
+
+        return words
+
+    rows = spark.createDataFrame([("a", b"1234"), ("b", None)], "path string, pcm binary")
+    assert {tuple(r) for r in audio.recognise(rows, load).collect()} == {("a", "4 bytes", None), ("b", None, "no samples")}
+
+
+def test_language_of_two_recognisers(spark):
+    hints = (["да", "карта"], ["сәлем", "қазір"])
+    df = spark.createDataFrame([("да моя карта", ""), ("", "сәлем қазір барамын"), ("", "")], "ru string, kk string")
+    got = [r["d"] for r in df.select(language.detect(F.col("ru"), F.col("kk"), hints).alias("d")).collect()]
+    assert [g["code"] for g in got] == ["ru", "kk", "unknown"] and [g["recheck"] for g in got] == [False, False, False]
+    assert one(spark, "unknown", language.or_default(F.col("t"))) == ("ru",)
+
+
+def test_density_clusters():
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.uniform(-10, 15, (6, 2))])
+    label, member = clusters.density_clusters(points, np.ones(len(points)), 4, 4)
+    assert set(label[:40]) == {0} and set(label[40:70]) == {1} and (label[70:] == -1).sum() >= 5
+    assert member[label == -1].max() == 0 and member[label == 0].max() == 1
+
+
+@pytest.mark.parametrize("algorithm", ["kmeans", " Ward ", "hdbscan"])
+def test_texts_are_clustered(spark, algorithm):
+    rows = [(i, ["карта заблокирована банк", "перевод не уходит деньги", "лимит превышен сегодня"][i % 3] + f" w{i % 2}", None) for i in range(30)] + [(30, " ", None), (31, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, semantic_text string")
+    options = {"micro": 30} if algorithm != "kmeans" else {}
+    got = {r["id"]: r for r in clusters.cluster_texts(df, "id", ["semantic_text", "text", "absent"], algorithm, k=3, dims=4, **options).collect()}
+    assert len(got) == 32 and got[30]["cluster_id"] == got[31]["cluster_id"] == -1 and got[30]["cluster_probability"] == 0
+    if algorithm == "kmeans":
+        assert len({(i % 3, got[i]["cluster_id"]) for i in range(30)}) == 3
+    empty = clusters.cluster_texts(df.where("id >= 30"), "id", ["text"], algorithm)
+    assert {(r["cluster_id"], r["cluster_size"], r["cluster_status"]) for r in empty.collect()} == {(-1, 2, "noise")}
+    with pytest.raises(ValueError):
+        clusters.cluster_texts(df, "id", ["text"], "other")
