@@ -21,27 +21,29 @@ from pyspark.sql import functions as F
 from callweave.llm.common import only
 from callweave.llm.token_counts import BOUNDARY, KEPT_CHARS, by_bytes
 
-#: Words of more bytes are contracted by LONG_WORDS.
+#: Words of more bytes are contracted by LONG_WORDS; below 64, as SHORT_WORDS keeps positions in six bits.
 SHORT_BYTES = 48
 #: Rounds of LONG_WORDS in one query: all rounds' rows are kept until it ends.
 ROUNDS = 32
 
+# A row's place is 64 times its word's number, plus its position; ``nxt`` is the place of the row after it.
 SHORT_WORDS = """
-WITH RECURSIVE step(round, word, pos, fin, token) AS (
-  SELECT 0, word, pos, pos + 1, token FROM start
+WITH RECURSIVE step(round, place, nxt, token) AS (
+  SELECT 0, place, place + 1, token FROM start
   UNION ALL
-  SELECT round, word, pos, fin, token FROM (
+  SELECT round, place, nxt, token FROM (
     WITH best AS (
-      SELECT a.word, min((m.merged::BIGINT << 32) + a.pos) AS pair, arg_min(b.fin, (m.merged::BIGINT << 32) + a.pos) AS fin
-      FROM step a JOIN step b ON a.word = b.word AND a.fin = b.pos JOIN merges m ON m.l = a.token AND m.r = b.token
-      GROUP BY a.word)
-    SELECT s.round + 1 AS round, s.word, s.pos,
-      CASE WHEN s.pos = best.pair & 4294967295 THEN best.fin ELSE s.fin END AS fin,
-      CASE WHEN s.pos = best.pair & 4294967295 THEN (best.pair >> 32)::INTEGER ELSE s.token END AS token
-    FROM step s JOIN best ON s.word = best.word
-    WHERE NOT (s.pos > best.pair & 4294967295 AND s.pos < best.fin)))
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM step) WHERE round = last GROUP BY word ORDER BY word
+      SELECT a.place >> 6 AS word, min((m.merged::BIGINT << 12) | ((a.place & 63) << 6) | (b.nxt & 63)) AS pair
+      FROM step a JOIN step b ON a.nxt = b.place JOIN merges m ON m.pair = (a.token::BIGINT << 20) | b.token
+      GROUP BY a.place >> 6)
+    SELECT s.round + 1 AS round, s.place,
+      CASE WHEN s.place & 63 = (pair >> 6) & 63 THEN (word << 6) | (pair & 63) ELSE s.nxt END AS nxt,
+      CASE WHEN s.place & 63 = (pair >> 6) & 63 THEN (pair >> 12)::INTEGER ELSE s.token END AS token
+    FROM step s JOIN best ON s.place >> 6 = best.word
+    WHERE NOT (s.place & 63 > (pair >> 6) & 63 AND s.place & 63 < pair & 63))),
+every AS MATERIALIZED (SELECT * FROM step),
+ends AS (SELECT place >> 6 AS word, max(round) AS last FROM every GROUP BY place >> 6)
+SELECT word, list(token ORDER BY place) AS ids FROM every JOIN ends ON place >> 6 = word AND round = last GROUP BY word ORDER BY word
 """
 
 # All pairs of the minimum rank are contracted in one round, from the left, where no token of a lower
@@ -105,7 +107,10 @@ class Codec:
                     left.append(a), right.append(b), merged.append(rank)
                 unsafe.update(x for x in (a, b) if x is not None and x > rank)
         int32 = lambda x: pa.array(x, pa.int32())
-        self._table("merges", l=int32(left), r=int32(right), merged=int32(merged), safe=pa.array([m not in unsafe for m in merged], pa.bool_()))
+        if max(ranks.values()) >= 1 << 20:
+            raise ValueError("ranks of 2^20 and more are not supported")
+        pairs = (np.array(left, np.int64) << 20) | np.array(right, np.int64)
+        self._table("merges", pair=pa.array(pairs), l=int32(left), r=int32(right), merged=int32(merged), safe=pa.array([m not in unsafe for m in merged], pa.bool_()))
         self._table("vocabulary", id=int32(list(ranks.values())), piece=pa.array([t.hex() for t in ranks], pa.string()))
 
     def _table(self, name: str, **columns: pa.Array) -> None:
@@ -138,7 +143,7 @@ class Codec:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        found = self._run(SHORT_WORDS, "start", word=np.repeat(np.arange(len(words), dtype=np.int32), sizes), pos=pos.astype(np.int32), token=self.bytes[flat])
+        found = self._run(SHORT_WORDS, "start", place=np.repeat(np.arange(len(words), dtype=np.int64) << 6, sizes) + pos, token=self.bytes[flat])
         ids = found.column("ids").combine_chunks()
         raw = ids.values.to_numpy().astype("<i4").tobytes()
         ends = (ids.offsets.to_numpy() * 4).tolist()
