@@ -84,19 +84,32 @@ def cleaning_ratio(raw_words: Column, clean_words: Column) -> Column:
     return F.when(raw_words > 0, F.round(clean_words / raw_words, 4))
 
 
+def _replaced(state: Column, pattern: str, mark: str, reason: str) -> Column:
+    """``state`` (text, reasons) after one pattern; patterns are literals, so that each is compiled once."""
+    hit = lambda s: F.regexp_like(s["text"], F.lit(f"(?iuU){pattern}"))
+    done = lambda s: F.struct(F.regexp_replace(s["text"], f"(?iuU){pattern}", mark).alias("text"), F.array_append(s["reasons"], F.lit(reason)).alias("reasons"))
+    return let(state, lambda s: F.when(hit(s), done(s)).otherwise(s))
+
+
+def _start(text: Column) -> Column:
+    return F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("reasons"))
+
+
+def stripped(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """``strip_patterns`` as one struct (text, reasons)."""
+    state = _start(text)
+    for pattern, reason in patterns:
+        state = _replaced(state, pattern, " ", reason)
+    return let(state, lambda s: F.struct(collapse(s["text"]).alias("text"), F.array_sort(F.array_distinct(s["reasons"])).alias("reasons")))
+
+
 def strip_patterns(text: Column, patterns: list[tuple[str, str]]) -> tuple[Column, Column]:
     """Ordered replacement of ``patterns`` by spaces: the text, and the reasons that applied, sorted and distinct.
 
     Later patterns see the text that earlier ones left; white space is collapsed at the end.
     """
-    rules = F.array(*[F.struct(F.lit(f"(?iuU){p}").alias("pattern"), F.lit(r).alias("reason")) for p, r in patterns])
-    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("reasons"))
-    step = lambda s, r: F.struct(
-        F.regexp_replace(s["text"], r["pattern"], F.lit(" ")).alias("text"),
-        F.when(F.regexp_like(s["text"], r["pattern"]), F.array_append(s["reasons"], r["reason"])).otherwise(s["reasons"]).alias("reasons"),
-    )
-    done = F.aggregate(rules, start, step)
-    return collapse(done["text"]), F.array_sort(F.array_distinct(done["reasons"]))
+    done = stripped(text, patterns)
+    return done["text"], done["reasons"]
 
 
 PII = [  # Fixed values, in order.
@@ -115,15 +128,20 @@ def mask_number_runs(text: Column, number_words: list[str], least: int = 4) -> C
     return F.regexp_replace(text, rf"(?<!\S)(?:{words})(?:\s+(?:{words})){{{least - 1},}}(?!\S)", "[NUMBER_SEQ]")
 
 
+def masked(text: Column, number_words: list[str]) -> Column:
+    """``mask_pii`` as one struct (text, reasons)."""
+    state = _start(text)
+    for pattern, mark, reason in PII:
+        state = _replaced(state, pattern, mark, reason)
+    runs = let(state, lambda s: F.struct(s["text"].alias("before"), mask_number_runs(s["text"], number_words).alias("after"), s["reasons"].alias("reasons")))
+    spoken = lambda s: F.when(s["after"] != s["before"], F.array_append(s["reasons"], F.lit("spoken_number_sequence"))).otherwise(s["reasons"])
+    return let(runs, lambda s: F.struct(collapse(s["after"]).alias("text"), spoken(s).alias("reasons")))
+
+
 def mask_pii(text: Column, number_words: list[str]) -> tuple[Column, Column]:
     """The text with personal data masked, in the order of PII, and the reasons in that order."""
-    now, reasons = F.coalesce(text, F.lit("")), []
-    for pattern, mark, reason in PII:
-        reasons.append(F.when(F.regexp_like(now, F.lit(f"(?iuU){pattern}")), reason))
-        now = F.regexp_replace(now, f"(?iuU){pattern}", mark)
-    masked = mask_number_runs(now, number_words)
-    reasons.append(F.when(masked != now, "spoken_number_sequence"))
-    return collapse(masked), F.array_compact(F.array(*reasons))
+    done = masked(text, number_words)
+    return done["text"], done["reasons"]
 
 
 def has_keyword(normalized: Column, keywords: list[str]) -> Column:
@@ -139,17 +157,22 @@ def keywords_in(normalized: Column, keywords: list[str]) -> Column:
 
 def empty_reason(text: Column, lexicon) -> Column:
     """Why a text says nothing: ``useful`` if it does say something, else the first reason that holds."""
-    t = normalize_text(text)
-    signal, words = has_keyword(t, lexicon.keywords), count_words(t)
-    idle = F.forall(words_of(t), lambda w: w.isin([*lexicon.empty_phrases, *lexicon.number_words]) | F.regexp_like(w, F.lit(r"^\d+$")))
-    return (
-        F.when(t == "", "empty_text")
-        .when(t.isin(lexicon.empty_phrases), "empty_phrase")
-        .when(idle & ~signal, "only_empty_or_number_words")
-        .when((words <= 3) & ~signal, "too_short_without_problem_signal")
-        .when((words <= 5) & ~signal, "short_noninformative")
-        .otherwise("useful")
-    )
+
+    def judged(x: Column) -> Column:
+        t, signal, words = x["t"], x["signal"], x["words"]
+        idle = F.forall(words_of(t), lambda w: w.isin([*lexicon.empty_phrases, *lexicon.number_words]) | F.regexp_like(w, F.lit(r"^\d+$")))
+        return (
+            F.when(t == "", "empty_text")
+            .when(t.isin(lexicon.empty_phrases), "empty_phrase")
+            .when(signal, "useful")
+            .when(idle, "only_empty_or_number_words")
+            .when(words <= 3, "too_short_without_problem_signal")
+            .when(words <= 5, "short_noninformative")
+            .otherwise("useful")
+        )
+
+    counted = lambda t: F.struct(t.alias("t"), has_keyword(t, lexicon.keywords).alias("signal"), count_words(t).alias("words"))
+    return let(let(normalize_text(text), counted), judged)
 
 
 def ranked_keywords(found: Column, lexicon, most: int = 6) -> Column:

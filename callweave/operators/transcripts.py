@@ -93,14 +93,10 @@ def clean_text(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
         return T.let(T.let(left, with_reason), done)
 
     def masked(s: Column) -> Column:
-        text, reasons = T.mask_pii(s["text"], lexicon.number_words)
-        return F.struct(T.normalize_text(text).alias("text"), F.concat(s["removed"], reasons).alias("removed"))
+        both = lambda m: F.struct(T.normalize_text(m["text"]).alias("text"), F.concat(s["reasons"], m["reasons"]).alias("removed"))
+        return T.let(T.masked(s["text"], lexicon.number_words), both)
 
-    def stripped(n: Column) -> Column:
-        text, reasons = T.strip_patterns(n, lexicon.patterns)
-        return F.struct(text.alias("text"), reasons.alias("removed"))
-
-    return T.let(T.let(T.let(T.normalize_text(text), stripped), masked), judged)
+    return T.let(T.let(T.stripped(T.normalize_text(text), lexicon.patterns), masked), judged)
 
 
 def semantic_text(cleaned: Column, keywords: Column, kept: Column, lexicon: Lexicon = DEFAULT, parts: int = 4, words: int = 55) -> Column:
