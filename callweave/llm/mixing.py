@@ -9,14 +9,17 @@ all copies are shuffled by a hash of the document, the copy and the seed.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The name under which ``weights`` may hold all sources that it doesn't name (null too).
 OTHERS = "*"
-#: Largest mean repetition; beyond it a mixture would be mere copies.
-MOST_MEAN = 64.0
+#: Up to this mean the steps are added up from a count of 0, as the SQL adds them; above it, around the mode.
+FROM_ZERO = 64.0
+#: Copies of a document that one array lists.
+LISTED = 65_536
 
 
 def unit(*parts: Column | str) -> Column:
@@ -26,18 +29,43 @@ def unit(*parts: Column | str) -> Column:
 
 
 def poisson_steps(mean: float) -> list[float]:
-    """Cumulative probabilities of 0, 1, 2, ... until they no longer grow."""
-    if not 0 <= mean <= MOST_MEAN:
-        raise ValueError(f"mean repetition {mean}: from 0 to {MOST_MEAN} is allowed")
+    """Cumulative probabilities of 0, 1, 2, ... until they no longer grow; means above FROM_ZERO lose precision."""
     term = total = math.exp(-mean)
     out = [total]
-    while len(out) < 8 or (term > 1e-18 and len(out) < 400):
+    while len(out) < 8 or len(out) <= mean or term > 1e-18:
         term *= mean / len(out)
         total += term
         out.append(total)
     return out
 
 
+def poisson_table(mean: float) -> tuple[int, list[float]]:
+    """The first count and the cumulative probabilities from it on, for any mean from 0.
+
+    Above FROM_ZERO the terms are taken relative to the mode's, outwards as long as they matter, and
+    divided by their sum. What is left out on either side is far below 2**-52, the least ``unit``
+    above 0, so a table has about 18 square roots of the mean as steps.
+    """
+    if not 0 <= mean < math.inf:
+        raise ValueError(f"mean repetition {mean}: a number from 0 is needed")
+    if mean <= FROM_ZERO:
+        return 0, poisson_steps(mean)
+    first = last = int(mean)
+    below, above, term = [], [], 1.0
+    while first > 0 and term > 1e-22:
+        term *= first / mean
+        first -= 1
+        below.append(term)
+    term = 1.0
+    while term > 1e-22:
+        last += 1
+        term *= mean / last
+        above.append(term)
+    terms = [*reversed(below), 1.0, *above]
+    whole = math.fsum(terms)
+    return first, [x / whole for x in accumulate(terms)]
+
+
 def _group(weights: dict[str, float], source_col: str) -> Column:
     """The name in ``weights`` that a row counts under; null: none."""
     named = [s for s in weights if s != OTHERS]
@@ -71,10 +99,13 @@ def replicate(df: DataFrame, means: dict[str, float], id_col: str = "doc_id", so
     u = unit(seed, F.col(source_col), F.col(id_col))
     group, count = _group(means, source_col), F.lit(0)
     for source, mean in means.items():
-        steps = F.array(*[F.lit(x) for x in poisson_steps(mean)])
-        count = F.when(F.col("_group") == source, F.size(F.filter(steps, lambda x: x <= F.col("_u")))).otherwise(count)
+        first, steps = poisson_table(mean)
+        steps = F.split(F.lit(" ".join(map(repr, steps))), " ").cast("array<double>")  # folded into one literal
+        times = F.size(F.filter(steps, lambda x: x <= F.col("_u")))
+        count = F.when(F.col("_group") == source, F.when(F.col("_u") > 0, F.lit(first) + times).otherwise(0) if first else times).otherwise(count)
     counted = df.select(*kept, group.alias("_group"), u.alias("_u")).select(*kept, count.alias("_n")).where("_n > 0")
-    copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
+    parts = counted.select(*kept, "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / LISTED).cast("int"))).alias("_part"))
+    copies = parts.select(*kept, F.explode(F.sequence(F.col("_part") * LISTED + 1, F.least("_n", (F.col("_part") + 1) * LISTED))).alias("copy_no"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("/", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
     return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
 

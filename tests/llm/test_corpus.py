@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from decimal import Decimal, localcontext
 
 import numpy as np
 import public_tokenizers as tokenizers_files
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe, components, matroska, minhash, mixing, quality_mil, quality_rules, sharding, shingles, token_counts, url_filter, warc
+from callweave.llm.queries import WEIGHTS
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -127,6 +129,47 @@ def test_mixture_means_and_counts(spark, odd, empty):
     assert mixing.mix(empty, {"a": 1.0}).count() == 0 and mixing.mix(odd, {"a": 1.0}).count() > 0
 
 
+def poisson_quantile(mean, u):
+    """The count whose cumulative probability first exceeds ``u``, in 60 digits."""
+    with localcontext() as c:
+        c.prec = 60
+        k, term = 0, (-Decimal(mean)).exp()
+        total = term
+        while total <= Decimal(u):
+            k += 1
+            term *= Decimal(mean) / k
+            total += term
+        return k
+
+
+def test_a_rare_source_gets_its_copies(spark):
+    rows = [(i, f"src{i % 20}" if i else None) for i in range(10_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), WEIGHTS)
+    u = int(hashlib.md5(b"mix-1//0").hexdigest()[:13], 16) / 2**52
+    rare = sorted(r["copy_no"] for r in out.where("source is null").collect())
+    assert rare == list(range(1, poisson_quantile(450.0, u) + 1)) and 350 < len(rare) < 550
+    others = out.where("source is not null").count()
+    assert 9_000 < others < 10_000
+
+
+def test_poisson_tables_of_any_mean(spark, monkeypatch):
+    rng = random.Random(5)
+    for mean in (0.0, 0.3, 20.0, 50.0, 63.9, 64.0, 64.1, 450.0, 5000.0):
+        first, steps = mixing.poisson_table(mean)
+        for u in (2.0**-52, 1e-9, 0.5, 1 - 1e-9, *(rng.random() for _ in range(10))):
+            assert first + sum(x <= u for x in steps) == poisson_quantile(mean, u), (mean, u)
+    first, steps = mixing.poisson_table(4.5e7)
+    assert 4.5e7 - 1e5 < first and len(steps) < 200_000 and abs(first + sum(x <= 0.5 for x in steps) - 4.5e7) < 2
+    with pytest.raises(ValueError):
+        mixing.poisson_table(-1.0)
+    monkeypatch.setattr(mixing, "LISTED", 7)
+    df = spark.createDataFrame([(i, "a") for i in range(20)], "doc_id long, source string")
+    by = {}
+    for r in mixing.replicate(df, {"a": 70.0}).collect():
+        by.setdefault(r["doc_id"], []).append(r["copy_no"])
+    assert all(sorted(c) == list(range(1, poisson_quantile(70.0, int(hashlib.md5(f"mix-1/a/{i}".encode()).hexdigest()[:13], 16) / 2**52) + 1)) for i, c in by.items()) and len(by) == 20
+
+
 def test_classifier_on_held_out_documents(spark, odd, empty):
     rng = random.Random(1)
     words = ["river", "stone", "about", "under", "light", "house", "green", "small"]
