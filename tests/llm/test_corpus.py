@@ -259,6 +259,22 @@ def test_near_duplicates_of_odd_rows(odd, empty, spark):
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} == {None, *range(1, 11)} - {2}
 
 
+def test_copies_are_dropped_by_row_not_by_id(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = text["a"].replace("a59", "other")
+    rows = [
+        (3, text["a"], "x"), (7, text["b"], "x"), (7, near, "x"), (8, text["c"], "y"), (8, text["c"], "x"), (8, text["c"], "x"),
+        (None, text["d"], "x"), (None, text["d"], "x"), (None, text["a"], "x"), (None, text["e"], "x"), (9, text["e"], "x"),
+        (5, "", "x"), (5, "", "x"), (5, None, "x"), (6, text["f"], "x"), (6, text["f"].upper(), "x"),
+    ]
+    want = [(3, text["a"], "x"), (7, text["b"], "x"), (8, text["c"], "x"), (None, text["d"], "x"), (9, text["e"], "x"), (5, "", "x"), (5, "", "x"), (5, None, "x")]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        got = sorted(map(str, map(tuple, minhash.drop_near_duplicates(df).collect())))
+        upper = [g for g in got if g.startswith("(6,")]
+        assert len(upper) == 1 and sorted(set(got) - set(upper)) == sorted({str(w) for w in want}) and len(got) == len(want) + 1
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(600)] + [(1000 + i, 1000) for i in range(1, 50)] + [(5, 5), (7, 8)]
     random.Random(3).shuffle(edges)
