@@ -1,13 +1,14 @@
 """Word lists and ordered patterns that the conversation functions take as a parameter.
 
-``DEFAULT`` holds Russian and Kazakh lists; its keywords are the commonest and the telling ones, and
-``read_lexicon`` takes longer lists from a JSON file.
+``DEFAULT`` holds Russian and Kazakh lists; its keywords are in ``keywords.json`` beside this file, and
+``read_lexicon`` takes other lists from a JSON file.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from importlib import resources
 
 from pyspark.sql import SparkSession
 
@@ -30,8 +31,8 @@ STRONG = [
     "отделение", "рабочее время", "суббота", "воскресенье", "бөлімше қайда", "жұмыс уақыты қандай", "сенбі күні ашық па",
 ]
 MARKERS = ["не могу", "не получается", "не работает", "не проходит", "не приходит", "заблок", "превышен", "просроч", "досроч", "удержан", "списал", "завис", "ошибка", "ұстал", "өтпей", "келм", "түскен жоқ", "бұғат", "берешек", "төлей алмай"]
-KEYWORDS = "не могу,не получается,не работает,не проходит,не приходит,ошибка,забыл,войти,логин,пароль,аккаунт,код,смс,номер,телефон,карта,карточка,перевод,отправить,деньги,кредит,платеж,оплата,счет,лимит,отделение,банк,не могу войти,неверный пароль,карта заблокирована,ақша,төлем,несие".split(",")
-CANONICAL = {"счет": "счет", "платеж": "платеж", "карточка": "карта", "карту": "карта", "карта": "карта", "кредитов": "кредит", "смс": "смс код", "код": "код", "ақша": "ақша", "шот": "шот", "төлем": "төлем", "несие": "несие"}
+KEYWORDS = json.loads(resources.files(__package__).joinpath("keywords.json").read_text("utf-8"))
+CANONICAL = {"счёт": "счет", "счет": "счет", "платёж": "платеж", "платеж": "платеж", "карточка": "карта", "карту": "карта", "карта": "карта", "кредитов": "кредит", "смс": "смс код", "код": "код", "ақша": "ақша", "шот": "шот", "төлем": "төлем", "несие": "несие"}
 CRITICAL = "кредит кредита кредитов карта карту карточка лимит пароль логин код смс аккаунт перевод деньги счет счёт шот оплата платеж платёж просрочка отсрочка удержания списание списали пополнить пополнил задолженность долг комиссия банкомат отделение мошенники мошенничество заблокирована заблокировали разблокировать несие төлем төлей төледім төлеп ақша шот берешек қарыз аударым карта лимит код смс логин пароль құпия қосымша бұғатталды бұғаттау алаяқтар".split()
 UNIMPORTANT = "банк банка система номер телефон работает можно нужно надо есть будет сейчас сегодня завтра там тут это что как где когда уже просто тоже мен сіз біз ол бұл сол осы бойынша қалады болды болады керек дейін кейін қалай қайда қашан нөмірі нөмір жерден күндері бүгін ертең".split()
 EMPTY_PHRASES = (
@@ -126,10 +127,6 @@ NOISE = [
 ]
 
 
-#: A phrase that scores but isn't searched for.
-UNREACHABLE = ["превышен лимит"]
-
-
 def plain(word: str) -> str:
     """A word of a list as normalised texts have it."""
     return word.lower().replace("ё", "е")
@@ -140,7 +137,7 @@ class Lexicon:
     """What a language or domain brings: ordered (pattern, reason) pairs and lists of normalised words."""
 
     patterns: list[tuple[str, str]] = field(default_factory=lambda: list(STRIPPED))
-    keywords: list[str] = field(default_factory=lambda: list(dict.fromkeys([*KEYWORDS, *[k for k in STRONG if k not in UNREACHABLE]])))
+    keywords: list[str] = field(default_factory=lambda: [*KEYWORDS["ru"], *KEYWORDS["kk"]])
     canonical: dict[str, str] = field(default_factory=lambda: dict(CANONICAL))
     strong: list[str] = field(default_factory=lambda: list(STRONG))
     weak: list[str] = field(default_factory=lambda: list(WEAK))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions import language, records
+from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
 from callweave.operators import clusters, transcripts
@@ -48,6 +48,16 @@ def test_reasons_of_empty_turns(spark):
     assert found == ["empty_text", "empty_phrase", "only_empty_or_number_words", "too_short_without_problem_signal", "short_noninformative", "useful", "useful"]
 
 
+def test_default_lists_are_whole(spark):
+    """Distinct entries by SURVEY 2.15."""
+    sizes = {n: len(set(getattr(DEFAULT, n))) for n in ("generic", "weak", "strong", "canonical", "keywords", "critical", "unimportant", "empty_phrases", "number_words", "stopwords")}
+    assert sizes == {"generic": 28, "weak": 16, "strong": 74, "canonical": 14, "keywords": 448, "critical": 51, "unimportant": 47, "empty_phrases": 122, "number_words": 184, "stopwords": 63}
+    assert (len(lexicon.KEYWORDS["ru"]), len(lexicon.KEYWORDS["kk"]), len(set(lexicon.RU_HINTS)), len(set(lexicon.KK_HINTS)), len(DEFAULT.patterns)) == (270, 178, 28, 18, 57)
+    said = ["Face ID", "502", "возврат денег", "сессия истекла", "подозрительная операция"]
+    assert [one(spark, t, T.empty_reason(F.col("t"), DEFAULT))[0] for t in said] == ["useful"] * len(said)
+    assert "возврат денег" in one(spark, "хочу возврат денег", T.keywords_in(T.normalize_text(F.col("t")), DEFAULT.keywords))[0]
+
+
 def test_language_scores(spark):
     f = language.features(F.col("t"), ["да", "карта"], ["сәлем", "қазір"])
     ru, kk = language.score(f, None, False), language.score(f, None, True)
