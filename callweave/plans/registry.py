@@ -67,6 +67,12 @@ def pii_mask(spark, sf_dir):
     return normalize_text(spark, sf_dir).select("doc_id", masked.alias("masked"), joined(F.filter(reasons, lambda r: r != "spoken_number_sequence")).alias("reasons")).where(~F.contains("masked", F.lit("[NUMBER_SEQ]")))
 
 
+def number_run_mask(spark, sf_dir):
+    """All documents with every mask and reason, runs of number words too."""
+    masked, reasons = T.mask_pii(F.col("norm"), LEXICON.number_words)
+    return normalize_text(spark, sf_dir).select("doc_id", masked.alias("masked"), joined(reasons).alias("reasons"))
+
+
 def problem_keywords(spark, sf_dir):
     return normalize_text(spark, sf_dir).select("doc_id", joined(T.keywords_in(F.col("norm"), LEXICON.keywords)).alias("keywords"))
 
@@ -236,7 +242,7 @@ def ward(spark, sf_dir):
 
 
 QUERIES: list[Query] = [
-    flagship, normalize_text, count_words, pattern_strip, pii_mask, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
+    flagship, normalize_text, count_words, pattern_strip, pii_mask, number_run_mask, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
     language_scores, detection_windows, csv_values, newest_events, window_counts, cluster_sizes, cluster_counts, cluster_centroids, cluster_probability, top_terms, cluster_report, pca_projection, kmeans, ward,
     top_keywords, noise_removal, word_confidences, processed_transcripts, process_summary, text_clusters, hdbscan,
 ]
@@ -284,6 +290,22 @@ def _mask() -> str:
     return f"WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)} SELECT doc_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS masked, array_to_string(list_filter([{reasons}], lambda x: x IS NOT NULL), '|') AS reasons FROM s4 WHERE NOT regexp_matches({text}, '(^|\\s)({'|'.join(LEXICON.number_words)})(\\s+({'|'.join(LEXICON.number_words)})){{3,}}(\\s|$)')"
 
 
+def _mask_runs() -> str:
+    """The masks of ``_mask`` for all documents, and runs of four number words or more as islands of token positions."""
+    text, steps = "n0", []
+    for i, (pattern, mark, _) in enumerate(T.PII[:4]):
+        steps.append(f"s{i + 1} AS (SELECT *, regexp_replace({text}, '{pattern}', '{mark}', 'g') AS n{i + 1}, regexp_matches({text}, '{pattern}') AS r{i + 1} FROM s{i})")
+        text = f"n{i + 1}"
+    reasons = ", ".join(f"CASE WHEN r{i + 1} THEN '{r}' END" for i, (_, _, r) in enumerate(T.PII[:4]))
+    return f"""WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)},
+t AS (SELECT doc_id, unnest(tok) AS w, unnest(range(0, len(tok))) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace({text}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS tok FROM s4)),
+m AS (SELECT *, list_contains({_list(LEXICON.number_words)}, w) AS num FROM t),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, num ORDER BY pos) AS island FROM m),
+r AS (SELECT doc_id, num AND count(*) >= 4 AS run, min(pos) AS start, string_agg(w, ' ' ORDER BY pos) AS words FROM g GROUP BY doc_id, num, island),
+j AS (SELECT doc_id, string_agg(CASE WHEN run THEN '[NUMBER_SEQ]' ELSE words END, ' ' ORDER BY start) AS masked, bool_or(run) AS spoken FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(masked, '') AS masked, array_to_string(list_filter([{reasons}, CASE WHEN spoken THEN 'spoken_number_sequence' END], lambda x: x IS NOT NULL), '|') AS reasons FROM s4 LEFT JOIN j USING (doc_id)"""
+
+
 def _reason(norm: str) -> str:
     idle = f"len(list_filter(string_split({norm}, ' '), lambda w: NOT (list_contains({_list(LEXICON.empty_phrases + LEXICON.number_words)}, w) OR regexp_full_match(w, '[0-9]+')))) = 0"
     return f"CASE WHEN {norm} = '' THEN 'empty_text' WHEN list_contains({_list(LEXICON.empty_phrases)}, {norm}) THEN 'empty_phrase' WHEN {idle} AND NOT {_signal(norm)} THEN 'only_empty_or_number_words' WHEN {_words(norm)} <= 3 AND NOT {_signal(norm)} THEN 'too_short_without_problem_signal' WHEN {_words(norm)} <= 5 AND NOT {_signal(norm)} THEN 'short_noninformative' ELSE 'useful' END"
@@ -301,6 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "count_words": f"SELECT doc_id, {_words('text')}::BIGINT AS n_words FROM documents",
         "pattern_strip": _strip(),
         "pii_mask": _mask(),
+        "number_run_mask": _mask_runs(),
         "problem_keywords": f"WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents) SELECT doc_id, array_to_string({_found('norm')}, '|') AS keywords FROM d",
         "keyword_counts": f"WITH d AS (SELECT {_norm('text')} AS norm FROM documents) SELECT keyword, count(*) AS n FROM (SELECT unnest({_found('norm')}) AS keyword FROM d) GROUP BY keyword",
         "semantic_keywords": f"""WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents), k(word, named) AS (VALUES {_RANK}),
