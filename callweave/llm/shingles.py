@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,8 @@ import pyarrow as pa
 VALUES = 64  # of a signature
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+_EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+_BYTE = _EXACT.copy()
 for _c in range(65, 91):
     _BYTE[_c] = _BYTE[_c + 32]
 _WORD_BYTE = np.ones(256, bool)
@@ -28,14 +28,9 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full((1 << bits) + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+#: Bytes that are hashed together, and the powers of the base and of its inverse up to there.
+_BLOCK = 1 << 20
+_POWER, _INVERSES = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_BLOCK, b, np.uint64)))) for b in (_BASE, _INVERSE))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,14 +53,28 @@ def word_spans(data: np.ndarray, starts_of_docs: np.ndarray) -> tuple[np.ndarray
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def word_hashes(data: np.ndarray, starts_of_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, exact: bool = False) -> np.ndarray:
+    """A hash of each span of ``data`` (in order, not overlapping); A-Z count as a-z unless ``exact``."""
+    table, out, i = _EXACT if exact else _BYTE, np.zeros(len(begins), np.uint64), 0
+    while i < len(begins):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + _BLOCK, side="right")))
+        low, high = int(begins[i]), int(ends[j - 1])
+        if high - low <= _BLOCK:
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(table[data[low:high]] * _POWER[: high - low], out=total[1:])
+            out[i:j] = (total[ends[i:j] - low] - total[begins[i:j] - low]) * _INVERSES[begins[i:j] - low]
+        else:  # one span that is longer than a block
+            for k in range(low, high, _BLOCK):
+                part = data[k : min(k + _BLOCK, high)]
+                out[i] += (table[part] * _POWER[: len(part)]).sum() * _U(pow(_BASE, k - low, 1 << 64))
+        i = j
+    return mixed(out + (ends - begins).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, starts_of_docs: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word of ``data`` and the number of its text."""
     begins, ends = word_spans(data, starts_of_docs)
-    power, inverse = _powers(max(20, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    doc = np.searchsorted(starts_of_docs, begins, side="right") - 1
-    return mixed((total[ends] - total[begins]) * inverse[begins] + (ends - begins).astype(np.uint64)), doc
+    return span_hashes(data, begins, ends, exact), np.searchsorted(starts_of_docs, begins, side="right") - 1
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
