@@ -4,7 +4,8 @@ A text is a bag of passages of PASSAGE_WORDS words. Each passage is described by
 kinds of characters follow each other and by how its words repeat, and encoded by a small layer.
 Gated attention, learned from the labels of whole documents, weighs the passages; the score is read
 from their weighted sum. The model is fitted on a bounded sample of labelled documents with
-numpy and sent to all tasks; scoring reads every passage of every text.
+numpy and sent to all tasks; scoring reads every passage of every text. A long text is read in
+blocks, whose attention sums are merged, so memory doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm import shingles
-from callweave.llm.common import only
+from callweave.llm.common import only, unused
 
 PASSAGE_WORDS = 48
+#: Bytes of text that are read together; longer texts are read in blocks of about as many.
+BLOCK = 1 << 19
+#: Passages of a labelled document that are learned from at most, evenly spread over its whole text.
+BAG = 64
 #: Labelled documents that the model is fitted on at most (those whose ids hash lowest).
 SAMPLE = 2500
 FOLDS, HELD_OUT = 5, 0
@@ -37,7 +42,8 @@ FEATURES = KINDS * KINDS + 4
 def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of the passages of consecutive texts, and the number of each one's text.
 
-    A text without words is one passage of zeros.
+    A text without words is one passage of zeros. Pairs of characters count where both lie in the
+    passage, with the white space behind its words.
     """
     n = len(starts) - 1
     words, doc = shingles.word_hashes(data, starts[:-1]) if len(data) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -56,6 +62,7 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         kind = _KIND[data]
         of_byte = np.searchsorted(cut, np.arange(len(data) - 1), side="right") - 1
         inside = of_byte >= 0
+        inside[cut[cut > 0] - 1] = False  # pairs across passages
         pair = passage[first][of_byte] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
         counts = np.bincount(pair[inside], minlength=total * KINDS * KINDS).reshape(total, -1)
         out[:, : KINDS * KINDS] = counts / np.maximum(1, counts.sum(1, keepdims=True))
@@ -73,6 +80,20 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, owner
 
 
+def blocks(data: np.ndarray, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """The bytes of one text in blocks of whole passages, of about ``size`` bytes unless its words are longer."""
+    start, step = 0, size
+    while len(data) - start > step:
+        begins, _ = shingles.word_spans(data[start : start + step], np.zeros(1, np.int64))
+        whole = (len(begins) - 1) // PASSAGE_WORDS * PASSAGE_WORDS
+        if whole <= 0:
+            step *= 2
+            continue
+        yield data[start : start + begins[whole]]
+        start, step = start + int(begins[whole]), size
+    yield data[start:]
+
+
 @dataclass
 class Model:
     """Encoder, gated attention and read-out, with the scaling of the features."""
@@ -82,6 +103,7 @@ class Model:
     w: dict[str, np.ndarray]
 
     def forward(self, x: np.ndarray, owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """Attention over the passages of ``n`` texts; ``top`` and ``sum`` are what ``merged`` needs of a text's parts."""
         w = self.w
         h = np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ w["enc"] + w["enc0"])
         t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
@@ -89,13 +111,40 @@ class Model:
         top = np.full(n, -np.inf, a.dtype)
         np.maximum.at(top, owner, a)
         e = np.exp(a - top[owner])
-        weight = e / np.bincount(owner, weights=e, minlength=n)[owner]
+        total = np.bincount(owner, weights=e, minlength=n)
+        weight = e / total[owner]
         at = np.searchsorted(owner, np.arange(n))
         z = np.add.reduceat(h * weight[:, None].astype(h.dtype), at)
-        return {"h": h, "t": t, "g": g, "weight": weight, "z": z, "logit": z @ w["c"] + w["c0"]}
-
-    def score(self, x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(x, owner, n)["logit"].astype(float), -30, 30)))
+        return {"h": h, "t": t, "g": g, "weight": weight, "top": top, "sum": total, "z": z, "logit": z @ w["c"] + w["c0"]}
+
+    def logits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The log odds of consecutive texts; one that is longer than BLOCK is read in parts, whose attention sums are merged."""
+        n = len(starts) - 1
+        if n != 1 or len(data) <= BLOCK:
+            return self.forward(*passages(data, starts), n)["logit"].astype(float)
+        top, total, z = -np.inf, 0.0, 0.0
+        for part in blocks(data):
+            f = self.forward(*passages(part, np.array([0, len(part)])), 1)
+            new = max(top, float(f["top"][0]))
+            before, own = total * np.exp(top - new), float(f["sum"][0]) * np.exp(float(f["top"][0]) - new)
+            z = (z * before + f["z"][0].astype(float) * own) / (before + own)
+            top, total = new, before + own
+        return np.array([float(z @ self.w["c"] + self.w["c0"])])
+
+    def score(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(data, starts), -30, 30)))
+
+
+def bag(data: np.ndarray) -> np.ndarray:
+    """At most BAG passages of one text, every 2^k-th of the whole text."""
+    kept, step, seen = np.zeros((0, FEATURES), np.float32), 1, 0
+    for part in blocks(data):
+        x, _ = passages(part, np.array([0, len(part)]))
+        kept = np.concatenate([kept, x[-seen % step :: step]])
+        seen += len(x)
+        while len(kept) > BAG:
+            kept, step = kept[::2], step * 2
+    return kept
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 24, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
@@ -146,17 +195,16 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model fitted on at most ``sample`` labelled documents that aren't held out.
 
     Rows without a label, text or id teach nothing; of an id's rows or labels, one counts. The
-    features of the sample are collected: a row of FEATURES floats for each 48 words.
+    features of the sample are collected: at most BAG passages of a document, a row of FEATURES floats each.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = only(df, id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "label", "text")
+    known = only(labels, id=id_col, label=label_col).where("label is not null and id is not null").where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = only(df, id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, starts in shingles.runs(batch.column("text")):
-                x, owner = passages(data, starts)
-                bags = [x[owner == i].tobytes() for i in range(len(starts) - 1)]
+                bags = [bag(data[a:b]).tobytes() for a, b in zip(starts, starts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(bags)), batch.column("label").slice(first, len(bags)).cast(pa.int32()), pa.array(bags, pa.binary())], names=["id", "label", "bag"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -165,7 +213,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit(bags, np.array([y for y, _ in found.values()], np.float32))
 
 
-def with_score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+def with_score(df: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
     """``df`` with the score of each whole text, from 0 to 1; null texts count as empty."""
     from pyspark.sql import types as T
 
@@ -174,7 +222,7 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text", score_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            scores = [own.score(*passages(data, starts), len(starts) - 1) for _, data, starts in shingles.runs(batch.column(text_col), 1 << 19)]
+            scores = [own.score(data, starts) for _, data, starts in shingles.runs(batch.column(text_col), BLOCK)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, score_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())]))
@@ -188,10 +236,14 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     gives no rows; other columns are ignored.
     """
     model = train(df, labels, id_col, text_col)
-    scored = with_score(only(df, id=id_col, text=text_col), model)
-    return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= KEEP).cast("int").alias("predicted"))
+    scored = with_score(only(df, id=id_col, text=text_col), model, "text", "score")
+    return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def keep_predicted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``model`` scores KEEP or more, with its own columns."""
-    return with_score(df, model, text_col).where(F.col("_score") >= KEEP).drop("_score")
+    """The rows of ``df`` that ``model`` scores KEEP or more, with its own columns.
+
+    Null and empty texts have the score of an empty passage; repeated rows share their fate.
+    """
+    (name,) = unused(df, "score")
+    return with_score(df, model, text_col, name).where(F.col(name) >= KEEP).drop(name)
