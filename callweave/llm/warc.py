@@ -1,9 +1,10 @@
 """WARC 1.1 archives as chunked record tables.
 
 An archive is a table of rows (seq, chunk_no, last, data); the data of its rows, ordered by seq and
-chunk_no, are the bytes of a WARC file. Payloads are cut into chunks of CHUNK bytes straight from
-the column's buffer, and read back chunk by chunk with a running digest, so no task ever holds a
-second copy of a record. Records of one chunk are read where they lie; only those of several are
+chunk_no, are the bytes of a WARC file. Spark cuts payloads into chunks of CHUNK bytes, and tasks see
+only chunks: writing carries a digest along those of a record, whose head is known with the last of
+them and stored as its row number 0; reading carries a digest along again. So no task holds a
+record. Records of one chunk are one row and are read where they lie; only those of several are
 brought together by sequence number.
 """
 
@@ -12,13 +13,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import only, stored
+from callweave.llm.common import Scratch, only, stored
 
 CHUNK = 64 << 10
 #: Bytes of chunks in an Arrow batch.
@@ -54,14 +56,6 @@ def record_head(page_id, url: str | None, digest: str, n_bytes: int, response_id
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http
 
 
-def chunks(head: bytes, payload: memoryview, size: int = CHUNK) -> Iterator[tuple[int, bool, bytes]]:
-    """A record as (chunk_no, last, data); the first chunk has the headers too."""
-    last = max(0, -(-len(payload) // size) - 1)
-    for k in range(last + 1):
-        part = payload[k * size : (k + 1) * size]
-        yield k, k == last, (head if not k else b"") + bytes(part) + (b"\r\n\r\n" if k == last else b"")
-
-
 class RecordReader:
     """Reads one record from its chunks, in order, with a running digest of the payload."""
 
@@ -105,45 +99,99 @@ class RecordReader:
         return self.head.get("X-Page-ID"), size, said, self.head["WARC-Type"], self.head.get("X-Refers-To-Page-ID"), self.head.get("WARC-Target-URI")
 
 
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], data: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about BATCH bytes in field ``data`` of the rows."""
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[data]) + 64
+        if size >= BATCH:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+def digested(chunks: DataFrame, id_type: str) -> DataFrame:
+    """Payload chunks with ``seq``, and the facts of each record (id, url, size, digest) on its row number 0.
+
+    ``chunks``: id, url, n_bytes, chunk_no (from 0, in order), last, part. A record of one chunk has it
+    on row 0; those of several have their chunks on the rows from 1 on.
+    """
+    names = ["seq", "chunk_no", "last", "part", "id", "url", "n_bytes", "digest"]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), None, pa.string(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            context = TaskContext.get()
+            seq, sha1 = (context.partitionId() if context else 0) << 40, None
+            for batch in chain([head], batches):
+                columns = [batch.column(c) for c in ("id", "url", "n_bytes", "chunk_no", "last", "part")]
+                for ident, url, n, k, last, part in zip(*columns, strict=True):
+                    part, k, last = part.as_py(), k.as_py(), last.as_py()
+                    sha1 = sha1 if k else hashlib.sha1()
+                    sha1.update(part)
+                    facts = (ident.as_py(), url.as_py(), n.as_py(), sha1.hexdigest()) if last else (None, None, None, None)
+                    if last and not k:
+                        yield (seq, 0, True, part, *facts)
+                    else:
+                        yield (seq, k + 1, last, part, None, None, None, None)
+                        if last:
+                            yield (seq, 0, False, b"", *facts)
+                    seq += last
+
+        head = next(batches, None)
+        if head is not None:
+            yield from _batches(rows(), names, [t or head.schema.field("id").type for t in kinds], 3)
+
+    return chunks.mapInArrow(run, f"seq long, chunk_no int, last boolean, part binary, id {id_type}, url string, n_bytes long, digest string")
+
+
 def write_archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """The chunked record table of ``df``, stored in the shared folder.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, that with the largest id is the
     response (repeated rows of it too) and the others revisit it; so do rows with a null id, if any
-    other has one. Null payloads are empty, null urls have no URI.
+    other has one. Null payloads are empty, null urls have no URI. Payloads meet only their own
+    sequence number: which of them are copies is decided by digests and ids alone.
     """
-    source = only(df, id=id_col, url=url_col, html=payload_col).withColumn("html", F.coalesce("html", F.lit("")))
-    coded = source.select("id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n_bytes"))
-    copies = coded.where(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("id").alias("response_id"), F.count("*").alias("n"))
-    # Stored, so that its size is known: Spark broadcasts it below its threshold, else joins by shuffles.
-    known = stored(copies.where("n > 1").select("digest", "response_id"), "payloads")
-    rows = coded.join(known, "digest", "left").withColumn("response_id", F.when(~F.col("id").eqNullSafe(F.col("response_id")), F.col("response_id")))
+    scratch = Scratch(df.sparkSession)
+    source = only(df, id=id_col, url=url_col, html=payload_col)
+    payload = source.select("id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    sized = payload.select("*", F.octet_length("payload").cast("long").alias("n_bytes"))
+    last = F.greatest(F.ceil(F.col("n_bytes") / CHUNK).cast("int") - 1, F.lit(0))
+    each = sized.select("id", "url", "payload", "n_bytes", last.alias("to"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    chunks = each.select("id", "url", "n_bytes", "chunk_no", (F.col("chunk_no") == F.col("to")).alias("last"), F.substring("payload", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)).alias("part"))
+    kept = scratch.stored(digested(chunks, source.schema["id"].dataType.simpleString()), "payloads")
+
+    large = kept.where((F.col("chunk_no") == 0) & (F.col("n_bytes") >= LEAST_REVISIT)).select("seq", "id", "digest")
+    copies = large.groupBy("digest").agg(F.max("id").alias("response_id"), F.count("*").alias("n")).where("n > 1 and response_id is not null")
+    # Stored, so that their size is known: Spark broadcasts them below its threshold, else joins by shuffles.
+    known = scratch.stored(copies.select("digest", "response_id"), "responses")
+    again = large.join(known, "digest").where(~F.col("id").eqNullSafe(F.col("response_id")))
+    revisits = scratch.stored(again.select("seq", "response_id"), "revisits")
+    rows = kept.join(revisits, "seq", "left").where("chunk_no = 0 or response_id is null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        seq = (context.partitionId() if context else 0) << 40
-        held, size = [], 0
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seq", "chunk_no", "last", "data"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("id", "url", "digest", "n_bytes", "response_id")]
-            html = batch.column("html")
-            for k, (ident, url, digest, n, response) in enumerate(zip(*columns, strict=True)):
-                payload = html[k].as_buffer() if response is None else b""
-                for chunk_no, last, data in chunks(record_head(ident, url, digest, n, response), memoryview(payload)):
-                    held.append((seq, chunk_no, last, data))
-                    size += len(data)
-                    if size >= BATCH:
-                        yield batch_of(held)
-                        held, size = [], 0
-                seq += 1
-        if held:
-            yield batch_of(held)
-
-    return stored(rows.select("id", "url", "html", "digest", "n_bytes", "response_id").mapInArrow(run, ARCHIVE), "archive")
+        def rows_of() -> Iterator[tuple]:
+            for batch in batches:
+                columns = [batch.column(c) for c in ("seq", "chunk_no", "last", "part", "id", "url", "n_bytes", "digest", "response_id")]
+                for row in zip(*columns, strict=True):
+                    seq, k, last, part, ident, url, n, digest, response = (x.as_py() for x in row)
+                    revisit = response is not None
+                    last = last or revisit
+                    head = record_head(ident, url, digest, n, response) if not k else b""
+                    yield seq, k, last, head + (b"" if revisit else part) + (b"\r\n\r\n" if last else b"")
+
+        yield from _batches(rows_of(), ["seq", "chunk_no", "last", "data"], [pa.int64(), pa.int32(), pa.bool_(), pa.binary()], 3)
+
+    archive = stored(rows.mapInArrow(run, ARCHIVE), "archive")
+    scratch.drop()
+    return archive
 
 
 def read_archive(archive: DataFrame, id_type: str = "long") -> DataFrame:
