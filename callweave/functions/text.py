@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def first_text(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values], F.lit(""))
 
 
-def trim_words(text: Column, n: int = 55) -> Column:
-    return F.substring_index(normalize_text(text), " ", n)
+def trim_words(text: Column, n: int = 55, normalized: bool = False) -> Column:
+    return F.substring_index(text if normalized else normalize_text(text), " ", n)
 
 
 def short_text(text: Column, limit: int = 320) -> Column:
@@ -84,23 +86,67 @@ def cleaning_ratio(raw_words: Column, clean_words: Column) -> Column:
     return F.when(raw_words > 0, F.round(clean_words / raw_words, 4))
 
 
-def _replaced(state: Column, pattern: str, mark: str, reason: str) -> Column:
-    """``state`` (text, reasons) after one pattern; patterns are literals, so that each is compiled once."""
-    hit = lambda s: F.regexp_like(s["text"], F.lit(f"(?iuU){pattern}"))
-    done = lambda s: F.struct(F.regexp_replace(s["text"], f"(?iuU){pattern}", mark).alias("text"), F.array_append(s["reasons"], F.lit(reason)).alias("reasons"))
-    return let(state, lambda s: F.when(hit(s), done(s)).otherwise(s))
+def any_of(words: list[str]) -> str:
+    """A pattern for the longest of ``words`` at a place, as a tree of their beginnings: a regular expression tries few of them there."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def of(at: dict) -> str:
+        branches = [re.escape(c) + of(below) for c, below in sorted(at.items()) if c]
+        inner = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        return "" if not branches else f"(?:{inner})?" if "" in at else inner
+
+    return of(tree)
+
+
+def needed(pattern: str) -> str:
+    """The longest run of letters that every match of ``pattern`` holds; '' if none can be told."""
+    bare = re.sub(r"\[[^\]]*\]", "\0", re.sub(r"\\.", "\0", pattern))
+    while (inner := re.sub(r"\([^()]*\)", "\0", bare)) != bare:
+        bare = inner
+    if "|" in bare or "(" in bare:
+        return ""
+    bare = re.sub(r"\w(?=[*?{])", "\0", bare)
+    return max(re.findall(r"[^\W\d_]+", bare), key=len, default="")
+
+
+def _replaced(state: Column, pattern: str, mark: str, earlier: str | None, guard=None) -> Column:
+    """``state`` after one more pattern; patterns are literals, so that each is compiled once.
+
+    The text is read once: the reason of the pattern before (``earlier``) is added now if it changed
+    the text. The pattern runs only where ``guard`` holds: that must be cheap, and true wherever it matches.
+    """
+
+    def step(s: Column) -> Column:
+        replaced = F.regexp_replace(s["text"], f"(?iuU){pattern}", mark)
+        if guard is not None:
+            replaced = F.when(guard(s["text"]), replaced).otherwise(s["text"])
+        elif word := needed(pattern).lower():
+            replaced = F.when(F.contains(s["text"], F.lit(word)) | ~s["low"], replaced).otherwise(s["text"])
+        return F.struct(replaced.alias("text"), s["text"].alias("before"), _reasons(s, earlier).alias("reasons"), s["low"].alias("low"))
+
+    return let(state, step)
+
+
+def _reasons(s: Column, reason: str | None) -> Column:
+    return F.when(s["text"] != s["before"], F.array_append(s["reasons"], F.lit(reason))).otherwise(s["reasons"]) if reason else s["reasons"]
 
 
 def _start(text: Column) -> Column:
-    return F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("reasons"))
+    """The text, no reasons yet, and whether it is in lower case (a word of a pattern can then be looked for as it is)."""
+    return let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("text"), t.alias("before"), F.array().cast("array<string>").alias("reasons"), (F.lower(t) == t).alias("low")))
 
 
 def stripped(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """``strip_patterns`` as one struct (text, reasons)."""
-    state = _start(text)
-    for pattern, reason in patterns:
-        state = _replaced(state, pattern, " ", reason)
-    return let(state, lambda s: F.struct(collapse(s["text"]).alias("text"), F.array_sort(F.array_distinct(s["reasons"])).alias("reasons")))
+    state, reason = _start(text), None
+    for pattern, following in patterns:
+        state, reason = _replaced(state, pattern, " ", reason), following
+    return let(state, lambda s: F.struct(collapse(s["text"]).alias("text"), F.array_sort(F.array_distinct(_reasons(s, reason))).alias("reasons")))
 
 
 def strip_patterns(text: Column, patterns: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -120,20 +166,29 @@ PII = [  # Fixed values, in order.
     (r"\b[а-яё]{4,}(?:ова|ева|ина|ская|цкая)\b", "[NAME]", "single_surname_ru"),
     (r"\b[а-яәғқңөұүһі]+нің\s+[а-яәғқңөұүһі]+\s+[а-яәғқңөұүһі]+(?:қызы|ұлы)\b", "[NAME]", "name_kk"),
 ]
+#: What a normalised text must hold for each of PII to match at all.
+PII_GUARDS = [
+    lambda t: F.rlike(t, F.lit(r"\d{12}")),
+    lambda t: F.rlike(t, F.lit(r"(?:\d[ -]?){16}")),
+    lambda t: F.rlike(t, F.lit(r"(?:\+7|8)[\s\-]?\(?\d{3}")),
+    lambda t: F.contains(t, F.lit("@")),
+    lambda t: F.rlike(F.lower(t), F.lit("(?:ова|ева|ина|ская|цкая)")),
+    lambda t: F.contains(F.lower(t), F.lit("нің")),
+]
 
 
 def mask_number_runs(text: Column, number_words: list[str], least: int = 4) -> Column:
     """Runs of ``least`` number words or more as one ``[NUMBER_SEQ]``."""
-    words = "|".join(sorted(number_words, key=lambda w: (-len(w), w)))
-    return F.regexp_replace(text, rf"(?<!\S)(?:{words})(?:\s+(?:{words})){{{least - 1},}}(?!\S)", "[NUMBER_SEQ]")
+    words = any_of(number_words)
+    return F.regexp_replace(text, rf"(?<!\S){words}(?!\S)(?:\s+{words}(?!\S)){{{least - 1},}}", "[NUMBER_SEQ]")
 
 
 def masked(text: Column, number_words: list[str]) -> Column:
     """``mask_pii`` as one struct (text, reasons)."""
-    state = _start(text)
-    for pattern, mark, reason in PII:
-        state = _replaced(state, pattern, mark, reason)
-    runs = let(state, lambda s: F.struct(s["text"].alias("before"), mask_number_runs(s["text"], number_words).alias("after"), s["reasons"].alias("reasons")))
+    state, reason = _start(text), None
+    for (pattern, mark, following), guard in zip(PII, PII_GUARDS, strict=True):
+        state, reason = _replaced(state, pattern, mark, reason, guard), following
+    runs = let(state, lambda s: F.struct(s["text"].alias("before"), mask_number_runs(s["text"], number_words).alias("after"), _reasons(s, reason).alias("reasons")))
     spoken = lambda s: F.when(s["after"] != s["before"], F.array_append(s["reasons"], F.lit("spoken_number_sequence"))).otherwise(s["reasons"])
     return let(runs, lambda s: F.struct(collapse(s["after"]).alias("text"), spoken(s).alias("reasons")))
 
@@ -145,18 +200,29 @@ def mask_pii(text: Column, number_words: list[str]) -> tuple[Column, Column]:
 
 
 def has_keyword(normalized: Column, keywords: list[str]) -> Column:
-    """Whether any keyword occurs in the text, within words too."""
-    return F.exists(texts([plain(k) for k in keywords]), lambda k: F.contains(normalized, k))
+    """Whether any keyword occurs in the text, within words too; the text is computed once."""
+    return F.rlike(normalized, F.lit(any_of([plain(k) for k in keywords]))) if keywords else F.lit(False)
 
 
 def keywords_in(normalized: Column, keywords: list[str]) -> Column:
-    """The keywords that occur, as they are listed, sorted and distinct."""
+    """The keywords that occur, as they are listed, sorted and distinct; the text is computed and read once.
+
+    At each place the longest keyword is taken; all others that begin there are beginnings of it, so
+    the keywords that occur in what was taken are those that occur in the text.
+    """
+    if not keywords:
+        return F.array().cast("array<string>")
+    taken = F.array_join(F.array_distinct(F.regexp_extract_all(normalized, F.lit(f"(?=({any_of([plain(k) for k in keywords])}))"), 1)), "\n")
     pairs = F.array(*[F.struct(F.lit(plain(k)).alias("plain"), F.lit(k).alias("listed")) for k in keywords])
-    return F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda k: F.contains(normalized, k["plain"])), lambda k: k["listed"])))
+    held = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.transform(F.filter(pairs, lambda k: F.contains(t, k["plain"])), lambda k: k["listed"]))
+    return F.array_sort(F.array_distinct(let(taken, held)))
 
 
-def empty_reason(text: Column, lexicon) -> Column:
-    """Why a text says nothing: ``useful`` if it does say something, else the first reason that holds."""
+def empty_reason(text: Column, lexicon, normalized: bool = False) -> Column:
+    """Why a text says nothing: ``useful`` if it does say something, else the first reason that holds.
+
+    ``normalized``: the text is normalised already.
+    """
 
     def judged(x: Column) -> Column:
         t, signal, words = x["t"], x["signal"], x["words"]
@@ -172,7 +238,7 @@ def empty_reason(text: Column, lexicon) -> Column:
         )
 
     counted = lambda t: F.struct(t.alias("t"), has_keyword(t, lexicon.keywords).alias("signal"), count_words(t).alias("words"))
-    return let(let(normalize_text(text), counted), judged)
+    return let(let(text if normalized else normalize_text(text), counted), judged)
 
 
 def ranked_keywords(found: Column, lexicon, most: int = 6) -> Column:
@@ -195,42 +261,44 @@ def ranked_keywords(found: Column, lexicon, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.transform(ranked, lambda x: x["k"])), 1, most)
 
 
-def remove_noise(text: Column, lexicon) -> Column:
+def remove_noise(text: Column, lexicon, normalized: bool = False) -> Column:
     """The normalised text without noise patterns and generic phrases, the longest first."""
-    out = normalize_text(text)
+    out = text if normalized else normalize_text(text)
     for pattern in lexicon.noise:
         out = F.regexp_replace(out, f"(?iuU){pattern}", " ")
     phrases = sorted({plain(g) for g in lexicon.generic}, key=lambda g: (-len(g), g))
     if phrases:
-        out = F.regexp_replace(out, rf"(?iuU)\b(?:{'|'.join(phrases)})\b", " ")
+        out = F.regexp_replace(out, rf"(?U)\b(?:{'|'.join(phrases)})\b", " ")
     return collapse(out)
 
 
 def quality_flags(average_confidence: Column, language_confidence: Column, fallback: Column, reasons: Column, cleaned: Column, empty: Column, raw_words: Column) -> Column:
     """Sorted flags of a cleaned conversation; ``reasons`` are all that were stripped or masked."""
+    low_confidence, high_ratio = 0.75, 0.55  # fixed values
     words = count_words(cleaned)
     pii = [r for _, _, r in PII] + ["name_ru", "spoken_number_sequence", "drop_pii_only_segment"]
     return F.array_sort(
         F.array_compact(
             F.array(
-                F.when(average_confidence < 0.75, "low_avg_confidence"),
+                F.when(average_confidence < low_confidence, "low_avg_confidence"),
                 F.when(language_confidence == "low", "low_language_confidence"),
                 F.when(F.coalesce(fallback, F.lit(False)), "fallback_language_used"),
                 F.when(F.size(F.filter(reasons, lambda r: F.startswith(r, F.lit("asr_")))) >= 2, "many_asr_noise_fragments"),
                 F.when(F.exists(reasons, lambda r: r.isin(pii)), "pii_removed"),
                 F.when(F.contains(F.lower(cleaned), F.lit("[number_seq]")), "contains_number_sequence"),
-                F.when(~empty & (raw_words > 0) & (F.round(words / raw_words, 4) < 0.55), "high_cleaning_ratio"),
+                F.when(~empty & (raw_words > 0) & (F.round(words / raw_words, 4) < high_ratio), "high_cleaning_ratio"),
                 F.when(~empty & (words <= 5), "very_short_but_useful"),
             )
         )
     )
 
 
+# The flags of each priority.
 HIGH = ["transcription_error", "low_avg_confidence", "low_language_confidence", "fallback_language_used", "many_asr_noise_fragments", "high_cleaning_ratio"]
 MEDIUM = ["has_very_low_confidence_words", "has_low_confidence_noise_candidates", "contains_number_sequence", "pii_removed", "very_short_but_useful"]
 
 
 def review_priority(empty: Column, cleaned: Column, flags: Column) -> Column:
     """high for empty conversations and flags of HIGH, medium for flags of MEDIUM, else low."""
-    any_of = lambda names: F.arrays_overlap(flags, F.array(*[F.lit(x) for x in names]))
-    return F.when(empty | (cleaned == "") | any_of(HIGH), "high").when(any_of(MEDIUM), "medium").otherwise("low")
+    some = lambda names: F.arrays_overlap(flags, F.array(*[F.lit(x) for x in names]))
+    return F.when(empty | (cleaned == "") | some(HIGH), "high").when(some(MEDIUM), "medium").otherwise("low")

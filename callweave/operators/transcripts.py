@@ -16,9 +16,9 @@ def clean_turns(df: DataFrame, lexicon: Lexicon = DEFAULT, text_col: str = "text
     masked, personal = T.mask_pii(F.col("_stripped"), lexicon.number_words)
     out = df.withColumn("_norm", T.normalize_text(F.col(text_col)))
     out = out.withColumns({"_stripped": stripped, "_reasons": reasons})
-    out = out.withColumns({"_masked": T.normalize_text(masked), "_personal": personal})
+    out = out.withColumns({"_masked": F.lower(masked), "_personal": personal})
     named = F.contains("_masked", F.lit("[name]")) & ~T.has_keyword(F.col("_masked"), lexicon.keywords)
-    out = out.withColumn("_text", F.when(named, "").otherwise(F.col("_masked"))).withColumn("empty_reason", T.empty_reason(F.col("_text"), lexicon))
+    out = out.withColumn("_text", F.when(named, "").otherwise(F.col("_masked"))).withColumn("empty_reason", T.empty_reason(F.col("_text"), lexicon, True))
     parts = F.concat("_reasons", "_personal", F.when(named, F.array(F.lit("drop_pii_only_segment"))).otherwise(F.array().cast("array<string>")))
     kept = F.when(F.col("empty_reason") == "useful", F.col("_text")).otherwise("")
     return out.withColumns({"removed_parts": F.array_sort(F.array_distinct(parts)), "cleaned_text": kept, "turn_words": T.count_words(F.col(text_col))}).drop("_norm", "_stripped", "_reasons", "_masked", "_personal", "_text")
@@ -33,8 +33,8 @@ def conversations(df: DataFrame, lexicon: Lexicon = DEFAULT, id_col: str = "conv
         F.sum("turn_words").alias("raw_words"),
         F.count("*").alias("n_turns"),
     )
-    whole = joined.withColumn("cleaned_transcript", T.normalize_text(F.array_join(F.transform("_kept", lambda x: x["cleaned_text"]), " ")))
-    whole = whole.withColumn("empty_reason", T.empty_reason(F.col("cleaned_transcript"), lexicon)).withColumn("is_empty", F.col("empty_reason") != "useful")
+    whole = joined.withColumn("cleaned_transcript", F.array_join(F.transform("_kept", lambda x: x["cleaned_text"]), " "))
+    whole = whole.withColumn("empty_reason", T.empty_reason(F.col("cleaned_transcript"), lexicon, True)).withColumn("is_empty", F.col("empty_reason") != "useful")
     missing = F.lit(None)
     flags = T.quality_flags(missing.cast("double"), missing.cast("string"), missing.cast("boolean"), F.col("_removed"), F.col("cleaned_transcript"), F.col("is_empty"), F.col("raw_words"))
     out = whole.withColumns({"clean_words": T.count_words(F.col("cleaned_transcript")), "problem_keywords": T.keywords_in(F.col("cleaned_transcript"), lexicon.keywords), "quality_flags": flags})
@@ -83,7 +83,7 @@ def clean_text(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     def judged(c: Column) -> Column:
         named = F.contains(c["text"], F.lit("[name]")) & ~T.has_keyword(c["text"], lexicon.keywords)
         left = F.struct(F.when(named, "").otherwise(c["text"]).alias("text"), F.when(named, F.array_append(c["removed"], F.lit("drop_pii_only_segment"))).otherwise(c["removed"]).alias("removed"))
-        with_reason = lambda x: F.struct(x["text"].alias("text"), x["removed"].alias("removed"), T.empty_reason(x["text"], lexicon).alias("reason"))
+        with_reason = lambda x: F.struct(x["text"].alias("text"), x["removed"].alias("removed"), T.empty_reason(x["text"], lexicon, True).alias("reason"))
         done = lambda x: F.struct(
             F.when(x["reason"] == "useful", x["text"]).otherwise("").alias("text"),
             F.array_sort(F.array_distinct(x["removed"])).alias("removed"),
@@ -93,7 +93,7 @@ def clean_text(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
         return T.let(T.let(left, with_reason), done)
 
     def masked(s: Column) -> Column:
-        both = lambda m: F.struct(T.normalize_text(m["text"]).alias("text"), F.concat(s["reasons"], m["reasons"]).alias("removed"))
+        both = lambda m: F.struct(F.lower(m["text"]).alias("text"), F.concat(s["reasons"], m["reasons"]).alias("removed"))
         return T.let(T.masked(s["text"], lexicon.number_words), both)
 
     return T.let(T.let(T.stripped(T.normalize_text(text), lexicon.patterns), masked), judged)
@@ -102,7 +102,7 @@ def clean_text(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
 def semantic_text(cleaned: Column, keywords: Column, kept: Column, lexicon: Lexicon = DEFAULT, parts: int = 4, words: int = 55) -> Column:
     """What a conversation is about, in ``words`` words: its best keywords, then what was said around them.
 
-    ``kept`` are the useful pieces in order: they are read until ``parts`` stretches are found. Without
+    All texts are normalised. ``kept`` are the useful pieces in order: they are read until ``parts`` stretches are found. Without
     pieces, or where none has a keyword, the whole ``cleaned`` text is used. '' gives ''.
     """
     around = lambda text, k: T.let(T.words_of(text), lambda t: keyword_windows(t, k))
@@ -113,19 +113,19 @@ def semantic_text(cleaned: Column, keywords: Column, kept: Column, lexicon: Lexi
             hit = F.exists(k, lambda x: F.contains(s, x))
             return F.when(hit, T.let(around(s, k), lambda w: F.when(F.size(w) > 0, F.concat(got, w)).otherwise(F.array_append(got, s)))).otherwise(got)
 
-        return F.when(F.size(got) >= parts, got).otherwise(T.let(T.remove_noise(piece, lexicon), found))
+        return F.when(F.size(got) >= parts, got).otherwise(T.let(T.remove_noise(piece, lexicon, True), found))
 
     def told(x: Column) -> Column:
         k, whole = x["k"], x["whole"]
         of_pieces = F.when(F.size(k) > 0, F.aggregate(F.coalesce(kept, none), none, lambda got, piece: more(got, piece, k))).otherwise(none)
         found = T.let(of_pieces, lambda p: F.when((F.size(p) == 0) & (F.size(k) > 0), around(whole, k)).otherwise(p))
         found = T.let(found, lambda p: F.when(F.size(p) == 0, F.array(whole)).otherwise(p))
-        distinct = F.array_distinct(F.filter(F.transform(found, lambda p: T.normalize_text(p)), lambda p: p != ""))
-        body = T.trim_words(T.remove_noise(F.array_join(distinct, " "), lexicon), words)
+        distinct = F.array_distinct(F.filter(found, lambda p: p != ""))
+        body = T.trim_words(T.remove_noise(F.array_join(distinct, " "), lexicon, True), words, True)
         text = F.array_join(F.filter(F.array_append(k, body), lambda p: p != ""), " ")
-        return F.when(whole == "", "").otherwise(T.trim_words(T.remove_noise(text, lexicon), words))
+        return F.when(whole == "", "").otherwise(T.trim_words(T.remove_noise(text, lexicon, True), words, True))
 
-    return T.let(F.struct(T.ranked_keywords(keywords, lexicon).alias("k"), T.remove_noise(cleaned, lexicon).alias("whole")), told)
+    return T.let(F.struct(T.ranked_keywords(keywords, lexicon).alias("k"), T.remove_noise(cleaned, lexicon, True).alias("whole")), told)
 
 
 def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -148,8 +148,8 @@ def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
             "_removed": F.coalesce(F.flatten(F.transform("_pieces", lambda p: p["c"]["removed"])), F.array().cast("array<string>")),
         }
     )
-    out = out.withColumn("_cleaned", T.normalize_text(F.when(some, F.array_join(F.transform("segments_cleaned", lambda p: p["cleaned_text"]), " ")).otherwise(F.col("_whole"))))
-    out = out.withColumns({"_reason": T.empty_reason(F.col("_cleaned"), lexicon), "_keywords": T.keywords_in(F.col("_cleaned"), lexicon.keywords)})
+    out = out.withColumn("_cleaned", F.when(some, F.array_join(F.transform("segments_cleaned", lambda p: p["cleaned_text"]), " ")).otherwise(F.col("_whole")))
+    out = out.withColumns({"_reason": T.empty_reason(F.col("_cleaned"), lexicon, True), "_keywords": T.keywords_in(F.col("_cleaned"), lexicon.keywords)})
     language = records.language_code(F.col("language"), F.col("selected_language"))
     sure = records.language_confidence(F.col("language"), F.col("language_detection.confidence"))
     raw_words = records.raw_word_count(F.col("word_count"), F.col("words"), F.col("text"))

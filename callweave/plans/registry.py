@@ -63,14 +63,31 @@ def pattern_strip(spark, sf_dir):
 
 
 def pii_mask(spark, sf_dir):
+    """All documents with every mask and reason, runs of number words too."""
     masked, reasons = T.mask_pii(F.col("norm"), LEXICON.number_words)
-    return normalize_text(spark, sf_dir).select("doc_id", masked.alias("masked"), joined(F.filter(reasons, lambda r: r != "spoken_number_sequence")).alias("reasons")).where(~F.contains("masked", F.lit("[NUMBER_SEQ]")))
+    return normalize_text(spark, sf_dir).select("doc_id", masked.alias("masked"), joined(reasons).alias("reasons"))
 
 
 def number_run_mask(spark, sf_dir):
-    """All documents with every mask and reason, runs of number words too."""
-    masked, reasons = T.mask_pii(F.col("norm"), LEXICON.number_words)
-    return normalize_text(spark, sf_dir).select("doc_id", masked.alias("masked"), joined(reasons).alias("reasons"))
+    """All documents with runs of number words masked, and nothing else."""
+    return normalize_text(spark, sf_dir).select("doc_id", T.collapse(T.mask_number_runs(F.col("norm"), LEXICON.number_words)).alias("masked"))
+
+
+#: Texts in Russian and Kazakh for the default lexicon, which the tables have none of.
+SPOKEN = [
+    "Здравствуйте, моя карта заблокирована, не могу войти", "Это Иванова Петрова, счёт №5", "Айгүлдің емес, Серіктің қызы: Асанның әкесінің аты Болат Серікұлы", "код один два три четыре пять всё",
+    "двадцать пять тысяч тенге перевёл", "один два три", "Не приходит СМС, номер +7 701 123 45 67", "почта a.b@c.kz и ИИН 850101300123", "карта 1234 5678-9012 3456 не работает", "да", "спасибо большое",
+    "ну да один", "Face ID не открывается, ошибка 502", "несие төлей алмай жүрмін, ақшам жоқ", "машина причина Ковалевская и причинa", "", "мың екі жүз теңге төледім", "звонили мошенники, украли деньги",
+]
+
+
+def spoken_texts(spark, sf_dir):
+    """Masks, keywords and reasons of SPOKEN by the default lexicon, all 448 keywords."""
+    rows = spark.createDataFrame(list(enumerate(SPOKEN)), "id long, text string").withColumn("norm", T.normalize_text(F.col("text")))
+    masked, reasons = T.mask_pii(F.col("norm"), lexicon.DEFAULT.number_words)
+    found = T.keywords_in(F.col("norm"), lexicon.DEFAULT.keywords)
+    ranked = T.ranked_keywords(found, lexicon.DEFAULT)
+    return rows.select("id", "norm", masked.alias("masked"), joined(reasons).alias("reasons"), joined(found).alias("keywords"), joined(ranked).alias("ranked"), T.empty_reason(F.col("text"), lexicon.DEFAULT).alias("reason"))
 
 
 def problem_keywords(spark, sf_dir):
@@ -148,15 +165,15 @@ def cluster_sizes(spark, sf_dir):
 
 
 def cluster_counts(spark, sf_dir):
-    return embeddings(spark, sf_dir).agg(F.count("*").alias("total"), F.count_distinct(F.when(F.col("cluster_id") != -1, F.col("cluster_id"))).alias("clusters"), F.count_if(F.col("cluster_id") == -1).alias("noise"))
+    return clusters.run_counts(embeddings(spark, sf_dir))
 
 
 def cluster_centroids(spark, sf_dir):
-    return clusters.centroids(embeddings(spark, sf_dir)).select("cluster_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 5).alias("mean"))
+    return clusters.centroids(embeddings(spark, sf_dir)).select("cluster_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 9).alias("mean"))
 
 
 def cluster_probability(spark, sf_dir):
-    return clusters.probabilities(embeddings(spark, sf_dir), "vec_id").select("vec_id", F.round("probability", 3).alias("probability"))
+    return clusters.probabilities(embeddings(spark, sf_dir), "vec_id").select("vec_id", "probability")
 
 
 def clustered_documents(spark, sf_dir):
@@ -168,7 +185,8 @@ def top_terms(spark, sf_dir):
 
 
 def cluster_report(spark, sf_dir):
-    out = clusters.report(clustered_documents(spark, sf_dir), "doc_id", "text", "lang", LEXICON.stopwords, examples=2)
+    spaced = clustered_documents(spark, sf_dir).withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), "lang")).otherwise(F.col("lang")))
+    out = clusters.report(spaced, "doc_id", "text", "lang", LEXICON.stopwords, examples=2)
     return out.select("cluster_id", "cluster_size", "avg_probability", "languages", "example_1", "example_2")
 
 
@@ -214,6 +232,11 @@ def processed_transcripts(spark, sf_dir):
     return tables.as_text(transcripts.process(transcript_items(spark, sf_dir), LEXICON), tables.RESULT_COLUMNS)
 
 
+def cleaned_transcripts(spark, sf_dir):
+    """The result columns but for the semantic text, which SQL can't state in a few lines."""
+    return processed_transcripts(spark, sf_dir).drop("semantic_text")
+
+
 def process_summary(spark, sf_dir):
     return transcripts.process_summary(transcripts.process(transcript_items(spark, sf_dir), LEXICON))
 
@@ -225,7 +248,7 @@ def text_clusters(spark, sf_dir):
 
 
 def hdbscan(spark, sf_dir):
-    return clusters.hdbscan(embeddings(spark, sf_dir).drop("cluster_id"), micro=200).select("vec_id", "cluster_id", "probability")
+    return clusters.hdbscan(embeddings(spark, sf_dir).drop("cluster_id")).select("vec_id", "cluster_id", "probability")
 
 
 def pca_projection(spark, sf_dir):
@@ -238,13 +261,13 @@ def kmeans(spark, sf_dir):
 
 
 def ward(spark, sf_dir):
-    return clusters.ward(embeddings(spark, sf_dir).drop("cluster_id"), micro=60).select("vec_id", "cluster_id")
+    return clusters.ward(embeddings(spark, sf_dir).drop("cluster_id")).select("vec_id", "cluster_id")
 
 
 QUERIES: list[Query] = [
-    flagship, normalize_text, count_words, pattern_strip, pii_mask, number_run_mask, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
+    flagship, normalize_text, count_words, pattern_strip, pii_mask, number_run_mask, spoken_texts, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
     language_scores, detection_windows, csv_values, newest_events, window_counts, cluster_sizes, cluster_counts, cluster_centroids, cluster_probability, top_terms, cluster_report, pca_projection, kmeans, ward,
-    top_keywords, noise_removal, word_confidences, processed_transcripts, process_summary, text_clusters, hdbscan,
+    top_keywords, noise_removal, word_confidences, processed_transcripts, cleaned_transcripts, process_summary, text_clusters, hdbscan,
 ]
 
 
@@ -264,14 +287,91 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _signal(column: str) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{k}')" for k in LEXICON.keywords) + ")"
+def _signal(column: str, keywords: list[str] = LEXICON.keywords) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{lexicon.plain(k)}')" for k in keywords) + ")"
 
 
 def _found(column: str) -> str:
     return f"list_sort(list_filter({_list(LEXICON.keywords)}, lambda k: contains({column}, k)))"
 
 
+#: RE2 knows word boundaries of ASCII only: what stands beside a Cyrillic word is matched instead, twice, as neighbours share it.
+_BEFORE, _AFTER = "(^|[^0-9a-zа-яёәғқңөұүһі_])", "($|[^0-9a-zа-яёәғқңөұүһі_])"
+_NAMES = [f"{_BEFORE}{pattern[2:-2]}{_AFTER}" for pattern, _, _ in T.PII[4:]]
+
+
+def _masked(source: str, keys: str, column: str, number_words: list[str], name: str) -> str:
+    """CTEs that mask the normalised ``column`` of ``source``; the last, ``name``, has ``keys`` (first: the row's own), masked and mask_reasons."""
+    key, steps, text = keys.split(", ")[0], [], column
+    for i, (pattern, mark, _) in enumerate(T.PII):
+        own = pattern if i < 4 else _NAMES[i - 4]
+        into = mark if i < 4 else f"\\1{mark}\\2"
+        before = text
+        if i == 1:  # the separator behind a card's number belongs to it where a word follows, a Cyrillic one too
+            before = f"regexp_replace({text}, '\\b(?:[0-9][ -]?){{15}}[0-9][ -]([а-яёәғқңөұүһі])', '{mark}\\1', 'g')"
+        new = f"regexp_replace({before}, '{own}', '{into}', 'g')"
+        new = new if i < 4 else f"regexp_replace({new}, '{own}', '{into}', 'g')"
+        steps.append(f"{name}{i} AS (SELECT *, {new} AS p{i}, regexp_matches({text}, '{own}') AS q{i} FROM {f'{name}{i - 1}' if i else source})")
+        text = f"p{i}"
+    reasons = ", ".join(f"CASE WHEN q{i} THEN '{r}' END" for i, (_, _, r) in enumerate(T.PII))
+    return ", ".join(steps) + f""",
+{name}_t AS (SELECT {key}, unnest(tok) AS w, unnest(range(0, len(tok))) AS pos FROM (SELECT {key}, list_filter(string_split(regexp_replace({text}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS tok FROM {name}5)),
+{name}_m AS (SELECT *, list_contains({_list(number_words)}, w) AS num FROM {name}_t),
+{name}_g AS (SELECT *, pos - row_number() OVER (PARTITION BY {key}, num ORDER BY pos) AS island FROM {name}_m),
+{name}_r AS (SELECT {key}, num AND count(*) >= 4 AS run, min(pos) AS start, string_agg(w, ' ' ORDER BY pos) AS words FROM {name}_g GROUP BY {key}, num, island),
+{name}_j AS (SELECT {key}, string_agg(CASE WHEN run THEN '[NUMBER_SEQ]' ELSE words END, ' ' ORDER BY start) AS whole, bool_or(run) AS spoken FROM {name}_r GROUP BY {key}),
+{name} AS (SELECT {name}5.*, coalesce(whole, '') AS masked, list_filter([{reasons}, CASE WHEN spoken THEN 'spoken_number_sequence' END], lambda x: x IS NOT NULL) AS mask_reasons FROM {name}5 LEFT JOIN {name}_j USING ({key}))"""
+
+
+def _stripped(source: str, column: str, name: str) -> str:
+    """CTEs that strip the patterns of LEXICON from ``column``; the last, ``name``, adds stripped and strip_reasons."""
+    text, steps = column, []
+    for i, (pattern, _) in enumerate(LEXICON.patterns):
+        steps.append(f"{name}{i} AS (SELECT *, regexp_replace({text}, '{pattern}', ' ', 'g') AS n{i}, regexp_matches({text}, '{pattern}') AS r{i} FROM {f'{name}{i - 1}' if i else source})")
+        text = f"n{i}"
+    reasons = ", ".join(f"CASE WHEN r{i} THEN '{r}' END" for i, (_, r) in enumerate(LEXICON.patterns))
+    return ", ".join(steps) + f", {name} AS (SELECT *, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS stripped, list_filter([{reasons}], lambda x: x IS NOT NULL) AS strip_reasons FROM {name}{len(steps) - 1})"
+
+
+def _pieces(source: str) -> str:
+    """CTEs that clean the ``text`` of ``source`` (key: k) piece by piece; the last, ``pieces``, has its columns, kept and removed."""
+    return f"""normal AS (SELECT *, {_norm('text')} AS norm FROM {source}),
+{_stripped('normal', 'norm', 'bare')}, {_masked('bare', 'k', 'stripped', LEXICON.number_words, 'hidden')},
+left_over AS (SELECT *, CASE WHEN contains(masked, '[NAME]') AND NOT {_signal('lower(masked)')} THEN '' ELSE lower(masked) END AS said FROM hidden),
+pieces AS (SELECT *, CASE WHEN {_reason('said')} = 'useful' THEN said ELSE '' END AS kept,
+  list_sort(list_distinct(list_concat(strip_reasons, mask_reasons, CASE WHEN said = '' AND masked <> '' THEN ['drop_pii_only_segment'] ELSE [] END))) AS removed FROM left_over)"""
+
+
+_PERSONAL = [r for _, _, r in T.PII] + ["name_ru", "spoken_number_sequence", "drop_pii_only_segment"]
+
+
+def _judged(source: str, low_language: str = "false", ratio: str = "false") -> str:
+    """CTEs over ``source`` (cleaned, removed, raw_words): ``judged`` adds reason, clean_words, keywords, flags, priority and ready."""
+    return f"""reasoned AS (SELECT *, {_reason('cleaned')} AS reason, {_words('cleaned')} AS clean_words, {_found('cleaned')} AS keywords FROM {source}),
+flagged AS (SELECT *, reason <> 'useful' AS empty, list_sort(list_filter([
+  CASE WHEN {low_language} THEN 'low_language_confidence' END,
+  CASE WHEN len(list_filter(removed, lambda r: starts_with(r, 'asr_'))) >= 2 THEN 'many_asr_noise_fragments' END,
+  CASE WHEN len(list_filter(removed, lambda r: list_contains({_list(_PERSONAL)}, r))) > 0 THEN 'pii_removed' END,
+  CASE WHEN contains(cleaned, '[number_seq]') THEN 'contains_number_sequence' END,
+  CASE WHEN reason = 'useful' AND {ratio} THEN 'high_cleaning_ratio' END,
+  CASE WHEN reason = 'useful' AND clean_words <= 5 THEN 'very_short_but_useful' END], lambda x: x IS NOT NULL)) AS flags FROM reasoned),
+levelled AS (SELECT *, CASE WHEN empty OR cleaned = '' OR list_has_any(flags, {_list(T.HIGH)}) THEN 'high' WHEN list_has_any(flags, {_list(T.MEDIUM)}) THEN 'medium' ELSE 'low' END AS priority FROM flagged),
+judged AS (SELECT *, NOT empty AND cleaned <> '' AND priority <> 'high' AS ready FROM levelled)"""
+
+
+def _conversations() -> str:
+    return f"""WITH turns AS (SELECT row_number() OVER () AS k, * FROM conversations), {_pieces('turns')},
+whole AS (SELECT conv_id, coalesce(string_agg(kept, ' ' ORDER BY turn, kept) FILTER (kept <> ''), '') AS cleaned, flatten(list(removed)) AS removed, sum({_words('text')})::BIGINT AS raw_words, count(*) AS n_turns FROM pieces GROUP BY conv_id),
+{_judged('whole', ratio='raw_words > 0 AND round(clean_words / raw_words, 4) < 0.55::DOUBLE')}"""
+
+
+def _transcripts() -> str:
+    return f"""WITH items AS (SELECT row_number() OVER () AS item, d.*, quality FROM documents d LEFT JOIN labels USING (doc_id)),
+lines AS (SELECT item * 1000000 + place AS k, * FROM (SELECT item, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM items WHERE text IS NOT NULL)), {_pieces('lines')},
+joined AS (SELECT item, string_agg(kept, ' ' ORDER BY k) FILTER (kept <> '') AS cleaned, flatten(list(removed ORDER BY k)) AS removed FROM pieces GROUP BY item),
+whole AS (SELECT items.*, coalesce(cleaned, '') AS cleaned, coalesce(removed, []) AS removed FROM items LEFT JOIN joined USING (item)), {_judged('whole', low_language='quality = 0')}"""
+
+
 def _strip() -> str:
     text, steps = "n0", []
     for i, (pattern, _) in enumerate(LEXICON.patterns):
@@ -281,34 +381,25 @@ def _strip() -> str:
     return f"WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)} SELECT doc_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS stripped, array_to_string(list_sort(list_filter([{reasons}], lambda x: x IS NOT NULL)), '|') AS reasons FROM s{len(steps)}"
 
 
-def _mask() -> str:
-    text, steps = "n0", []
-    for i, (pattern, mark, _) in enumerate(T.PII[:4]):
-        steps.append(f"s{i + 1} AS (SELECT *, regexp_replace({text}, '{pattern}', '{mark}', 'g') AS n{i + 1}, regexp_matches({text}, '{pattern}') AS r{i + 1} FROM s{i})")
-        text = f"n{i + 1}"
-    reasons = ", ".join(f"CASE WHEN r{i + 1} THEN '{r}' END" for i, (_, _, r) in enumerate(T.PII[:4]))
-    return f"WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)} SELECT doc_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS masked, array_to_string(list_filter([{reasons}], lambda x: x IS NOT NULL), '|') AS reasons FROM s4 WHERE NOT regexp_matches({text}, '(^|\\s)({'|'.join(LEXICON.number_words)})(\\s+({'|'.join(LEXICON.number_words)})){{3,}}(\\s|$)')"
-
-
-def _mask_runs() -> str:
-    """The masks of ``_mask`` for all documents, and runs of four number words or more as islands of token positions."""
-    text, steps = "n0", []
-    for i, (pattern, mark, _) in enumerate(T.PII[:4]):
-        steps.append(f"s{i + 1} AS (SELECT *, regexp_replace({text}, '{pattern}', '{mark}', 'g') AS n{i + 1}, regexp_matches({text}, '{pattern}') AS r{i + 1} FROM s{i})")
-        text = f"n{i + 1}"
-    reasons = ", ".join(f"CASE WHEN r{i + 1} THEN '{r}' END" for i, (_, _, r) in enumerate(T.PII[:4]))
-    return f"""WITH s0 AS (SELECT doc_id, {_norm('text')} AS n0 FROM documents), {', '.join(steps)},
-t AS (SELECT doc_id, unnest(tok) AS w, unnest(range(0, len(tok))) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace({text}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS tok FROM s4)),
-m AS (SELECT *, list_contains({_list(LEXICON.number_words)}, w) AS num FROM t),
-g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, num ORDER BY pos) AS island FROM m),
-r AS (SELECT doc_id, num AND count(*) >= 4 AS run, min(pos) AS start, string_agg(w, ' ' ORDER BY pos) AS words FROM g GROUP BY doc_id, num, island),
-j AS (SELECT doc_id, string_agg(CASE WHEN run THEN '[NUMBER_SEQ]' ELSE words END, ' ' ORDER BY start) AS masked, bool_or(run) AS spoken FROM r GROUP BY doc_id)
-SELECT doc_id, coalesce(masked, '') AS masked, array_to_string(list_filter([{reasons}, CASE WHEN spoken THEN 'spoken_number_sequence' END], lambda x: x IS NOT NULL), '|') AS reasons FROM s4 LEFT JOIN j USING (doc_id)"""
+def _reason(norm: str, words: lexicon.Lexicon = LEXICON) -> str:
+    idle = f"len(list_filter(string_split({norm}, ' '), lambda w: NOT (list_contains({_list(words.empty_phrases + words.number_words)}, w) OR regexp_full_match(w, '[0-9]+')))) = 0"
+    return f"CASE WHEN {norm} = '' THEN 'empty_text' WHEN list_contains({_list(words.empty_phrases)}, {norm}) THEN 'empty_phrase' WHEN {_signal(norm, words.keywords)} THEN 'useful' WHEN {idle} THEN 'only_empty_or_number_words' WHEN {_words(norm)} <= 3 THEN 'too_short_without_problem_signal' WHEN {_words(norm)} <= 5 THEN 'short_noninformative' ELSE 'useful' END"
 
 
-def _reason(norm: str) -> str:
-    idle = f"len(list_filter(string_split({norm}, ' '), lambda w: NOT (list_contains({_list(LEXICON.empty_phrases + LEXICON.number_words)}, w) OR regexp_full_match(w, '[0-9]+')))) = 0"
-    return f"CASE WHEN {norm} = '' THEN 'empty_text' WHEN list_contains({_list(LEXICON.empty_phrases)}, {norm}) THEN 'empty_phrase' WHEN {idle} AND NOT {_signal(norm)} THEN 'only_empty_or_number_words' WHEN {_words(norm)} <= 3 AND NOT {_signal(norm)} THEN 'too_short_without_problem_signal' WHEN {_words(norm)} <= 5 AND NOT {_signal(norm)} THEN 'short_noninformative' ELSE 'useful' END"
+def _spoken() -> str:
+    d = lexicon.DEFAULT
+    pairs = ", ".join(f"('{lexicon.plain(k)}', '{k}', '{d.canonical.get(lexicon.plain(k), lexicon.plain(k))}')" for k in dict.fromkeys(d.keywords))
+    words = "len(string_split(named, ' '))"
+    return f"""WITH given(id, text) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(SPOKEN))}), normal AS (SELECT id::BIGINT AS id, text, {_norm('text')} AS norm FROM given),
+{_masked('normal', 'id', 'norm', d.number_words, 'hidden')}, keys(plain, listed, named) AS (VALUES {pairs}),
+hits AS (SELECT id, listed, named FROM normal JOIN keys ON contains(norm, plain)),
+found AS (SELECT id, string_agg(DISTINCT listed, '|' ORDER BY listed) AS keywords FROM hits GROUP BY id),
+scored AS (SELECT DISTINCT id, named, CASE WHEN list_contains({_list(d.strong)}, named) THEN 100 ELSE 0 END + CASE WHEN {words} >= 3 THEN 40 WHEN {words} = 2 THEN 20 ELSE 0 END
+  + CASE WHEN len(list_filter({_list(d.markers)}, lambda m: contains(named, m))) > 0 THEN 30 ELSE 0 END + least(length(named), 30) AS score
+  FROM hits WHERE length(named) >= 3 AND NOT list_contains({_list(d.weak + d.generic)}, named)),
+places AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, named) AS place FROM scored),
+best AS (SELECT id, string_agg(named, '|' ORDER BY place) AS ranked FROM places WHERE place <= 6 GROUP BY id)
+SELECT id, norm, masked, array_to_string(mask_reasons, '|') AS reasons, coalesce(keywords, '') AS keywords, coalesce(ranked, '') AS ranked, {_reason('norm', d)} AS reason FROM hidden LEFT JOIN found USING (id) LEFT JOIN best USING (id)"""
 
 
 _RANK = ", ".join(f"('{k}', '{LEXICON.canonical.get(k, k)}')" for k in LEXICON.keywords)
@@ -322,8 +413,32 @@ def oracle_sql() -> dict[str, str]:
         "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
         "count_words": f"SELECT doc_id, {_words('text')}::BIGINT AS n_words FROM documents",
         "pattern_strip": _strip(),
-        "pii_mask": _mask(),
-        "number_run_mask": _mask_runs(),
+        "pii_mask": f"WITH normal AS (SELECT doc_id, {_norm('text')} AS norm FROM documents), {_masked('normal', 'doc_id', 'norm', LEXICON.number_words, 'hidden')} SELECT doc_id, masked, array_to_string(mask_reasons, '|') AS reasons FROM hidden",
+        "number_run_mask": f"""WITH t AS (SELECT doc_id, unnest(tok) AS w, unnest(range(0, len(tok))) AS pos FROM (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS tok FROM documents)),
+g AS (SELECT *, num, pos - row_number() OVER (PARTITION BY doc_id, num ORDER BY pos) AS island FROM (SELECT *, list_contains({_list(LEXICON.number_words)}, w) AS num FROM t)),
+r AS (SELECT doc_id, num AND count(*) >= 4 AS run, min(pos) AS start, string_agg(w, ' ' ORDER BY pos) AS words FROM g GROUP BY doc_id, num, island),
+j AS (SELECT doc_id, string_agg(CASE WHEN run THEN '[NUMBER_SEQ]' ELSE words END, ' ' ORDER BY start) AS masked FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(masked, '') AS masked FROM documents LEFT JOIN j USING (doc_id)""",
+        "spoken_texts": _spoken(),
+        "keyword_windows": f"""WITH d AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS t FROM documents),
+h AS (SELECT doc_id, t, list_concat(
+  list_transform(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'), lambda i: [{{'s': greatest(i - 8, 0), 'e': least(i + 19, len(t))}}]),
+  list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'is'), lambda i: [{{'s': greatest(i - 8, 0), 'e': least(i + 18, len(t))}}])) AS hits FROM d),
+w AS (SELECT doc_id, t, list_reduce(hits, lambda got, h: CASE WHEN len(got) < 4 AND len(list_filter(got, lambda g: h[1].s < g.e AND g.s < h[1].e)) = 0 THEN list_concat(got, h) ELSE got END, []::STRUCT(s BIGINT, e BIGINT)[]) AS taken FROM h)
+SELECT doc_id, array_to_string(list_transform(taken, lambda g: array_to_string(t[g.s + 1:g.e], ' ')), '|') AS windows FROM w""",
+        "conversations": f"""{_conversations()} SELECT conv_id, raw_words, n_turns, cleaned AS cleaned_transcript, reason AS empty_reason, empty AS is_empty, clean_words, array_to_string(keywords, '|') AS problem_keywords, array_to_string(flags, '|') AS quality_flags,
+  priority AS review_priority, CASE WHEN raw_words > 0 THEN round(clean_words / raw_words, 4) END AS cleaning_ratio, ready FROM judged""",
+        "conversation_summary": f"""{_conversations()} SELECT count(*) AS total, count(*) FILTER (empty) AS empty, count(*) FILTER (NOT empty) AS useful, count(*) FILTER (len(flags) > 0) AS review_needed, count(*) FILTER (ready) AS ready,
+  {', '.join(f"count(*) FILTER (priority = '{p}') AS priority_{p}" for p in ('low', 'medium', 'high'))} FROM judged""",
+        "flag_counts": f"{_conversations()} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM judged) GROUP BY flag",
+        "cleaned_transcripts": f"""{_transcripts()} SELECT doc_id::VARCHAR AS file_name, CASE WHEN text IS NULL THEN 'error' ELSE 'processed' END AS status, coalesce(lang, '') AS selected_language, CASE WHEN quality = 0 THEN 'low' ELSE '' END AS language_confidence,
+  CASE WHEN text IS NULL THEN '' ELSE {_words('text')}::VARCHAR END AS word_count_raw, CASE WHEN text IS NULL THEN '' ELSE clean_words::VARCHAR END AS word_count_cleaned, (text IS NULL OR empty)::VARCHAR AS is_empty_call,
+  CASE WHEN text IS NULL THEN 'transcription_error' ELSE reason END AS empty_reason, CASE WHEN text IS NULL THEN 'high' ELSE priority END AS review_priority, (text IS NOT NULL AND ready)::VARCHAR AS ready_for_classification,
+  CASE WHEN text IS NULL THEN 'transcription_error' ELSE array_to_string(flags, ', ') END AS quality_flags, CASE WHEN text IS NULL THEN '' ELSE array_to_string(keywords, ', ') END AS problem_keywords_found,
+  coalesce(text, '') AS raw_transcript, CASE WHEN text IS NULL THEN '' ELSE cleaned END AS cleaned_transcript FROM judged""",
+        "process_summary": f"""{_transcripts()} SELECT count(*) AS total, count(*) FILTER (text IS NOT NULL AND NOT empty) AS useful, count(*) FILTER (text IS NULL OR empty) AS empty, count(*) FILTER (text IS NULL) AS errors,
+  count(*) FILTER (text IS NULL OR len(flags) > 0) AS review_needed, count(*) FILTER (text IS NOT NULL AND ready) AS ready, count(*) FILTER (text IS NULL OR NOT ready) AS not_ready,
+  {', '.join(f"count(*) FILTER (CASE WHEN text IS NULL THEN 'high' ELSE priority END = '{p}') AS priority_{p}" for p in ('low', 'medium', 'high'))} FROM judged""",
         "problem_keywords": f"WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents) SELECT doc_id, array_to_string({_found('norm')}, '|') AS keywords FROM d",
         "keyword_counts": f"WITH d AS (SELECT {_norm('text')} AS norm FROM documents) SELECT keyword, count(*) AS n FROM (SELECT unnest({_found('norm')}) AS keyword FROM d) GROUP BY keyword",
         "semantic_keywords": f"""WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents), k(word, named) AS (VALUES {_RANK}),
@@ -348,12 +463,12 @@ SELECT doc_id, word_count, special_chars, default_hits, special_hits, evidence,
         "newest_events": "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 50",
         "window_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
         "cluster_sizes": f"SELECT vec_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, CASE WHEN cluster_id = -1 THEN 'noise' ELSE 'clustered' END AS cluster_status FROM {_EMB}",
-        "cluster_counts": f"SELECT count(*) AS total, count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS clusters, count(*) FILTER (cluster_id = -1) AS noise FROM {_EMB}",
-        "cluster_centroids": f"SELECT cluster_id, dim, round(avg(x), 5) AS mean FROM (SELECT cluster_id, unnest(range(0, len(vec))) AS dim, unnest(vec)::DOUBLE AS x FROM {_EMB}) GROUP BY ALL",
+        "cluster_counts": f"SELECT count(*) AS total, count(*) FILTER (cluster_id <> -1) AS clustered, count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS clusters, count(*) FILTER (cluster_id = -1) AS noise FROM {_EMB}",
+        "cluster_centroids": f"SELECT cluster_id, dim, round(avg(x), 9) AS mean FROM (SELECT cluster_id, unnest(range(0, len(vec))) AS dim, unnest(vec)::DOUBLE AS x FROM {_EMB}) GROUP BY ALL",
         "cluster_probability": f"""WITH e AS (SELECT vec_id, cluster_id, unnest(range(0, len(vec))) AS dim, unnest(vec)::DOUBLE AS x FROM {_EMB}), c AS (SELECT cluster_id, dim, avg(x) AS m FROM e GROUP BY ALL),
 p AS (SELECT vec_id, cluster_id, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS cos FROM e JOIN c USING (cluster_id, dim) GROUP BY ALL),
 b AS (SELECT *, min(cos) OVER w AS low, max(cos) OVER w AS high, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY cluster_id))
-SELECT vec_id, round(round_even(CASE WHEN cluster_id = -1 THEN 0 WHEN n = 1 THEN 1 ELSE 0.5 + 0.5 * CASE WHEN high > low THEN (cos - low) / (high - low) ELSE 1 END END, 4), 3) AS probability FROM b""",
+SELECT vec_id, round_even(CASE WHEN cluster_id = -1 THEN 0 WHEN n = 1 THEN 1 ELSE 0.5 + 0.5 * CASE WHEN high > low THEN (cos - low) / (high - low) ELSE 1 END END, 4) AS probability FROM b""",
         "top_terms": f"""WITH t AS (SELECT cluster_id, doc_id, unnest(range(0, len(tok))) AS pos, unnest(tok) AS term FROM (SELECT cluster_id, doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN}'), lambda w: length(w) >= 4 AND NOT list_contains({_list(LEXICON.stopwords)}, w)) AS tok FROM {_DOCS})),
 c AS (SELECT cluster_id, term, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS rank FROM c)
 SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS top_terms FROM r WHERE rank <= 12 GROUP BY cluster_id""",
@@ -366,5 +481,5 @@ c AS (SELECT doc_id, words, list_filter(words, lambda x: (length(x) * 37) % 100
 SELECT doc_id, len(words) AS total, len(low) AS low, len(very) AS very_low, CASE WHEN len(words) > 0 THEN round(len(low)::DOUBLE / len(words), 4) END AS low_ratio,
   array_to_string(list_transform(very[1:30], lambda x: x || ':' || printf('%.4f', ((length(x) * 37) % 100) / 100.0::DOUBLE)), '; ') AS very_low_words FROM c""",
         "cluster_report": f"""WITH d AS {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY probability DESC, doc_id) AS k, CASE WHEN length(trim(text, ' ')) > 320 THEN rtrim(substr(trim(text, ' '), 1, 320), ' ') || '...' ELSE coalesce(trim(text, ' '), '') END AS short FROM d)
-SELECT cluster_id, count(*) AS cluster_size, round(avg(probability), 4) AS avg_probability, array_to_string(list_sort(list_distinct(list(trim(lang)))), ', ') AS languages, coalesce(max(short) FILTER (k = 1), '') AS example_1, coalesce(max(short) FILTER (k = 2), '') AS example_2 FROM r GROUP BY cluster_id""",
+SELECT cluster_id, count(*) AS cluster_size, round(avg(probability), 4) AS avg_probability, array_to_string(list_sort(list_transform(list(DISTINCT CASE WHEN doc_id % 5 = 0 THEN ' ' || lang ELSE lang END) FILTER (trim(lang) <> ''), lambda x: trim(x))), ', ') AS languages, coalesce(max(short) FILTER (k = 1), '') AS example_1, coalesce(max(short) FILTER (k = 2), '') AS example_2 FROM r GROUP BY cluster_id""",
     }

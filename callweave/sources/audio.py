@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.functions import language
+from callweave.functions import language, records
 
 # Fixed values.
 EXTENSIONS = [".wav", ".mp3", ".m4a", ".mp4", ".ogg", ".flac", ".aac", ".wma", ".webm", ".opus", ".aiff", ".aif"]
@@ -19,12 +19,12 @@ RATE, SAMPLE_BYTES, SILENCE_BYTES = 16_000, 2, 8_000
 
 
 def audio_files(spark: SparkSession, path: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
-    """``path, modificationTime, length, content`` of the audio files below ``path``, by extension in any case.
+    """``path, modificationTime, length, content`` of the audio files below ``path``, by extension in any case, in order of path.
 
     Content is only read where a plan uses it. A missing folder raises.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(extensions))
+    return rows.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(extensions)).orderBy("path")
 
 
 def seconds_of(pcm: Column) -> Column:
@@ -48,22 +48,54 @@ def detection_pcm(pcm: Column) -> Column:
     return F.coalesce(joined, pcm)
 
 
-def recognise(df: DataFrame, load: Callable[[], Callable[[bytes], str]], id_col: str = "path", pcm_col: str = "pcm") -> DataFrame:
-    """``id, text, error`` of each recording: ``load`` runs once in a task and gives the function from samples to text.
+#: What a recogniser says of a recording: its text, and its words with times and confidences (or none).
+SAID = "text string, words array<struct<word: string, start: double, end: double, conf: double>>, error string"
 
-    A recording that fails has its message in ``error``; the others go on.
+
+def recognise(df: DataFrame, load: Callable[[], Callable[[bytes], str | tuple[str, list[dict] | None]]], id_col: str = "path", pcm_col: str = "pcm") -> DataFrame:
+    """``id, text, words, word_count, avg_confidence, error`` of each recording.
+
+    ``load`` runs once in a task and gives the function from samples to text, or to text and words
+    (``word``, ``start``, ``end``, ``conf``). Without words the count is that of the text's words and
+    the mean confidence null. A recording that fails has its message in ``error``; the others go on.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(pcm_col).alias("pcm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load()
+        word = pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("conf", pa.float64())])
         for batch in batches:
-            found: list[tuple[str | None, str | None]] = []
+            found: list[tuple[str | None, list[dict] | None, str | None]] = []
             for pcm in batch.column("pcm").to_pylist():
                 try:
-                    found.append((own(pcm or b""), None))
+                    said = own(pcm or b"")
+                    found.append((said, None, None) if isinstance(said, str) else (said[0], said[1], None))
                 except Exception as e:
-                    found.append((None, str(e)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]], names=["id", "text", "error"])
+                    found.append((None, None, str(e)))
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.list_(word), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "text", "words", "error"])
+
+    said = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {SAID}")
+    counted = said.select("id", "text", "words", records.raw_word_count(F.lit(None).cast("int"), F.col("words"), F.col("text")).alias("word_count"), records.mean_confidence(F.col("words")).alias("avg_confidence"), "error")
+    return counted.withColumnRenamed("id", id_col)
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string, error string").withColumnRenamed("id", id_col)
+
+def main_language(df: DataFrame, small: tuple[Callable, Callable], large: tuple[Callable, Callable], hints: tuple[list[str], list[str]], id_col: str = "path", pcm_col: str = "pcm") -> DataFrame:
+    """``id`` and ``detected`` (see ``language.detect``) of each recording, told from its detection stretches.
+
+    Both small recognisers listen first, without confidences. Recordings whose call for the special
+    language stands on too little are heard again by both large ones, with the confidences of their
+    words, and what those say replaces the first result.
+    """
+    heard = df.select(F.col(id_col).alias("id"), detection_pcm(F.col(pcm_col)).alias("pcm"))
+
+    def told(rows: DataFrame, models: tuple[Callable, Callable], sure: bool) -> DataFrame:
+        sides = [recognise(rows, load, "id", "pcm").select("id", F.col("text").alias(f"text_{k}"), F.col("avg_confidence").alias(f"conf_{k}")) for k, load in enumerate(models)]
+        both = sides[0].join(sides[1], "id")
+        confidences = (F.col("conf_0"), F.col("conf_1")) if sure else (None, None)
+        return both.select("id", language.detect(F.col("text_0"), F.col("text_1"), hints, confidences).alias("detected"))
+
+    first = told(heard, small, False)
+    again = told(heard.join(first.where("detected.recheck").select("id"), "id", "left_semi"), large, True)
+    out = first.join(again.withColumnRenamed("detected", "second"), "id", "left").select("id", F.coalesce("second", "detected").alias("detected"))
+    return out.withColumn("language", language.or_default(F.col("detected.code"))).withColumnRenamed("id", id_col)

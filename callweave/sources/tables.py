@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ transcription_time_seconds double, total_time_with_detection_seconds double"""
 
 # The columns of the result table and of the list for reviewers, in order.
 RESULT_COLUMNS = "file_name status selected_language language_confidence word_count_raw word_count_cleaned is_empty_call empty_reason review_priority ready_for_classification quality_flags problem_keywords_found raw_transcript cleaned_transcript semantic_text".split()
+INGEST = ["ingest_batch", "ingested_at", "ingest_seq"]
 REVIEW_COLUMNS = "file_name selected_language language_confidence is_empty_call empty_reason review_priority ready_for_classification quality_flags word_count_raw word_count_cleaned cleaning_ratio avg_confidence problem_keywords_found semantic_text removed_parts raw_transcript cleaned_transcript".split()
 
 
@@ -36,7 +39,7 @@ def read_transcripts(spark: SparkSession, path: str, mode: str = "auto") -> Data
     if other is not None and whole.where(other).limit(1).count():
         raise ValueError(f"{path} holds a document that is not {mode!r}")
     single = F.array(F.struct(*[F.col(c) for c in item.fieldNames()]))
-    return whole.select(F.explode(F.coalesce("results", single)).alias("r")).select("r.*")
+    return whole.select(F.posexplode(F.coalesce("results", single)).alias("place", "r")).select("r.*")
 
 
 def segments(df: DataFrame, id_col: str = "file_name") -> DataFrame:
@@ -49,10 +52,14 @@ def newest(df: DataFrame, order_col: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(order_col)).limit(n)
 
 
+#: How CSV is written and read: quotes within values are doubled, line ends are kept.
+CSV = {"header": True, "escape": '"', "multiLine": True}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV files with headers; arrays are joined by ``, ``."""
     flat = [F.array_join(F.col(c).cast("array<string>"), ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.option("header", True).csv(path)
+    df.select(*flat).write.options(**CSV).csv(path)
 
 
 def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,28 +69,93 @@ def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.coalesce(value(c), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in columns])
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path on it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def clear(spark: SparkSession, *paths: str) -> int:
+    """Delete the tables, files and folders that exist among ``paths``; returns how many there were."""
+    found = [_at(spark, p) for p in paths if exists(spark, p)]
+    for fs, at in found:
+        fs.delete(at, True)
+    return len(found)
+
+
+def ensure_schema(spark: SparkSession, path: str, columns: list[str]) -> str | None:
+    """Set a Parquet table at ``path`` aside if it has other columns than ``columns`` (or another order) and the ingest columns.
+
+    Returns the name that it got (``<path>_<seconds>.bak``), None if it was right, empty or absent.
+    """
+    if not exists(spark, path):
+        return None
+    fs, at = _at(spark, path)
+    own = [c for c in spark.read.parquet(path).columns if c not in INGEST] if fs.globStatus(_at(spark, f"{path}/*.parquet")[1]) else columns
+    if own == columns:
+        return None
+    aside = f"{path.rstrip('/')}_{int(time.time())}.bak"
+    fs.rename(at, _at(spark, aside)[1])
+    return aside
+
+
 def append_results(processed: DataFrame, path: str) -> None:
-    """Append the result columns to the Parquet table at ``path``, with when they came and their order in the batch."""
-    rows = as_text(processed, RESULT_COLUMNS).withColumns({"ingested_at": F.current_timestamp(), "ingest_seq": F.monotonically_increasing_id()})
-    rows.write.mode("append").parquet(path)
+    """Append the result columns to the Parquet table at ``path``, with the number of the batch, when it came and the order in it.
+
+    A table of other columns is set aside first (see ``ensure_schema``). One writer at a time.
+    """
+    spark = processed.sparkSession
+    ensure_schema(spark, path, RESULT_COLUMNS)
+    batch = (spark.read.parquet(path).agg(F.max("ingest_batch")).first()[0] or 0) + 1 if exists(spark, path) else 1
+    stamps = {"ingest_batch": F.lit(batch).cast("long"), "ingested_at": F.current_timestamp(), "ingest_seq": F.monotonically_increasing_id()}
+    as_text(processed, RESULT_COLUMNS).withColumns(stamps).write.mode("append").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Result rows: the newest ``limit``, newest first; all, in order, if ``limit`` is 0 or less."""
+    """Result rows: the newest ``limit``, newest first; all, in order, if ``limit`` is 0 or less; none if there is no table."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS))
     rows = spark.read.parquet(path)
     if limit <= 0:
-        return rows.orderBy("ingested_at", "ingest_seq").select(*RESULT_COLUMNS)
-    return rows.orderBy(F.desc("ingested_at"), F.desc("ingest_seq")).limit(limit).select(*RESULT_COLUMNS)
+        return rows.orderBy("ingest_batch", "ingest_seq").select(*RESULT_COLUMNS)
+    return rows.orderBy(F.desc("ingest_batch"), F.desc("ingest_seq")).limit(limit).select(*RESULT_COLUMNS)
+
+
+def response_rows(processed: DataFrame) -> DataFrame:
+    """What a caller gets of each row: the result columns, absent lists as empty ones and absent texts as ''."""
+    absent = {c: F.array().cast("array<string>") for c in ("quality_flags", "problem_keywords_found")} | {c: F.lit("") for c in ("raw_transcript", "cleaned_transcript", "semantic_text")}
+    return processed.select(*[F.coalesce(c, absent[c]).alias(c) if c in absent else F.col(c) for c in RESULT_COLUMNS])
+
+
+def error_rows(failed: DataFrame, name_col: str = "file_name", error_col: str = "error") -> DataFrame:
+    """The rows that stand for files whose processing failed: high priority, not ready, flag ``processing_error``, no texts."""
+    flag = F.array(F.lit("processing_error"))
+    values = {
+        "status": F.lit("error"), "is_empty_call": F.lit(True), "empty_reason": F.lit("processing_error"), "review_priority": F.lit("high"),
+        "ready_for_classification": F.lit(False), "quality_flags": flag, "problem_keywords_found": F.array().cast("array<string>"),
+        "word_count_raw": F.lit(None).cast("int"), "word_count_cleaned": F.lit(None).cast("int"),
+    }
+    return failed.select(F.col(name_col).alias("file_name"), *[values.get(c, F.lit("")).alias(c) for c in RESULT_COLUMNS[1:]], F.col(error_col).alias("error"))
 
 
 def write_review(processed: DataFrame, path: str) -> None:
     """A folder of CSV files with the columns that reviewers read."""
-    as_text(processed, REVIEW_COLUMNS).write.option("header", True).option("escape", '"').csv(path)
+    as_text(processed, REVIEW_COLUMNS).write.options(**CSV).csv(path)
 
 
 def read_csv_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV with a header as text columns, each value as ``parse_csv_value`` reads it; other columns are dropped."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV with a header as text columns, each value as ``parse_csv_value`` reads it; other columns are dropped.
+
+    A missing or empty file has no rows; one with a header that lacks a column raises.
+    """
+    rows = spark.read.options(**CSV).csv(path) if exists(spark, path) else None
+    if rows is None or not rows.columns:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
     missing = set(columns) - set(rows.columns)
     if missing:
         raise ValueError(f"{path} lacks the columns {sorted(missing)}")

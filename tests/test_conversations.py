@@ -194,6 +194,44 @@ def test_transcripts_are_processed(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "summary")).first()["source_file"] == "many.json"
 
 
+def test_tables_keep_what_they_are_given(spark, tmp_path):
+    odd = spark.createDataFrame([(1, 'a "quoted", text\nof two lines'), (2, "plain")], "id int, text string")
+    tables.write_csv(odd, str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in tables.read_csv_records(spark, str(tmp_path / "csv"), ["id", "text"]).collect()) == [("1", 'a "quoted", text\nof two lines'), ("2", "plain")]
+    (tmp_path / "empty.csv").write_text("")
+    for name in ("empty.csv", "absent.csv"):
+        assert tables.read_csv_records(spark, str(tmp_path / name), ["id", "text"]).count() == 0
+    path = str(tmp_path / "results")
+    assert tables.read_results(spark, path).count() == 0 and tables.ensure_schema(spark, path, tables.RESULT_COLUMNS) is None
+    odd.write.parquet(path)
+    failed = tables.error_rows(spark.createDataFrame([("a.wav", "broken")], "file_name string, error string"))
+    assert failed.columns == [*tables.RESULT_COLUMNS, "error"]
+    tables.append_results(failed, path)
+    tables.append_results(failed.withColumn("file_name", F.lit("b.wav")).unionByName(failed.withColumn("file_name", F.lit("c.wav"))), path)
+    assert [r["file_name"] for r in tables.read_results(spark, path).collect()] == ["a.wav", "b.wav", "c.wav"]
+    row = tables.read_results(spark, path, 1).first()
+    assert (row["file_name"], row["quality_flags"], row["review_priority"], row["is_empty_call"], row["word_count_raw"]) == ("c.wav", "processing_error", "high", "true", "")
+    aside = list(tmp_path.glob("results_*.bak"))
+    assert len(aside) == 1 and spark.read.parquet(str(aside[0])).count() == 2
+    assert tables.response_rows(failed).columns == tables.RESULT_COLUMNS
+    assert tables.clear(spark, path, str(tmp_path / "csv"), str(tmp_path / "nothing")) == 2 and not (tmp_path / "results").exists()
+
+
+def test_texts_are_normalised_once(spark):
+    """No chain of replacements stands within a function that runs for each keyword, however often Catalyst inlines it."""
+    df = spark.createDataFrame([("Карта, не работает!",)], "t string").withColumn("norm", T.normalize_text(F.col("t")))
+    for column in (T.has_keyword(F.col("norm"), DEFAULT.keywords), T.keywords_in(F.col("norm"), DEFAULT.keywords), T.ranked_keywords(T.keywords_in(F.col("norm"), DEFAULT.keywords), DEFAULT)):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(T.KEPT) <= 2  # ranked_keywords normalises the keywords themselves too
+
+
+def test_patterns_are_tried_where_their_words_are(spark):
+    assert T.needed(r"\bзвонок\s+(?:будет\s+)?записыва(?:е|и)тся\b") == "записыва" and T.needed("a|b") == "" and T.needed(r"\bab?[cd]\b") == "a"
+    assert T.any_of(["ab", "abc", "b"]) == "(?:ab(?:c)?|b)"
+    text, reasons = T.strip_patterns(F.col("t"), [(r"\bодин\b", "one"), (r"\bone\b", "two")])
+    assert one(spark, "ОДИН One раз", text, reasons) == ("раз", ["one", "two"])
+
+
 def test_confidences_of_words(spark):
     words = [("карта", 0.1), ("двадцать", 0.1), ("шелест", 0.15), ("да", 0.3), ("", 0.1), ("окно", None), ("окно", 0.9)]
     df = spark.createDataFrame([(words,), (None,)], "words array<struct<word:string,conf:double>>")
@@ -228,7 +266,32 @@ def test_audio(spark, tmp_path):
         return words
 
     rows = spark.createDataFrame([("a", b"1234"), ("b", None)], "path string, pcm binary")
-    assert {tuple(r) for r in audio.recognise(rows, load).collect()} == {("a", "4 bytes", None), ("b", None, "no samples")}
+    said = {r["path"]: r for r in audio.recognise(rows, load).collect()}
+    assert (said["a"]["text"], said["a"]["words"], said["a"]["word_count"], said["a"]["avg_confidence"], said["a"]["error"]) == ("4 bytes", None, 2, None, None)
+    assert (said["b"]["text"], said["b"]["error"]) == (None, "no samples")
+
+
+def speaker(by_length, conf=None):
+    """A recogniser that knows recordings by their length."""
+
+    def load():
+        def say(samples: bytes):
+            text = by_length.get(len(samples), "")
+            return text if conf is None else (text, [{"word": w, "start": 0.0, "end": 1.0, "conf": conf} for w in text.split()])
+
+        return say
+
+    return load
+
+
+def test_doubtful_languages_are_heard_again(spark):
+    rows = spark.createDataFrame([("ru", b"1" * 10), ("kk", b"1" * 20), ("doubt", b"1" * 30), ("none", b"1" * 40)], "path string, pcm binary")
+    hints = (["да", "карта"], ["сәлем", "қазір"])
+    small = (speaker({16_030: "да моя карта"}), speaker({16_060: "сәлем қазір барамын өте жақсы", 16_090: "қазір"}))  # three stretches and two silences
+    large = (speaker({16_090: "да карта моя"}, 1.0), speaker({16_090: "к"}, 0.5))
+    got = {r["path"]: r for r in audio.main_language(rows, small, large, hints).collect()}
+    assert {k: r["language"] for k, r in got.items()} == {"ru": "ru", "kk": "kk", "doubt": "ru", "none": "ru"}
+    assert got["none"]["detected"]["code"] == "unknown" and got["doubt"]["detected"]["default_score"] == round(math.log1p(3) + 0.65 * 2 + 0.45, 4)
 
 
 def test_language_of_two_recognisers(spark):
@@ -239,6 +302,58 @@ def test_language_of_two_recognisers(spark):
     assert one(spark, "unknown", language.or_default(F.col("t"))) == ("ru",)
 
 
+def adjusted_rand(a, b):
+    table = np.array([[np.sum((a == x) & (b == y)) for y in np.unique(b)] for x in np.unique(a)])
+    pairs = lambda n: (n * (n - 1) / 2).sum()
+    rows, columns, all_pairs = pairs(table.sum(1)), pairs(table.sum(0)), len(a) * (len(a) - 1) / 2
+    expected = rows * columns / all_pairs
+    most = (rows + columns) / 2
+    return (pairs(table) - expected) / (most - expected) if most != expected else 1.0
+
+
+def test_ward_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        c, w, k = rng.normal(size=(40, 3)), rng.integers(1, 5, 40).astype(float), int(rng.integers(1, 8))
+        got, centre, weight, label = clusters.ward_labels(c, w, k), c.copy(), w.copy(), np.arange(40)
+        live = list(range(40))
+        while len(live) > k:
+            _, a, b = min((((centre[a] - centre[b]) ** 2).sum() * weight[a] * weight[b] / (weight[a] + weight[b]), a, b) for i, a in enumerate(live) for b in live[i + 1 :])
+            centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / (weight[a] + weight[b])
+            weight[a] += weight[b]
+            label[label == b] = a
+            live.remove(b)
+        assert adjusted_rand(got, label) == 1
+
+
+def test_small_tables_are_clustered_exactly(spark):
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.uniform(-10, 15, (6, 2))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate([*points, points[0]])], "id long, vec array<double>")
+    weight = np.ones(len(points))
+    weight[0] = 2
+    label, member = clusters.density_clusters(points, weight, 4, 4)
+    found = {r["id"]: r for r in clusters.hdbscan(df).collect()}
+    assert adjusted_rand(np.array([found[i]["cluster_id"] for i in range(76)]), label) == 1 and found[76]["cluster_id"] == found[0]["cluster_id"]
+    assert np.allclose([found[i]["probability"] for i in range(76)], member, atol=1e-4)
+    exact = np.array([r["cluster_id"] for r in clusters.ward(df, 4).orderBy("id").collect()])
+    assert adjusted_rand(exact[:76], clusters.ward_labels(points, weight, 4)) == 1
+
+
+def test_clustering_run(spark, tmp_path):
+    rows = [(f"f{i}", ["карта заблокирована банк", "перевод не уходит деньги"][i % 2] if i < 20 else "", "") for i in range(21)]
+    tables.write_csv(spark.createDataFrame(rows, "file_name string, semantic_text string, cleaned_transcript string"), str(tmp_path / "in"))
+    got = clusters.run_clustering(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["file_name", "semantic_text", "cleaned_transcript"], ["semantic_text", "cleaned_transcript"], algorithm="kmeans", k=2, dims=2)
+    assert (got["total"], got["clustered"], got["noise"], got["clusters"]) == (21, 20, 1, 2)
+    assert all(got[f"{x}_seconds"] >= 0 for x in ("csv_read", "text_preparation", "clustering", "cluster_metadata", "csv_save", "total")) and got["seconds_per_row"] > 0
+    out = tables.read_csv_records(spark, str(tmp_path / "out"), ["file_name", "cluster_id", "cluster_size", "cluster_status"])
+    assert out.count() == 21 and out.where("cluster_status = 'noise'").count() == 1
+    numbered = out.withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    assert [(r["cluster_id"], r["cluster_size"]) for r in clusters.sizes_in_order(numbered).collect()] == [("-1", 1), ("0", 10), ("1", 10)]
+    reported = clusters.report(numbered.withColumns({"probability": F.lit(1.0), "text": F.lit("a b"), "lang": F.lit("ru")}), "file_name", "text", "lang", [])
+    assert tuple(clusters.report_counts(numbered, reported).first()) == (21, 2, 1, 3)
+
+
 def test_density_clusters():
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.uniform(-10, 15, (6, 2))])
@@ -251,7 +366,7 @@ def test_density_clusters():
 def test_texts_are_clustered(spark, algorithm):
     rows = [(i, ["карта заблокирована банк", "перевод не уходит деньги", "лимит превышен сегодня"][i % 3] + f" w{i % 2}", None) for i in range(30)] + [(30, " ", None), (31, None, None)]
     df = spark.createDataFrame(rows, "id long, text string, semantic_text string")
-    options = {"micro": 30} if algorithm != "kmeans" else {}
+    options: dict = {}
     got = {r["id"]: r for r in clusters.cluster_texts(df, "id", ["semantic_text", "text", "absent"], algorithm, k=3, dims=4, **options).collect()}
     assert len(got) == 32 and got[30]["cluster_id"] == got[31]["cluster_id"] == -1 and got[30]["cluster_probability"] == 0
     if algorithm == "kmeans":

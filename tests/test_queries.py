@@ -44,7 +44,7 @@ def test_runs_of_number_words_are_returned(spark, tmp_path):
     texts = ["one two three for", "pay one two  three for one. x", "a two two two b", "one two three for one two b two one for three", "mail a.b@c.org One two THREE for", "for-one two three for two one", "", None, "one two three xfor", "y"]
     df = spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    got = registry.queries()["number_run_mask"](spark, str(tmp_path)).select("doc_id", "masked", "reasons").collect()
+    got = registry.queries()["pii_mask"](spark, str(tmp_path)).select("doc_id", "masked", "reasons").collect()
     run = "spoken_number_sequence"
     assert {r[0]: (r[1], r[2]) for r in got} == {
         0: ("[NUMBER_SEQ]", run), 1: ("pay [NUMBER_SEQ] one. x", run), 2: ("a two two two b", ""), 3: ("[NUMBER_SEQ] b [NUMBER_SEQ]", run), 4: ("mail [EMAIL] [NUMBER_SEQ]", f"email|{run}"),
@@ -52,7 +52,7 @@ def test_runs_of_number_words_are_returned(spark, tmp_path):
     }
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert values(got) == values(c.execute(f"SELECT doc_id, masked, reasons FROM ({registry.oracle_sql()['number_run_mask']})").fetchall())
+    assert values(got) == values(c.execute(f"SELECT doc_id, masked, reasons FROM ({registry.oracle_sql()['pii_mask']})").fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
