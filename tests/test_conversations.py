@@ -285,10 +285,10 @@ def speaker(by_length, conf=None):
 
 
 def test_doubtful_languages_are_heard_again(spark):
-    rows = spark.createDataFrame([("ru", b"1" * 10), ("kk", b"1" * 20), ("doubt", b"1" * 30), ("none", b"1" * 40)], "path string, pcm binary")
+    rows = spark.createDataFrame([("ru", bytes(8_000)), ("kk", bytes(16_000)), ("doubt", bytes(32_000)), ("none", bytes(64_000))], "path string, pcm binary")
     hints = (["да", "карта"], ["сәлем", "қазір"])
-    small = (speaker({16_030: "да моя карта"}), speaker({16_060: "сәлем қазір барамын өте жақсы", 16_090: "қазір"}))  # three stretches and two silences
-    large = (speaker({16_090: "да карта моя"}, 1.0), speaker({16_090: "к"}, 0.5))
+    small = (speaker({40_000: "да моя карта"}), speaker({64_000: "сәлем қазір барамын өте жақсы", 112_000: "қала"}))  # three stretches and two silences
+    large = (speaker({112_000: "да карта моя"}, 1.0), speaker({112_000: "к"}, 0.5))
     got = {r["path"]: r for r in audio.main_language(rows, small, large, hints).collect()}
     assert {k: r["language"] for k, r in got.items()} == {"ru": "ru", "kk": "kk", "doubt": "ru", "none": "ru"}
     assert got["none"]["detected"]["code"] == "unknown" and got["doubt"]["detected"]["default_score"] == round(math.log1p(3) + 0.65 * 2 + 0.45, 4)
