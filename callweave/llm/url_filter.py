@@ -4,7 +4,8 @@ The key universe is every key that the corpus can ask for: the host suffixes of
 with their path prefixes of the lengths that occur in the lists. Level 1 of a cascade encodes the
 listed keys, level 2 the other keys that pass level 1, level 3 the listed keys that pass level 2,
 and so on until nothing passes by mistake. Membership is then exact for the whole universe, and the
-table of urls meets neither a join nor a shuffle.
+table of urls meets neither a join nor a shuffle: only the few keys that pass level 1 are compared
+with the lists when the cascade is built.
 """
 
 from __future__ import annotations
@@ -15,21 +16,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import only, stored
+from callweave.llm.common import Scratch, only, stored
 
 ALLOW, BLOCK, HOSTS = "allow", "block", "hosts"
-#: Bits of a level that may be sent to every task: 2 MB.
-MOST_BITS = 1 << 24
+#: Bits of a level that may be sent to every task: 64 MB, 53 million keys. Beyond it urls are judged by a join.
+MOST_BITS = 1 << 29
 LEAST_BITS = 1024
 BITS_PER_KEY = 10
+#: Bits that one group of a level's keys fills.
+SEGMENT = 1 << 21
+#: Levels after which two keys are taken to share both hashes; the cascade is then built with another seed.
+MOST_LEVELS = 40
 
 
 @dataclass(frozen=True)
 class Level:
+    """One Bloom filter."""
+
     number: int
     bits: int
     hashes: int
@@ -60,9 +68,13 @@ def contains(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashes(key: Column) -> list[Column]:
-    h = F.xxhash64(key)
-    return [h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)]
+class TooLarge(Exception):
+    """A level needs more than MOST_BITS."""
+
+
+def _hashes(key: Column, seed: int) -> list[Column]:
+    h = F.xxhash64(F.lit(seed), key)
+    return [h.bitwiseAND(F.lit(0x7FFFFFFF)).alias("h1"), F.shiftrightunsigned(h, 33).alias("h2")]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -85,40 +97,96 @@ def candidate_keys(host: Column, path: Column, most_labels: int, lengths: list[i
 
 
 def _level(keys: DataFrame, number: int) -> Level | None:
-    """A Bloom filter of ``keys`` (h1, h2); None if there are none. Its words are collected: MOST_BITS / 64 at most."""
+    """A Bloom filter of ``keys`` (h1, h2); None if there are none. Its segments are collected: MOST_BITS at most."""
     n = keys.count()
     if not n:
         return None
     bits = max(LEAST_BITS, n * BITS_PER_KEY)
     if bits > MOST_BITS:
-        raise OverflowError(f"{n} keys need more than {MOST_BITS} bits")
+        raise TooLarge(f"{n} keys need more than {MOST_BITS} bits")
     hashes = max(1, min(12, round(bits / n * math.log(2))))
     at = keys.select(F.explode(F.array(*[place(F.col("h1"), F.col("h2"), number, i, bits) for i in range(hashes)])).alias("at"))
-    words = np.zeros(bits // 64 + 1, np.uint64)
-    one = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    for row in at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(one).alias("bits")).collect():
-        words[row["word"]] = np.uint64(row["bits"] & 0xFFFFFFFFFFFFFFFF)
+
+    def filled(group: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(SEGMENT, np.uint8)
+        own[group["at"].to_numpy() % SEGMENT] = 1
+        return pd.DataFrame({"segment": [group["at"].iloc[0] // SEGMENT], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    words = np.zeros(-(-bits // SEGMENT) * SEGMENT // 64, np.uint64)
+    for row in at.groupBy(F.expr(f"at div {SEGMENT}").alias("segment")).applyInPandas(filled, "segment long, bits binary").toLocalIterator():
+        words[row["segment"] * SEGMENT // 64 :][: SEGMENT // 64] = np.frombuffer(row["bits"], np.uint64)
     return Level(number, bits, hashes, words)
 
 
 def _passing(keys: DataFrame, level: Level) -> DataFrame:
+    sent = keys.sparkSession.sparkContext.broadcast(level)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         for batch in batches:
-            yield batch.filter(pa.array(level.passes(batch.column("h1").to_numpy(), batch.column("h2").to_numpy())))
+            yield batch.filter(pa.array(own.passes(batch.column("h1").to_numpy(), batch.column("h2").to_numpy())))
 
     return keys.mapInArrow(run, keys.schema)
 
 
-def cascade(universe: DataFrame) -> list[Level]:
-    """Levels that tell the rows of ``universe`` (h1, h2, listed) with ``listed`` from the others."""
-    inside, outside = universe.where("listed").select("h1", "h2"), universe.where("not listed").select("h1", "h2")
-    levels: list[Level] = []
-    while (level := _level(inside, len(levels))) is not None:
-        levels.append(level)
-        if len(levels) > 64:
-            raise RuntimeError("two keys of the universe share both hashes")
-        inside, outside = stored(_passing(outside, level), "passing"), inside
-    return levels
+def cascade(asked: DataFrame, listed: DataFrame, scratch: Scratch, seed: int = 0) -> tuple[int, list[Level]]:
+    """A seed and levels that tell which keys of ``asked`` (column ``key``, repeats allowed) are in ``listed`` (``key``, distinct).
+
+    Level 1 comes from the list alone. What passes it is made distinct, and the join with the list
+    that finds the mistakes among it reads nothing else.
+    """
+    while True:
+        inside = scratch.stored(listed.select(*_hashes(F.col("key"), seed)), "listed")
+        level = _level(inside, 0)
+        if level is None:
+            return seed, []
+        levels = [level]
+        passed = _passing(asked.select("key", *_hashes(F.col("key"), seed)), level).distinct()
+        outside = scratch.stored(passed.join(listed, "key", "left_anti").select("h1", "h2"), "passing")
+        while len(levels) < MOST_LEVELS and (level := _level(outside, len(levels))) is not None:
+            levels.append(level)
+            inside, outside = outside, scratch.stored(_passing(inside, level), "passing")
+        if len(levels) < MOST_LEVELS:
+            return seed, levels
+        seed += 1
+
+
+def _judged(pages: DataFrame, keyed: dict[str, tuple[int, list[Level]]], kind: str) -> DataFrame:
+    """The rows of ``pages`` (id, host, path, keys) with what the cascades say of their keys."""
+    sent = pages.sparkSession.sparkContext.broadcast({x: levels for x, (_, levels) in keyed.items()})
+    half = lambda seed, i: F.transform("keys", lambda k: _hashes(k, seed)[i])
+    hashed = [half(seed, i).alias(f"{x}{i}") for x, (seed, _) in keyed.items() for i in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascades = sent.value
+        for batch in batches:
+            lists_of = batch.column("keys")
+            row = lists_of.value_parent_indices().to_numpy()
+            key = lists_of.flatten()
+            found = {x: contains(cascades[x], *(batch.column(f"{x}{i}").flatten().to_numpy() for i in (0, 1))) for x in cascades}
+            blocked, allowed, bad = found[BLOCK], found[ALLOW], found[HOSTS]
+            hits = np.flatnonzero(blocked | allowed)
+            rows, first = np.unique(row[hits], return_index=True)
+            rule = np.full(len(batch), -1)
+            rule[rows] = hits[first]
+            stop = np.zeros(len(batch), bool)
+            stop[row[bad]] = True
+            stop[rows] = blocked[rule[rows]]
+            rules = key.take(pa.array(rule, mask=rule < 0))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), rules, pa.array(np.where(stop, BLOCK, ALLOW), pa.string())], names=["id", "host", "path", "rule", "verdict"])
+
+    return pages.select("id", "host", "path", "keys", *hashed).mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
+
+
+def _joined(pages: DataFrame, lists: DataFrame) -> DataFrame:
+    """What ``_judged`` gives, by a join of all keys with lists that no filter can hold."""
+    rows = stored(pages.withColumn("row", F.monotonically_increasing_id()), "pages")
+    flags = lists.groupBy("key").agg(*[F.bool_or(F.col("list") == x).alias(x) for x in (ALLOW, BLOCK, HOSTS)])
+    hits = rows.select("row", F.posexplode("keys").alias("place", "key")).join(flags, "key")
+    best = F.min(F.when(F.col(ALLOW) | F.col(BLOCK), F.struct("place", "key", BLOCK)))
+    told = hits.groupBy("row").agg(best.alias("best"), F.bool_or(HOSTS).alias("bad"))
+    stop = F.coalesce(F.col(f"best.{BLOCK}"), F.col("bad"), F.lit(False))
+    return rows.join(told, "row", "left").select("id", "host", "path", F.col("best.key").alias("rule"), F.when(stop, BLOCK).otherwise(ALLOW).alias("verdict"))
 
 
 def judge_urls(df: DataFrame, lists: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -139,30 +207,12 @@ def judge_urls(df: DataFrame, lists: DataFrame, id_col: str = "page_id", url_col
     host, path = split_url(F.col("url"))
     pages = only(df, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), shape["labels"] or 1, [n for n in shape["lengths"] if n])
-    asked = pages.select(F.explode(keys).alias("key")).distinct()
-    flags = lists.groupBy("key").agg(*[F.bool_or(F.col("list") == x).alias(x) for x in (ALLOW, BLOCK, HOSTS)])
-    universe = stored(asked.join(flags, "key", "left").select(*[c.alias(n) for c, n in zip(_hashes(F.col("key")), ("h1", "h2"), strict=True)], *[F.coalesce(x, F.lit(False)).alias(x) for x in (ALLOW, BLOCK, HOSTS)]), "universe")
-    sent = df.sparkSession.sparkContext.broadcast({x: cascade(universe.select("h1", "h2", F.col(x).alias("listed"))) for x in (ALLOW, BLOCK, HOSTS)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascades = sent.value
-        for batch in batches:
-            lists_of = batch.column("keys")
-            row = lists_of.value_parent_indices().to_numpy()
-            key = lists_of.flatten()
-            h1, h2 = (batch.column(c).flatten().to_numpy() for c in ("h1", "h2"))
-            blocked, allowed, bad = (contains(cascades[x], h1, h2) for x in (BLOCK, ALLOW, HOSTS))
-            hits = np.flatnonzero(blocked | allowed)
-            rows, first = np.unique(row[hits], return_index=True)
-            rule = np.full(len(batch), -1)
-            rule[rows] = hits[first]
-            stop = np.zeros(len(batch), bool)
-            stop[row[bad]] = True
-            stop[rows] = blocked[rule[rows]]
-            rules = key.take(pa.array(rule, mask=rule < 0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), rules, pa.array(np.where(stop, BLOCK, ALLOW), pa.string())], names=["id", "host", "path", "rule", "verdict"])
-
-    kind = pages.schema["id"].dataType.simpleString()
-    keyed = pages.withColumn("keys", keys)
-    keyed = keyed.select("id", "host", "path", "keys", F.transform("keys", lambda k: _hashes(k)[0]).alias("h1"), F.transform("keys", lambda k: _hashes(k)[1]).alias("h2"))
-    return keyed.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    pages = pages.withColumn("keys", keys)
+    asked, scratch = pages.select(F.explode("keys").alias("key")), Scratch(df.sparkSession)
+    try:
+        keyed = {x: cascade(asked, lists.where(F.col("list") == x).select("key"), scratch) for x in (ALLOW, BLOCK, HOSTS)}
+        judged = _judged(pages, keyed, pages.schema["id"].dataType.simpleString())
+    except TooLarge:
+        judged = _joined(pages, lists)
+    scratch.drop()
+    return judged.withColumnRenamed("id", id_col)
