@@ -14,6 +14,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import unused
+
 #: The name under which ``weights`` may hold all sources that it doesn't name (null too).
 OTHERS = "*"
 #: Up to this mean the steps are added up from a count of 0, as the SQL adds them; above it, around the mode.
@@ -68,8 +70,8 @@ def poisson_table(mean: float) -> tuple[int, list[float]]:
 
 def _group(weights: dict[str, float], source_col: str) -> Column:
     """The name in ``weights`` that a row counts under; null: none."""
-    named = [s for s in weights if s != OTHERS]
-    return F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHERS if OTHERS in weights else None).cast("string"))
+    named, source = [s for s in weights if s != OTHERS], F.col(f"`{source_col}`")
+    return F.when(source.isin(named), source).otherwise(F.lit(OTHERS if OTHERS in weights else None).cast("string"))
 
 
 def source_means(df: DataFrame, weights: dict[str, float], source_col: str = "source", total: int | None = None) -> dict[str, float]:
@@ -87,29 +89,29 @@ def source_means(df: DataFrame, weights: dict[str, float], source_col: str = "so
     return {s: wanted * weights[s] / whole / n for s, n in sorted(sizes.items())}
 
 
-def replicate(df: DataFrame, means: dict[str, float], id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
-    """``df`` repeated by Poisson counts and globally shuffled, with ``copy_no`` (from 1) and ``mix_key``.
+def replicate(df: DataFrame, means: dict[str, float], id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", copy_col: str = "copy_no", key_col: str = "mix_key") -> DataFrame:
+    """``df`` repeated by Poisson counts and globally shuffled, with ``copy_col`` (from 1) and ``key_col``.
 
     Rows of sources without a mean are left out, as their target weight is 0; with a mean for
     OTHERS there are none. Repeated ids of a source get the same count; null texts, ids and sources
-    are values like others; columns named ``copy_no`` or ``mix_key`` are replaced; an empty table
-    stays empty.
+    are values like others; columns named as the two new ones are replaced; an empty table stays empty.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("copy_no", "mix_key")]
-    u = unit(seed, F.col(source_col), F.col(id_col))
-    group, count = _group(means, source_col), F.lit(0)
+    group, u, n, part = unused(df, "group", "u", "n", "part")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (copy_col, key_col)]
+    ident, count = F.col(f"`{id_col}`"), F.lit(0)
     for source, mean in means.items():
         first, steps = poisson_table(mean)
         steps = F.split(F.lit(" ".join(map(repr, steps))), " ").cast("array<double>")  # folded into one literal
-        times = F.size(F.filter(steps, lambda x: x <= F.col("_u")))
-        count = F.when(F.col("_group") == source, F.when(F.col("_u") > 0, F.lit(first) + times).otherwise(0) if first else times).otherwise(count)
-    counted = df.select(*kept, group.alias("_group"), u.alias("_u")).select(*kept, count.alias("_n")).where("_n > 0")
-    parts = counted.select(*kept, "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / LISTED).cast("int"))).alias("_part"))
-    copies = parts.select(*kept, F.explode(F.sequence(F.col("_part") * LISTED + 1, F.least("_n", (F.col("_part") + 1) * LISTED))).alias("copy_no"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("/", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
-    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+        times = F.size(F.filter(steps, lambda x: x <= F.col(u)))
+        count = F.when(F.col(group) == source, F.when(F.col(u) > 0, F.lit(first) + times).otherwise(0) if first else times).otherwise(count)
+    drawn = df.select(*kept, _group(means, source_col).alias(group), unit(seed, F.col(f"`{source_col}`"), ident).alias(u))
+    counted = drawn.select(*kept, count.alias(n)).where(F.col(n) > 0)
+    parts = counted.select(*kept, n, F.explode(F.sequence(F.lit(0), ((F.col(n) - 1) / LISTED).cast("int"))).alias(part))
+    copies = parts.select(*kept, F.explode(F.sequence(F.col(part) * LISTED + 1, F.least(n, (F.col(part) + 1) * LISTED))).alias(copy_col))
+    keyed = copies.withColumn(key_col, F.md5(F.concat_ws("/", F.lit(seed + "/order"), F.coalesce(ident.cast("string"), F.lit("")), F.col(copy_col).cast("string")).cast("binary")))
+    return keyed.repartition(F.col(key_col)).sortWithinPartitions(key_col)
 
 
-def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", total: int | None = None, seed: str = "mix-1") -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", total: int | None = None, seed: str = "mix-1", **names: str) -> DataFrame:
     """``replicate`` with the means that bring the sources to ``weights``."""
-    return replicate(df, source_means(df, weights, source_col, total), id_col, source_col, seed)
+    return replicate(df, source_means(df, weights, source_col, total), id_col, source_col, seed, **names)
