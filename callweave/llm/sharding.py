@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import unused
+
 #: Slots that a broadcast table may have: about 100 MB.
 MOST_SLOTS = 4_000_003
 
@@ -61,10 +63,11 @@ def assign_shards(df: DataFrame, key_col: str, shards: list[str], size: int = 65
     rows is added: no shuffle, so hot keys cost nothing.
     """
     table = lookup_table(shards, size, turns)
-    slots = df.sparkSession.createDataFrame([(i, n, shards[n]) for i, n in enumerate(table)], "_slot long, _no int, _shard string")
+    at, no, name = unused(df, "at", "no", "name")
+    slots = df.sparkSession.createDataFrame([(i, n, shards[n]) for i, n in enumerate(table)], f"{at} long, {no} int, {name} string")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard_no", "shard")]
-    placed = df.select(*kept, slot_of(df[key_col], size).alias("_slot"))
-    return placed.join(F.broadcast(slots), "_slot").select(*kept, F.col("_slot").alias("slot"), F.col("_no").alias("shard_no"), F.col("_shard").alias("shard"))
+    placed = df.select(*kept, slot_of(F.col(f"`{key_col}`"), size).alias(at))
+    return placed.join(F.broadcast(slots), at).select(*kept, F.col(at).alias("slot"), F.col(no).alias("shard_no"), F.col(name).alias("shard"))
 
 
 def write_shards(df: DataFrame, path: str, key_col: str, shards: list[str], files_per_shard: int = 1, **table) -> None:
