@@ -1,8 +1,12 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, on small tables."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 from decimal import Decimal, localcontext
 
@@ -11,7 +15,7 @@ import public_tokenizers as tokenizers_files
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, components, matroska, minhash, mixing, quality_mil, quality_rules, sharding, shingles, token_counts, url_filter, warc
+from callweave.llm import bpe, common, components, matroska, minhash, mixing, quality_mil, quality_rules, sharding, shingles, token_counts, url_filter, warc
 from callweave.llm.queries import WEIGHTS
 
 SF = "/root/testdata/sf0.001"
@@ -29,13 +33,15 @@ ODD = [
     (9, "two words", "a"),
     (10, "<|endoftext|> special <|endoftext|>", "a"),
 ]
+#: Every name that an operator gives to a column of its own.
+CLASHING = "at no name slot shard group u n part copy_no mix_key stats votes quality kept Score held_out digest digest_row copy_id copy_digest keep row rep values text_a text_b region component_id n_shingles media ids decoded n_bytes".split()
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names clash with the operators' own."""
-    rows = [(*r, 1, 2, "v", 3) for r in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, id int, label int, node string, n_tokens int").repartition(3)
+    rows = [(*r, 1, 2, "v", 3, *["w"] * len(CLASHING)) for r in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, id int, label int, node string, n_tokens int, " + ", ".join(f"{c} string" for c in CLASHING)).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -314,14 +320,117 @@ def test_rule_counts_equal_brute_force(odd, empty, documents):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def test_label_model_finds_accuracies():
+@pytest.mark.parametrize("prior", [0.5, 0.8])
+def test_label_model_finds_rates_and_prior(prior):
     rng = np.random.default_rng(2)
-    truth = rng.random(20_000) < 0.5
-    right = (0.9, 0.8, 0.7, 0.6)
-    votes = np.stack([np.where(rng.random(20_000) < 0.7, np.where((rng.random(20_000) < p) == truth, 1, -1), 0) for p in right], 1)
-    found, n = np.unique(votes, axis=0, return_counts=True)
-    model = quality_rules.fit([(tuple(v), int(c)) for v, c in zip(found.tolist(), n)], 4)
-    assert np.allclose(model.accuracies, right, atol=0.04)
+    good = rng.random(60_000) < prior
+    rates = [((0.6, 0.1), (0.1, 0.5)), ((0.7, 0.0), (0.3, 0.0)), ((0.0, 0.05), (0.0, 0.6)), ((0.0, 0.02), (0.0, 0.4)), ((0.5, 0.1), (0.1, 0.7))]
+    columns = []
+    for of_good, of_bad in rates:
+        u = rng.random(60_000)
+        up, down = (np.where(good, g, b) for g, b in zip(of_good, of_bad, strict=True))
+        columns.append(np.where(u < up, 1, np.where(u < up + down, -1, 0)))
+    found, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+    model = quality_rules.fit([(tuple(v), int(c)) for v, c in zip(found.tolist(), n, strict=True)], 5)
+    assert model.prior == pytest.approx(prior, abs=0.03)
+    assert np.allclose(model.good, [g for g, _ in rates], atol=0.03) and np.allclose(model.bad, [b for _, b in rates], atol=0.03)
+    assert all(model.weights(i)[1] >= 0 >= model.weights(i)[-1] for i in range(5))
+    assert quality_rules.fit([], 3).prior == 0.8
+
+
+def test_rows_kept_by_the_rules(odd, documents):
+    for df in (odd, documents):
+        judged = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality_rules.quality_rules(df).collect()}
+        left = quality_rules.keep_good(df)
+        assert left.columns == df.columns
+        want = sorted(str(r["doc_id"]) for r in df.collect() if judged[r["doc_id"], len(re.findall("[^\x20\x09-\x0d]+", r["text"] or ""))])
+        assert sorted(str(r["doc_id"]) for r in left.collect()) == want
+
+
+def test_names_never_clash(odd):
+    model = quality_mil.fit([np.zeros((1, quality_mil.FEATURES), np.float32)], np.ones(1, np.float32))
+    kept = ("slot", "shard", "copy_no", "mix_key")
+    assert set(sharding.assign_shards(odd, "doc_id", ["a", "b"], 101).columns) == {*odd.columns, "shard_no"}
+    assert mixing.mix(odd, {"a": 1.0}).columns == [c for c in odd.columns if c not in kept[2:]] + ["copy_no", "mix_key"]
+    assert quality_mil.keep_predicted(odd, model).columns == odd.columns and quality_mil.keep_predicted(odd, model).count() >= 0
+    assert quality_rules.keep_good(odd).columns == odd.columns
+    assert minhash.drop_near_duplicates(odd).columns == odd.columns
+
+
+def long_words(rng, n):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [
+        lambda n: "".join(rng.choice(letters) for _ in range(n)),
+        lambda n: "".join(rng.choice("ab") for _ in range(n)),
+        lambda n: ("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) * n)[:n],
+        lambda n: "".join(rng.choice("=-*_#'") for _ in range(n)),
+        lambda n: "".join(rng.choice("éüйцук世界۳") for _ in range(n)),
+        lambda n: rng.choice("=a -é世") * n,
+    ]
+    return [rng.choice(kinds)(rng.randrange(49, 400)) for _ in range(n)] + ["a" * 20_001, "=" * 5011, "ab" * 4001, kinds[0](20_000), "世界" * 3000]
+
+
+def test_long_words_equal_tiktoken():
+    import pyarrow as pa
+    import tiktoken
+
+    path = tokenizers_files.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=tokenizers_files.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    own, texts = bpe.Codec(path, tokenizers_files.PATTERN), long_words(random.Random(9), 600)
+    got = []
+    for _, data, starts in shingles.runs(pa.array(texts), 1 << 16):
+        ids, at = own.encode(data, starts)
+        assert own.decode(ids, at) == [data[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
+        got += [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+    assert got == [enc.encode_ordinary(t) for t in texts]
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=200_000)).encode()
+    begin = time.process_time()
+    ids, _ = own.encode(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+    assert ids.tolist() == enc.encode_ordinary(word.decode()) and time.process_time() - begin < 40
+
+
+def test_pieces_never_change_counts(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizers_files.path("byte_bpe_50k.json")
+    own, counter, rng = Tokenizer.from_file(path), token_counts.PieceCounter(path), random.Random(5)
+    pool = ["a", "b1", "'s", "'", " ", "\n", "  ", "\t", "\r\n", "<|endoftext|>", "<|", "|>", "é", "世", "。", "，", " ", " ", " ", "\x1c", "\x85", "!", "!'", "x!", "9", "٣", "'S", "don't", "Ä", "\u0301", "\ufeff", "😀", "_", "|", "\u3000", "\u2003", "ABC", "$%", "\u200b"]
+    monkeypatch.setattr(token_counts, "LONG", 300)
+    texts = ["".join(rng.choice(pool) for _ in range(rng.choice((3, 10, 40, 400)))) for _ in range(2000)]
+    texts += ["".join(rng.choice(pool) for _ in range(1500)).translate({i: None for i in range(33)}) for _ in range(50)] + long_words(rng, 100)
+    got = [n for _, data, starts in shingles.runs(pa.array(texts), 1 << 18) for n in counter.counts(data, starts).tolist()]
+    assert got == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+LARGE = """
+import resource, sys
+import numpy as np, pyarrow as pa, public_tokenizers as files
+from callweave.llm import bpe, matroska, quality_mil, quality_rules, shingles, token_counts
+kind = sys.argv[1]
+tools = {
+    "bpe": lambda c=bpe.Codec(files.path("byte_bpe_50k.tiktoken"), files.PATTERN): lambda d, s: c.decode(*c.encode(d, s)),
+    "counts": lambda c=token_counts.PieceCounter(files.path("byte_bpe_50k.json")): c.counts,
+    "classifier": lambda m=quality_mil.fit([np.ones((2, quality_mil.FEATURES), np.float32)], np.ones(1, np.float32)): m.score,
+    "rules": lambda: quality_rules.text_stats,
+    "sketch": lambda: lambda d, s: shingles.signatures(shingles.shingle_sets(d, s, 5)),
+    "media": lambda: lambda d, s: matroska.described(d.tobytes().decode()),
+}
+run = tools[kind]()
+texts = ["word number %d of a line\\n" % (i % 5000) for i in range(5000)]
+for k in (1, 160):
+    for _, data, starts in shingles.runs(pa.array(["".join(texts) * k])):
+        run(data, starts)
+    if k == 1:
+        base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["bpe", "counts", "classifier", "rules", "sketch", "media"])
+def test_memory_of_one_text_of_20_megabytes(kind):
+    out = subprocess.run([sys.executable, "-c", LARGE, kind], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert int(out.stdout) < 700
 
 
 def test_urls_are_judged_exactly(spark):
@@ -341,6 +450,34 @@ def test_urls_are_judged_exactly(spark):
     assert url_filter.judge_urls(df.where("false"), spark.createDataFrame(listed, "list string, key string")).count() == 0
 
 
+def test_cascades_of_several_levels_are_exact(spark):
+    asked = spark.range(40_000).select(F.concat(F.lit("h"), F.col("id") % 30_000, F.lit(".com")).alias("key"))
+    listed = spark.range(0, 30_000, 7).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("key")).unionByName(spark.range(2000).select(F.concat(F.lit("never"), "id").alias("key")))
+    scratch = common.Scratch(spark)
+    seed, levels = url_filter.cascade(asked, listed, scratch)
+    assert len(levels) >= 3 and [x.number for x in levels] == list(range(len(levels)))
+    keys = asked.distinct().select("key", *url_filter._hashes(F.col("key"), seed)).toPandas()
+    found = url_filter.contains(levels, keys["h1"].to_numpy(), keys["h2"].to_numpy())
+    assert found.tolist() == [int(k[1:-4]) % 7 == 0 for k in keys["key"]]
+    scratch.drop()
+    assert not [p for p in scratch.paths if os.path.exists(p)]
+
+
+def test_lists_too_large_for_filters_are_joined(spark, monkeypatch):
+    urls = ["http://a.net/en/x", "http://b.example.net/en/x", "http://x.bad.io/", "http://ok.io/", None, "http://b.example.net/fr"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    lists = spark.createDataFrame([("block", "net/"), ("allow", "example.net/en/"), ("hosts", "bad.io")], "list string, key string")
+    want = sorted(map(str, url_filter.judge_urls(df, lists).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BITS", 8)
+    assert sorted(map(str, url_filter.judge_urls(df, lists).collect())) == want and sum("block" in w for w in want) == 3
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    session = type("S", (), {"conf": type("C", (), {"get": lambda *a: None})(), "sparkContext": type("X", (), {"getCheckpointDir": lambda *a: None, "master": "spark://host"})()})
+    with pytest.raises(RuntimeError):
+        common.shared_path(session, "x")
+
+
 def test_media_round_trip_and_foreign_lacing(odd, empty):
     got = matroska.media_features(odd).collect()
     assert len(got) == len(ODD) and matroska.media_features(empty).count() == 0
