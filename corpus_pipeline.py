@@ -1,38 +1,50 @@
-"""The corpus pipeline: rules, classifier, near-duplicates, mixture and tokens, one stored table after another."""
+"""The corpus pipeline: rules, classifier, near-duplicates, mixture and tokens, one stored table after another.
+
+Extra columns are carried along under their own names, whatever they are called; an empty table
+stays empty at every stage.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callweave.llm import bpe, minhash, mixing, quality_mil, quality_rules
-from callweave.llm.common import read, stored
+from callweave.llm.common import Scratch, read, unused
 from callweave.llm.queries import BYTE_BPE, WEIGHTS
 
 
 def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
+    """The documents that the rules keep: null, empty and very short texts go; equal texts share their fate, whatever their ids."""
     return quality_rules.keep_good(docs)
 
 
 def pass_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps; it learns from labelled rows of the original table."""
+    """The documents that the classifier keeps; it learns from labelled rows of the original table.
+
+    Equal texts share their fate, whatever their ids; a null text is judged as an empty one.
+    """
     model = quality_mil.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return quality_mil.keep_predicted(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    """One document of each group of near-duplicates (five words, similarity 0.8): that of the least id, null ids last.
+
+    Of rows that repeat id and text one stays; texts without words are no copies.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents repeated by target weights and shuffled."""
-    return mixing.mix(docs, WEIGHTS).select(*docs.columns)
+    """The documents repeated by target weights and shuffled; null sources count with the others, repeated ids alike."""
+    copy_no, key = unused(docs, "copy_no", "mix_key")
+    return mixing.mix(docs, WEIGHTS, copy_col=copy_no, key_col=key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, with digests of them and of what they decode to."""
+    """Token ids of each row, with digests of them and of what they decode to; null texts have none."""
     return bpe.round_trip(docs, BYTE_BPE, public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -48,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; a stage's table is deleted once the next one's is stored."""
+    docs, before = read(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        own = Scratch(spark)
+        docs = own.stored(stage(spark, docs, sf_dir), name)
+        before.drop()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
