@@ -42,6 +42,12 @@ def words_of(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda w: w != "")
 
 
+def ordered_distinct(values: Column) -> Column:
+    """The texts of an array that aren't blank, trimmed, each once, in order; null gives none."""
+    told = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    return F.coalesce(F.array_distinct(told), F.array().cast("array<string>"))
+
+
 def clean_string(value: Column) -> Column:
     return F.coalesce(F.trim(value), F.lit(""))
 

@@ -36,7 +36,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def joined(column) -> F.Column:
@@ -116,16 +116,16 @@ def text_for_clustering(spark, sf_dir):
 
 
 def conversations(spark, sf_dir):
-    out = transcripts.conversations(read(spark, sf_dir, "conversations"), LEXICON)
+    out = transcripts.conversations(tables.spread(read(spark, sf_dir, "conversations")), LEXICON)
     return out.withColumns({c: joined(F.col(c)) for c in ("problem_keywords", "quality_flags")})
 
 
 def conversation_summary(spark, sf_dir):
-    return transcripts.summary(transcripts.conversations(read(spark, sf_dir, "conversations"), LEXICON))
+    return transcripts.summary(transcripts.conversations(tables.spread(read(spark, sf_dir, "conversations")), LEXICON))
 
 
 def flag_counts(spark, sf_dir):
-    return transcripts.flag_counts(transcripts.conversations(read(spark, sf_dir, "conversations"), LEXICON))
+    return transcripts.flag_counts(transcripts.conversations(tables.spread(read(spark, sf_dir, "conversations")), LEXICON))
 
 
 def language_scores(spark, sf_dir):

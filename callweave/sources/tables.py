@@ -42,6 +42,15 @@ def read_transcripts(spark: SparkSession, path: str, mode: str = "auto") -> Data
     return whole.select(F.posexplode(F.coalesce("results", single)).alias("place", "r")).select("r.*")
 
 
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """A small table dealt to all cores: one of fewer splits than ``most`` and than there are cores.
+
+    A file of one row group is one task however many cores wait; larger tables are read where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, most) else df
+
+
 def segments(df: DataFrame, id_col: str = "file_name") -> DataFrame:
     """One row for each segment: id, ``turn`` (its place) and ``text``."""
     return df.select(id_col, F.posexplode("segments").alias("turn", "s")).select(id_col, "turn", F.col("s.text").alias("text"))

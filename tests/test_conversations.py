@@ -340,6 +340,14 @@ def test_small_tables_are_clustered_exactly(spark):
     assert adjusted_rand(exact[:76], clusters.ward_labels(points, weight, 4)) == 1
 
 
+def test_vectors_of_a_given_model(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abcd")], "id long, text string")
+    got = {r["id"]: r["vec"] for r in clusters.embed_by(df, "text", lambda: lambda texts: [[len(t) * 3.0, len(t) * 4.0] for t in texts]).collect()}
+    assert got[2] == [0, 0] and np.allclose(got[1], [0.6, 0.8]) and np.allclose(got[3], [0.6, 0.8])
+    rows = spark.createDataFrame([([" b", "a", "b", "", None],), (None,)], "v array<string>")
+    assert [r[0] for r in rows.select(T.ordered_distinct(F.col("v"))).collect()] == [["b", "a"], []]
+
+
 def test_clustering_run(spark, tmp_path):
     rows = [(f"f{i}", ["карта заблокирована банк", "перевод не уходит деньги"][i % 2] if i < 20 else "", "") for i in range(21)]
     tables.write_csv(spark.createDataFrame(rows, "file_name string, semantic_text string, cleaned_transcript string"), str(tmp_path / "in"))
