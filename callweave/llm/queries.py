@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, matroska, minhash, mixing, quality_mil, quality_rules, sharding, token_counts, url_filter, warc
+from callweave.llm import bpe, linear_bpe, matroska, merkle, minhash, mixing, quality_mil, quality_rules, sharding, token_counts, url_filter, warc, whitening
 from callweave.llm.common import read
 from callweave.sources.tables import spread
 
@@ -133,6 +133,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.manifest(read(spark, sf_dir, "documents"), tampered={"n_chars": F.when(hit, F.col("n_chars") + 1)})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear_bpe.round_trip(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_table_sharding": op1_table_sharding,
@@ -145,6 +159,9 @@ def queries() -> dict[str, Query]:
         "op8_url_cascade": op8_url_cascade,
         "op9_matroska": op9_matroska,
         "op10_token_counts": op10_token_counts,
+        "op11_chan_whitening": op11_chan_whitening,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_linear_bpe": op13_linear_bpe,
     }
 
 
