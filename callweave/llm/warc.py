@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,6 +38,15 @@ def record_urn(page_id, digest: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
+def _coded(text: str) -> str:
+    """A text as a header may hold it: blanks, control characters and percent signs by their numbers."""
+    return "".join(c if c > " " and c != "%" else f"%{ord(c):02X}" for c in text)
+
+
+def _decoded(coded: str | None) -> str | None:
+    return coded if coded is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), coded)
+
+
 def record_head(page_id, url: str | None, digest: str, n_bytes: int, response_id) -> bytes:
     """Headers of a record and of the HTTP message in it; ``response_id``: the page that holds the payload of a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
@@ -47,11 +57,11 @@ def record_head(page_id, url: str | None, digest: str, n_bytes: int, response_id
         f"WARC-Record-ID: {record_urn(page_id, digest)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {uri}"] if uri is not None else []),
-        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
+        *([f"X-Page-ID: {_coded(str(page_id))}"] if page_id is not None else []),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
     if response_id is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_urn(response_id, digest)}", f"X-Refers-To-Page-ID: {response_id}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_urn(response_id, digest)}", f"X-Refers-To-Page-ID: {_coded(str(response_id))}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (n_bytes if response_id is None else 0)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http
 
@@ -96,7 +106,7 @@ class RecordReader:
         revisit = self.head["WARC-Type"] == "revisit"
         if not revisit and (self.sha1.hexdigest() != said or self.n_bytes != size):
             raise ValueError("a payload differs from its digest")
-        return self.head.get("X-Page-ID"), size, said, self.head["WARC-Type"], self.head.get("X-Refers-To-Page-ID"), self.head.get("WARC-Target-URI")
+        return _decoded(self.head.get("X-Page-ID")), size, said, self.head["WARC-Type"], _decoded(self.head.get("X-Refers-To-Page-ID")), self.head.get("WARC-Target-URI")
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], data: int) -> Iterator[pa.RecordBatch]:
