@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +47,22 @@ class Scratch:
         self.paths = []
 
 
+_OWNERS: list[Scratch] = []
+
+
+@contextmanager
+def owned(scratch: Scratch) -> Iterator[None]:
+    """Within it, tables that ``stored`` writes belong to ``scratch``, whose owner deletes them once their result is stored itself."""
+    _OWNERS.append(scratch)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder that stays: the result of an operator may read it."""
-    return Scratch(df.sparkSession).stored(df, name)
+    """A table in the shared folder that stays, as the result of an operator may read it, but for an owner (see ``owned``)."""
+    return (_OWNERS[-1] if _OWNERS else Scratch(df.sparkSession)).stored(df, name)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The corpus pipeline: rules, classifier, near-duplicates, mixture and tokens, one stored table after another.
 
-Extra columns are carried along under their own names, whatever they are called; an empty table
-stays empty at every stage.
+Extra columns are carried along under their own names, whatever they are called, up to the last
+stage, which returns ids, digests and token ids; an empty table stays empty at every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe, minhash, mixing, quality_mil, quality_rules
-from callweave.llm.common import Scratch, read, unused
+from callweave.llm.common import Scratch, owned, read, unused
 from callweave.llm.queries import BYTE_BPE, WEIGHTS
 
 
@@ -60,11 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; a stage's table is deleted once the next one's is stored."""
+    """All stages over the documents of ``sf_dir``; what a stage stored on its way, and its predecessor's table, are deleted once its own is stored."""
     docs, before = read(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        own = Scratch(spark)
-        docs = own.stored(stage(spark, docs, sf_dir), name)
+        on_the_way, own = Scratch(spark), Scratch(spark)
+        with owned(on_the_way):
+            docs = own.stored(stage(spark, docs, sf_dir), name)
+        on_the_way.drop()
         before.drop()
         before = own
     return STAGES[-1][1](spark, docs, sf_dir)
