@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -20,8 +21,18 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def literal(value, kind: str) -> Column:
+    """A constant of lists and dictionaries as one expression, however long it is: the optimiser folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def texts(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return literal(values, "array<string>")
+
+
+def is_any(text: Column, words: list[str]) -> Column:
+    """Whether the whole text is one of ``words``."""
+    return F.rlike(text, F.lit(rf"\A(?:{any_of(words)})\z")) if words else F.lit(False)
 
 
 def collapse(text: Column) -> Column:
@@ -148,11 +159,29 @@ def _start(text: Column) -> Column:
 
 
 def stripped(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """``strip_patterns`` as one struct (text, reasons)."""
-    state, reason = _start(text), None
-    for pattern, following in patterns:
-        state, reason = _replaced(state, pattern, " ", reason), following
-    return let(state, lambda s: F.struct(collapse(s["text"]).alias("text"), F.array_sort(F.array_distinct(_reasons(s, reason))).alias("reasons")))
+    """``strip_patterns`` as one struct (text, reasons).
+
+    One fold over the patterns, whatever their number. A text that holds none of the words that they
+    need is left as it is; else a pattern is compiled and run where the word that it needs is there.
+    """
+    words = [needed(p).lower() for p, _ in patterns]
+    steps = literal([{"pattern": f"(?iuU){p}", "word": w, "reason": r} for (p, r), w in zip(patterns, words, strict=True)], "array<struct<pattern:string,word:string,reason:string>>")
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, p: Column) -> Column:
+        def judged(t: Column) -> Column:
+            return F.struct(t.alias("text"), F.when(t != s["text"], F.array_append(s["reasons"], p["reason"])).otherwise(s["reasons"]).alias("reasons"))
+
+        return F.when(F.contains(s["text"], p["word"]) | ~s["low"], let(F.regexp_replace(s["text"], p["pattern"], F.lit(" ")), lambda t: F.struct(judged(t)["text"].alias("text"), judged(t)["reasons"].alias("reasons"), s["low"].alias("low")))).otherwise(s)
+
+    def run(t: Column) -> Column:
+        start = F.struct(t.alias("text"), none.alias("reasons"), (F.lower(t) == t).alias("low"))
+        met = F.lit(True) if "" in words else F.rlike(t, F.lit(any_of(words))) | (F.lower(t) != t)
+        done = F.when(met, F.aggregate(steps, start, step)).otherwise(start)
+        return let(done, lambda s: F.struct(collapse(s["text"]).alias("text"), F.array_sort(F.array_distinct(s["reasons"])).alias("reasons")))
+
+    whole = F.coalesce(text, F.lit(""))
+    return let(whole, run) if patterns else let(whole, lambda t: F.struct(collapse(t).alias("text"), none.alias("reasons")))
 
 
 def strip_patterns(text: Column, patterns: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -218,10 +247,14 @@ def keywords_in(normalized: Column, keywords: list[str]) -> Column:
     """
     if not keywords:
         return F.array().cast("array<string>")
-    taken = F.array_join(F.array_distinct(F.regexp_extract_all(normalized, F.lit(f"(?=({any_of([plain(k) for k in keywords])}))"), 1)), "\n")
-    pairs = F.array(*[F.struct(F.lit(plain(k)).alias("plain"), F.lit(k).alias("listed")) for k in keywords])
-    held = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.transform(F.filter(pairs, lambda k: F.contains(t, k["plain"])), lambda k: k["listed"]))
-    return F.array_sort(F.array_distinct(let(taken, held)))
+    listed: dict[str, set[str]] = {}
+    for k in keywords:
+        listed.setdefault(plain(k), set()).add(k)
+    held = {p: sorted({k for i in range(len(p)) for j in range(i + 1, len(p) + 1) for k in listed.get(p[i:j], ())}) for p in listed}
+    table = literal(held, "map<string,array<string>>")
+    first = re.escape("".join(sorted({p[0] for p in listed if p}))).replace("-", r"\-")
+    taken = F.array_distinct(F.regexp_extract_all(normalized, F.lit(f"(?=[{first}])(?=({any_of(list(listed))}))"), 1))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(taken, lambda k: F.element_at(table, k)))))
 
 
 def empty_reason(text: Column, lexicon, normalized: bool = False) -> Column:
@@ -232,10 +265,10 @@ def empty_reason(text: Column, lexicon, normalized: bool = False) -> Column:
 
     def judged(x: Column) -> Column:
         t, signal, words = x["t"], x["signal"], x["words"]
-        idle = F.forall(words_of(t), lambda w: w.isin([*lexicon.empty_phrases, *lexicon.number_words]) | F.regexp_like(w, F.lit(r"^\d+$")))
+        idle = F.forall(words_of(t), lambda w: is_any(w, [*lexicon.empty_phrases, *lexicon.number_words]) | F.regexp_like(w, F.lit(r"^\d+$")))
         return (
             F.when(t == "", "empty_text")
-            .when(t.isin(lexicon.empty_phrases), "empty_phrase")
+            .when(is_any(t, lexicon.empty_phrases), "empty_phrase")
             .when(signal, "useful")
             .when(idle, "only_empty_or_number_words")
             .when(words <= 3, "too_short_without_problem_signal")
@@ -253,12 +286,12 @@ def ranked_keywords(found: Column, lexicon, most: int = 6) -> Column:
     A strong keyword counts 100, three words 40 and two 20, a marker of trouble 30, and each
     character 1 up to 30; generic and weak ones and those of fewer than three characters are dropped.
     """
-    canonical = F.create_map(*[F.lit(x) for kv in lexicon.canonical.items() for x in kv]) if lexicon.canonical else None
+    canonical = literal(lexicon.canonical, "map<string,string>") if lexicon.canonical else None
     named = F.transform(found, lambda k: normalize_text(k))
     named = F.transform(named, lambda k: F.coalesce(F.try_element_at(canonical, k), k)) if canonical is not None else named
-    told = F.filter(named, lambda k: (F.length(k) >= 3) & ~k.isin([*lexicon.weak, *lexicon.generic]))
+    told = F.filter(named, lambda k: (F.length(k) >= 3) & ~is_any(k, [*lexicon.weak, *lexicon.generic]))
     score = lambda k: (
-        F.when(k.isin(lexicon.strong), 100).otherwise(0)
+        F.when(is_any(k, lexicon.strong), 100).otherwise(0)
         + F.when(F.size(F.split(k, " ")) >= 3, 40).when(F.size(F.split(k, " ")) == 2, 20).otherwise(0)
         + F.when(F.exists(texts(lexicon.markers), lambda m: F.contains(k, m)), 30).otherwise(0)
         + F.least(F.length(k), F.lit(30))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
-from callweave.operators import clusters, transcripts
+from callweave.operators import clusters, hierarchy, transcripts
 from callweave.sources import audio, tables
 from callweave.streaming import ingest
+from tests import brute
 
 
 def one(spark, text, *columns):
@@ -106,7 +107,7 @@ def test_clustering_finds_blobs(spark):
     rng = np.random.default_rng(0)
     rows = [(i, (np.eye(3)[i % 3] * 9 + rng.normal(0, 0.3, 3)).tolist()) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, vec array<double>")
-    for out in (clusters.kmeans(df, 3), clusters.ward(df, 3, micro=20)):
+    for out in (clusters.kmeans(df, 3), clusters.ward(df, 3)):
         assert sorted(r["n"] for r in out.groupBy("cluster_id").agg(F.count_distinct((F.col("id") % 3)).alias("n")).collect()) == [1, 1, 1]
     reduced, explained = clusters.reduce_pca(df, 2)
     x = np.array([r[1] for r in rows])
@@ -315,7 +316,7 @@ def test_ward_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(5):
         c, w, k = rng.normal(size=(40, 3)), rng.integers(1, 5, 40).astype(float), int(rng.integers(1, 8))
-        got, centre, weight, label = clusters.ward_labels(c, w, k), c.copy(), w.copy(), np.arange(40)
+        got, centre, weight, label = brute.ward_labels(c, w, k), c.copy(), w.copy(), np.arange(40)
         live = list(range(40))
         while len(live) > k:
             _, a, b = min((((centre[a] - centre[b]) ** 2).sum() * weight[a] * weight[b] / (weight[a] + weight[b]), a, b) for i, a in enumerate(live) for b in live[i + 1 :])
@@ -326,18 +327,63 @@ def test_ward_equals_brute_force():
         assert adjusted_rand(got, label) == 1
 
 
+@pytest.mark.parametrize("n, last, block, edges", [(300, 20, 64, 50), (5000, 1000, 2048, 2000)])
+def test_hierarchies_equal_those_in_memory(spark, monkeypatch, n, last, block, edges):
+    monkeypatch.setattr(hierarchy, "LAST", last)
+    monkeypatch.setattr(hierarchy, "BLOCK", block)
+    monkeypatch.setattr(hierarchy, "EDGES", edges)
+    rng = np.random.default_rng(n)
+    centre = rng.normal(size=(12, 6)) * 3
+    x = np.round(centre[rng.integers(0, 12, n)] + rng.normal(size=(n, 6)), 6)
+    x[: n // 20] = x[n // 20 : 2 * (n // 20)]  # repeats
+    x[-n // 30 :] = x[-1]  # a hot vector
+    df = spark.createDataFrame([*enumerate(x.tolist()), (n, None)], "id long, vec array<double>").repartition(3)
+    distinct, at, weight = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    same = lambda a, b: len(set(zip(a, b))) == len(set(a)) == len(set(b))
+    got = [r["cluster_id"] for r in clusters.ward(df, 7).orderBy("id").collect()]
+    assert got[n] is None and len(set(got[:n])) == 7 and same(got[:n], brute.ward_labels(distinct, weight, 7)[at.ravel()].tolist())
+    sizes = [got.count(i) for i in range(7)]
+    assert sizes == sorted(sizes, reverse=True)
+    found = clusters.hdbscan(df, least_size=5).orderBy("id").collect()
+    label, member = brute.density_clusters(distinct, weight.astype(float), 5, 4)
+    assert same([r["cluster_id"] for r in found[:n]], label[at.ravel()].tolist()) and found[n]["cluster_id"] == -1
+    assert np.allclose([r["probability"] for r in found[:n]], member[at.ravel()], atol=1e-4)
+    assert [r["cluster_id"] == -1 for r in found[:n]] == (label[at.ravel()] == -1).tolist()
+
+
+def test_hierarchies_of_odd_tables(spark):
+    schema = "id long, vec array<double>, c string, w string, root string, node string, part string"
+    rows = [(i, v, *"cwrnp") for i, v in enumerate([[1.0, 2.0], [1.0, 2.0], None, [1.0, 2.0]])]
+    for df, want in ((spark.createDataFrame(rows, schema), 4), (spark.createDataFrame(rows[2:3], schema), 1), (spark.createDataFrame([], schema), 0)):
+        for out in (clusters.ward(df, 3), clusters.hdbscan(df), clusters.kmeans(df, 3)):
+            got = out.collect()
+            assert len(got) == want and all(r["c"] == "c" and r["root"] == "r" for r in got)
+            assert {r["cluster_id"] for r in got if r["vec"]} <= {0, -1}
+
+
+def test_starts_of_kmeans_move_together(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 3)) for c in np.eye(3) * 6] + [rng.normal(9, 0.4, (20, 3))])
+    df = spark.createDataFrame([*enumerate(x.tolist())], "id long, vec array<double>").repartition(3)
+    got = np.array([r["cluster_id"] for r in clusters.kmeans(df, 4).orderBy("id").collect()])
+    assert adjusted_rand(got, np.repeat([0, 1, 2, 3], [60, 60, 60, 20])) == 1 and (got[180:] == 3).all()
+    counted = clusters._means(df.select("vec"), {0: x[:4], 1: x[60:62]})
+    near = ((x[:, None] - x[None, :4]) ** 2).sum(2)
+    assert np.allclose(counted[2][0], near.min(1).sum()) and (counted[1][0] == np.bincount(near.argmin(1), minlength=4)).all()
+
+
 def test_small_tables_are_clustered_exactly(spark):
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.uniform(-10, 15, (6, 2))])
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate([*points, points[0]])], "id long, vec array<double>")
     weight = np.ones(len(points))
     weight[0] = 2
-    label, member = clusters.density_clusters(points, weight, 4, 4)
+    label, member = brute.density_clusters(points, weight, 4, 4)
     found = {r["id"]: r for r in clusters.hdbscan(df).collect()}
     assert adjusted_rand(np.array([found[i]["cluster_id"] for i in range(76)]), label) == 1 and found[76]["cluster_id"] == found[0]["cluster_id"]
     assert np.allclose([found[i]["probability"] for i in range(76)], member, atol=1e-4)
     exact = np.array([r["cluster_id"] for r in clusters.ward(df, 4).orderBy("id").collect()])
-    assert adjusted_rand(exact[:76], clusters.ward_labels(points, weight, 4)) == 1
+    assert adjusted_rand(exact[:76], brute.ward_labels(points, weight, 4)) == 1
 
 
 def test_vectors_of_a_given_model(spark):
@@ -365,7 +411,7 @@ def test_clustering_run(spark, tmp_path):
 def test_density_clusters():
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.uniform(-10, 15, (6, 2))])
-    label, member = clusters.density_clusters(points, np.ones(len(points)), 4, 4)
+    label, member = brute.density_clusters(points, np.ones(len(points)), 4, 4)
     assert set(label[:40]) == {0} and set(label[40:70]) == {1} and (label[70:] == -1).sum() >= 5
     assert member[label == -1].max() == 0 and member[label == 0].max() == 1
 
