@@ -170,9 +170,10 @@ def stripped(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
     def step(s: Column, p: Column) -> Column:
         def judged(t: Column) -> Column:
-            return F.struct(t.alias("text"), F.when(t != s["text"], F.array_append(s["reasons"], p["reason"])).otherwise(s["reasons"]).alias("reasons"))
+            reasons = F.when(t != s["text"], F.array_append(s["reasons"], p["reason"])).otherwise(s["reasons"])
+            return F.struct(t.alias("text"), reasons.alias("reasons"), s["low"].alias("low"))
 
-        return F.when(F.contains(s["text"], p["word"]) | ~s["low"], let(F.regexp_replace(s["text"], p["pattern"], F.lit(" ")), lambda t: F.struct(judged(t)["text"].alias("text"), judged(t)["reasons"].alias("reasons"), s["low"].alias("low")))).otherwise(s)
+        return F.when(F.contains(s["text"], p["word"]) | ~s["low"], let(F.regexp_replace(s["text"], p["pattern"], F.lit(" ")), judged)).otherwise(s)
 
     def run(t: Column) -> Column:
         start = F.struct(t.alias("text"), none.alias("reasons"), (F.lower(t) == t).alias("low"))
@@ -311,19 +312,28 @@ def remove_noise(text: Column, lexicon, normalized: bool = False) -> Column:
     return collapse(out)
 
 
-def quality_flags(average_confidence: Column, language_confidence: Column, fallback: Column, reasons: Column, cleaned: Column, empty: Column, raw_words: Column) -> Column:
-    """Sorted flags of a cleaned conversation; ``reasons`` are all that were stripped or masked."""
+def noise_parts(reasons: Column) -> Column:
+    """How many of the stripped parts are a recogniser's noise."""
+    return F.size(F.filter(reasons, lambda r: F.startswith(r, F.lit("asr_"))))
+
+
+def has_personal(reasons: Column) -> Column:
+    """Whether personal data were masked or dropped."""
+    return F.exists(reasons, lambda r: r.isin([r for _, _, r in PII] + ["name_ru", "spoken_number_sequence", "drop_pii_only_segment"]))
+
+
+def quality_flags(average_confidence: Column, language_confidence: Column, fallback: Column, noise: Column, personal: Column, cleaned: Column, empty: Column, raw_words: Column) -> Column:
+    """Sorted flags of a cleaned conversation; ``noise`` and ``personal`` as of ``noise_parts`` and ``has_personal`` for all that was removed."""
     low_confidence, high_ratio = 0.75, 0.55  # fixed values
     words = count_words(cleaned)
-    pii = [r for _, _, r in PII] + ["name_ru", "spoken_number_sequence", "drop_pii_only_segment"]
     return F.array_sort(
         F.array_compact(
             F.array(
                 F.when(average_confidence < low_confidence, "low_avg_confidence"),
                 F.when(language_confidence == "low", "low_language_confidence"),
                 F.when(F.coalesce(fallback, F.lit(False)), "fallback_language_used"),
-                F.when(F.size(F.filter(reasons, lambda r: F.startswith(r, F.lit("asr_")))) >= 2, "many_asr_noise_fragments"),
-                F.when(F.exists(reasons, lambda r: r.isin(pii)), "pii_removed"),
+                F.when(noise >= 2, "many_asr_noise_fragments"),
+                F.when(personal, "pii_removed"),
                 F.when(F.contains(F.lower(cleaned), F.lit("[number_seq]")), "contains_number_sequence"),
                 F.when(~empty & (raw_words > 0) & (F.round(words / raw_words, 4) < high_ratio), "high_cleaning_ratio"),
                 F.when(~empty & (words <= 5), "very_short_but_useful"),

@@ -4,42 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callweave.functions import records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon
+from callweave.sources.scratch import fresh
+from callweave.sources.tables import TRANSCRIPT
+
+
+#: Turns of a conversation that are joined first: its ranges of so many turns are joined at the end.
+RANGE = 4096
 
 
 def clean_turns(df: DataFrame, lexicon: Lexicon = DEFAULT, text_col: str = "text") -> DataFrame:
     """``df`` with ``cleaned_text`` ('' if the turn says nothing), ``removed_parts``, ``empty_reason`` and ``turn_words``."""
-    stripped, reasons = T.strip_patterns(F.col("_norm"), lexicon.patterns)
-    masked, personal = T.mask_pii(F.col("_stripped"), lexicon.number_words)
-    out = df.withColumn("_norm", T.normalize_text(F.col(text_col)))
-    out = out.withColumns({"_stripped": stripped, "_reasons": reasons})
-    out = out.withColumns({"_masked": F.lower(masked), "_personal": personal})
-    named = F.contains("_masked", F.lit("[name]")) & ~T.has_keyword(F.col("_masked"), lexicon.keywords)
-    out = out.withColumn("_text", F.when(named, "").otherwise(F.col("_masked"))).withColumn("empty_reason", T.empty_reason(F.col("_text"), lexicon, True))
-    parts = F.concat("_reasons", "_personal", F.when(named, F.array(F.lit("drop_pii_only_segment"))).otherwise(F.array().cast("array<string>")))
-    kept = F.when(F.col("empty_reason") == "useful", F.col("_text")).otherwise("")
-    return out.withColumns({"removed_parts": F.array_sort(F.array_distinct(parts)), "cleaned_text": kept, "turn_words": T.count_words(F.col(text_col))}).drop("_norm", "_stripped", "_reasons", "_masked", "_personal", "_text")
+    (piece,) = fresh(df, "piece")
+    out = df.withColumn(piece, clean_text(F.col(text_col), lexicon))
+    return out.withColumns({"removed_parts": F.col(piece)["removed"], "cleaned_text": F.col(piece)["text"], "empty_reason": F.col(piece)["reason"], "turn_words": T.count_words(F.col(text_col))}).drop(piece)
 
 
 def conversations(df: DataFrame, lexicon: Lexicon = DEFAULT, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """One row for each conversation: cleaned transcript, keywords, flags, review priority and readiness."""
-    turns = clean_turns(df, lexicon, text_col)
-    joined = turns.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("cleaned_text") != "", F.struct(order_col, "cleaned_text")))).alias("_kept"),
-        F.flatten(F.collect_list("removed_parts")).alias("_removed"),
-        F.sum("turn_words").alias("raw_words"),
-        F.count("*").alias("n_turns"),
+    """One row for each conversation: cleaned transcript, keywords, flags, review priority and readiness; turns of one place go by their texts.
+
+    Turns are dealt in order, so one long conversation fills many tasks. Each joins ranges of RANGE
+    turns at most and counts what was removed; a conversation is then joined from its ranges.
+    """
+    given = df.select(F.col(id_col).alias("conversation"), F.col(order_col).alias("place"), F.col(text_col).alias("text"))
+    dealt = given.repartitionByRange("conversation", "place", "text").sortWithinPartitions("conversation", "place", "text")
+    turns = clean_turns(dealt, lexicon).withColumns({"task": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    kept = F.when(F.col("cleaned_text") != "", F.struct("at", "cleaned_text"))
+    ranges = turns.groupBy("conversation", "task", F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / RANGE).alias("range")).agg(
+        F.array_sort(F.collect_list(kept)).alias("kept"),
+        F.sum(T.noise_parts(F.col("removed_parts"))).alias("noise"),
+        F.max(T.has_personal(F.col("removed_parts"))).alias("personal"),
+        F.sum("turn_words").alias("words"),
+        F.count("*").alias("turns"),
+    )
+    spoken = F.array_join(F.transform("kept", lambda x: x["cleaned_text"]), " ")
+    joined = ranges.select("*", spoken.alias("spoken")).groupBy("conversation").agg(
+        F.array_sort(F.collect_list(F.when(F.col("spoken") != "", F.struct("task", "range", "spoken")))).alias("ranges"),
+        F.sum("noise").alias("noise"),
+        F.max("personal").alias("personal"),
+        F.sum("words").alias("raw_words"),
+        F.sum("turns").alias("n_turns"),
     )
-    whole = joined.withColumn("cleaned_transcript", F.array_join(F.transform("_kept", lambda x: x["cleaned_text"]), " "))
+    whole = joined.withColumn("cleaned_transcript", F.array_join(F.transform("ranges", lambda x: x["spoken"]), " "))
     whole = whole.withColumn("empty_reason", T.empty_reason(F.col("cleaned_transcript"), lexicon, True)).withColumn("is_empty", F.col("empty_reason") != "useful")
     missing = F.lit(None)
-    flags = T.quality_flags(missing.cast("double"), missing.cast("string"), missing.cast("boolean"), F.col("_removed"), F.col("cleaned_transcript"), F.col("is_empty"), F.col("raw_words"))
+    flags = T.quality_flags(missing.cast("double"), missing.cast("string"), missing.cast("boolean"), F.col("noise"), F.col("personal"), F.col("cleaned_transcript"), F.col("is_empty"), F.col("raw_words"))
     out = whole.withColumns({"clean_words": T.count_words(F.col("cleaned_transcript")), "problem_keywords": T.keywords_in(F.col("cleaned_transcript"), lexicon.keywords), "quality_flags": flags})
     out = out.withColumn("review_priority", T.review_priority(F.col("is_empty"), F.col("cleaned_transcript"), F.col("quality_flags")))
-    return out.withColumns({"cleaning_ratio": T.cleaning_ratio(F.col("raw_words"), F.col("clean_words")), "ready": ~F.col("is_empty") & (F.col("cleaned_transcript") != "") & (F.col("review_priority") != "high")}).drop("_kept", "_removed")
+    out = out.withColumns({"cleaning_ratio": T.cleaning_ratio(F.col("raw_words"), F.col("clean_words")), "ready": ~F.col("is_empty") & (F.col("cleaned_transcript") != "") & (F.col("review_priority") != "high")})
+    return out.drop("ranges", "noise", "personal").withColumnRenamed("conversation", id_col)
 
 
 def summary(processed: DataFrame) -> DataFrame:
@@ -62,12 +79,12 @@ def keyword_windows(tokens: Column | str, keywords: Column | str, before: int =
     """Stretches of ``tokens`` around ``keywords``: longest keywords first, none overlapping an earlier one, ``most`` at most."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     wanted = F.col(keywords) if isinstance(keywords, str) else keywords
-    parts = F.transform(wanted, lambda k, i: F.struct((-F.size(F.split(k, " "))).alias("w"), i.alias("i"), F.split(k, " ").alias("p")))
+    parts = F.transform(wanted, lambda k, i: F.struct((-F.size(F.split(k, " "))).alias("w"), i.alias("i"), F.split(k, " ").alias("p"), F.substring_index(k, " ", 1).alias("first")))
     hits = F.flatten(
         F.transform(
             F.array_sort(parts),
             lambda k: F.transform(
-                F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - F.size(k["p"]), F.lit(0))), lambda i: F.slice(t, i + 1, F.size(k["p"])) == k["p"]),
+                F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - F.size(k["p"]), F.lit(0))), lambda i: (F.get(t, i) == k["first"]) & (F.slice(t, i + 1, F.size(k["p"])) == k["p"])),
                 lambda i: F.struct(F.greatest(i - before, F.lit(0)).alias("s"), F.least(i + F.size(k["p"]) + after, F.size(t)).alias("e")),
             ),
         )
@@ -135,6 +152,7 @@ def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     and what was removed of it isn't listed. Rows with ``error`` have status ``error``, empty texts,
     the flag ``transcription_error`` and high priority. Null and empty texts are empty conversations.
     """
+    items = items.select(*[F.col(f"`{f.name}`") for f in StructType.fromDDL(TRANSCRIPT)])
     failed = F.col("error").isNotNull()
     pieces = F.transform("segments", lambda s, i: F.struct(i.alias("index"), s["text"].alias("raw_text"), clean_text(s["text"], lexicon).alias("c")))
     flat = lambda p: F.struct(p["index"].alias("index"), p["raw_text"].alias("raw_text"), p["c"]["text"].alias("cleaned_text"), p["c"]["removed"].alias("removed_parts"), p["c"]["reason"].alias("empty_reason"))
@@ -154,7 +172,7 @@ def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     sure = records.language_confidence(F.col("language"), F.col("language_detection.confidence"))
     raw_words = records.raw_word_count(F.col("word_count"), F.col("words"), F.col("text"))
     empty, clean_words = F.col("_reason") != "useful", T.count_words(F.col("_cleaned"))
-    flags = T.quality_flags(F.col("avg_confidence"), sure, F.col("fallback_language_used"), F.col("_removed"), F.col("_cleaned"), empty, F.col("word_count"))
+    flags = T.quality_flags(F.col("avg_confidence"), sure, F.col("fallback_language_used"), T.noise_parts(F.col("_removed")), T.has_personal(F.col("_removed")), F.col("_cleaned"), empty, F.col("word_count"))
     unless_failed = lambda value, otherwise=None: F.when(failed, F.lit(otherwise)).otherwise(value)
     out = out.select(
         "file_name",

@@ -361,7 +361,7 @@ judged AS (SELECT *, NOT empty AND cleaned <> '' AND priority <> 'high' AS ready
 
 def _conversations() -> str:
     return f"""WITH turns AS (SELECT row_number() OVER () AS k, * FROM conversations), {_pieces('turns')},
-whole AS (SELECT conv_id, coalesce(string_agg(kept, ' ' ORDER BY turn, kept) FILTER (kept <> ''), '') AS cleaned, flatten(list(removed)) AS removed, sum({_words('text')})::BIGINT AS raw_words, count(*) AS n_turns FROM pieces GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(string_agg(kept, ' ' ORDER BY turn, text NULLS FIRST) FILTER (kept <> ''), '') AS cleaned, flatten(list(removed)) AS removed, sum({_words('text')})::BIGINT AS raw_words, count(*) AS n_turns FROM pieces GROUP BY conv_id),
 {_judged('whole', ratio='raw_words > 0 AND round(clean_words / raw_words, 4) < 0.55::DOUBLE')}"""
 
 
