@@ -154,19 +154,21 @@ def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """
     items = items.select(*[F.col(f"`{f.name}`") for f in StructType.fromDDL(TRANSCRIPT)])
     failed = F.col("error").isNotNull()
-    pieces = F.transform("segments", lambda s, i: F.struct(i.alias("index"), s["text"].alias("raw_text"), clean_text(s["text"], lexicon).alias("c")))
+    some = F.coalesce(F.size("segments"), F.lit(0)) > 0
+    # A transcript without pieces is one, which is not listed.
+    said = F.when(some, F.transform("segments", lambda s: s["text"])).otherwise(F.array("text"))
+    pieces = F.transform(said, lambda s, i: F.struct(i.alias("index"), s.alias("raw_text"), clean_text(s, lexicon).alias("c")))
     flat = lambda p: F.struct(p["index"].alias("index"), p["raw_text"].alias("raw_text"), p["c"]["text"].alias("cleaned_text"), p["c"]["removed"].alias("removed_parts"), p["c"]["reason"].alias("empty_reason"))
-    some = F.coalesce(F.size("_pieces"), F.lit(0)) > 0
+    listed = lambda useful: F.transform(F.filter("_pieces", lambda p: some & ((p["c"]["reason"] == "useful") == F.lit(useful))), flat)
     out = items.select("*", pieces.alias("_pieces"))
     out = out.withColumns(
         {
-            "segments_cleaned": F.coalesce(F.transform(F.filter("_pieces", lambda p: p["c"]["reason"] == "useful"), flat), F.array()),
-            "segments_removed": F.coalesce(F.transform(F.filter("_pieces", lambda p: p["c"]["reason"] != "useful"), flat), F.array()),
-            "_whole": F.when(~some, clean_text(F.col("text"), lexicon)["text"]),
-            "_removed": F.coalesce(F.flatten(F.transform("_pieces", lambda p: p["c"]["removed"])), F.array().cast("array<string>")),
+            "segments_cleaned": listed(True),
+            "segments_removed": listed(False),
+            "_removed": F.flatten(F.transform(F.filter("_pieces", lambda p: some), lambda p: p["c"]["removed"])),
+            "_cleaned": F.array_join(F.transform(F.filter("_pieces", lambda p: p["c"]["reason"] == "useful"), lambda p: p["c"]["text"]), " "),
         }
     )
-    out = out.withColumn("_cleaned", F.when(some, F.array_join(F.transform("segments_cleaned", lambda p: p["cleaned_text"]), " ")).otherwise(F.col("_whole")))
     out = out.withColumns({"_reason": T.empty_reason(F.col("_cleaned"), lexicon, True), "_keywords": T.keywords_in(F.col("_cleaned"), lexicon.keywords)})
     language = records.language_code(F.col("language"), F.col("selected_language"))
     sure = records.language_confidence(F.col("language"), F.col("language_detection.confidence"))
