@@ -81,13 +81,40 @@ SPOKEN = [
 ]
 
 
+#: More of what is said in calls: what the default patterns strip, in Russian and Kazakh.
+SAID = [
+    "уведомляем о записи разговора", "этот разговор будет записывается", "звонок записывается", "әңгіменің жазылуы туралы ескертеміз", "қоңырау жазылады", "доктор быка сэр быка", "бербок шоу дэвидтен", "видео пробирка",
+    "банка рыбы камня", "включайте бизнес на полную", "горячее предложение комиссию берем на себя", "добрый вечер девушка", "подскажите пожалуйста", "вот чем могу помочь", "меня зовут Айгуль", "слушаю вас",
+    "сәлеметсіз бе тыңдап тұрмын", "қосымша сұрақтарыңыз бар ма", "всего доброго до свидания", "сау болыңыз рақмет", "рахмет", "давайте проверим ваше имя и отчество", "ваша полная фамилия имя отчество Иванов",
+    "ваша дата рождения первое мая", "кодовое слово берег", "в таком случае ваш вопрос", "туған жылыңыз", "құпия сөзіңіз тау", "хочу узнать про рабочее время отделения", "пришло сообщение о блокировке", "иван петров",
+]
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with calls for their texts: each line becomes three phrases of SPOKEN and SAID, chosen by its length, blanks and place."""
+    phrases = T.texts([*SPOKEN, *SAID])
+    phrase = lambda n: F.element_at(phrases, (n % F.size(phrases) + 1).cast("int"))
+
+    def call(line, i):
+        n, blanks = F.length(line), F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+        return F.concat_ws(" ", phrase(n), phrase(n * 7 + blanks * 3 + 1), phrase(blanks * 5 + i))
+
+    return documents(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), call), "\n"))
+
+
 def spoken_texts(spark, sf_dir):
-    """Masks, keywords and reasons of SPOKEN by the default lexicon, all 448 keywords."""
-    rows = spark.createDataFrame(list(enumerate(SPOKEN)), "id long, text string").withColumn("norm", T.normalize_text(F.col("text")))
+    """Masks, keywords and reasons of calls by the default lexicon, all 448 keywords."""
+    rows = spoken(spark, sf_dir).withColumn("norm", T.normalize_text(F.col("text")))
     masked, reasons = T.mask_pii(F.col("norm"), lexicon.DEFAULT.number_words)
-    found = T.keywords_in(F.col("norm"), lexicon.DEFAULT.keywords)
-    ranked = T.ranked_keywords(found, lexicon.DEFAULT)
-    return rows.select("id", "norm", masked.alias("masked"), joined(reasons).alias("reasons"), joined(found).alias("keywords"), joined(ranked).alias("ranked"), T.empty_reason(F.col("text"), lexicon.DEFAULT).alias("reason"))
+    rows = rows.select("doc_id", "text", "norm", masked.alias("masked"), joined(reasons).alias("reasons"), T.keywords_in(F.col("norm"), lexicon.DEFAULT.keywords).alias("found"))
+    ranked = T.ranked_keywords(F.col("found"), lexicon.DEFAULT)
+    return rows.select("doc_id", "norm", "masked", "reasons", joined(F.col("found")).alias("keywords"), joined(ranked).alias("ranked"), T.empty_reason(F.col("norm"), lexicon.DEFAULT, True).alias("reason"))
+
+
+def default_patterns(spark, sf_dir):
+    """Calls without what the 57 default patterns strip, and the reasons."""
+    stripped = T.stripped(T.normalize_text(F.col("text")), lexicon.DEFAULT.patterns)
+    return spoken(spark, sf_dir).select("doc_id", stripped.alias("s")).select("doc_id", F.col("s.text").alias("stripped"), joined(F.col("s.reasons")).alias("reasons"))
 
 
 def problem_keywords(spark, sf_dir):
@@ -205,24 +232,25 @@ def word_confidences(spark, sf_dir):
     return stats.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("total", "low", "very_low")], "s.low_ratio", records.format_confidences(F.col("s.very_low_words")).alias("very_low_words"))
 
 
-def transcript_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as transcripts: lines are pieces, labels of low quality doubt the language."""
-    docs = documents(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+def transcript_items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Documents as transcripts: lines are pieces, labels of low quality doubt the language, words have confidences by their lengths; some have failed."""
+    docs = (documents(spark, sf_dir) if docs is None else docs).join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     pieces = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), x.alias("text")))
     null = lambda kind: F.lit(None).cast(kind)
+    words = F.transform(T.words_of(T.normalize_text(F.col("text"))), lambda w: F.struct(w.alias("word"), null("double").alias("start"), null("double").alias("end"), (F.length(w) * 37 % 64 / 64.0).alias("conf")))
     return docs.select(
         F.col("doc_id").cast("string").alias("file_name"),
         F.col("source").alias("file_path"),
-        F.when(F.col("text").isNull(), "no text").alias("error"),
+        F.when(F.col("text").isNull(), "no text").when(F.col("doc_id") % 11 == 0, "broken file").alias("error"),
         "text",
         F.col("lang").alias("language"),
         null("string").alias("selected_language"),
         F.struct(F.when(F.col("quality") == 0, "low").alias("confidence")).alias("language_detection"),
         pieces.alias("segments"),
-        null("array<struct<word:string,start:double,end:double,conf:double>>").alias("words"),
-        null("int").alias("word_count"),
-        null("double").alias("avg_confidence"),
-        null("boolean").alias("fallback_language_used"),
+        F.when(F.col("lang") != "de", words).alias("words"),
+        F.when(F.col("lang") == "fr", F.length("text")).alias("word_count"),
+        F.when(F.col("doc_id") % 3 == 0, 0.875).when(F.col("doc_id") % 3 == 1, 0.625).alias("avg_confidence"),
+        (F.col("doc_id") % 5 == 0).alias("fallback_language_used"),
         null("double").alias("transcription_time_seconds"),
         null("double").alias("total_time_with_detection_seconds"),
     )
@@ -232,11 +260,51 @@ def processed_transcripts(spark, sf_dir):
     return tables.as_text(transcripts.process(transcript_items(spark, sf_dir), LEXICON), tables.RESULT_COLUMNS)
 
 
+def processed_calls(spark, sf_dir):
+    """Calls processed by the default lexicon: all its patterns, keywords and lists."""
+    return tables.as_text(transcripts.process(transcript_items(spark, sf_dir, spoken(spark, sf_dir)), lexicon.DEFAULT), tables.RESULT_COLUMNS)
+
+
 def cleaned_transcripts(spark, sf_dir):
-    """The result columns but for the semantic text, which SQL can't state in a few lines."""
+    """The result columns but for the semantic text: a smaller query beside ``processed_transcripts``."""
     return processed_transcripts(spark, sf_dir).drop("semantic_text")
 
 
+def review_rows(spark, sf_dir):
+    """What reviewers read of each transcript, ratio and confidence as numbers."""
+    done = transcripts.process(transcript_items(spark, sf_dir), LEXICON)
+    numbers = ("cleaning_ratio", "avg_confidence")
+    return tables.as_text(done, [c for c in tables.REVIEW_COLUMNS if c not in (*numbers, "semantic_text")], numbers)
+
+
+def response_rows(spark, sf_dir):
+    """What a caller gets of each transcript, lists joined."""
+    rows = tables.response_rows(transcripts.process(transcript_items(spark, sf_dir), LEXICON))
+    return rows.withColumns({c: joined(F.col(c)) for c in ("quality_flags", "problem_keywords_found")}).drop("semantic_text")
+
+
+def judged_pieces(spark, sf_dir):
+    """Every piece of every transcript: whether it was kept, what is left of it and what was removed."""
+    done = transcripts.process(transcript_items(spark, sf_dir), LEXICON)
+    piece = lambda column, kept: done.select("file_name", F.explode(column).alias("p")).select("file_name", F.col("p.index").cast("long").alias("place"), F.lit(kept).alias("kept"), "p.cleaned_text", joined(F.col("p.removed_parts")).alias("removed"), F.col("p.empty_reason"))
+    return piece("segments_cleaned", True).unionByName(piece("segments_removed", False))
+
+
+def ordered_lines(spark, sf_dir):
+    """The distinct lines of each document, in order."""
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.ordered_distinct(F.split("text", "\n")), "\n").alias("lines"))
+
+
+def report_totals(spark, sf_dir):
+    """Rows, clusters, noise and report rows of the clustered documents."""
+    rows = clustered_documents(spark, sf_dir)
+    return clusters.report_counts(rows, clusters.report(rows, "doc_id", "text", "lang", LEXICON.stopwords, examples=2))
+
+
+def sizes_by_number(spark, sf_dir):
+    return clusters.sizes_in_order(embeddings(spark, sf_dir))
+
+
 def process_summary(spark, sf_dir):
     return transcripts.process_summary(transcripts.process(transcript_items(spark, sf_dir), LEXICON))
 
@@ -268,6 +336,7 @@ QUERIES: list[Query] = [
     flagship, normalize_text, count_words, pattern_strip, pii_mask, number_run_mask, spoken_texts, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
     language_scores, detection_windows, csv_values, newest_events, window_counts, cluster_sizes, cluster_counts, cluster_centroids, cluster_probability, top_terms, cluster_report, pca_projection, kmeans, ward,
     top_keywords, noise_removal, word_confidences, processed_transcripts, cleaned_transcripts, process_summary, text_clusters, hdbscan,
+    default_patterns, processed_calls, review_rows, response_rows, judged_pieces, ordered_lines, report_totals, sizes_by_number,
 ]
 
 
@@ -291,8 +360,9 @@ def _signal(column: str, keywords: list[str] = LEXICON.keywords) -> str:
     return "(" + " OR ".join(f"contains({column}, '{lexicon.plain(k)}')" for k in keywords) + ")"
 
 
-def _found(column: str) -> str:
-    return f"list_sort(list_filter({_list(LEXICON.keywords)}, lambda k: contains({column}, k)))"
+def _found(column: str, keywords: list[str] = LEXICON.keywords) -> str:
+    keys = "[" + ", ".join(f"{{'p': '{lexicon.plain(k)}', 'k': '{k}'}}" for k in dict.fromkeys(keywords)) + "]"
+    return f"list_sort(list_transform(list_filter({keys}, lambda k: contains({column}, k.p)), lambda k: k.k))"
 
 
 #: RE2 knows word boundaries of ASCII only: what stands beside a Cyrillic word is matched instead, twice, as neighbours share it.
@@ -323,32 +393,66 @@ def _masked(source: str, keys: str, column: str, number_words: list[str], name:
 {name} AS (SELECT {name}5.*, coalesce(whole, '') AS masked, list_filter([{reasons}, CASE WHEN spoken THEN 'spoken_number_sequence' END], lambda x: x IS NOT NULL) AS mask_reasons FROM {name}5 LEFT JOIN {name}_j USING ({key}))"""
 
 
-def _stripped(source: str, column: str, name: str) -> str:
-    """CTEs that strip the patterns of LEXICON from ``column``; the last, ``name``, adds stripped and strip_reasons."""
+def _bounded(pattern: str) -> tuple[str, str]:
+    """A pattern for RE2 with the characters beside a word instead of word boundaries, and what replaces its matches: ``~`` and those characters.
+
+    RE2 knows the boundaries of ASCII words, whose patterns stay as they are.
+    """
+    if pattern.isascii():
+        return pattern, "~"
+    lead, trail = pattern.startswith("\\b"), pattern.endswith("\\b")
+    body = pattern[2 * lead : len(pattern) - 2 * trail].replace("\\b", "(?:$|[^0-9a-zа-яёәғқңөұүһі_])")
+    return (_BEFORE if lead else "") + body + (_AFTER if trail else ""), "\\1" * lead + "~" + ("\\2" if lead else "\\1") * trail
+
+
+def _without(text: str, pattern: str) -> str:
+    """``text`` with a blank for each match. Blanks are doubled meanwhile, as neighbours share the character between them; no normalised text holds ``~``."""
+    own, into = _bounded(pattern)
+    if into == "~":
+        return f"regexp_replace({text}, '{own}', ' ', 'g')"
+    own = own.replace(" ", "  ")
+    return f"replace(replace(regexp_replace(regexp_replace(replace({text}, ' ', '  '), '{own}', '{into}', 'g'), '{own}', '{into}', 'g'), '  ', ' '), '~', ' ')"
+
+
+def _stripped(source: str, column: str, name: str, words: lexicon.Lexicon = LEXICON) -> str:
+    """CTEs that strip the patterns of a lexicon from ``column``; the last, ``name``, adds stripped and strip_reasons."""
     text, steps = column, []
-    for i, (pattern, _) in enumerate(LEXICON.patterns):
-        steps.append(f"{name}{i} AS (SELECT *, regexp_replace({text}, '{pattern}', ' ', 'g') AS n{i}, regexp_matches({text}, '{pattern}') AS r{i} FROM {f'{name}{i - 1}' if i else source})")
-        text = f"n{i}"
-    reasons = ", ".join(f"CASE WHEN r{i} THEN '{r}' END" for i, (_, r) in enumerate(LEXICON.patterns))
-    return ", ".join(steps) + f", {name} AS (SELECT *, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS stripped, list_filter([{reasons}], lambda x: x IS NOT NULL) AS strip_reasons FROM {name}{len(steps) - 1})"
+    for i, (pattern, _) in enumerate(words.patterns):
+        steps.append(f"{name}{i} AS MATERIALIZED (SELECT * EXCLUDE ({'w' if i else column}), {_without(text, pattern)} AS w, regexp_matches({text}, '{_bounded(pattern)[0]}') AS r{i} FROM {f'{name}{i - 1}' if i else source})")
+        text = "w"
+    reasons = ", ".join(f"CASE WHEN r{i} THEN '{r}' END" for i, (_, r) in enumerate(words.patterns))
+    return ", ".join(steps) + f", {name} AS (SELECT * EXCLUDE ({', '.join(f'r{i}' for i in range(len(steps)))}, w), {_collapsed('w')} AS stripped, list_sort(list_distinct(list_filter([{reasons}], lambda x: x IS NOT NULL))) AS strip_reasons FROM {name}{len(steps) - 1})"
+
+
+def _collapsed(text: str) -> str:
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def _noise(text: str, words: lexicon.Lexicon = LEXICON) -> str:
+    for pattern in words.noise:
+        text = _without(text, pattern)
+    phrases = sorted({lexicon.plain(g) for g in words.generic}, key=lambda g: (-len(g), g))
+    return _collapsed(_without(text, f"\\b(?:{'|'.join(phrases)})\\b"))
 
 
-def _pieces(source: str) -> str:
-    """CTEs that clean the ``text`` of ``source`` (key: k) piece by piece; the last, ``pieces``, has its columns, kept and removed."""
+def _pieces(source: str, words: lexicon.Lexicon = LEXICON) -> str:
+    """CTEs that clean the ``text`` of ``source`` (key: k) piece by piece; the last, ``pieces``, has its columns, kept, removed and its reason."""
     return f"""normal AS (SELECT *, {_norm('text')} AS norm FROM {source}),
-{_stripped('normal', 'norm', 'bare')}, {_masked('bare', 'k', 'stripped', LEXICON.number_words, 'hidden')},
-left_over AS (SELECT *, CASE WHEN contains(masked, '[NAME]') AND NOT {_signal('lower(masked)')} THEN '' ELSE lower(masked) END AS said FROM hidden),
-pieces AS (SELECT *, CASE WHEN {_reason('said')} = 'useful' THEN said ELSE '' END AS kept,
-  list_sort(list_distinct(list_concat(strip_reasons, mask_reasons, CASE WHEN said = '' AND masked <> '' THEN ['drop_pii_only_segment'] ELSE [] END))) AS removed FROM left_over)"""
+{_stripped('normal', 'norm', 'bare', words)}, {_masked('bare', 'k', 'stripped', words.number_words, 'hidden')},
+left_over AS (SELECT *, CASE WHEN contains(masked, '[NAME]') AND NOT {_signal('lower(masked)', words.keywords)} THEN '' ELSE lower(masked) END AS said FROM hidden),
+weighed AS (SELECT *, {_reason('said', words)} AS why FROM left_over),
+pieces AS (SELECT *, CASE WHEN why = 'useful' THEN said ELSE '' END AS kept,
+  list_sort(list_distinct(list_concat(strip_reasons, mask_reasons, CASE WHEN said = '' AND masked <> '' THEN ['drop_pii_only_segment'] ELSE [] END))) AS removed FROM weighed)"""
 
 
 _PERSONAL = [r for _, _, r in T.PII] + ["name_ru", "spoken_number_sequence", "drop_pii_only_segment"]
 
 
-def _judged(source: str, low_language: str = "false", ratio: str = "false") -> str:
+def _judged(source: str, low_language: str = "false", ratio: str = "false", low_average: str = "false", fallback: str = "false", words: lexicon.Lexicon = LEXICON) -> str:
     """CTEs over ``source`` (cleaned, removed, raw_words): ``judged`` adds reason, clean_words, keywords, flags, priority and ready."""
-    return f"""reasoned AS (SELECT *, {_reason('cleaned')} AS reason, {_words('cleaned')} AS clean_words, {_found('cleaned')} AS keywords FROM {source}),
+    return f"""reasoned AS (SELECT *, {_reason('cleaned', words)} AS reason, {_words('cleaned')} AS clean_words, {_found('cleaned', words.keywords)} AS keywords FROM {source}),
 flagged AS (SELECT *, reason <> 'useful' AS empty, list_sort(list_filter([
+  CASE WHEN {low_average} THEN 'low_avg_confidence' END, CASE WHEN {fallback} THEN 'fallback_language_used' END,
   CASE WHEN {low_language} THEN 'low_language_confidence' END,
   CASE WHEN len(list_filter(removed, lambda r: starts_with(r, 'asr_'))) >= 2 THEN 'many_asr_noise_fragments' END,
   CASE WHEN len(list_filter(removed, lambda r: list_contains({_list(_PERSONAL)}, r))) > 0 THEN 'pii_removed' END,
@@ -365,11 +469,72 @@ whole AS (SELECT conv_id, coalesce(string_agg(kept, ' ' ORDER BY turn, text NULL
 {_judged('whole', ratio='raw_words > 0 AND round(clean_words / raw_words, 4) < 0.55::DOUBLE')}"""
 
 
-def _transcripts() -> str:
-    return f"""WITH items AS (SELECT row_number() OVER () AS item, d.*, quality FROM documents d LEFT JOIN labels USING (doc_id)),
-lines AS (SELECT item * 1000000 + place AS k, * FROM (SELECT item, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM items WHERE text IS NOT NULL)), {_pieces('lines')},
+def _transcripts(words: lexicon.Lexicon = LEXICON, documents: str = "documents") -> str:
+    return f"""WITH items AS (SELECT row_number() OVER () AS item, d.*, quality, CASE WHEN text IS NULL THEN 'no text' WHEN doc_id % 11 = 0 THEN 'broken file' END AS failure FROM {documents} d LEFT JOIN labels USING (doc_id)),
+facts AS (SELECT *, CASE WHEN lang = 'fr' THEN length(text) END AS word_count, CASE WHEN lang <> 'de' THEN list_transform(list_filter(string_split({_norm('text')}, ' '), lambda x: x <> ''), lambda x: (length(x) * 37 % 64) / 64.0::DOUBLE) END AS confidences,
+  CASE doc_id % 3 WHEN 0 THEN 0.875::DOUBLE WHEN 1 THEN 0.625::DOUBLE END AS average FROM items),
+lines AS (SELECT item * 1000000 + place AS k, * FROM (SELECT item, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM items WHERE text IS NOT NULL)), {_pieces('lines', words)},
 joined AS (SELECT item, string_agg(kept, ' ' ORDER BY k) FILTER (kept <> '') AS cleaned, flatten(list(removed ORDER BY k)) AS removed FROM pieces GROUP BY item),
-whole AS (SELECT items.*, coalesce(cleaned, '') AS cleaned, coalesce(removed, []) AS removed FROM items LEFT JOIN joined USING (item)), {_judged('whole', low_language='quality = 0')}"""
+whole AS (SELECT facts.*, coalesce(cleaned, '') AS cleaned, coalesce(removed, []) AS removed, coalesce(word_count, len(confidences), {_words('text')}) AS raw_words,
+  round(coalesce(average, CASE WHEN len(confidences) > 0 THEN list_sum(confidences) / len(confidences) END), 4) AS avg_confidence FROM facts LEFT JOIN joined USING (item)),
+{_judged('whole', 'quality = 0', 'word_count > 0 AND round(clean_words / word_count, 4) < 0.55::DOUBLE', 'average < 0.75', 'doc_id % 5 = 0', words)}"""
+
+
+def _around(tokens: str, keywords: str, before: int = 7, after: int = 18, most: int = 4) -> str:
+    """The stretches of a list of tokens around keywords: longest first, none overlapping an earlier one."""
+    parts = f"list_sort(list_transform(range(1, len({keywords}) + 1), lambda i: {{'w': -len(string_split({keywords}[i], ' ')), 'i': i, 'p': string_split({keywords}[i], ' ')}}))"
+    hits = f"flatten(list_transform({parts}, lambda x: list_transform(list_filter(range(1, len({tokens}) - len(x.p) + 2), lambda j: {tokens}[j:j + len(x.p) - 1] = x.p), lambda j: [{{'s': greatest(j - {before + 1}, 0), 'e': least(j - 1 + len(x.p) + {after}, len({tokens}))}}])))"
+    taken = f"list_reduce({hits}, lambda got, h: CASE WHEN len(got) < {most} AND len(list_filter(got, lambda g: h[1].s < g.e AND g.s < h[1].e)) = 0 THEN list_concat(got, h) ELSE got END, []::STRUCT(s BIGINT, e BIGINT)[])"
+    return f"list_transform({taken}, lambda g: array_to_string({tokens}[g.s + 1:g.e], ' '))"
+
+
+def _semantic(words: lexicon.Lexicon = LEXICON) -> str:
+    """CTEs over ``judged`` and ``pieces``; the last, ``semantic``, has item and semantic_text."""
+    pairs = ", ".join(f"('{k}', '{words.canonical.get(lexicon.plain(k), lexicon.plain(k))}')" for k in dict.fromkeys(words.keywords))
+    size = "len(string_split(named, ' '))"
+    markers = f"len(list_filter({_list(words.markers)}, lambda m: contains(named, m)))"
+    tokens = lambda text: f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
+    first = lambda text: f"array_to_string(string_split({text}, ' ')[1:55], ' ')"
+    return f"""names(listed, named) AS (VALUES {pairs}),
+scored AS (SELECT DISTINCT item, named, CASE WHEN list_contains({_list(words.strong)}, named) THEN 100 ELSE 0 END + CASE WHEN {size} >= 3 THEN 40 WHEN {size} = 2 THEN 20 ELSE 0 END + CASE WHEN {markers} > 0 THEN 30 ELSE 0 END + least(length(named), 30) AS score
+  FROM (SELECT item, unnest(keywords) AS listed FROM judged) JOIN names USING (listed) WHERE length(named) >= 3 AND NOT list_contains({_list(words.weak + words.generic)}, named)),
+best AS (SELECT item, list(named ORDER BY place) FILTER (place <= 6) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, named) AS place FROM scored) GROUP BY item),
+keyed AS (SELECT item, coalesce(wanted, []::VARCHAR[]) AS wanted, {_noise('cleaned', words)} AS whole FROM judged LEFT JOIN best USING (item)),
+heard AS (SELECT p.item, p.k AS pos, wanted, {_noise('p.kept', words)} AS said FROM pieces p JOIN keyed USING (item) WHERE p.kept <> ''),
+split AS (SELECT *, {tokens('said')} AS t FROM heard WHERE len(list_filter(wanted, lambda x: contains(said, x))) > 0),
+near AS (SELECT *, {_around('t', 'wanted')} AS found FROM split),
+each AS (SELECT item, pos, CASE WHEN len(found) > 0 THEN found ELSE [said] END AS found FROM near),
+counted AS (SELECT *, coalesce(sum(len(found)) OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM each),
+parts AS (SELECT item, flatten(list(found ORDER BY pos)) AS found FROM counted WHERE before < 4 GROUP BY item),
+wholes AS (SELECT keyed.*, coalesce(found, []::VARCHAR[]) AS found, {tokens('whole')} AS t FROM keyed LEFT JOIN parts USING (item)),
+filled AS (SELECT item, whole, wanted, CASE WHEN len(found) = 0 AND len(wanted) > 0 THEN {_around('t', 'wanted')} ELSE found END AS found FROM wholes),
+ended AS (SELECT item, whole, wanted, CASE WHEN len(found) = 0 THEN [whole] ELSE found END AS found FROM filled),
+bodies AS (SELECT item, whole, wanted, {_noise("array_to_string(list_filter(found, lambda x, i: x <> '' AND list_position(found, x) = i), ' ')", words)} AS body FROM ended),
+texts AS (SELECT item, whole, array_to_string(list_filter(list_append(wanted, {first('body')}), lambda x: x <> ''), ' ') AS body FROM bodies),
+clean AS (SELECT item, whole, {_noise('body', words)} AS body FROM texts),
+semantic AS (SELECT item, CASE WHEN whole = '' THEN '' ELSE {first('body')} END AS semantic_text FROM clean)"""
+
+
+def _text_or(value: str, otherwise: str = "''") -> str:
+    return f"CASE WHEN failure IS NOT NULL THEN {otherwise} ELSE {value} END"
+
+
+#: The columns of results, as texts, over ``judged``.
+_RESULT = {
+    "file_name": "doc_id::VARCHAR", "status": _text_or("'processed'", "'error'"), "selected_language": "coalesce(lang, '')", "language_confidence": "CASE WHEN quality = 0 THEN 'low' ELSE '' END",
+    "word_count_raw": _text_or("raw_words::VARCHAR"), "word_count_cleaned": _text_or("clean_words::VARCHAR"), "is_empty_call": "(failure IS NOT NULL OR empty)::VARCHAR", "empty_reason": _text_or("reason", "'transcription_error'"),
+    "review_priority": _text_or("priority", "'high'"), "ready_for_classification": "(failure IS NULL AND ready)::VARCHAR", "quality_flags": _text_or("array_to_string(flags, ', ')", "'transcription_error'"),
+    "problem_keywords_found": _text_or("array_to_string(keywords, ', ')"), "raw_transcript": _text_or("coalesce(text, '')"), "cleaned_transcript": _text_or("cleaned"),
+}
+_RESULTS = ", ".join(f"{value} AS {name}" for name, value in _RESULT.items())
+
+
+def _spoken() -> str:
+    """A table like documents, with what ``spoken`` makes of each text."""
+    n, blanks = "length(line)", "(length(line) - length(replace(line, ' ', '')))"
+    phrase = lambda number: f"phrases[({number}) % len(phrases) + 1]"
+    call = f"{phrase(n)} || ' ' || {phrase(f'{n} * 7 + {blanks} * 3 + 1')} || ' ' || {phrase(f'{blanks} * 5 + i - 1')}"
+    return f"(SELECT doc_id, lang, source, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i: {call}), chr(10)) AS text FROM documents, (SELECT {_list([*SPOKEN, *SAID])} AS phrases))"
 
 
 def _strip() -> str:
@@ -386,20 +551,20 @@ def _reason(norm: str, words: lexicon.Lexicon = LEXICON) -> str:
     return f"CASE WHEN {norm} = '' THEN 'empty_text' WHEN list_contains({_list(words.empty_phrases)}, {norm}) THEN 'empty_phrase' WHEN {_signal(norm, words.keywords)} THEN 'useful' WHEN {idle} THEN 'only_empty_or_number_words' WHEN {_words(norm)} <= 3 THEN 'too_short_without_problem_signal' WHEN {_words(norm)} <= 5 THEN 'short_noninformative' ELSE 'useful' END"
 
 
-def _spoken() -> str:
+def _spoken_texts() -> str:
     d = lexicon.DEFAULT
     pairs = ", ".join(f"('{lexicon.plain(k)}', '{k}', '{d.canonical.get(lexicon.plain(k), lexicon.plain(k))}')" for k in dict.fromkeys(d.keywords))
     words = "len(string_split(named, ' '))"
-    return f"""WITH given(id, text) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(SPOKEN))}), normal AS (SELECT id::BIGINT AS id, text, {_norm('text')} AS norm FROM given),
-{_masked('normal', 'id', 'norm', d.number_words, 'hidden')}, keys(plain, listed, named) AS (VALUES {pairs}),
-hits AS (SELECT id, listed, named FROM normal JOIN keys ON contains(norm, plain)),
-found AS (SELECT id, string_agg(DISTINCT listed, '|' ORDER BY listed) AS keywords FROM hits GROUP BY id),
-scored AS (SELECT DISTINCT id, named, CASE WHEN list_contains({_list(d.strong)}, named) THEN 100 ELSE 0 END + CASE WHEN {words} >= 3 THEN 40 WHEN {words} = 2 THEN 20 ELSE 0 END
+    return f"""WITH normal AS (SELECT doc_id, text, {_norm('text')} AS norm FROM {_spoken()}),
+{_masked('normal', 'doc_id', 'norm', d.number_words, 'hidden')}, keys(plain, listed, named) AS (VALUES {pairs}),
+hits AS (SELECT doc_id, listed, named FROM normal JOIN keys ON contains(norm, plain)),
+found AS (SELECT doc_id, string_agg(DISTINCT listed, '|' ORDER BY listed) AS keywords FROM hits GROUP BY doc_id),
+scored AS (SELECT DISTINCT doc_id, named, CASE WHEN list_contains({_list(d.strong)}, named) THEN 100 ELSE 0 END + CASE WHEN {words} >= 3 THEN 40 WHEN {words} = 2 THEN 20 ELSE 0 END
   + CASE WHEN len(list_filter({_list(d.markers)}, lambda m: contains(named, m))) > 0 THEN 30 ELSE 0 END + least(length(named), 30) AS score
   FROM hits WHERE length(named) >= 3 AND NOT list_contains({_list(d.weak + d.generic)}, named)),
-places AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, named) AS place FROM scored),
-best AS (SELECT id, string_agg(named, '|' ORDER BY place) AS ranked FROM places WHERE place <= 6 GROUP BY id)
-SELECT id, norm, masked, array_to_string(mask_reasons, '|') AS reasons, coalesce(keywords, '') AS keywords, coalesce(ranked, '') AS ranked, {_reason('norm', d)} AS reason FROM hidden LEFT JOIN found USING (id) LEFT JOIN best USING (id)"""
+places AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, named) AS place FROM scored),
+best AS (SELECT doc_id, string_agg(named, '|' ORDER BY place) AS ranked FROM places WHERE place <= 6 GROUP BY doc_id)
+SELECT doc_id, norm, masked, array_to_string(mask_reasons, '|') AS reasons, coalesce(keywords, '') AS keywords, coalesce(ranked, '') AS ranked, {_reason('norm', d)} AS reason FROM hidden LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
 _RANK = ", ".join(f"('{k}', '{LEXICON.canonical.get(k, k)}')" for k in LEXICON.keywords)
@@ -419,7 +584,19 @@ g AS (SELECT *, num, pos - row_number() OVER (PARTITION BY doc_id, num ORDER BY
 r AS (SELECT doc_id, num AND count(*) >= 4 AS run, min(pos) AS start, string_agg(w, ' ' ORDER BY pos) AS words FROM g GROUP BY doc_id, num, island),
 j AS (SELECT doc_id, string_agg(CASE WHEN run THEN '[NUMBER_SEQ]' ELSE words END, ' ' ORDER BY start) AS masked FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(masked, '') AS masked FROM documents LEFT JOIN j USING (doc_id)""",
-        "spoken_texts": _spoken(),
+        "spoken_texts": _spoken_texts(),
+        "default_patterns": f"WITH normal AS (SELECT doc_id, {_norm('text')} AS norm FROM {_spoken()}), {_stripped('normal', 'norm', 'bare', lexicon.DEFAULT)} SELECT doc_id, stripped, array_to_string(strip_reasons, '|') AS reasons FROM bare",
+        "processed_transcripts": f"{_transcripts()}, {_semantic()} SELECT {_RESULTS}, {_text_or('semantic_text')} AS semantic_text FROM judged JOIN semantic USING (item)",
+        "processed_calls": f"{_transcripts(lexicon.DEFAULT, _spoken())}, {_semantic(lexicon.DEFAULT)} SELECT {_RESULTS}, {_text_or('semantic_text')} AS semantic_text FROM judged JOIN semantic USING (item)",
+        "review_rows": f"""{_transcripts()} SELECT {", ".join(f"{v} AS {c}" for c, v in _RESULT.items() if c in tables.REVIEW_COLUMNS)}, {_text_or("array_to_string(list_sort(list_distinct(removed)), ', ')")} AS removed_parts,
+  {_text_or("CASE WHEN raw_words > 0 THEN round(clean_words / raw_words, 4) END", "NULL")} AS cleaning_ratio, {_text_or("avg_confidence", "NULL")} AS avg_confidence FROM judged""",
+        "response_rows": f"""{_transcripts()} SELECT doc_id::VARCHAR AS file_name, {_RESULT['status']} AS status, lang AS selected_language, CASE WHEN quality = 0 THEN 'low' END AS language_confidence, {_text_or('raw_words', 'NULL')} AS word_count_raw, {_text_or('clean_words', 'NULL')} AS word_count_cleaned,
+  failure IS NOT NULL OR empty AS is_empty_call, {_RESULT['empty_reason']} AS empty_reason, {_RESULT['review_priority']} AS review_priority, failure IS NULL AND ready AS ready_for_classification, {_text_or("array_to_string(flags, '|')", "'transcription_error'")} AS quality_flags,
+  {_text_or("array_to_string(keywords, '|')")} AS problem_keywords_found, {_RESULT['raw_transcript']} AS raw_transcript, {_RESULT['cleaned_transcript']} AS cleaned_transcript FROM judged""",
+        "judged_pieces": f"{_transcripts()} SELECT doc_id::VARCHAR AS file_name, place, why = 'useful' AS kept, p.kept AS cleaned_text, array_to_string(p.removed, '|') AS removed, why AS empty_reason FROM pieces p JOIN items USING (item)",
+        "ordered_lines": "WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)) AS lines FROM t",
+        "report_totals": f"SELECT count(*) AS rows, count(DISTINCT c) FILTER (c <> -1) AS clusters, count(*) FILTER (c = -1) AS noise, count(DISTINCT coalesce(c, -1)) AS report_rows FROM (SELECT cluster_id AS c FROM {_DOCS})",
+        "sizes_by_number": f"SELECT cluster_id::VARCHAR AS cluster_id, count(*) AS cluster_size FROM {_EMB} GROUP BY 1",
         "keyword_windows": f"""WITH d AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS t FROM documents),
 h AS (SELECT doc_id, t, list_concat(
   list_transform(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'), lambda i: [{{'s': greatest(i - 8, 0), 'e': least(i + 19, len(t))}}]),
@@ -431,14 +608,10 @@ SELECT doc_id, array_to_string(list_transform(taken, lambda g: array_to_string(t
         "conversation_summary": f"""{_conversations()} SELECT count(*) AS total, count(*) FILTER (empty) AS empty, count(*) FILTER (NOT empty) AS useful, count(*) FILTER (len(flags) > 0) AS review_needed, count(*) FILTER (ready) AS ready,
   {', '.join(f"count(*) FILTER (priority = '{p}') AS priority_{p}" for p in ('low', 'medium', 'high'))} FROM judged""",
         "flag_counts": f"{_conversations()} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM judged) GROUP BY flag",
-        "cleaned_transcripts": f"""{_transcripts()} SELECT doc_id::VARCHAR AS file_name, CASE WHEN text IS NULL THEN 'error' ELSE 'processed' END AS status, coalesce(lang, '') AS selected_language, CASE WHEN quality = 0 THEN 'low' ELSE '' END AS language_confidence,
-  CASE WHEN text IS NULL THEN '' ELSE {_words('text')}::VARCHAR END AS word_count_raw, CASE WHEN text IS NULL THEN '' ELSE clean_words::VARCHAR END AS word_count_cleaned, (text IS NULL OR empty)::VARCHAR AS is_empty_call,
-  CASE WHEN text IS NULL THEN 'transcription_error' ELSE reason END AS empty_reason, CASE WHEN text IS NULL THEN 'high' ELSE priority END AS review_priority, (text IS NOT NULL AND ready)::VARCHAR AS ready_for_classification,
-  CASE WHEN text IS NULL THEN 'transcription_error' ELSE array_to_string(flags, ', ') END AS quality_flags, CASE WHEN text IS NULL THEN '' ELSE array_to_string(keywords, ', ') END AS problem_keywords_found,
-  coalesce(text, '') AS raw_transcript, CASE WHEN text IS NULL THEN '' ELSE cleaned END AS cleaned_transcript FROM judged""",
-        "process_summary": f"""{_transcripts()} SELECT count(*) AS total, count(*) FILTER (text IS NOT NULL AND NOT empty) AS useful, count(*) FILTER (text IS NULL OR empty) AS empty, count(*) FILTER (text IS NULL) AS errors,
-  count(*) FILTER (text IS NULL OR len(flags) > 0) AS review_needed, count(*) FILTER (text IS NOT NULL AND ready) AS ready, count(*) FILTER (text IS NULL OR NOT ready) AS not_ready,
-  {', '.join(f"count(*) FILTER (CASE WHEN text IS NULL THEN 'high' ELSE priority END = '{p}') AS priority_{p}" for p in ('low', 'medium', 'high'))} FROM judged""",
+        "cleaned_transcripts": f"{_transcripts()} SELECT {_RESULTS} FROM judged",
+        "process_summary": f"""{_transcripts()} SELECT count(*) AS total, count(*) FILTER (failure IS NULL AND NOT empty) AS useful, count(*) FILTER (failure IS NOT NULL OR empty) AS empty, count(*) FILTER (failure IS NOT NULL) AS errors,
+  count(*) FILTER (failure IS NOT NULL OR len(flags) > 0) AS review_needed, count(*) FILTER (failure IS NULL AND ready) AS ready, count(*) FILTER (failure IS NOT NULL OR NOT ready) AS not_ready,
+  {', '.join(f"count(*) FILTER (CASE WHEN failure IS NOT NULL THEN 'high' ELSE priority END = '{p}') AS priority_{p}" for p in ('low', 'medium', 'high'))} FROM judged""",
         "problem_keywords": f"WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents) SELECT doc_id, array_to_string({_found('norm')}, '|') AS keywords FROM d",
         "keyword_counts": f"WITH d AS (SELECT {_norm('text')} AS norm FROM documents) SELECT keyword, count(*) AS n FROM (SELECT unnest({_found('norm')}) AS keyword FROM d) GROUP BY keyword",
         "semantic_keywords": f"""WITH d AS (SELECT doc_id, {_norm('text')} AS norm FROM documents), k(word, named) AS (VALUES {_RANK}),

@@ -71,11 +71,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.options(**CSV).csv(path)
 
 
-def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``df`` as text: arrays joined by ``, ``, nulls and absent columns ''."""
+def as_text(df: DataFrame, columns: list[str], as_they_are: tuple[str, ...] = ()) -> DataFrame:
+    """``columns`` of ``df`` as text: arrays joined by ``, ``, nulls and absent columns ''; then those that stay ``as_they_are``."""
     kinds = dict(df.dtypes)
     value = lambda c: F.array_join(F.col(c).cast("array<string>"), ", ") if kinds[c].startswith("array") else F.col(c).cast("string")
-    return df.select(*[F.coalesce(value(c), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in columns])
+    return df.select(*[F.coalesce(value(c), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in columns], *as_they_are)
 
 
 def _at(spark: SparkSession, path: str):
