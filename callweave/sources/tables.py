@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.functions import text
+from callweave.sources import batches
+from callweave.sources.batches import _at
+from callweave.sources.documents import write_json_document
 
 #: A language is text, or an object whose JSON is kept as text.
 TRANSCRIPT = """file_name string, file_path string, error string, text string,
@@ -20,7 +23,6 @@ transcription_time_seconds double, total_time_with_detection_seconds double"""
 
 # The columns of the result table and of the list for reviewers, in order.
 RESULT_COLUMNS = "file_name status selected_language language_confidence word_count_raw word_count_cleaned is_empty_call empty_reason review_priority ready_for_classification quality_flags problem_keywords_found raw_transcript cleaned_transcript semantic_text".split()
-INGEST = ["ingest_batch", "ingested_at", "ingest_seq"]
 REVIEW_COLUMNS = "file_name selected_language language_confidence is_empty_call empty_reason review_priority ready_for_classification quality_flags word_count_raw word_count_cleaned cleaning_ratio avg_confidence problem_keywords_found semantic_text removed_parts raw_transcript cleaned_transcript".split()
 
 
@@ -78,12 +80,6 @@ def as_text(df: DataFrame, columns: list[str], as_they_are: tuple[str, ...] = ()
     return df.select(*[F.coalesce(value(c), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in columns], *as_they_are)
 
 
-def _at(spark: SparkSession, path: str):
-    """The file system of ``path`` and the path on it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _at(spark, path)
     return fs.exists(at)
@@ -98,41 +94,41 @@ def clear(spark: SparkSession, *paths: str) -> int:
 
 
 def ensure_schema(spark: SparkSession, path: str, columns: list[str]) -> str | None:
-    """Set a Parquet table at ``path`` aside if it has other columns than ``columns`` (or another order) and the ingest columns.
+    """Set a table at ``path`` aside if it has other columns than ``columns`` (or another order) and the batches' stamps.
 
     Returns the name that it got (``<path>_<seconds>.bak``), None if it was right, empty or absent.
     """
     if not exists(spark, path):
         return None
     fs, at = _at(spark, path)
-    own = [c for c in spark.read.parquet(path).columns if c not in INGEST] if fs.globStatus(_at(spark, f"{path}/*.parquet")[1]) else columns
-    if own == columns:
+    plain = bool(fs.globStatus(_at(spark, f"{path}/*.parquet")[1]))
+    found = spark.read.parquet(path) if plain else batches.read(spark, path)
+    if found is None or not plain and [c for c in found.columns if c not in batches.STAMPS] == columns:
         return None
     aside = f"{path.rstrip('/')}_{int(time.time())}.bak"
     fs.rename(at, _at(spark, aside)[1])
     return aside
 
 
-def append_results(processed: DataFrame, path: str) -> None:
-    """Append the result columns to the Parquet table at ``path``, with the number of the batch, when it came and the order in it.
+def append_results(processed: DataFrame, path: str, key: str | None = None) -> bool:
+    """Append the result columns to the table of batches at ``path`` (see ``batches``); False if the batch ``key`` is there already.
 
-    A table of other columns is set aside first (see ``ensure_schema``). One writer at a time.
+    Writers need not wait for one another, and one that failed may come again with its key. A table
+    of other columns is set aside first (see ``ensure_schema``).
     """
-    spark = processed.sparkSession
-    ensure_schema(spark, path, RESULT_COLUMNS)
-    batch = (spark.read.parquet(path).agg(F.max("ingest_batch")).first()[0] or 0) + 1 if exists(spark, path) else 1
-    stamps = {"ingest_batch": F.lit(batch).cast("long"), "ingested_at": F.current_timestamp(), "ingest_seq": F.monotonically_increasing_id()}
-    as_text(processed, RESULT_COLUMNS).withColumns(stamps).write.mode("append").parquet(path)
+    ensure_schema(processed.sparkSession, path, RESULT_COLUMNS)
+    return batches.append(as_text(processed, RESULT_COLUMNS), path, key)
 
 
 def read_results(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """Result rows: the newest ``limit``, newest first; all, in order, if ``limit`` is 0 or less; none if there is no table."""
-    if not exists(spark, path):
+    rows = batches.read(spark, path)
+    if rows is None:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS))
-    rows = spark.read.parquet(path)
+    order = ["ingested_at", "ingest_batch", "ingest_seq"]
     if limit <= 0:
-        return rows.orderBy("ingest_batch", "ingest_seq").select(*RESULT_COLUMNS)
-    return rows.orderBy(F.desc("ingest_batch"), F.desc("ingest_seq")).limit(limit).select(*RESULT_COLUMNS)
+        return rows.orderBy(*order).select(*RESULT_COLUMNS)
+    return rows.orderBy(*map(F.desc, order)).limit(limit).select(*RESULT_COLUMNS)
 
 
 def response_rows(processed: DataFrame) -> DataFrame:
@@ -171,7 +167,21 @@ def read_csv_records(spark: SparkSession, path: str, columns: list[str]) -> Data
     return rows.select(*[text.parse_csv_value(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
-def write_envelope(processed: DataFrame, summary: DataFrame, path: str, source: str) -> None:
-    """JSON lines: first folder ``results``, one object a row; then ``summary`` with the counts and the source's name."""
-    processed.write.json(f"{path}/results")
-    summary.withColumn("source_file", F.lit(source)).write.json(f"{path}/summary")
+# What clustering adds to the result table, with its types.
+CLUSTERED = {"text_for_clustering": "string", "cluster_id": "int", "cluster_probability": "double", "cluster_size": "int", "cluster_status": "string"}
+
+
+def read_clustered(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of clustered results: the result columns as texts, then CLUSTERED with its types.
+
+    Cluster ids as ``cluster_number`` reads them; other numbers that can't be read are null.
+    """
+    rows = read_csv_records(spark, path, [*RESULT_COLUMNS, *CLUSTERED])
+    typed = {c: text.cluster_number(F.col(c)) if c == "cluster_id" else F.col(c).try_cast(t) for c, t in CLUSTERED.items()}
+    return rows.withColumns(typed)
+
+
+def write_envelope(processed: DataFrame, summary: DataFrame, path: str, source: str, facts: dict | None = None, overwrite: bool = False) -> None:
+    """One JSON document: ``source_file``, further ``facts``, the one row of ``summary``, then ``results`` with an object for each row."""
+    said = {"source_file": source, **(facts or {}), "summary": summary.first().asDict(True)}
+    write_json_document(processed, path, said, overwrite=overwrite)

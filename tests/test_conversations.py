@@ -1,5 +1,7 @@
 """Functions and operators on small Russian, Kazakh and English examples."""
 
+import csv
+import io
 import json
 import math
 from itertools import pairwise
@@ -12,7 +14,7 @@ from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
 from callweave.operators import clusters, hierarchy, transcripts
-from callweave.sources import audio, tables
+from callweave.sources import audio, batches, documents, tables
 from callweave.streaming import ingest
 from tests import brute
 
@@ -191,8 +193,12 @@ def test_transcripts_are_processed(spark, tmp_path):
     assert [r["file_name"] for r in tables.read_results(spark, str(tmp_path / "results")).collect()] == ["a", "c"]
     tables.write_review(processed, str(tmp_path / "review"))
     assert {r["quality_flags"] for r in tables.read_csv_records(spark, str(tmp_path / "review"), tables.REVIEW_COLUMNS).collect()} >= {"transcription_error", "very_short_but_useful"}
-    tables.write_envelope(processed, transcripts.process_summary(processed), str(tmp_path / "out"), "many.json")
-    assert spark.read.json(str(tmp_path / "out" / "summary")).first()["source_file"] == "many.json"
+    tables.write_envelope(processed.orderBy("file_name"), transcripts.process_summary(processed), str(tmp_path / "out.json"), "many.json", {"notes": "é"})
+    said = json.loads((tmp_path / "out.json").read_text("utf-8"))
+    assert (said["source_file"], said["notes"], said["summary"]["total"]) == ("many.json", "é", 4) and [r["file_name"] for r in said["results"]] == sorted(r["file_name"] for r in processed.collect())
+    assert "avg_confidence" in said["results"][0]
+    with pytest.raises(FileExistsError):
+        tables.write_envelope(processed, transcripts.process_summary(processed), str(tmp_path / "out.json"), "many.json")
 
 
 def test_tables_keep_what_they_are_given(spark, tmp_path):
@@ -386,6 +392,83 @@ def test_small_tables_are_clustered_exactly(spark):
     assert adjusted_rand(exact[:76], brute.ward_labels(points, weight, 4)) == 1
 
 
+def test_batches_come_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *names: tables.error_rows(spark.createDataFrame([(n, "x") for n in names], "file_name string, error string"))
+    assert tables.append_results(rows("a", "b"), path, "run/1") and not tables.append_results(rows("z"), path, "run/1") and tables.append_results(rows("c"), path, "run/2")
+    (tmp_path / "t" / "data-left-by-a-failed-writer").mkdir()
+    names = lambda limit=0: [r["file_name"] for r in tables.read_results(spark, path, limit).collect()]
+    assert names() == ["a", "b", "c"] and names(2) == ["c", "b"]
+    # Two writers of one key that both found none: the second's manifest is refused and its data deleted.
+    real, checked = batches._at, []
+
+    def blind(session, at):
+        fs, p = real(session, at)
+        if at.endswith("run%2F2.json") and not checked:
+            checked.append(at)
+            return type("NoneThere", (), {"exists": lambda self, _: False, "delete": lambda self, *x: fs.delete(*x)})(), p
+        return fs, p
+
+    batches._at = blind
+    try:
+        assert not batches.append(rows("y"), path, "run/2")
+    finally:
+        batches._at = real
+    assert names() == ["a", "b", "c"] and len(list((tmp_path / "t").glob("data-*"))) == 3
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"file_name": "s", "text": "карта не работает"}))
+    stream = lambda: spark.readStream.schema(tables.TRANSCRIPT).json(str(tmp_path / "in"))
+    for checkpoint in ("c1", "c2"):  # the second run knows nothing of the first, as after a lost checkpoint
+        ingest.append_processed(stream(), path, str(tmp_path / checkpoint), "stream").awaitTermination()
+    assert names() == ["a", "b", "c", "s"]
+
+
+def test_documents_of_many_parts(spark, tmp_path):
+    df = spark.createDataFrame([(i, f'a "{i}", é\nb' if i % 2 else None, [f"x{i}", "y"]) for i in range(40)], "id long, text string, tags array<string>").repartitionByRange(7, "id").sortWithinPartitions("id")
+    documents.write_csv_document(df, str(tmp_path / "t.csv"))
+    raw = (tmp_path / "t.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfid,text,tags\n")
+    read = list(csv.DictReader(io.StringIO(raw.decode("utf-8-sig"))))
+    assert [(int(r["id"]), r["text"], r["tags"]) for r in read] == [(i, f'a "{i}", é\nb' if i % 2 else "", f"x{i}, y") for i in range(40)]
+    documents.write_json_document(df, str(tmp_path / "t.json"), {"n": 40})
+    said = json.loads((tmp_path / "t.json").read_text("utf-8"))
+    assert said["n"] == 40 and [r["id"] for r in said["results"]] == list(range(40)) and said["results"][0]["text"] is None
+    documents.write_json_document(df.where("false"), str(tmp_path / "t.json"), overwrite=True)
+    assert json.loads((tmp_path / "t.json").read_text()) == {"results": []} and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t.csv", "t.json"]
+
+
+def test_clustered_tables_have_types(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "3.0", "0.5", "x"), ("b", "", "nan", "2")], "file_name string, cluster_id string, cluster_probability string, cluster_size string")
+    whole = rows.select(*[F.col(c) if c in rows.columns else F.lit("t").alias(c) for c in [*tables.RESULT_COLUMNS, *tables.CLUSTERED]])
+    documents.write_csv_document(whole, str(tmp_path / "c.csv"))
+    got = tables.read_clustered(spark, str(tmp_path / "c.csv"))
+    assert dict(got.dtypes)["cluster_id"] == "int" and dict(got.dtypes)["cluster_probability"] == "double"
+    assert sorted((r["file_name"], r["cluster_id"], r["cluster_probability"], r["cluster_size"]) for r in got.collect()) == [("a", 3, 0.5, None), ("b", -1, None, 2)]
+
+
+def test_one_long_conversation_is_joined_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "RANGE", 50)
+    said = [f"карта номер {i} не работает" if i % 3 else "спасибо" for i in range(2000)]
+    rows = [("long", i, t) for i, t in enumerate(said)] + [("short", 2, "да"), ("short", 1, "не приходит код"), ("none", 1, None)]
+    got = {r["_conversation"]: r for r in transcripts.conversations(spark.createDataFrame(rows, "_conversation string, turn int, text string").repartition(6), id_col="_conversation").collect()}
+    assert got["long"]["cleaned_transcript"] == " ".join(t for t in said if t != "спасибо") and got["long"]["n_turns"] == 2000
+    assert got["short"]["cleaned_transcript"] == "не приходит код" and got["none"]["is_empty"]
+
+
+def test_user_columns_survive(spark):
+    df = spark.createDataFrame([("карта не работает", *"nsmtp")], "text string, _norm string, _stripped string, _masked string, _text string, piece string")
+    row = transcripts.clean_turns(df).first()
+    assert (row["_norm"], row["_text"], row["piece"], row["cleaned_text"]) == ("n", "t", "p", "карта не работает")
+
+
+def test_windows_of_long_texts(spark):
+    tokens = [f"w{i}" for i in range(20_000)]
+    tokens[5000:5002], tokens[19_990] = ["не", "могу"], "карта"
+    df = spark.createDataFrame([(tokens, ["карта", "не могу"])], "t array<string>, k array<string>")
+    (got,) = df.select(transcripts.keyword_windows("t", "k")).first()
+    assert got == [" ".join(tokens[4993:5020]), " ".join(tokens[19_983:])]
+
+
 def test_vectors_of_a_given_model(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abcd")], "id long, text string")
     got = {r["id"]: r["vec"] for r in clusters.embed_by(df, "text", lambda: lambda texts: [[len(t) * 3.0, len(t) * 4.0] for t in texts]).collect()}
