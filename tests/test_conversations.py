@@ -7,13 +7,14 @@ import math
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
-from callweave.operators import clusters, hierarchy, transcripts
+from callweave.operators import clusters, hierarchy, transcripts, vectors
 from callweave.sources import audio, batches, documents, tables
 from callweave.streaming import ingest
 from tests import brute
@@ -392,6 +393,65 @@ def test_small_tables_are_clustered_exactly(spark):
     assert adjusted_rand(exact[:76], brute.ward_labels(points, weight, 4)) == 1
 
 
+def test_recordings_in_chunks(spark):
+    rng = np.random.default_rng(0)
+    pcm = {f"r{i}": rng.integers(0, 256, n, dtype=np.uint8).tobytes() for i, n in enumerate((0, 2, 7000, 64_000, 960_000, 2_000_000))}
+    df = spark.createDataFrame([*pcm.items(), ("none", None)], "path string, pcm binary").repartition(3)
+    chunks = audio.chunked(df, size=50_000)
+    assert {r["id"]: r["n"] for r in chunks.groupBy("id").agg(F.count("*").alias("n")).collect()} == {"none": 1} | {k: max(1, -(-len(v) // 50_000)) for k, v in pcm.items()}
+    want = {r["path"]: bytes(r["d"] or b"") for r in df.select("path", audio.detection_pcm(F.col("pcm")).alias("d")).collect()}
+    assert {r["id"]: bytes(r["pcm"]) for r in audio.detection_chunks(chunks, 50_000).collect()} == want
+
+    def load():
+        def begin():
+            seen = {"bytes": 0, "sum": 0}
+
+            def feed(samples):
+                if len(samples) == 7000:
+                    raise ValueError("noise")
+                seen["bytes"] += len(samples)
+                seen["sum"] = (seen["sum"] * 31 + sum(samples)) % 1_000_003  # depends on order
+                return json.dumps({"text": f"at {seen['bytes']}", "result": [{"word": "at", "start": 1, "end": 2, "conf": 0.5}]}) if seen["bytes"] % 100_000 == 0 and samples else None
+
+            return feed, lambda: json.dumps({"text": f"sum {seen['sum']}"})
+
+        return begin
+
+    def alone(raw):
+        feed, finish = load()()
+        said = [feed(raw[i : i + 50_000]) for i in range(0, max(len(raw), 1), 50_000)] + [finish()]
+        return " ".join(json.loads(x)["text"] for x in said if x)
+
+    pieces = audio.recognise_chunks(chunks, load)
+    got = {r["file_name"]: r for r in audio.transcripts_of(pieces).collect()}
+    assert got["r2"]["error"] == "noise" and got["r2"]["text"] is None
+    for k in ("r0", "r1", "r3", "r4", "r5"):
+        assert got[k]["text"] == alone(pcm[k]) and got[k]["error"] is None
+    assert got["r5"]["word_count"] == 20 and got["r5"]["avg_confidence"] == 0.5 and len(got["r5"]["segments"]) == 21
+    broken = {r["file_name"]: r["error"] for r in audio.transcripts_of(audio.recognise_chunks(chunks.where("not (id = 'r4' and chunk = 3) and not (id = 'r5' and chunk = 0)"), load)).collect()}
+    assert broken["r4"] == "chunk 3 is missing" and broken["r5"] == "chunk 0 is missing" and broken["r3"] is None
+
+
+def test_vectors_learned_from_the_texts(spark):
+    rng = np.random.default_rng(0)
+    topics = [[f"{t}{i}" for i in range(12)] for t in ("карта", "кредит", "вход")]
+    texts = [" ".join(rng.choice(topics[i % 3], 8)) + " банк" for i in range(90)] + [None, "", "банк"]
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "id long, text string, hashes string").repartition(4)
+    got = {r["id"]: np.array(r["vec"]) for r in vectors.embed_learned(df, "text", 5, passes=20).collect()}
+    assert all(np.isclose(np.linalg.norm(got[i]), 1) for i in range(90)) and not got[90].any() and not got[91].any()
+    hashed = [r[0] for r in df.orderBy("id").select(vectors.hashed_tokens(F.col("text"))).collect()]
+    rarity = np.array([math.log((len(texts) + 1) / (sum(j in h for h in hashed) + 1)) for j in range(vectors.TOKENS)])
+    row, token, value = vectors.weights(pa.array(hashed, pa.list_(pa.int32())), rarity)
+    dense = np.zeros((len(texts), vectors.TOKENS))
+    dense[row, token] = value
+    strong = np.linalg.svd(dense, full_matrices=False)[2][:5]
+    want = dense @ strong.T
+    unit = want[:90] / np.linalg.norm(want[:90], axis=1, keepdims=True)
+    mine = np.array([got[i] for i in range(90)])
+    assert np.allclose(mine @ mine.T, unit @ unit.T, atol=0.02)  # the same space, whatever its axes
+    assert vectors.embed_learned(df.where("false"), "text", 5).count() == 0 and "hashes" in vectors.embed_learned(df, "text", 5).columns
+
+
 def test_batches_come_once(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *names: tables.error_rows(spark.createDataFrame([(n, "x") for n in names], "file_name string, error string"))
