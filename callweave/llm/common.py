@@ -32,10 +32,10 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage durably."""
+    def stored(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """Write ``df`` as Parquet (compressed by ``codec``) into the shared folder and read it back: cuts the lineage durably."""
         path = shared_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -60,9 +60,9 @@ def owned(scratch: Scratch) -> Iterator[None]:
         _OWNERS.pop()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """A table in the shared folder that stays, as the result of an operator may read it, but for an owner (see ``owned``)."""
-    return (_OWNERS[-1] if _OWNERS else Scratch(df.sparkSession)).stored(df, name)
+    return (_OWNERS[-1] if _OWNERS else Scratch(df.sparkSession)).stored(df, name, codec)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

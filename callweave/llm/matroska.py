@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from callweave.llm.common import only
+from callweave.llm.common import only, stored
 
 # Fixed values of the format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1
@@ -226,49 +227,129 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % 64 if raw else 64), len(raw)
 
 
-def described(text: str | None) -> tuple:
-    """Stores a text as media, reads it back from its packets, and describes both."""
-    payload, n = padded(text)
-    media = write(payload)
-    found = parse(media)
-    back = b"".join(media[r[5] : r[5] + r[6]] for r in found.rows)
-    if [c[2] for c in found.cues] != found.clusters:
-        raise ValueError("cues do not point at the clusters")
-    samples = np.frombuffer(back, np.uint8)
-    counts = np.bincount(samples, minlength=256)
-    loud = int((np.abs(samples.astype(np.int16) - 128) > 64).sum())
-    feature = f"packets={len(found.rows)};blocks={len({r[:2] for r in found.rows})};clusters={len(found.clusters)};cues={len(found.cues)};ms={len(back) * 1000 // RATE};sum={int(samples.sum(dtype=np.int64))};mode={int(counts.argmax())};values={int((counts > 0).sum())};loud={loud}"
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
-
-
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``media``: each whole text as a Matroska file, with its id. Null texts count as empty."""
+    """``media``: each whole text as a Matroska file, with its id and ``n_bytes``. Null texts count as empty."""
     source = only(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = (write(padded(x.as_py())[0]) for x in batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(media, pa.large_binary()).cast(pa.binary())], names=["id", "media"])
+            made = [padded(x.as_py()) for x in batch.column("text")]
+            media = pa.array((write(payload) for payload, _ in made), pa.large_binary()).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for _, n in made], pa.int64()), media], names=["id", "n_bytes", "media"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, media binary").withColumnRenamed("id", id_col)
+
+#: Facts of a file that each of its packets carries.
+FACTS = "row long, text_bytes long, media_bytes long, media_sha256 string, clusters int, cues int"
+#: Bytes of packets in an Arrow batch.
+PART = 1 << 20
+
+
+def packet_rows(row: int, text_bytes: int, media: bytes) -> Iterator[pa.RecordBatch]:
+    """A file's packets with FACTS, PACKETS and their ``data``, in batches of about PART bytes; cues that miss the clusters raise."""
+    found = parse(media)
+    if [c[2] for c in found.cues] != found.clusters:
+        raise ValueError("cues do not point at the clusters")
+    facts = (row, text_bytes, len(media), hashlib.sha256(media).hexdigest(), len(found.clusters), len(found.cues))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = [x.split()[0] for x in f"{FACTS}, {PACKETS}".split(", ")]
+    view, first, size = memoryview(media), 0, 0
+    for i, packet in enumerate(found.rows, 1):
+        size += packet[6]
+        if size >= PART or i == len(found.rows):
+            some = found.rows[first:i]
+            columns = [pa.array([v] * len(some), t) for v, t in zip(facts, kinds, strict=True)] + [pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bytes(view[r[5] : r[5] + r[6]]) for r in some], pa.binary())], names=[*names, "data"])
+            first, size = i, 0
+
+
+class Described:
+    """What is told of a file from its packets, in order, with running digests of the payload."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        self.row, self.text_bytes, self.media_bytes, self.media_sha256, self.clusters, self.cues = (batch.column(x.split()[0])[at].as_py() for x in FACTS.split(", "))
+        self.sha256, self.tail, self.counts, self.packets, self.blocks = hashlib.sha256(), b"", np.zeros(256, np.int64), 0, 0
+
+    def feed(self, data: np.ndarray, lace: np.ndarray) -> None:
+        self.sha256.update(data)
+        self.tail = (self.tail + data[-64:].tobytes())[-64:]
+        self.counts += np.bincount(data, minlength=256)
+        self.packets, self.blocks = self.packets + len(lace), self.blocks + int((lace == 0).sum())
+
+    def told(self) -> tuple:
+        values = np.arange(256)
+        n, loud = int(self.counts.sum()), int(self.counts[np.abs(values - 128) > 64].sum())
+        feature = f"packets={self.packets};blocks={self.blocks};clusters={self.clusters};cues={self.cues};ms={n * 1000 // RATE};sum={int(self.counts @ values)};mode={int(self.counts.argmax())};values={int((self.counts > 0).sum())};loud={loud}"
+        return self.row, self.text_bytes, n, self.sha256.hexdigest(), zlib.crc32(self.tail), self.media_bytes, self.media_sha256, feature
+
+
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The facts of each file (see ``Described.told``) from batches of its packets; a file's packets follow one another."""
+    now: Described | None = None
+    for batch in batches:
+        row, lace, data = batch.column("row").to_numpy(), batch.column("lace_no").to_numpy(), batch.column("data")
+        _, offsets, raw = data.buffers()
+        ends = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
+        flat = np.frombuffer(raw, np.uint8)
+        for a, b in zip(edges := np.flatnonzero(np.diff(row, prepend=-1)).tolist(), [*edges[1:], len(row)], strict=True):
+            if now is None or now.row != row[a]:
+                if now is not None:
+                    yield now.told()
+                now = Described(batch, a)
+            now.feed(flat[ends[a] : ends[b]], lace[a:b])
+    if now is not None:
+        yield now.told()
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the text's bytes, the payload and digests read back from its stored form, and a feature string.
 
-    Null texts count as empty (64 zero bytes); null ids and repeated rows give a row each, equal
-    texts equal values; an empty table gives none; other columns are ignored.
+    Texts are stored as media in the shared folder. Tasks that read them give the packet table, with
+    each packet's bytes, and others go along its rows: nothing is shuffled, and no step holds more of
+    a long payload than the file that it reads. Null texts count as empty (64 zero bytes); null ids
+    and repeated rows give a row each, equal texts equal values; an empty table gives none; other
+    columns are ignored.
     """
-    source = only(df, id=id_col, text=text_col)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    media = stored(text_media(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "n_bytes", "media"), "media", "zstd")
+    kind = media.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [described(x.as_py()) for x in batch.column("text")]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["id", *names])
-
+            for i, raw in enumerate(batch.column("media")):
+                for packets in packet_rows(batch.column("row")[i].as_py(), batch.column("n_bytes")[i].as_py(), raw.as_py()):
+                    ident = batch.column("id").take(pa.array([i] * len(packets), pa.int64()))
+                    yield packets.append_column("id", ident)
+
+    names = ["row", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[int, object] = {}
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    row = batch.column("row").to_numpy()
+                    ids.update((int(row[i]), batch.column("id")[int(i)].as_py()) for i in np.flatnonzero(np.diff(row, prepend=-1)))
+                    yield batch
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([ids.pop(x[0]) for x in found], id_type), *columns], names=["id", *names])
+
+        held: list[tuple] = []
+        for one in described(seen()):
+            held.append(one)
+            if len(held) == 1000:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    id_type = to_arrow_type(media.schema["id"].dataType)
+    packets = media.mapInArrow(parsed, f"{FACTS}, {PACKETS}, data binary, id {kind}")
     kinds = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True))
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {kinds}")
-    return out.select(F.col("id").alias(id_col), *names)
+    out = packets.mapInArrow(told, f"id {kind}, {kinds}")
+    return out.select(F.col("id").alias(id_col), *names[1:])

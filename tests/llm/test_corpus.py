@@ -414,7 +414,7 @@ tools = {
     "classifier": lambda m=quality_mil.fit([np.ones((2, quality_mil.FEATURES), np.float32)], np.ones(1, np.float32)): m.score,
     "rules": lambda: quality_rules.text_stats,
     "sketch": lambda: lambda d, s: shingles.signatures(shingles.shingle_sets(d, s, 5)),
-    "media": lambda: lambda d, s: matroska.described(d.tobytes().decode()),
+    "media": lambda: lambda d, s: list(matroska.described(matroska.packet_rows(0, len(d), matroska.write(matroska.padded(d.tobytes().decode())[0])))),
 }
 run = tools[kind]()
 texts = ["word number %d of a line\\n" % (i % 5000) for i in range(5000)]

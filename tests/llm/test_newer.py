@@ -302,3 +302,32 @@ def test_runs_cover_texts(codec):
 
     texts = pa.array(["ab", None, "", "c" * 50])
     assert [(first, len(starts) - 1) for first, _, starts in shingles.runs(texts, 10)] == [(0, 3), (3, 1)]
+
+
+#: A file of 64 samples 0 to 63: EBML head, segment with info, one track, one cluster of one unlaced block, one cue.
+FIXED = (
+    "1a45dfa3a34286810142f7810142f2810442f381084282886d6174726f736b61428781044285810218538067"  # head: version 1, "matroska", type version 4; segment
+    "40cd1549a966aa2ad7b1830f424044898840200000000000004d808963616c6c776561766557418963616c6c7765617665"  # a millisecond's scale, 8 ms, writers
+    "1654ae6bb9aeb7d7810173c581018381029c810123e3838403d09000868d415f50434d2f494e542f4c4954e191b58840bf4000000000009f810162648108"  # track 1: audio, 64 ms a frame, 8,000 samples of 8 bits
+    "1f43b675c9e78100a3c481000080" + bytes(range(64)).hex() + "1c53bb6b8dbb8bb38100b786f78101f1816d"  # cluster at 0, key frame; cue at 0 for byte 109
+)
+
+
+def test_media_have_fixed_bytes_and_features(spark):
+    from callweave.llm import matroska
+
+    assert matroska.write(bytes(range(64))).hex() == FIXED
+    texts = {1: "".join(map(chr, range(64))), 2: "é" * 30_000, 3: None, 4: "a" * 512 * 8 + "b", 5: "x" * 3_000_000}
+    got = {r["doc_id"]: r for r in matroska.media_features(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert (got[1]["media_bytes"], got[1]["media_sha256"]) == (len(FIXED) // 2, hashlib.sha256(bytes.fromhex(FIXED)).hexdigest())
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        samples, media = np.frombuffer(payload, np.uint8), matroska.write(payload)
+        packets, blocks, clusters = (-(-len(payload) // n) for n in (512, 4096, 32_768))
+        loud = sum(abs(int(v) - 128) > 64 for v in samples[:70_000]) if len(samples) <= 70_000 else int((np.abs(samples.astype(int) - 128) > 64).sum())
+        told = f"packets={packets};blocks={blocks};clusters={clusters};cues={clusters};ms={len(payload) // 8};sum={int(samples.sum(dtype=np.int64))};mode={Counter(payload).most_common(1)[0][0]};values={len(set(payload))};loud={loud}"
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"] == told if i != 1 else r["feature"].startswith("packets=1;blocks=1;clusters=1;cues=1;ms=8;sum=2016")
