@@ -26,8 +26,9 @@ from callweave.llm.common import Scratch, only, stored
 ALLOW, BLOCK, HOSTS = "allow", "block", "hosts"
 #: Bits of a level that may be sent to every task: 64 MB, 53 million keys. Beyond it urls are judged by a join.
 MOST_BITS = 1 << 29
-LEAST_BITS = 1024
-BITS_PER_KEY = 10
+LEAST_BITS = 64
+#: Bits for each key of level 1, and of the later ones: those hold few keys, and what they let pass by mistake, about a tenth, is for the next.
+BITS_PER_KEY, LATER_BITS = 10, 5
 #: Bits that one group of a level's keys fills.
 SEGMENT = 1 << 21
 #: Levels after which two keys are taken to share both hashes; the cascade is then built with another seed.
@@ -101,7 +102,7 @@ def _level(keys: DataFrame, number: int) -> Level | None:
     n = keys.count()
     if not n:
         return None
-    bits = max(LEAST_BITS, n * BITS_PER_KEY)
+    bits = max(LEAST_BITS, n * (LATER_BITS if number else BITS_PER_KEY))
     if bits > MOST_BITS:
         raise TooLarge(f"{n} keys need more than {MOST_BITS} bits")
     hashes = max(1, min(12, round(bits / n * math.log(2))))
@@ -199,7 +200,8 @@ def judge_urls(df: DataFrame, lists: DataFrame, id_col: str = "page_id", url_col
     blocked, all others allowed (empty and null urls too). Null keys are ignored; repeated rows and
     null ids give a row each; an empty table gives none; other columns are ignored.
     """
-    lists = stored(lists.where("key is not null and key <> ''").select("list", "key").distinct(), "lists")
+    scratch = Scratch(df.sparkSession)
+    lists = scratch.stored(lists.where("key is not null and key <> ''").select("list", "key").distinct(), "lists")
     shape = lists.agg(
         F.max(F.size(F.split(F.regexp_extract("key", "^([^/]*)", 1), r"\."))).alias("labels"),
         F.collect_set(F.length(F.regexp_extract("key", "^[^/]*(.*)$", 1))).alias("lengths"),
@@ -208,11 +210,11 @@ def judge_urls(df: DataFrame, lists: DataFrame, id_col: str = "page_id", url_col
     pages = only(df, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), shape["labels"] or 1, [n for n in shape["lengths"] if n])
     pages = pages.withColumn("keys", keys)
-    asked, scratch = pages.select(F.explode("keys").alias("key")), Scratch(df.sparkSession)
+    asked = pages.select(F.explode("keys").alias("key"))
     try:
         keyed = {x: cascade(asked, lists.where(F.col("list") == x).select("key"), scratch) for x in (ALLOW, BLOCK, HOSTS)}
         judged = _judged(pages, keyed, pages.schema["id"].dataType.simpleString())
     except TooLarge:
-        judged = _joined(pages, lists)
+        judged = _joined(pages, stored(lists, "lists"))
     scratch.drop()
     return judged.withColumnRenamed("id", id_col)
