@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.operators import clusters, transcripts
-from callweave.sources import tables
+from callweave.sources import scratch, tables
 from callweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,31 @@ def ordered_lines(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.array_join(T.ordered_distinct(F.split("text", "\n")), "\n").alias("lines"))
 
 
+def trimmed_texts(spark, sf_dir):
+    """The first twelve words of each normalised text."""
+    return documents(spark, sf_dir).select("doc_id", T.trim_words(F.col("text"), 12).alias("first_words"))
+
+
+def confidence_lists(spark, sf_dir):
+    """The words of each document that reviewers should see: important ones heard badly, and others that may go."""
+    words = F.transform(T.words_of(T.normalize_text(F.col("text"))), lambda w: F.struct(w.alias("word"), (F.pmod(F.length(w) * 37, F.lit(100)) / 100.0).alias("conf")))
+    stats = documents(spark, sf_dir).select("doc_id", records.word_confidences(words, LEXICON).alias("s"))
+    return stats.select("doc_id", *[records.format_confidences(F.col(f"s.{c}")).alias(c) for c in ("low_important", "removable")])
+
+
+def failed_files(spark, sf_dir):
+    """The rows that stand for documents of one source, taken as files that failed."""
+    rows = tables.error_rows(documents(spark, sf_dir).select(F.concat(F.lit("f"), "doc_id").alias("name"), F.concat(F.lit("broken "), F.coalesce("source", F.lit("?"))).alias("why")), "name", "why")
+    return rows.withColumns({c: joined(F.col(c)) for c in ("quality_flags", "problem_keywords_found")})
+
+
+def stored_csv(spark, sf_dir):
+    """Documents written as CSV and read back as records: quotes and line ends survive, values are parsed."""
+    path = scratch.shared_path(spark, "csv")
+    tables.write_csv(documents(spark, sf_dir).select("doc_id", "lang", "source", "text", F.split("source", "c").alias("parts")), path)
+    return tables.read_csv_records(spark, path, ["doc_id", "lang", "source", "text", "parts"])
+
+
 def report_totals(spark, sf_dir):
     """Rows, clusters, noise and report rows of the clustered documents."""
     rows = clustered_documents(spark, sf_dir)
@@ -336,7 +361,7 @@ QUERIES: list[Query] = [
     flagship, normalize_text, count_words, pattern_strip, pii_mask, number_run_mask, spoken_texts, problem_keywords, keyword_counts, semantic_keywords, keyword_windows, empty_classification, text_for_clustering, conversations, conversation_summary, flag_counts,
     language_scores, detection_windows, csv_values, newest_events, window_counts, cluster_sizes, cluster_counts, cluster_centroids, cluster_probability, top_terms, cluster_report, pca_projection, kmeans, ward,
     top_keywords, noise_removal, word_confidences, processed_transcripts, cleaned_transcripts, process_summary, text_clusters, hdbscan,
-    default_patterns, processed_calls, review_rows, response_rows, judged_pieces, ordered_lines, report_totals, sizes_by_number,
+    default_patterns, processed_calls, review_rows, response_rows, judged_pieces, ordered_lines, report_totals, sizes_by_number, trimmed_texts, confidence_lists, failed_files, stored_csv,
 ]
 
 
@@ -595,6 +620,14 @@ SELECT doc_id, coalesce(masked, '') AS masked FROM documents LEFT JOIN j USING (
   {_text_or("array_to_string(keywords, '|')")} AS problem_keywords_found, {_RESULT['raw_transcript']} AS raw_transcript, {_RESULT['cleaned_transcript']} AS cleaned_transcript FROM judged""",
         "judged_pieces": f"{_transcripts()} SELECT doc_id::VARCHAR AS file_name, place, why = 'useful' AS kept, p.kept AS cleaned_text, array_to_string(p.removed, '|') AS removed, why AS empty_reason FROM pieces p JOIN items USING (item)",
         "ordered_lines": "WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)) AS lines FROM t",
+        "trimmed_texts": f"SELECT doc_id, array_to_string(string_split({_norm('text')}, ' ')[1:12], ' ') AS first_words FROM documents",
+        "confidence_lists": f"""WITH w AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, list_filter(words, lambda x: (length(x) * 37) % 100 < 40 AND list_contains({_list(LEXICON.important_words())}, x))[1:30] AS important,
+  list_filter(words, lambda x: (length(x) * 37) % 100 < 20 AND length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+') AND NOT list_contains({_list([*LEXICON.number_words, *LEXICON.empty_phrases, *LEXICON.important_words()])}, x))[1:30] AS idle FROM w)
+SELECT doc_id, {", ".join(f"array_to_string(list_transform({c}, lambda x: x || ':' || printf('%.4f', ((length(x) * 37) % 100) / 100.0::DOUBLE)), '; ') AS {n}" for c, n in (("important", "low_important"), ("idle", "removable")))} FROM s""",
+        "failed_files": f"""SELECT 'f' || doc_id AS file_name, 'error' AS status, true AS is_empty_call, 'processing_error' AS empty_reason, 'high' AS review_priority, false AS ready_for_classification, 'processing_error' AS quality_flags, '' AS problem_keywords_found,
+  NULL::INTEGER AS word_count_raw, NULL::INTEGER AS word_count_cleaned, {", ".join(f"'' AS {c}" for c in ("selected_language", "language_confidence", "raw_transcript", "cleaned_transcript", "semantic_text"))}, 'broken ' || coalesce(source, '?') AS error FROM documents""",
+        "stored_csv": "WITH t AS (SELECT doc_id::VARCHAR AS doc_id, trim(coalesce(lang, ''), ' ') AS lang, trim(coalesce(source, ''), ' ') AS source, trim(coalesce(text, ''), ' ') AS text, array_to_string(string_split(source, 'c'), ', ') AS parts FROM documents) SELECT doc_id, lang, source, parts, CASE WHEN lower(text) IN ('true', 'false') THEN lower(text) WHEN lower(text) IN ('nan', 'none', 'null') THEN '' ELSE text END AS text FROM t",
         "report_totals": f"SELECT count(*) AS rows, count(DISTINCT c) FILTER (c <> -1) AS clusters, count(*) FILTER (c = -1) AS noise, count(DISTINCT coalesce(c, -1)) AS report_rows FROM (SELECT cluster_id AS c FROM {_DOCS})",
         "sizes_by_number": f"SELECT cluster_id::VARCHAR AS cluster_id, count(*) AS cluster_size FROM {_EMB} GROUP BY 1",
         "keyword_windows": f"""WITH d AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS t FROM documents),
