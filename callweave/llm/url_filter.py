@@ -18,21 +18,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import Scratch, only, stored
 
 ALLOW, BLOCK, HOSTS = "allow", "block", "hosts"
-#: Bits of a level that may be sent to every task: 64 MB, 53 million keys. Beyond it urls are judged by a join.
+#: Bits of a level, of all lists together, that may be sent to every task: 64 MB, 53 million keys. Beyond it urls are judged by a join.
 MOST_BITS = 1 << 29
 LEAST_BITS = 64
 #: Bits for each key of level 1, and of the later ones: those hold few keys, and what they let pass by mistake, about a tenth, is for the next.
 BITS_PER_KEY, LATER_BITS = 10, 5
 #: Bits that one group of a level's keys fills.
 SEGMENT = 1 << 21
+#: A prime above MOST_BITS, below what is hashed.
+PRIME = 2147483647
 #: Levels after which two keys are taken to share both hashes; the cascade is then built with another seed.
 MOST_LEVELS = 40
+#: Where urls are judged by a join, a key is hot that makes up more than one part in so many of all.
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -53,9 +58,13 @@ class Level:
 
 
 def place(h1, h2, level: int, i: int, bits: int):
-    """The bit of hash ``i`` of a level, of columns or arrays of 31-bit numbers: each level hashes otherwise."""
+    """The bit of hash ``i`` of a level, of columns or arrays of 31-bit numbers: each level hashes otherwise.
+
+    The sum is taken modulo a prime below it first: otherwise the bit would hang on h1 and h2 modulo
+    ``bits`` alone, and keys that agree in these would share all bits of all levels of that size.
+    """
     a, b = (int(hashlib.md5(f"{level}/{i}/{x}".encode()).hexdigest()[:7], 16) * 2 + 1 for x in "ab")
-    return (h1 * a + h2 * b) % 2305843009213693951 % bits
+    return (h1 * a + h2 * b) % PRIME % bits
 
 
 def contains(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -97,75 +106,91 @@ def candidate_keys(host: Column, path: Column, most_labels: int, lengths: list[i
     return F.concat(full, suffixes)
 
 
-def _level(keys: DataFrame, number: int) -> Level | None:
-    """A Bloom filter of ``keys`` (h1, h2); None if there are none. Its segments are collected: MOST_BITS at most."""
-    n = keys.count()
-    if not n:
-        return None
-    bits = max(LEAST_BITS, n * (LATER_BITS if number else BITS_PER_KEY))
-    if bits > MOST_BITS:
-        raise TooLarge(f"{n} keys need more than {MOST_BITS} bits")
-    hashes = max(1, min(12, round(bits / n * math.log(2))))
-    at = keys.select(F.explode(F.array(*[place(F.col("h1"), F.col("h2"), number, i, bits) for i in range(hashes)])).alias("at"))
+def _levels(keys: DataFrame, number: int) -> dict[str, Level]:
+    """A Bloom filter for each list of ``keys`` (list, h1, h2) that has any. Their segments are collected: MOST_BITS in all at most."""
+    counted = {r["list"]: r["count"] for r in keys.groupBy("list").count().collect()}  # a row for each list
+    bits = {x: max(LEAST_BITS, n * (LATER_BITS if number else BITS_PER_KEY)) for x, n in sorted(counted.items())}
+    if sum(bits.values()) > MOST_BITS:
+        raise TooLarge(f"{sum(counted.values())} keys need more than {MOST_BITS} bits")
+    hashes = {x: max(1, min(12, round(bits[x] / counted[x] * math.log(2)))) for x in bits}
+    words = {x: np.zeros(-(-bits[x] // SEGMENT) * SEGMENT // 64, np.uint64) for x in bits}
+    if not bits:
+        return {}
+    h1, h2, at = F.col("h1"), F.col("h2"), None
+    for x in bits:
+        own = F.array(*[place(h1, h2, number, i, bits[x]) for i in range(hashes[x])])
+        at = F.when(F.col("list") == x, own) if at is None else at.when(F.col("list") == x, own)
 
     def filled(group: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(SEGMENT, np.uint8)
         own[group["at"].to_numpy() % SEGMENT] = 1
-        return pd.DataFrame({"segment": [group["at"].iloc[0] // SEGMENT], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+        return pd.DataFrame({"list": [group["list"].iloc[0]], "segment": [group["at"].iloc[0] // SEGMENT], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    words = np.zeros(-(-bits // SEGMENT) * SEGMENT // 64, np.uint64)
-    for row in at.groupBy(F.expr(f"at div {SEGMENT}").alias("segment")).applyInPandas(filled, "segment long, bits binary").toLocalIterator():
-        words[row["segment"] * SEGMENT // 64 :][: SEGMENT // 64] = np.frombuffer(row["bits"], np.uint64)
-    return Level(number, bits, hashes, words)
+    segments = keys.select("list", F.explode(at).alias("at")).groupBy("list", F.expr(f"at div {SEGMENT}").alias("segment"))
+    for row in segments.applyInPandas(filled, "list string, segment long, bits binary").toLocalIterator():
+        words[row["list"]][row["segment"] * SEGMENT // 64 :][: SEGMENT // 64] = np.frombuffer(row["bits"], np.uint64)
+    return {x: Level(number, bits[x], hashes[x], words[x]) for x in bits}
 
 
-def _passing(keys: DataFrame, level: Level) -> DataFrame:
-    sent = keys.sparkSession.sparkContext.broadcast(level)
+def _passing(keys: DataFrame, levels: dict[str, Level]) -> DataFrame:
+    """``keys`` with each ``list`` whose level lets them pass; those that have a list already meet its level alone."""
+    sent = keys.sparkSession.sparkContext.broadcast(levels)
+    listed = "list" in keys.columns
+    others = [c for c in keys.columns if c != "list"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches:
-            yield batch.filter(pa.array(own.passes(batch.column("h1").to_numpy(), batch.column("h2").to_numpy())))
+            for name, level in sent.value.items():
+                own = batch.filter(pc.equal(batch.column("list"), name)) if listed else batch
+                own = own.filter(pa.array(level.passes(own.column("h1").to_numpy(), own.column("h2").to_numpy()), pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), *(own.column(c) for c in others)], names=["list", *others])
 
-    return keys.mapInArrow(run, keys.schema)
+    return keys.mapInArrow(run, ", ".join(["list string", *(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields if f.name != "list")]))
 
 
-def cascade(asked: DataFrame, listed: DataFrame, scratch: Scratch, seed: int = 0) -> tuple[int, list[Level]]:
-    """A seed and levels that tell which keys of ``asked`` (column ``key``, repeats allowed) are in ``listed`` (``key``, distinct).
+def cascades(asked: DataFrame, lists: DataFrame, scratch: Scratch, seed: int = 0) -> tuple[int, dict[str, list[Level]]]:
+    """A seed and, for each list, levels that tell which keys of ``asked`` (column ``key``, repeats allowed) are on it.
 
-    Level 1 comes from the list alone. What passes it is made distinct, and the join with the list
-    that finds the mistakes among it reads nothing else.
+    ``lists`` has distinct rows of ``list`` and ``key``. All lists go together: level 1 comes from them
+    alone, and one pass over the keys asked for meets it. What passes is made distinct, and the join
+    with the lists that finds the mistakes among it reads nothing else.
     """
     while True:
-        inside = scratch.stored(listed.select(*_hashes(F.col("key"), seed)), "listed")
-        level = _level(inside, 0)
-        if level is None:
-            return seed, []
-        levels = [level]
-        passed = _passing(asked.select("key", *_hashes(F.col("key"), seed)), level).distinct()
-        outside = scratch.stored(passed.join(listed, "key", "left_anti").select("h1", "h2"), "passing")
-        while len(levels) < MOST_LEVELS and (level := _level(outside, len(levels))) is not None:
-            levels.append(level)
-            inside, outside = outside, scratch.stored(_passing(inside, level), "passing")
-        if len(levels) < MOST_LEVELS:
-            return seed, levels
+        inside = scratch.stored(lists.select("list", *_hashes(F.col("key"), seed)), "listed")
+        now = _levels(inside, 0)
+        levels = {x: [level] for x, level in now.items()}
+        if not levels:
+            return seed, {}
+        passed = _passing(asked.select("key", *_hashes(F.col("key"), seed)), now).distinct()
+        outside = scratch.stored(passed.join(lists, ["list", "key"], "left_anti").select("list", "h1", "h2"), "passing")
+        for number in range(1, MOST_LEVELS):
+            now = _levels(outside, number)
+            for x, level in now.items():
+                levels[x].append(level)
+            if not now:
+                return seed, levels
+            inside, outside = outside, scratch.stored(_passing(inside, now), "passing")
         seed += 1
 
 
-def _judged(pages: DataFrame, keyed: dict[str, tuple[int, list[Level]]], kind: str) -> DataFrame:
+def cascade(asked: DataFrame, listed: DataFrame, scratch: Scratch, seed: int = 0) -> tuple[int, list[Level]]:
+    """What ``cascades`` gives for one list of distinct ``key``."""
+    seed, levels = cascades(asked, listed.select(F.lit("").alias("list"), "key"), scratch, seed)
+    return seed, levels.get("", [])
+
+
+def _judged(pages: DataFrame, seed: int, levels: dict[str, list[Level]], kind: str) -> DataFrame:
     """The rows of ``pages`` (id, host, path, keys) with what the cascades say of their keys."""
-    sent = pages.sparkSession.sparkContext.broadcast({x: levels for x, (_, levels) in keyed.items()})
-    half = lambda seed, i: F.transform("keys", lambda k: _hashes(k, seed)[i])
-    hashed = [half(seed, i).alias(f"{x}{i}") for x, (seed, _) in keyed.items() for i in (0, 1)]
+    sent = pages.sparkSession.sparkContext.broadcast(levels)
+    half = lambda i: F.transform("keys", lambda k: _hashes(k, seed)[i]).alias(f"hash{i}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascades = sent.value
         for batch in batches:
             lists_of = batch.column("keys")
             row = lists_of.value_parent_indices().to_numpy()
             key = lists_of.flatten()
-            found = {x: contains(cascades[x], *(batch.column(f"{x}{i}").flatten().to_numpy() for i in (0, 1))) for x in cascades}
-            blocked, allowed, bad = found[BLOCK], found[ALLOW], found[HOSTS]
+            h1, h2 = (batch.column(f"hash{i}").flatten().to_numpy() for i in (0, 1))
+            blocked, allowed, bad = (contains(sent.value.get(x, []), h1, h2) for x in (BLOCK, ALLOW, HOSTS))
             hits = np.flatnonzero(blocked | allowed)
             rows, first = np.unique(row[hits], return_index=True)
             rule = np.full(len(batch), -1)
@@ -176,14 +201,23 @@ def _judged(pages: DataFrame, keyed: dict[str, tuple[int, list[Level]]], kind: s
             rules = key.take(pa.array(rule, mask=rule < 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), rules, pa.array(np.where(stop, BLOCK, ALLOW), pa.string())], names=["id", "host", "path", "rule", "verdict"])
 
-    return pages.select("id", "host", "path", "keys", *hashed).mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
+    return pages.select("id", "host", "path", "keys", half(0), half(1)).mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
 
 
 def _joined(pages: DataFrame, lists: DataFrame) -> DataFrame:
-    """What ``_judged`` gives, by a join of all keys with lists that no filter can hold."""
+    """What ``_judged`` gives, by a join of all keys with lists that no filter can hold.
+
+    Keys that make up more than one part in HOT of all (fewer than HOT) meet their lists by a
+    broadcast, so that a top-level domain doesn't fill a task; the others by a shuffle.
+    """
     rows = stored(pages.withColumn("row", F.monotonically_increasing_id()), "pages")
     flags = lists.groupBy("key").agg(*[F.bool_or(F.col("list") == x).alias(x) for x in (ALLOW, BLOCK, HOSTS)])
-    hits = rows.select("row", F.posexplode("keys").alias("place", "key")).join(flags, "key")
+    asked = rows.select("row", F.posexplode("keys").alias("place", "key"))
+    n = asked.count()
+    hot = stored(asked.groupBy("key").count().where(F.col("count") * HOT > n).select("key"), "hot")
+    common = F.broadcast(stored(flags.join(F.broadcast(hot), "key", "left_semi"), "hot"))
+    rare = asked.join(F.broadcast(hot), "key", "left_anti").join(flags, "key")
+    hits = asked.join(common, "key").unionByName(rare)
     best = F.min(F.when(F.col(ALLOW) | F.col(BLOCK), F.struct("place", "key", BLOCK)))
     told = hits.groupBy("row").agg(best.alias("best"), F.bool_or(HOSTS).alias("bad"))
     stop = F.coalesce(F.col(f"best.{BLOCK}"), F.col("bad"), F.lit(False))
@@ -212,8 +246,7 @@ def judge_urls(df: DataFrame, lists: DataFrame, id_col: str = "page_id", url_col
     pages = pages.withColumn("keys", keys)
     asked = pages.select(F.explode("keys").alias("key"))
     try:
-        keyed = {x: cascade(asked, lists.where(F.col("list") == x).select("key"), scratch) for x in (ALLOW, BLOCK, HOSTS)}
-        judged = _judged(pages, keyed, pages.schema["id"].dataType.simpleString())
+        judged = _judged(pages, *cascades(asked, lists.where(F.col("list").isin(ALLOW, BLOCK, HOSTS)), scratch), pages.schema["id"].dataType.simpleString())
     except TooLarge:
         judged = _joined(pages, stored(lists, "lists"))
     scratch.drop()
