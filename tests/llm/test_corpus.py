@@ -463,6 +463,27 @@ def test_cascades_of_several_levels_are_exact(spark):
     assert not [p for p in scratch.paths if os.path.exists(p)]
 
 
+def test_a_short_list_among_many_keys_needs_few_levels(spark):
+    asked = spark.range(30_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("key"))
+    listed = spark.createDataFrame([("a", "h7.com"), ("a", "h9.com"), ("b", "h9.com"), ("b", "x.org")], "list string, key string")
+    scratch = common.Scratch(spark)
+    seed, levels = url_filter.cascades(asked, listed, scratch)
+    assert seed == 0 and all(len(x) <= 5 for x in levels.values())
+    keys = asked.select("key", *url_filter._hashes(F.col("key"), seed)).toPandas()
+    for name, own in (("a", {"h7.com", "h9.com"}), ("b", {"h9.com"})):
+        assert set(keys["key"][url_filter.contains(levels[name], keys["h1"].to_numpy(), keys["h2"].to_numpy())]) == own
+    scratch.drop()
+
+
+def test_hot_keys_of_joined_lists_are_broadcast(spark, monkeypatch):
+    urls = [f"http://s{i}.hot.com/de/{i}" if i % 3 else f"http://t{i}.org/fr/" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    lists = spark.createDataFrame([("block", "com/de/"), ("allow", "s1.hot.com/de/"), ("hosts", "t3.org"), ("hosts", "org"), ("allow", "t6.org/")], "list string, key string")
+    want = sorted(map(str, url_filter.judge_urls(df, lists).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BITS", 8)
+    assert sorted(map(str, url_filter.judge_urls(df, lists).collect())) == want and sum("block" in w for w in want) == 2998
+
+
 def test_lists_too_large_for_filters_are_joined(spark, monkeypatch):
     urls = ["http://a.net/en/x", "http://b.example.net/en/x", "http://x.bad.io/", "http://ok.io/", None, "http://b.example.net/fr"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
