@@ -379,6 +379,18 @@ def test_starts_of_kmeans_move_together(spark):
     assert np.allclose(counted[2][0], near.min(1).sum()) and (counted[1][0] == np.bincount(near.argmin(1), minlength=4)).all()
 
 
+def test_centres_settled_on_a_part_of_the_rows_rest_on_all(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "FIRST_CENTRES", 40)
+    x = np.random.default_rng(4).normal(0, 1, (1500, 2))
+    df = spark.createDataFrame([*enumerate(x.tolist())], "id long, vec array<double>").repartition(3)
+    got = np.array([r["cluster_id"] for r in clusters.kmeans(df, 3, runs=3).orderBy("id").collect()])
+    means = np.array([x[got == j].mean(0) for j in range(3)])
+    assert (clusters.nearest_centre(x, means)[0] == got).mean() > 0.98  # each row's cluster is the nearest by the means of all rows
+    cost = clusters.nearest_centre(x, means)[1].sum()
+    full = [clusters.settled(x, clusters.first_centres(x, 3, s), 300, 1e-9) for s in range(10)]
+    assert cost < 1.01 * min(clusters.nearest_centre(x, c)[1].sum() for c in full)
+
+
 def test_small_tables_are_clustered_exactly(spark):
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.uniform(-10, 15, (6, 2))])
