@@ -10,7 +10,7 @@ blocks, whose attention sums are merged, so memory doesn't grow with it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,12 +147,41 @@ def bag(data: np.ndarray) -> np.ndarray:
     return kept
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 24, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
+class Packed(Sequence):
+    """Bags of compressed features (about a sixteenth of their bytes, as most are 0); one is unpacked whenever it is read."""
+
+    CODEC = "lz4"
+
+    def __init__(self, parts: list[bytes], lengths: list[int]):
+        self.parts, self.lengths = parts, lengths
+
+    @classmethod
+    def pack(cls, x: np.ndarray) -> bytes:
+        return pa.compress(np.ascontiguousarray(x, np.float32).tobytes(), cls.CODEC, asbytes=True)
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.frombuffer(pa.decompress(self.parts[i], self.lengths[i] * FEATURES * 4, self.CODEC, asbytes=True), np.float32).reshape(-1, FEATURES)
+
+
+def scaling(bags: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation (1e-3 at least) of the features of all passages, one bag at a time."""
+    n, total, square = 0, np.zeros(FEATURES), np.zeros(FEATURES)
+    for k in range(len(bags)):
+        n, total = n + len(bags[k]), total + bags[k].sum(0, dtype=float)
+    mean = total / max(1, n)
+    for k in range(len(bags)):
+        square += ((bags[k] - mean) ** 2).sum(0)
+    return mean.astype(np.float32), np.maximum((square / max(1, n)) ** 0.5, 1e-3).astype(np.float32)
+
+
+def fit(bags: Sequence[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 24, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
     """Adam on the log loss of whole documents, in bags of passages; the same sample gives the same model."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
-    model = Model(every.mean(0), np.maximum(every.std(0), 1e-3), {})
-    shape = {"enc": (every.shape[1], hidden), "enc0": (hidden,), "v": (hidden, gate), "u": (hidden, gate), "a": (gate,), "c": (hidden,), "c0": ()}
+    model = Model(*scaling(bags), {})
+    shape = {"enc": (FEATURES, hidden), "enc0": (hidden,), "v": (hidden, gate), "u": (hidden, gate), "a": (gate,), "c": (hidden,), "c0": ()}
     w = model.w = {k: (rng.normal(0, s[0] ** -0.5, s) if s and k[-1] != "0" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
     if not len(labels):
         return model
@@ -163,8 +192,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
         order = rng.permutation(len(bags))
         for start in range(0, len(order), 64):
             chosen = order[start : start + 64]
-            x = np.concatenate([bags[i] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), [len(bags[i]) for i in chosen])
+            read = [bags[i] for i in chosen]
+            x, owner = np.concatenate(read), np.repeat(np.arange(len(chosen)), [len(b) for b in read])
             f = model.forward(x, owner, len(chosen))
             d = (1 / (1 + np.exp(-f["logit"])) - labels[chosen]) / len(chosen)
             dz = d[:, None] * w["c"]
@@ -196,7 +225,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Rows without a label, text or id teach nothing; of an id's labels the largest counts, of its rows
     the one of the least digest, which is chosen before any leaves its task. The features of the sample
-    are collected: at most ``sample`` documents of at most BAG passages, a row of FEATURES floats each.
+    are collected, compressed: at most ``sample`` documents of at most BAG passages, a row of FEATURES
+    floats each (233 MB for long texts, 15 as sent), of which the driver unpacks 64 documents at a time.
     """
     known = only(labels, id=id_col, label=label_col).where("label is not null and id is not null").where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -206,13 +236,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, starts in shingles.runs(batch.column("text")):
-                bags = [bag(data[a:b]).tobytes() for a, b in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(bags)), batch.column("label").slice(first, len(bags)).cast(pa.int32()), pa.array(bags, pa.binary())], names=["id", "label", "bag"])
+                bags = [bag(data[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+                columns = [batch.column(c).slice(first, len(bags)) for c in ("id", "label")]
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), pa.array([len(b) for b in bags], pa.int32()), pa.array(map(Packed.pack, bags), pa.binary())], names=["id", "label", "length", "bag"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = {r["id"]: (r["label"], r["bag"]) for r in sorted(rows.mapInArrow(run, f"id {kind}, label int, bag binary").collect(), key=lambda r: (r["id"], bytes(r["bag"])))}
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b in found.values()]
-    return fit(bags, np.array([y for y, _ in found.values()], np.float32))
+    found = sorted(rows.mapInArrow(run, f"id {kind}, label int, length int, bag binary").collect(), key=lambda r: r["id"])
+    return fit(Packed([bytes(r["bag"]) for r in found], [r["length"] for r in found]), np.array([r["label"] for r in found], np.float32))
 
 
 def with_score(df: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
