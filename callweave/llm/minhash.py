@@ -7,12 +7,13 @@ holds at most ``part`` classes, all of whose pairs are candidates; beyond the de
 beside it, the neighbours in the order are. Candidates are confirmed on full sets.
 
 Regions that were not compared in full (large ones, and those that a block of the sorted order
-cuts) are compared again once components are known. Where few members lie outside the region's
-largest component, they meet all members in blocks of bounded size, first on whole signatures, then
-those that may be linked on full sets: a large group of near copies costs little. Regions of many
-such members (a piece of text that unlike documents share) are sorted again, by ORDERS rotations of
-whole signatures: prefixes deepen past the values that all share until parts are small, and pairs
-of a part that share enough values are confirmed. The work grows with the members, not their square.
+cuts) are compared again once components are known: all members outside of the region's largest
+component meet all its members in blocks of bounded size, first on whole signatures, then those that
+may be linked on full sets. This holds for every region, whatever its size, so that the links don't
+depend on it. Where many members lie outside (ODD_ONES), two steps before that make the work
+smaller and lose nothing: members are compared with those at the region's centre (a large group of
+near copies of one text becomes one component), and members with so many shingles of their own that
+nothing can be linked with them are left out (unlike documents that share a piece of text).
 """
 
 from __future__ import annotations
@@ -36,9 +37,13 @@ BLOCK_ROWS = 100_000
 #: Members of a large region that meet in one task, on either side.
 BLOCK = 1000
 BLOCK_SHINGLES = 1_000_000
-#: Members outside of its largest component up to which a region is compared in blocks; beyond, it is sorted by ORDERS rotations.
+#: Members outside of its largest component beyond which (or beyond as many pairs as they make with BLOCK others) a region is made smaller
+#: before it is compared in blocks. No link depends on it.
 ODD_ONES = 2000
-ORDERS = 32
+#: Members at the centre of such a region that meet all others first.
+CENTRES = 4
+#: Pairs that a shared shingle may bring to be counted one by one; those of commoner shingles are counted by products of matrices.
+SINGLY = 4000
 #: Candidates of a class that are confirmed first.
 TRIED_FIRST = 3
 #: Classes of more than this share of all rows are hot: fewer than its inverse, so they are broadcast.
@@ -50,7 +55,7 @@ class Forest:
     """For a similarity in percent: values of a prefix that make a region, trees, and the least values that a link shares.
 
     A pair at the threshold meets in no tree with a probability below 2e-5, and shares fewer values
-    than ``shared`` with one of about 1e-5; both fall steeply above the threshold.
+    than ``shared`` with one below 1e-8; both fall steeply above the threshold.
     """
 
     percent: int
@@ -66,7 +71,7 @@ class Forest:
     @property
     def shared(self) -> int:
         p = self.percent / 100
-        return max(1, int(shingles.VALUES * p - 4.3 * (shingles.VALUES * p * (1 - p)) ** 0.5))
+        return max(1, int(shingles.VALUES * p - 6.5 * (shingles.VALUES * p * (1 - p)) ** 0.5))
 
 
 def sketch(df: DataFrame, size: int) -> DataFrame:
@@ -204,51 +209,104 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
-def _may_link(group: pd.DataFrame, forest: Forest):
-    """For each odd member of a block: its place, and those of the members of other components that it may be linked with."""
-    tree = group["region"].iloc[0][0]
+def _may_link(group: pd.DataFrame, forest: Forest, earlier: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The odd members of a block, its other ones, and which pairs of both may be linked across components.
+
+    A pair is linked only if the shingles that either doesn't have alone suffice for the threshold. With
+    ``earlier``, pairs that share an earlier region are left out, as they are compared there.
+    """
+    tree = group["region"].iloc[0][0] if earlier else 0
     odd, every = np.flatnonzero(group["odd"]), np.flatnonzero(~group["odd"])
     values = np.frombuffer(b"".join(group["values"]), np.uint16).reshape(len(group), -1)
     label = pd.factorize(group["label"])[0]
-    size = group["n_shingles"].to_numpy()
-    for i in odd:
-        same = values[every] == values[i]
-        look = (same.sum(1) >= forest.shared) & (label[every] != label[i]) & (100 * np.minimum(size[every], size[i]) >= forest.percent * np.maximum(size[every], size[i]))
-        if tree:  # pairs that share an earlier region are compared there
-            look &= ~same[:, : forest.first * tree].reshape(len(every), tree, forest.first).all(2).any(1)
-        if look.any():
-            yield i, every[look]
-
-
-def _hopeful(forest: Forest):
+    size, most = group["n_shingles"].to_numpy(), (group["n_shingles"] - group["own"]).to_numpy()
+    both = np.minimum(most[odd][:, None], most[every])
+    look = (label[odd][:, None] != label[every]) & (100 * both >= forest.percent * (size[odd][:, None] + size[every] - both))
+    kept, met = np.flatnonzero(look.any(1)), np.flatnonzero(look.any(0))
+    odd, every, look = odd[kept], every[met], look[np.ix_(kept, met)]
+    shared = np.zeros(look.shape, np.uint8)
+    left, right = (np.ascontiguousarray(values[x].T) for x in (odd, every))
+    for first in range(0, shingles.VALUES, forest.first):
+        together = np.ones(look.shape, bool)
+        for k in range(first, min(first + forest.first, shingles.VALUES)):
+            same = left[k][:, None] == right[k]
+            shared += same
+            together &= same
+        if first < forest.first * tree:
+            look &= ~together
+    return odd, every, look & (shared >= forest.shared)
+
+
+def _hopeful(forest: Forest, earlier: bool):
     """The members of a block that may be linked across components."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept = np.zeros(len(group), bool)
-        for i, others in _may_link(group, forest):
-            kept[i] = kept[others] = True
-        return group[kept]
+        odd, every, look = _may_link(group, forest, earlier)
+        return group.iloc[np.sort(np.concatenate([odd[look.any(1)], every[look.any(0)]]))]
 
     return run
 
 
-def _links_of_block(size: int, forest: Forest):
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``left`` shares with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not out.size:
+        return out
+    flat, owner = [np.concatenate(x) for x in (left, right)], [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    every = np.intersect1d(flat[0], flat[1])
+    place, n = [], []
+    for side in (0, 1):
+        at = np.minimum(np.searchsorted(every, flat[side]), max(0, len(every) - 1))
+        found = every[at] == flat[side] if len(every) else np.zeros(len(at), bool)
+        order = np.argsort(at[found], kind="stable")
+        place.append(at[found][order])
+        owner[side] = owner[side][found][order]
+        n.append(np.bincount(place[side], minlength=len(every)))
+    many = n[0] * n[1] > SINGLY
+    number = np.cumsum(many) - 1
+    for first in range(0, int(many.sum()), 2048):
+        sides = []
+        for side, x in enumerate((left, right)):
+            own = many[place[side]] & (number[place[side]] >= first) & (number[place[side]] < first + 2048)
+            dense = np.zeros((len(x), 2048), np.float32)
+            dense[owner[side][own], number[place[side][own]] - first] = 1
+            sides.append(dense)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    few = np.flatnonzero(~many[place[0]])
+    starts, counts = (np.cumsum(n[1]) - n[1])[place[0][few]], n[1][place[0][few]]
+    ends = np.cumsum(counts)
+    i = 0
+    while i < len(few):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 2_000_000, side="right")))
+        own = counts[i:j]
+        within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        pairs = np.repeat(owner[0][few[i:j]], own) * len(right) + owner[1][np.repeat(starts[i:j], own) + within]
+        out += np.bincount(pairs, minlength=out.size).reshape(out.shape)
+        i = j
+    return out
+
+
+def _links_of_block(size: int, forest: Forest, earlier: bool):
     """Links that join components, of a block of odd members with a block of all members of a region."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.reset_index(drop=True)
-        nodes, sets = group["node"].to_list(), _sets(pa.array(group["text"], pa.large_string()), size)
-        labels, names = pd.factorize(group["label"])
+        odd, every, look = _may_link(group, forest, earlier)
+        kept, met = np.flatnonzero(look.any(1)), np.flatnonzero(look.any(0))
+        odd, every, look = odd[kept], every[met], look[np.ix_(kept, met)]
+        left, right = (_sets(pa.array(group["text"].iloc[x], pa.large_string()), size) for x in (odd, every))
+        both = common(left, right)
+        union = np.array([len(x) for x in left], np.int64)[:, None] + np.array([len(x) for x in right], np.int64) - both
+        linked = look & (100 * both >= forest.percent * union)
+        nodes, (labels, names) = group["node"].to_list(), pd.factorize(group["label"])
         merged = np.arange(len(names))  # the components that this block has joined
         out = []
-        for i, others in _may_link(group, forest):
-            members = sets[i]
-            for k in others:
-                if merged[labels[k]] != merged[labels[i]]:
-                    both = len(np.intersect1d(sets[k], members, assume_unique=True))
-                    if 100 * both >= forest.percent * (len(sets[k]) + len(members) - both):
-                        merged[merged == merged[labels[k]]] = merged[labels[i]]
-                        out.append((min(nodes[i], nodes[k]), max(nodes[i], nodes[k]), True))
+        for i in np.flatnonzero(linked.any(1)):
+            others = every[linked[i]]
+            joined, at = np.unique(merged[labels[others]], return_index=True)
+            own = merged[labels[odd[i]]]
+            out += [(*sorted((nodes[odd[i]], nodes[others[k]])), True) for c, k in zip(joined, at, strict=True) if c != own]
+            merged[np.isin(merged, joined)] = own
         return pd.DataFrame(out, columns=["a", "b", "linked"])
 
     return run
@@ -266,23 +324,6 @@ def spread_join(rows: DataFrame, named: DataFrame, key: str, size: str, total: i
     return rows.join(F.broadcast(many), key).unionByName(others)
 
 
-def _rotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each member of a region and rotation: the signature read from there on, and a tie that each rotation draws anew."""
-    step = shingles.VALUES // ORDERS
-    for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        values = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint16).reshape(n, -1)
-        key = np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint64).reshape(n, -1)[:, 0]
-        for order in range(ORDERS):
-            read = np.roll(values, -order * step, axis=1).astype(">u2")
-            path = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * shingles.VALUES), n, [None, pa.py_buffer(read.tobytes())]).cast(pa.binary())
-            tie = shingles.mixed(key + np.uint64(order)).astype(np.int64)
-            columns = [batch.column(c) for c in ("region", "node", "label", "n_shingles")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, order, np.int32)), path, pa.array(tie), *columns], names=["order", "path", "tie", "region", "node", "label", "n_shingles"])
-
-
 def near_in_order(read: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted rows (group, then values): places i and j of rows of one group in a part of at most ``part`` rows, as deep as it takes; neighbours always."""
     n, deepest = len(read), read.shape[1] - 1
@@ -304,49 +345,8 @@ def near_in_order(read: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def _near_pairs(forest: Forest):
-    """Pairs (a, b) of different components that may be linked, from members sorted by region, rotation and signature."""
-
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        n = len(rows)
-        path = np.frombuffer(b"".join(rows.column("path").to_pylist()), ">u2").reshape(n, -1).astype(np.int64)
-        region, label = (np.unique(np.array(rows.column(c).to_pylist(), object), return_inverse=True)[1] for c in ("region", "label"))
-        size = rows.column("n_shingles").to_numpy()
-        i, j = near_in_order(np.column_stack([region * ORDERS + rows.column("order").to_numpy(), path]))
-        ok = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= forest.percent * np.maximum(size[i], size[j]))
-        i, j = i[ok], j[ok]
-        shared = np.concatenate([np.zeros(0, int), *[(path[i[k : k + 100_000]] == path[j[k : k + 100_000]]).sum(1) for k in range(0, len(i), 100_000)]])
-        i, j = i[shared >= forest.shared], j[shared >= forest.shared]
-        node = rows.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= BLOCK_ROWS // 4:
-                whole = pa.Table.from_batches(held)
-                yield found(whole)
-                held = whole.slice(len(whole) - PART).combine_chunks().to_batches()  # rows on both sides of the cut meet
-        if sum(map(len, held)):
-            yield found(pa.Table.from_batches(held))
-
-    return run
-
-
-def links_in_orders(rows: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b, linked) that join different components in the regions of ``rows`` (region, node, label, n_shingles, values), by rotated orders."""
-    turned = rows.select("region", "node", "label", "n_shingles", "values").mapInArrow(_rotations, "order int, path binary, tie long, region binary, node binary, label binary, n_shingles long")
-    # Members and rotations are dealt to more partitions than a region's share: a hot region is cut in many places.
-    ordered = turned.repartitionByRange("region", "order", "path", "tie").sortWithinPartitions("region", "order", "path", "tie")
-    pairs = ordered.mapInArrow(_near_pairs(Forest(percent)), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return confirmed(scratch.stored(pairs, "pairs"), texts, size, percent)
-
-
-def links_across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b, linked) that join different components in the regions of ``members`` (region, node)."""
-    forest = Forest(percent)
-    rows = scratch.stored(_labelled(members, labels).join(classes.select("node", "n_shingles"), "node"), "members")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The regions of ``rows`` (region, label, n_shingles) with several components: the largest one, sizes, and those of the members outside of it."""
     sizes = rows.groupBy("region", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     mixed = sizes.groupBy("region").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"),
@@ -357,25 +357,103 @@ def links_across(members: DataFrame, labels: DataFrame, classes: DataFrame, text
         F.count("*").alias("parts"),
         F.sum("n").alias("size"),
     )
-    mixed = scratch.stored(mixed.where("parts > 1").drop("parts"), "mixed")
-    many = F.col("odd_ones") > ODD_ONES
-    total = rows.count()
-    turned = scratch.stored(spread_join(rows, mixed.where(many).select("region", "size"), "region", "size", total).join(classes.select("node", "values"), "node"), "turned")
-    in_orders = links_in_orders(turned, texts, size, percent, scratch)
-    mixed = mixed.where(~many)
-    rows = scratch.stored(spread_join(rows, mixed, "region", "size", total), "members")
-    blocks = lambda n, weight: F.ceil(F.greatest(F.col(n) / F.lit(BLOCK), F.col(weight) / F.lit(BLOCK_SHINGLES))).cast("int")
-    kinds = {"every": blocks("every", "weight"), "odd": blocks("odd_ones", "odd_weight")}
-    own = lambda kind: F.pmod(F.xxhash64("node", F.lit(kind)), kinds[kind]).cast("int")
+    return mixed.where("parts > 1").drop("parts")
+
+
+def _blocks(n: str, weight: str):
+    return F.ceil(F.greatest(F.col(n) / F.lit(BLOCK), F.col(weight) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _own_block(kind: str, blocks):
+    return F.pmod(F.xxhash64("node", F.lit(kind)), blocks).cast("int")
+
+
+#: What the blocks of a region's members hold.
+_MET = ["region", "node", "label", "n_shingles", "own", "values"]
+
+
+def _links_of(met: DataFrame, texts: DataFrame, size: int, forest: Forest, scratch: Scratch, earlier: bool) -> DataFrame:
+    """Links (a, b, linked) of blocks ``met`` (_MET, odd, i, j)."""
+    hopeful = scratch.stored(met.groupBy("region", "i", "j").applyInPandas(_hopeful(forest, earlier), met.schema), "hopeful")
+    return hopeful.join(texts, "node").groupBy("region", "i", "j").applyInPandas(_links_of_block(size, forest, earlier), "a binary, b binary, linked boolean")
+
+
+def _central(group: pd.DataFrame) -> pd.DataFrame:
+    """The members of a block that agree most with its commonest values."""
+    values = np.frombuffer(b"".join(group["values"]), np.uint16).reshape(len(group), -1)
+    common_values = np.array([np.bincount(v).argmax() for v in values.T])
+    agree = (values == common_values).sum(1)
+    best = np.argsort(-agree, kind="stable")[:CENTRES]
+    return group.iloc[best][["region", "node"]].assign(agree=agree[best].astype(np.int64))
+
+
+def links_at_centres(rows: DataFrame, mixed: DataFrame, total: int, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b, linked) of members with the CENTRES members at the centre of a region in ``mixed``; each member meets those of one region."""
+    rows = scratch.stored(spread_join(rows, mixed.select("region", "size", _blocks("every", "weight").alias("blocks")), "region", "size", total).withColumn("j", _own_block("every", F.col("blocks"))), "hot")
+    central = rows.select("region", "node", "values", "j").groupBy("region", "j").applyInPandas(_central, "region binary, node binary, agree long")
+    best = central.groupBy("region").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("agree", "node")))), 1, CENTRES).alias("best"))
+    chosen = scratch.stored(best.select("region", F.explode("best.node").alias("node")), "centres")
+    odd = rows.join(chosen, ["region", "node"]).select(*_MET, F.lit(True).alias("odd"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    once = rows.groupBy("node").agg(F.min("region").alias("region"))
+    every = rows.join(once, ["node", "region"]).select(*_MET, F.lit(False).alias("odd"), F.lit(0).alias("i"), "j")
+    return _links_of(every.unionByName(odd), texts, size, Forest(percent), scratch, earlier=False)
+
+
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """``node`` and ``own``: how many shingles each class has that no other class of ``texts`` has (without those that have none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, starts in shingles.runs(batch.column("text")):
+                sets = shingles.shingle_sets(data, starts, size)
+                found, at, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                node = batch.column("node").take(pa.array(first + np.repeat(np.arange(len(sets)), [len(s) for s in sets])[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), node, pa.array(n)], names=["shingle", "node", "n"])
+
+    counted = texts.select("node", "text").mapInArrow(run, "shingle long, node binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"), F.any_value("node").alias("node"))
+    return counted.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def links_across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b, linked) that join different components in the regions of ``members`` (region, node)."""
+    forest, found = Forest(percent), []
+    rows = scratch.stored(members.join(classes.select("node", "n_shingles"), "node").withColumn("own", F.lit(0).cast("long")), "members")
+    total, kept = rows.count(), ["region", "node", "n_shingles", "own"]
+
+    def joined(links: DataFrame) -> DataFrame:
+        found.append(scratch.stored(links, "links"))
+        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found[-1].where("linked").select("a", "b"))
+        return scratch.stored(components(edges, scratch=scratch), "labels")
+
+    def crowded() -> DataFrame:
+        pairs = F.col("odd_ones") * F.col("every") > ODD_ONES * BLOCK
+        return scratch.stored(_mixed(_labelled(rows, labels)).where((F.col("odd_ones") > ODD_ONES) | pairs), "mixed")
+
+    def signed() -> DataFrame:
+        return _labelled(rows, labels).join(classes.select("node", "values"), "node")
+
+    hot = crowded()
+    if not hot.isEmpty():
+        labels = joined(links_at_centres(signed(), hot, total, texts, size, percent, scratch))
+        hot = crowded()
+    if not hot.isEmpty():
+        inside = scratch.stored(spread_join(rows.select(*kept), hot.select("region", "size"), "region", "size", total), "hot")
+        # Only members of these regions are counted, so the counts say nothing about members of other regions.
+        own = own_shingles(texts.join(inside.select("node").distinct(), "node", "left_semi"), size)
+        inside = scratch.stored(inside.drop("own").join(own, "node", "left").fillna(0, "own").where(100 * (F.col("n_shingles") - F.col("own")) >= percent * F.col("n_shingles")), "hot")
+        outside = rows.join(F.broadcast(hot.select("region")), "region", "left_anti")
+        rows = scratch.stored(outside.select(*kept).unionByName(inside.select(*kept)), "members")
+    rows = scratch.stored(_labelled(rows, labels), "members")
+    rows = scratch.stored(spread_join(rows, scratch.stored(_mixed(rows), "mixed"), "region", "size", total), "members")
+    kinds = {"every": _blocks("every", "weight"), "odd": _blocks("odd_ones", "odd_weight")}
     last = lambda kind: F.sequence(F.lit(0), kinds[kind] - 1)
-    kept = ["region", "node", "label", "n_shingles", "values"]
-    signed = rows.join(classes.select("node", "values"), "node")
-    every = signed.select(*kept, F.lit(False).alias("odd"), F.explode(last("odd")).alias("i"), own("every").alias("j"))
-    odd = signed.where(F.col("label") != F.col("main")).select(*kept, F.lit(True).alias("odd"), own("odd").alias("i"), F.explode(last("every")).alias("j"))
-    met = every.unionByName(odd)
-    hopeful = scratch.stored(met.groupBy("region", "i", "j").applyInPandas(_hopeful(forest), met.schema), "hopeful")
-    in_blocks = hopeful.join(texts, "node").groupBy("region", "i", "j").applyInPandas(_links_of_block(size, forest), "a binary, b binary, linked boolean")
-    return in_blocks.unionByName(in_orders)
+    signatures = rows.join(classes.select("node", "values"), "node")
+    every = signatures.select(*_MET, F.lit(False).alias("odd"), F.explode(last("odd")).alias("i"), _own_block("every", kinds["every"]).alias("j"))
+    odd = signatures.where(F.col("label") != F.col("main")).select(*_MET, F.lit(True).alias("odd"), _own_block("odd", kinds["odd"]).alias("i"), F.explode(last("every")).alias("j"))
+    out = _links_of(every.unionByName(odd), texts, size, forest, scratch, earlier=True)
+    for links in found:
+        out = out.unionByName(links)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -394,3 +394,37 @@ def test_parts_of_an_order_are_as_deep_as_it_takes():
         depth = next((d for d in range(1, 6) if (read[:, 1 : d + 1] == read[k, 1 : d + 1]).all(1).sum() <= 8), 5)
         want |= {(k, m) for m in range(k + 1, min(k + 8, len(read))) if (read[m, 1 : depth + 1] == read[k, 1 : depth + 1]).all()}
     assert got == want
+
+
+def test_shared_members_of_sets_are_counted(monkeypatch):
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(n)] for n in (30, 20))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    for most in (0, 100, 10**6):
+        monkeypatch.setattr(minhash, "SINGLY", most)
+        assert minhash.common(left, right).tolist() == want
+    assert minhash.common([left[0]], [left[0] + np.uint64(99)]).tolist() == [[0]] and minhash.common([], right).shape == (0, 20)
+
+
+def copies_of_one_text(n, seed=2):
+    """Near copies of one text, each changed at places of its own: linked with the text, hardly with each other; every sixth is changed too much."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(4 if i % 6 == 0 else 3 if i % 2 else 2):
+            words[r.randrange(120)] = f"c{r.randrange(10**7)}"
+        rows.append((i, " ".join(words)))
+    return [*rows, (n, " ".join(base))]
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_links_of_a_large_group_depend_on_no_size(spark, monkeypatch, size, percent):
+    rows = copies_of_one_text(900)
+    want = {i: c for i, (_, c) in brute_components(rows, size, percent).items()}
+    assert len(set(want.values())) > 30  # some are copies of nothing
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for most in (10, 10_000):
+        monkeypatch.setattr(minhash, "ODD_ONES", most)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, size=size, percent=percent).collect()} == want
