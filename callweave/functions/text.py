@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 
 from callweave.functions.lexicon import plain
 
-# The letters that survive normalising, and those that make words.
-KEPT = r"[^a-zа-яәғқңөұүһі0-9\s\[\]_@.+\-]"
+
+def others(kept: str) -> str:
+    """A class of all characters other than ``kept``, listed: Java matches a negated class at a fifth of the speed."""
+    places = sorted(map(ord, set(kept)))
+    gaps = [(a + 1, b - 1) for a, b in zip([-1, *places], [*places, 0x110000], strict=True) if b - a > 1]
+    low = "".join(rf"\x{c:02x}" for a, b in gaps for c in range(a, min(b, 255) + 1))
+    high = "".join(rf"\x{{{max(a, 256):x}}}-\x{{{b:x}}}" for a, b in gaps if b > 255)
+    return f"[{low}{high}]"
+
+
+# What normalising replaces (all but these letters and signs), and the letters that make words.
+KEPT = others("abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяәғқңөұүһі0123456789 \t\n\x0b\f\r[]_@.+-")
 WORD = r"[a-zа-яәғқңөұүһі0-9\[\]_]+"
+#: WORD for Java, which looks for the commonest letters first if they are nested so.
+NESTED_WORD = r"[a-z[0-9\[\]_[а-яәғқңөұүһі]]]+"
 TOKEN = r"[a-zа-яёәғқңөұүһі0-9_]+"
 
 
@@ -45,7 +57,7 @@ def normalize_text(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD))
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(NESTED_WORD))
 
 
 def words_of(normalized: Column) -> Column:
@@ -219,12 +231,21 @@ def mask_number_runs(text: Column, number_words: list[str], least: int = 4) -> C
     return F.regexp_replace(text, rf"(?<!\S){words}(?!\S)(?:\s+{words}(?!\S)){{{least - 1},}}", "[NUMBER_SEQ]")
 
 
+#: What a text must hold for any of PII_GUARDS.
+PII_SIGNS = r"[0-9@\u0400-\u04ff]"
+
+
 def masked(text: Column, number_words: list[str]) -> Column:
     """``mask_pii`` as one struct (text, reasons)."""
-    state, reason = _start(text), None
-    for (pattern, mark, following), guard in zip(PII, PII_GUARDS, strict=True):
-        state, reason = _replaced(state, pattern, mark, reason, guard), following
-    runs = let(state, lambda s: F.struct(s["text"].alias("before"), mask_number_runs(s["text"], number_words).alias("after"), _reasons(s, reason).alias("reasons")))
+
+    def by_patterns(s: Column) -> Column:
+        state, reason = s, None
+        for (pattern, mark, following), guard in zip(PII, PII_GUARDS, strict=True):
+            state, reason = _replaced(state, pattern, mark, reason, guard), following
+        return let(state, lambda x: F.struct(x["text"].alias("text"), x["text"].alias("before"), _reasons(x, reason).alias("reasons"), x["low"].alias("low")))
+
+    state = let(_start(text), lambda s: F.when(F.rlike(s["text"], F.lit(PII_SIGNS)), by_patterns(s)).otherwise(s))
+    runs = let(state, lambda s: F.struct(s["text"].alias("before"), mask_number_runs(s["text"], number_words).alias("after"), s["reasons"].alias("reasons")))
     spoken = lambda s: F.when(s["after"] != s["before"], F.array_append(s["reasons"], F.lit("spoken_number_sequence"))).otherwise(s["reasons"])
     return let(runs, lambda s: F.struct(collapse(s["after"]).alias("text"), spoken(s).alias("reasons")))
 
@@ -258,27 +279,27 @@ def keywords_in(normalized: Column, keywords: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(taken, lambda k: F.element_at(table, k)))))
 
 
-def empty_reason(text: Column, lexicon, normalized: bool = False) -> Column:
+def empty_reason(text: Column, lexicon, normalized: bool = False, words: Column | None = None) -> Column:
     """Why a text says nothing: ``useful`` if it does say something, else the first reason that holds.
 
-    ``normalized``: the text is normalised already.
+    ``normalized``: the text is normalised already. ``words``: how many it has, if that is known; else they are
+    counted, where a reason rests on them.
     """
 
     def judged(x: Column) -> Column:
-        t, signal, words = x["t"], x["signal"], x["words"]
+        t, signal = x["t"], x["signal"]
+        few = lambda n: F.when(n <= 3, "too_short_without_problem_signal").when(n <= 5, "short_noninformative").otherwise("useful")
         idle = F.forall(words_of(t), lambda w: is_any(w, [*lexicon.empty_phrases, *lexicon.number_words]) | F.regexp_like(w, F.lit(r"^\d+$")))
         return (
             F.when(t == "", "empty_text")
             .when(is_any(t, lexicon.empty_phrases), "empty_phrase")
             .when(signal, "useful")
             .when(idle, "only_empty_or_number_words")
-            .when(words <= 3, "too_short_without_problem_signal")
-            .when(words <= 5, "short_noninformative")
-            .otherwise("useful")
+            .otherwise(let(count_words(t), few) if words is None else few(words))
         )
 
-    counted = lambda t: F.struct(t.alias("t"), has_keyword(t, lexicon.keywords).alias("signal"), count_words(t).alias("words"))
-    return let(let(text if normalized else normalize_text(text), counted), judged)
+    heard = lambda t: F.struct(t.alias("t"), has_keyword(t, lexicon.keywords).alias("signal"))
+    return let(let(text if normalized else normalize_text(text), heard), judged)
 
 
 def ranked_keywords(found: Column, lexicon, most: int = 6) -> Column:
@@ -322,10 +343,13 @@ def has_personal(reasons: Column) -> Column:
     return F.exists(reasons, lambda r: r.isin([r for _, _, r in PII] + ["name_ru", "spoken_number_sequence", "drop_pii_only_segment"]))
 
 
-def quality_flags(average_confidence: Column, language_confidence: Column, fallback: Column, noise: Column, personal: Column, cleaned: Column, empty: Column, raw_words: Column) -> Column:
-    """Sorted flags of a cleaned conversation; ``noise`` and ``personal`` as of ``noise_parts`` and ``has_personal`` for all that was removed."""
+def quality_flags(average_confidence: Column, language_confidence: Column, fallback: Column, noise: Column, personal: Column, cleaned: Column, empty: Column, raw_words: Column, words: Column | None = None) -> Column:
+    """Sorted flags of a cleaned conversation; ``noise`` and ``personal`` as of ``noise_parts`` and ``has_personal`` for all that was removed.
+
+    ``words``: how many ``cleaned`` has, if that is known; else they are counted.
+    """
     low_confidence, high_ratio = 0.75, 0.55  # fixed values
-    words = count_words(cleaned)
+    words = count_words(cleaned) if words is None else words
     return F.array_sort(
         F.array_compact(
             F.array(

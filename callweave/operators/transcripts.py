@@ -100,14 +100,15 @@ def clean_text(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     def judged(c: Column) -> Column:
         named = F.contains(c["text"], F.lit("[name]")) & ~T.has_keyword(c["text"], lexicon.keywords)
         left = F.struct(F.when(named, "").otherwise(c["text"]).alias("text"), F.when(named, F.array_append(c["removed"], F.lit("drop_pii_only_segment"))).otherwise(c["removed"]).alias("removed"))
-        with_reason = lambda x: F.struct(x["text"].alias("text"), x["removed"].alias("removed"), T.empty_reason(x["text"], lexicon, True).alias("reason"))
+        counted = lambda x: F.struct(x["text"].alias("text"), x["removed"].alias("removed"), T.count_words(x["text"]).alias("words"))
+        with_reason = lambda x: F.struct(x["text"].alias("text"), x["removed"].alias("removed"), x["words"].alias("words"), T.empty_reason(x["text"], lexicon, True, x["words"]).alias("reason"))
         done = lambda x: F.struct(
             F.when(x["reason"] == "useful", x["text"]).otherwise("").alias("text"),
             F.array_sort(F.array_distinct(x["removed"])).alias("removed"),
             x["reason"].alias("reason"),
-            F.when(x["reason"] == "useful", T.count_words(x["text"])).otherwise(0).alias("words"),
+            F.when(x["reason"] == "useful", x["words"]).otherwise(0).alias("words"),
         )
-        return T.let(T.let(left, with_reason), done)
+        return T.let(T.let(T.let(left, counted), with_reason), done)
 
     def masked(s: Column) -> Column:
         both = lambda m: F.struct(F.lower(m["text"]).alias("text"), F.concat(s["reasons"], m["reasons"]).alias("removed"))
@@ -145,6 +146,16 @@ def semantic_text(cleaned: Column, keywords: Column, kept: Column, lexicon: Lexi
     return T.let(F.struct(T.ranked_keywords(keywords, lexicon).alias("k"), T.remove_noise(cleaned, lexicon, True).alias("whole")), told)
 
 
+def judged(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """The listed pieces of ``process``, a row each: ``file_name, place, raw_text, kept, cleaned_text, removed_parts, empty_reason``.
+
+    Pieces are dealt out before they are cleaned, and cleaned once; texts as a whole aren't judged.
+    """
+    pieces = items.select("file_name", F.posexplode("segments").alias("place", "s")).select("file_name", "place", F.col("s.text").alias("raw_text"))
+    cleaned = pieces.withColumn("c", clean_text(F.col("raw_text"), lexicon))
+    return cleaned.select("file_name", "place", "raw_text", (F.col("c.reason") == "useful").alias("kept"), F.col("c.text").alias("cleaned_text"), F.col("c.removed").alias("removed_parts"), F.col("c.reason").alias("empty_reason"))
+
+
 def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Transcripts as ``tables.read_transcripts`` gives them, cleaned and judged, one row each; nothing is shuffled.
 

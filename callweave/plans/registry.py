@@ -285,9 +285,8 @@ def response_rows(spark, sf_dir):
 
 def judged_pieces(spark, sf_dir):
     """Every piece of every transcript: whether it was kept, what is left of it and what was removed."""
-    done = transcripts.process(transcript_items(spark, sf_dir), LEXICON)
-    piece = lambda column, kept: done.select("file_name", F.explode(column).alias("p")).select("file_name", F.col("p.index").cast("long").alias("place"), F.lit(kept).alias("kept"), "p.cleaned_text", joined(F.col("p.removed_parts")).alias("removed"), F.col("p.empty_reason"))
-    return piece("segments_cleaned", True).unionByName(piece("segments_removed", False))
+    done = transcripts.judged(transcript_items(spark, sf_dir), LEXICON)
+    return done.select("file_name", F.col("place").cast("long").alias("place"), "kept", "cleaned_text", joined(F.col("removed_parts")).alias("removed"), "empty_reason")
 
 
 def ordered_lines(spark, sf_dir):

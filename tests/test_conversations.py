@@ -15,6 +15,7 @@ from callweave.functions import language, lexicon, records
 from callweave.functions import text as T
 from callweave.functions.lexicon import DEFAULT, Lexicon, read_lexicon
 from callweave.operators import clusters, hierarchy, transcripts, vectors
+from callweave.plans import registry
 from callweave.sources import audio, batches, documents, tables
 from callweave.streaming import ingest
 from tests import brute
@@ -233,6 +234,20 @@ def test_texts_are_normalised_once(spark):
         assert plan.count(T.KEPT) <= 2  # ranked_keywords normalises the keywords themselves too
 
 
+def test_listed_pieces_are_cleaned_once(spark, tmp_path):
+    """They are those of ``process``, from one reading of the rows and one cleaning of each piece."""
+    said = [["карта заблокирована не могу войти", "да", "иин 850101300123"], [], None, ["", "Спасибо! Карта не работает"]]
+    items = [{"file_name": str(i), "text": "карта", "error": "broken" if i == 3 else None, "segments": None if x is None else [{"text": t} for t in x]} for i, x in enumerate(said)]
+    (tmp_path / "many.json").write_text(json.dumps({"results": items}))
+    read = tables.read_transcripts(spark, str(tmp_path / "many.json"))
+    got = transcripts.judged(read)
+    flat = lambda r, p, kept: (r["file_name"], p["index"], p["raw_text"], kept, p["cleaned_text"], tuple(p["removed_parts"]), p["empty_reason"])
+    want = {flat(r, p, kept) for r in transcripts.process(read).collect() for column, kept in (("segments_cleaned", True), ("segments_removed", False)) for p in r[column]}
+    assert {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in got.collect()} == want and len(want) == 5 == got.count()
+    plan = registry.judged_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("phrase_of") == 1 == plan.count("n_chars") and "Union" not in plan
+
+
 def test_patterns_are_tried_where_their_words_are(spark):
     assert T.needed(r"\bзвонок\s+(?:будет\s+)?записыва(?:е|и)тся\b") == "записыва" and T.needed("a|b") == "" and T.needed(r"\bab?[cd]\b") == "a"
     assert T.any_of(["ab", "abc", "b"]) == "(?:ab(?:c)?|b)"
