@@ -178,14 +178,16 @@ def process(items: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
             "segments_removed": listed(False),
             "_removed": F.flatten(F.transform(F.filter("_pieces", lambda p: some), lambda p: p["c"]["removed"])),
             "_cleaned": F.array_join(F.transform(F.filter("_pieces", lambda p: p["c"]["reason"] == "useful"), lambda p: p["c"]["text"]), " "),
+            # Pieces are joined by blanks, so no word spans two of them.
+            "_words": F.aggregate("_pieces", F.lit(0), lambda n, p: n + p["c"]["words"]),
         }
     )
-    out = out.withColumns({"_reason": T.empty_reason(F.col("_cleaned"), lexicon, True), "_keywords": T.keywords_in(F.col("_cleaned"), lexicon.keywords)})
+    out = out.withColumns({"_reason": T.empty_reason(F.col("_cleaned"), lexicon, True, F.col("_words")), "_keywords": T.keywords_in(F.col("_cleaned"), lexicon.keywords)})
     language = records.language_code(F.col("language"), F.col("selected_language"))
     sure = records.language_confidence(F.col("language"), F.col("language_detection.confidence"))
     raw_words = records.raw_word_count(F.col("word_count"), F.col("words"), F.col("text"))
-    empty, clean_words = F.col("_reason") != "useful", T.count_words(F.col("_cleaned"))
-    flags = T.quality_flags(F.col("avg_confidence"), sure, F.col("fallback_language_used"), T.noise_parts(F.col("_removed")), T.has_personal(F.col("_removed")), F.col("_cleaned"), empty, F.col("word_count"))
+    empty, clean_words = F.col("_reason") != "useful", F.col("_words")
+    flags = T.quality_flags(F.col("avg_confidence"), sure, F.col("fallback_language_used"), T.noise_parts(F.col("_removed")), T.has_personal(F.col("_removed")), F.col("_cleaned"), empty, F.col("word_count"), clean_words)
     unless_failed = lambda value, otherwise=None: F.when(failed, F.lit(otherwise)).otherwise(value)
     out = out.select(
         "file_name",

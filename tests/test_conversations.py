@@ -248,6 +248,18 @@ def test_listed_pieces_are_cleaned_once(spark, tmp_path):
     assert plan.count("phrase_of") == 1 == plan.count("n_chars") and "Union" not in plan
 
 
+def test_words_of_a_transcript_are_counted_in_its_pieces(spark):
+    """Not again in the whole text, for each flag and the ratio anew; characters are looked up in listed classes."""
+    plan = registry.process_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(coalesce(_cleaned" not in plan and "[^a-z" not in plan
+    rows = transcripts.process(registry.transcript_items(spark, "/root/testdata/sf0.001"), registry.LEXICON).where("status = 'processed'")
+    assert rows.where(F.col("word_count_cleaned") != T.count_words(F.col("cleaned_transcript"))).isEmpty()
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x10400)]))
+    slow = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower("t"), F.lit("ё"), F.lit("е")), r"[^a-zа-яәғқңөұүһі0-9\s\[\]_@.+\-]", " "), r"\s+", " "))
+    counted = F.regexp_count(F.lower("t"), F.lit(T.WORD))
+    assert one(spark, every, T.normalize_text(F.col("t")) == slow, T.count_words(F.col("t")) == counted) == (True, True)
+
+
 def test_patterns_are_tried_where_their_words_are(spark):
     assert T.needed(r"\bзвонок\s+(?:будет\s+)?записыва(?:е|и)тся\b") == "записыва" and T.needed("a|b") == "" and T.needed(r"\bab?[cd]\b") == "a"
     assert T.any_of(["ab", "abc", "b"]) == "(?:ab(?:c)?|b)"
