@@ -385,6 +385,14 @@ def test_hierarchies_equal_those_in_memory(spark, monkeypatch, n, last, block, e
     assert [r["cluster_id"] == -1 for r in found[:n]] == (label[at.ravel()] == -1).tolist()
 
 
+def test_rows_are_copied_for_few_blocks(spark):
+    """600,000 rows used to be copied 74 times on either side."""
+    assert [hierarchy.blocks_of(n) for n in (0, 1, 8193, 50_000, 200_000, 600_000)] == [1, 1, 2, 7, 8, 19]
+    rows = spark.range(200_000).selectExpr("id", "array(id * 1.0D) as c")
+    seen = hierarchy.in_blocks(rows, rows, lambda q, t: pa.table({"n": [len(q["id"]) + 0], "m": [len(t["id"])]}), "n long, m long", 200_000, 200_000)
+    assert seen.agg(F.sum("n"), F.sum("m"), F.sum(F.col("n") * F.col("m"))).first()[:] == (8 * 200_000, 8 * 200_000, 200_000**2)
+
+
 def test_hierarchies_of_odd_tables(spark):
     schema = "id long, vec array<double>, c string, w string, root string, node string, part string"
     rows = [(i, v, *"cwrnp") for i, v in enumerate([[1.0, 2.0], [1.0, 2.0], None, [1.0, 2.0]])]
